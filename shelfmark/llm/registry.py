@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .packing import op3_packing
 from .sharding import op1_sharding
+from .simhash import op5_simhash
 from .tokens import op2_token_counts
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op5_simhash": op5_simhash,
 }
 SQL: dict[str, str] = {}
