@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .language import op6_language
+from .neighbours import op4_nearest
 from .packing import op3_packing
 from .sharding import op1_sharding
 from .simhash import op5_simhash
@@ -11,6 +13,8 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_nearest": op4_nearest,
     "op5_simhash": op5_simhash,
+    "op6_language": op6_language,
 }
 SQL: dict[str, str] = {}
