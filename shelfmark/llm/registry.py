@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP7_SQL, op7_decontamination
 from .language import op6_language
+from .lines import OP9_SQL, op9_line_dedup
 from .neighbours import op4_nearest
 from .packing import op3_packing
+from .quality import op8_quality
 from .sharding import op1_sharding
 from .simhash import op5_simhash
 from .tokens import op2_token_counts
@@ -16,5 +19,11 @@ QUERIES = {
     "op4_nearest": op4_nearest,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
+    "op9_line_dedup": op9_line_dedup,
+}
+SQL = {
+    "op7_decontamination": OP7_SQL,
+    "op9_line_dedup": OP9_SQL,
 }
-SQL: dict[str, str] = {}
