@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import let, materialize, table
 
 WIDTH = 5
 #: Containment of NEED / OF or more.
@@ -30,8 +30,12 @@ def words(text: Column) -> Column:
 
 def shingles(listed: Column) -> Column:
     """Each run of five of the words ``listed``; none of fewer words."""
-    starts = F.when(F.size(listed) >= WIDTH, F.sequence(F.lit(1), F.size(listed) - (WIDTH - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(listed, i, WIDTH), " "))
+
+    def runs(own: Column) -> Column:
+        starts = F.when(F.size(own) >= WIDTH, F.sequence(F.lit(1), F.size(own) - (WIDTH - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, WIDTH), " "))
+
+    return let(listed, runs)
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def contained_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     probes = source.select("doc_id", "content", shingles(words(F.col("text"))).alias("own"))
     # The largest partition whose smallest items fit: 0.8 * 2**part <= size.
     room = F.floor(F.log2(F.size("own") * OF / NEED)).cast("int")
-    probes = probes.where(F.size("own") > 0).select("doc_id", "content", room.alias("room"), F.explode(F.transform("own", lambda s: F.xxhash64(s))).alias("h"))
+    probes = probes.select("doc_id", "content", room.alias("room"), F.explode_outer(F.transform("own", lambda s: F.xxhash64(s))).alias("h"))
     met = probes.join(bounded(sketch), "h").where("part <= room").select("doc_id", "content", "item_id").distinct()
     candidates = met.join(own, "item_id").select(F.col("doc_id").alias("d"), F.col("content").alias("c"), "item_id", "own", "n")
     pairs = source.join(bounded(candidates), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")))

@@ -30,7 +30,7 @@ LAST = 2**63 - 1
 def split_lines(df: DataFrame, id_: str, text: str) -> DataFrame:
     """``doc`` (null ids: the largest long), ``line`` (int from 0) and ``words`` (their hashes)."""
     doc = F.coalesce(F.col(id_).cast("long"), F.lit(LAST))
-    each = df.select(doc.alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "own"))
+    each = df.select(doc.alias("doc"), F.posexplode_outer(F.split(F.col(text), "\n", -1)).alias("line", "own"))
     hashes = F.array_distinct(F.transform(words(F.col("own")), lambda w: F.xxhash64(w)))
     return each.select("doc", "line", hashes.alias("words"))
 
@@ -38,7 +38,7 @@ def split_lines(df: DataFrame, id_: str, text: str) -> DataFrame:
 def rarity(lines: DataFrame) -> Column:
     """A constant array: for each of 65,536 hash ranges the number of lines' words in it."""
     place = F.shiftrightunsigned(F.col("w"), 64 - RANGE_BITS)
-    counts = lines.select(F.explode("words").alias("w")).groupBy(place.cast("int").alias("place")).count().collect()
+    counts = lines.select(F.explode_outer("words").alias("w")).where("w is not null").groupBy(place.cast("int").alias("place")).count().collect()
     found = dict(map(tuple, counts))
     listed = ",".join(str(min(found.get(i, 0), 2**22)) for i in range(1 << RANGE_BITS))
     return F.split(F.lit(listed), ",").cast("array<int>")

@@ -10,6 +10,7 @@ from .packing import op3_packing
 from .quality import op8_quality
 from .sharding import op1_sharding
 from .simhash import op5_simhash
+from .substrings import op10_substrings
 from .tokens import op2_token_counts
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
+    "op10_substrings": op10_substrings,
 }
 SQL = {
     "op7_decontamination": OP7_SQL,
