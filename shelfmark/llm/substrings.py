@@ -308,7 +308,7 @@ def dedup_substrings(df: DataFrame, id_: str = "doc_id", text: str = "text") ->
     what the other has. ``spans`` are the maximal removed runs.
     """
     rows = numbered(df, id_, text)
-    spans_ = materialize(removed_spans(rows.dropDuplicates(["doc"]) if "content" in rows.columns else rows))
+    spans_ = materialize(removed_spans(rows))
     each = spans_.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("gone")).withColumnRenamed("doc", "g_doc")
     joined = rows.join(bounded(each), F.col("doc") == F.col("g_doc"), "left").select("id", "data", "gone")
     return joined.mapInArrow(_fate, "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
