@@ -144,3 +144,31 @@ def progress(jobs: DataFrame, owner: str, now_ms: int, current: Column, total: C
             "progress_total": F.when(ok, F.coalesce(total, F.col("progress_total"))).otherwise(F.col("progress_total")),
         }
     )
+
+
+def first_events(jobs: DataFrame) -> DataFrame:
+    """What enqueueing logs: one ``queued`` event for each job, with nothing done yet."""
+    return jobs.select(F.col("id").alias("job_id"), F.lit("queued").alias("event"), F.col("created_at_ms"))
+
+
+def event_log(events: DataFrame) -> DataFrame:
+    """Events in the order they were logged, numbered for each job."""
+    number = F.row_number().over(Window.partitionBy("job_id").orderBy("created_at_ms", "event"))
+    return events.withColumn("number", number)
+
+
+# Bounds of an automation's interval, in seconds.
+WATCH_LEAST, SCHEDULE_LEAST, INTERVAL_MOST = 10, 60, 30 * 86_400
+
+
+def interval(kind: Column, seconds: Column) -> Column:
+    """The interval an automation really runs at."""
+    least = F.when(kind == "watch", WATCH_LEAST).otherwise(SCHEDULE_LEAST)
+    return F.least(F.greatest(seconds, least), F.lit(INTERVAL_MOST))
+
+
+def next_runs(automations: DataFrame, now_s: int) -> DataFrame:
+    """When each enabled automation runs next: one that is due now starts over from now."""
+    pace = interval(F.col("kind"), F.col("seconds"))
+    due = F.col("next_run") <= now_s
+    return automations.where("enabled").select("id", due.alias("due"), F.when(due, F.lit(now_s) + pace).otherwise(F.col("next_run")).cast("long").alias("next_run"))

@@ -141,3 +141,26 @@ def under(files: DataFrame, directory: str) -> DataFrame:
 def top(rows: DataFrame, limit: int, most: int, *order: Column | str) -> DataFrame:
     """The first rows of an order that should end in a unique key."""
     return rows.orderBy(*order).limit(clamp(limit, most))
+
+
+NAME_CHARACTERS, QUERY_CHARACTERS = 80, 300
+
+
+def smart_folder(name: str, query: str) -> dict:
+    """A saved search in the form it is stored in, or ``InvalidSearch``."""
+    name, query = name.strip(), query.strip()
+    if not 0 < len(name) <= NAME_CHARACTERS or not 0 < len(query) <= QUERY_CHARACTERS:
+        raise InvalidSearch("a smart folder needs a name of 1 to 80 and a query of 1 to 300 characters")
+    spec = parse_search(query)
+    rule = {"version": 1, "text": spec.text, "extension": spec.extension, "minimum_size": spec.minimum_size, "maximum_size": spec.maximum_size}
+    return {"name": name, "query": query, "rule_version": 1, "rule": rule}
+
+
+def from_rule(rule: dict) -> SearchSpec:
+    return SearchSpec(rule["text"], rule["extension"], rule["minimum_size"], rule["maximum_size"])
+
+
+def natural_key(name: Column) -> Column:
+    """A key that sorts numbers in names by their value: lower case, digits padded to 20."""
+    padded = F.regexp_replace(F.lower(name), r"([0-9]+)", "0" * 20 + "$1")
+    return F.regexp_replace(padded, r"[0-9]*([0-9]{20})", "$1")

@@ -100,6 +100,20 @@ def ranked(files: DataFrame, text: str) -> DataFrame:
     return joined.withColumn("rank", rank).select(*files.columns, "rank")
 
 
+def token_table(files: DataFrame, grams: bool = False) -> DataFrame:
+    """``id`` and ``token``: one row for each distinct word (or window of three) of a path."""
+    listed = trigrams(F.col("path")) if grams else tokens(F.col("path"))
+    return files.select("id", F.explode_outer(F.array_distinct(listed)).alias("token")).where("token is not null")
+
+
+def matching(files: DataFrame, index: DataFrame, wanted: list[str], prefix: bool = True) -> DataFrame:
+    """Files that have all of the tokens (or words that begin with them), by one semi-join for each."""
+    for token in wanted:
+        hit = F.col("token").startswith(token) if prefix else F.col("token") == token
+        files = files.join(index.where(hit).select("id"), "id", "left_semi")
+    return files
+
+
 def search(files: DataFrame, query: str | SearchSpec, library: str | None = None, limit: int = SEARCH_ROWS) -> DataFrame:
     """``files`` (id, path, size, library_id, missing_since_ms ...) that match, best first.
 

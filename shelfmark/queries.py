@@ -12,6 +12,7 @@ from .functions import paths
 from .operators import classify, duplicates, journal, query, reconcile, rules, search, similarity
 from .plans import organize
 from .sources import content, sinks
+from .sources.directory import DirectorySource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -692,5 +693,119 @@ def _(files):
     return files.select("id", content.preview(F.col("path"), F.col("content").cast("binary")).alias("p")).select("id", "p.kind", "p.truncated")
 
 
+# The index as a table, and what else the catalogue answers
+
+WORD_TABLE = f", w AS (SELECT DISTINCT id, unnest({TOKENS_SQL}) AS token FROM files)"
+GRAM_TABLE = ", w AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(path) - 1), lambda i: substr(lower(path), i, 3))) AS token FROM files)"
+
+
+@register("flt9_prefix_match", "files", WORD_TABLE + " SELECT id FROM files WHERE id IN (SELECT id FROM w WHERE starts_with(token, 're')) AND id IN (SELECT id FROM w WHERE starts_with(token, 'e'))")
+def _(files):
+    return search.matching(files.select("id", "path"), search.token_table(files), ["re", "e"]).select("id")
+
+
+@register("flt10_trigram_match", "files", GRAM_TABLE + " SELECT id FROM files WHERE id IN (SELECT id FROM w WHERE token = 'bud') AND id IN (SELECT id FROM w WHERE token = 'get')")
+def _(files):
+    return search.matching(files.select("id", "path"), search.token_table(files, grams=True), ["bud", "get"], prefix=False).select("id")
+
+
+@register("jn2_words_files", "files", WORD_TABLE + " SELECT token, count(*) AS n, cast(sum(size) AS BIGINT) AS bytes FROM w JOIN files USING (id) GROUP BY token")
+def _(files):
+    joined = search.token_table(files).join(files.select("id", "size"), "id")
+    return joined.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+@register("jn3_trigrams_files", "files", GRAM_TABLE + " SELECT token, count(*) AS n, max(size) AS largest FROM w JOIN files USING (id) GROUP BY token")
+def _(files):
+    joined = search.token_table(files, grams=True).join(files.select("id", "size"), "id")
+    return joined.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("largest"))
+
+
+@register("agg12_index_statistics", "files", f"SELECT count(*) AS n, avg(cast(2 * len({TOKENS_SQL}) AS DOUBLE)) AS average_length, count(*) FILTER (len(list_filter({TOKENS_SQL}, lambda t: t = 'report')) > 0) AS with_report FROM files")
+def _(files):
+    listed = files.select(search.tokens(F.col("path")).alias("t"))
+    return listed.agg(F.count(F.lit(1)).alias("n"), F.avg((2 * F.size("t")).cast("double")).alias("average_length"), F.count_if(F.array_contains("t", "report")).alias("with_report"))
+
+
+@register("srt2_search_topk", "files", _rounded(STATS.format(count=f"2.0 * len(list_filter({TOKENS_SQL}, lambda t: starts_with(t, 'no')))", length=f"2 * len({TOKENS_SQL})").replace("LIMIT 200", "LIMIT 25")))
+def _(files):
+    return _ranked(search.search(files, "no", limit=25))
+
+
+NATURAL_SQL = f"regexp_replace(regexp_replace(lower({NAME}), '([0-9]+)', '{'0' * 20}\\1', 'g'), '[0-9]*([0-9]{{20}})', '\\1', 'g')"
+
+
+@register("srt11_natural_order", "files", f"SELECT id, row_number() OVER (PARTITION BY library_id ORDER BY {NATURAL_SQL}, path) AS place FROM files")
+def _(files):
+    order = Window.partitionBy("library_id").orderBy(query.natural_key(paths.basename(F.col("path"))), "path")
+    return files.select("id", F.row_number().over(order).cast("long").alias("place"))
+
+
+@register("srt13_rule_order", "libraries", "SELECT * FROM (VALUES ('reports', 1), ('old', 2), ('small', 3)) AS t(name, place)")
+def _(libraries):
+    rows = [(r["name"], i + 1) for i, r in enumerate(rules.ordered(RULES[::-1]))]
+    return libraries.sparkSession.createDataFrame(rows, "name string, place int")
+
+
+@register("txt8_smart_folder", "files", f"SELECT id, path FROM files WHERE {ACTIVE} AND lower(path) LIKE '%.html' AND size <= 3000 ORDER BY path, id LIMIT 200")
+def _(files):
+    saved = query.smart_folder(" small pages ", "ext:html size:<=3000B")
+    return search.search(files, query.from_rule(saved["rule"])).select("id", "path")
+
+
+@register("txt12_legacy_names", "files")
+def _(files):
+    order = Window.partitionBy("library_id").orderBy("path", "id")
+    plan = files.select(F.col("library_id").alias("folder"), F.row_number().over(order).alias("ordinal"), "id", F.concat(F.lit("copy."), F.coalesce(F.nullif(paths.extension(F.col("path")), F.lit("")), F.lit("bin"))).alias("name"))
+    return organize.unique_names(plan, plan.where("ordinal % 7 = 0").select("folder", "name"), "legacy")
+
+
+@register("txt15_readable_size", "files")
+def _(files):
+    return files.select("id", paths.readable_size(F.col("size")).alias("shown"))
+
+
+@register("anl8_rule_plan", "files")
+def _(files):
+    found = rules.evaluate(files, RULES, NOW_NS).where("destination is not null")
+    order = Window.partitionBy("destination").orderBy(F.lower(paths.basename(F.col("path"))), "path", "id")
+    plan = found.select(F.col("destination").alias("folder"), F.row_number().over(order).alias("ordinal"), "id", paths.basename(F.col("path")).alias("name"))
+    return organize.unique_names(plan, plan.limit(0).select("folder", "name"), "legacy")
+
+
+@register("agg11_bit_votes", "files")
+def _(files):
+    return files.select("id", F.bit_count(similarity.text_simhash(F.col("content"))).alias("set_bits"))
+
+
+@register("job1_enqueue", "jobs", "SELECT id AS job_id, 'queued' AS event, created_at_ms FROM jobs")
+def _(jobs):
+    return journal.first_events(jobs)
+
+
+@register("job8_event_log", "jobs", """SELECT job_id, event, created_at_ms, row_number() OVER (PARTITION BY job_id ORDER BY created_at_ms, event) AS number
+  FROM (SELECT id AS job_id, 'queued' AS event, created_at_ms FROM jobs UNION ALL SELECT id, status, updated_at_ms FROM jobs)""")
+def _(jobs):
+    later = jobs.select(F.col("id").alias("job_id"), F.col("status").alias("event"), F.col("updated_at_ms").alias("created_at_ms"))
+    return journal.event_log(journal.first_events(jobs).union(later)).withColumn("number", F.col("number").cast("long"))
+
+
+@register("job9_scheduling", "jobs", """SELECT id, n <= 900000 AS due, CASE WHEN n <= 900000 THEN 900000 + least(greatest(progress_current, CASE WHEN kind = 'scan' THEN 10 ELSE 60 END), 2592000) ELSE n END AS next_run
+  FROM (SELECT *, created_at_ms - 500000 AS n FROM jobs WHERE status <> 'cancelled')""")
+def _(jobs):
+    automations = jobs.select("id", F.when(F.col("kind") == "scan", "watch").otherwise("schedule").alias("kind"), F.col("progress_current").alias("seconds"), (F.col("created_at_ms") - 500_000).alias("next_run"), (F.col("status") != "cancelled").alias("enabled"))
+    return journal.next_runs(automations, 900_000)
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.dataSource.register(DirectorySource)
+    return spark.read.format("directory").option("root", sf_dir).load()
+
+
+QUERIES["src1_directory_scan"] = lambda spark, sf_dir: _scanned(spark, sf_dir).select("name", "size", "depth", "issue")
+QUERIES["src3_observe"] = lambda spark, sf_dir: _scanned(spark, sf_dir).select("path", "platform", "volume_id", "native_file_id", "generation", "size", "modified_at_ns")
+QUERIES["src6_full_read"] = lambda spark, sf_dir: content.file_hashes(_scanned(spark, sf_dir).where("issue is null")).select("path", "quick", "full")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(bind(spark, sf_dir, "files"))
