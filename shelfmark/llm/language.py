@@ -123,7 +123,7 @@ def labelled_sample(df: DataFrame, text: str, language: str, key: Column, rows:
     """
     usable = df.where(F.col(text).isNotNull() & F.col(language).isNotNull())
     share = min(1.0, 1.2 * rows / max(1, usable.count()))
-    below = F.shiftrightunsigned(key, 1) < int(share * (2**63 - 1))
+    below = F.shiftrightunsigned(key, 1) <= min(int(share * 2**63), 2**63 - 1)
     few = usable.where(below).select(F.col(text).alias("t"), F.col(language).alias("l"), F.shiftrightunsigned(key, 1).alias("k"))
     got = few.orderBy("k", "l", F.xxhash64("t")).limit(rows).collect()
     return [r.t for r in got], [r.l for r in got]

@@ -1,0 +1,391 @@
+"""Each operator against a brute-force version, on texts that are null, empty, long, tied and repeated."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from shelfmark.llm import components, decontaminate, language, lines, neighbours, packing, quality, sharding, simhash, substrings, tokens
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+DOCS = "doc_id long, text string"
+ODD = [None, "", " ", "  two  spaces ", "\n\n", "x", "▁ ▁▁a", "日本語 テキスト", "😀 é́ ok", "<s> </s> <0x0A>", "a<|endoftext|>b <|endoftext|>", "it's we'll 'tis", "a" * 3000, "ab " * 2000, "\t\t tab\r\n", "12345 67.89%"]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    syllables = ["th", "an", "er", "on", "re", "he", "in", "ed", "nd", "ha", "at", "en"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    made = [" ".join(word() for _ in range(rng.randint(1, 120))) + rng.choice([".", "\n", ""]) for _ in range(60)]
+    near = [t.replace(" ", f" {word()} ", 1) for t in made[:15]]
+    return [*ODD, *made, *near, *made[:10], made[0]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3).cache()
+
+
+# 1
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2, 3, 7, 64, 100, 4099])
+def test_feistel_permutes(spark, rows):
+    found = [r[0] for r in spark.range(rows).select(sharding.feistel(F.col("id"), rows, 9)).collect()]
+    assert sorted(found) == list(range(rows))
+    assert rows < 50 or found != sorted(found)
+
+
+def test_shards(spark, docs):
+    extra = docs.withColumns({"H": F.lit(None).cast("string"), "bucket": F.lit(1), "row_number": F.lit(2)})
+    found = sharding.shard(extra, 7, seed=3)
+    assert found.columns == [*extra.columns, "shard", "slot"]
+    rows = found.toPandas()
+    assert sorted(rows.doc_id) == sorted(docs.toPandas().doc_id)
+    sizes = rows.groupby("shard").size()
+    assert sizes.max() - sizes.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard"))
+    again = sharding.shard(extra.repartition(1), 7, seed=3).toPandas()
+    assert rows.set_index("doc_id").slot.to_dict() == again.set_index("doc_id").slot.to_dict()
+    assert sharding.shard(extra.limit(0), 7).isEmpty()
+    with pytest.raises(ValueError):
+        sharding.shard(docs.withColumn("Slot", F.lit(1)), 2)
+
+
+def test_one_row_many_times(spark):
+    same = spark.createDataFrame([(1, "a")] * 6000 + [(None, None)] * 50, DOCS)
+    rows = sharding.shard(same, 4).toPandas()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard")) and len(rows) == 6050
+
+
+# 2
+
+
+def test_token_counts(docs, texts):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    found = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, PIECES).collect()}
+    assert found == {i: len(library.encode(t or "")) for i, t in enumerate(texts)}
+
+
+def test_token_counts_of_noise():
+    import sentencepiece
+
+    library, counter, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), tokens.PieceCounter(PIECES), random.Random(1)
+    noise = ["".join(rng.choices("abt ▁he\n\té日'.1<|>", k=rng.randint(0, 80))) for _ in range(800)]
+    assert [counter.count(t) for t in noise] == [len(x) for x in library.encode(noise)]
+
+
+def test_memo_is_bounded():
+    memo = tokens.Memo(len, 10)
+    assert all(memo[str(i)] == len(str(i)) for i in range(1000)) and len(memo) + len(memo.old) <= 20
+
+
+# 3
+
+
+def test_packing(docs, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTES)
+    rows = packing.pack_documents(docs, BYTES, capacity=256, with_ids=True).toPandas()
+    for i, text in enumerate(texts):
+        own = rows[rows.doc_id == i].sort_values("piece")
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        assert [x for part in own.ids for x in part] == ids
+        assert own.start.tolist() == [0, *own.length.cumsum().tolist()[:-1]]
+        assert (own.length.iloc[1:] == 256).all()
+        assert [zlib.crc32(np.array(x, "<u4").tobytes()) for x in own.ids] == own.ids_crc32.tolist()
+    for _, sequence in rows.sort_values("offset").groupby("sequence_id"):
+        assert sequence.offset.tolist() == [0, *sequence.length.cumsum().tolist()[:-1]] and sequence.length.sum() <= 256
+    assert rows.sequence_id.nunique() <= 1.1 * rows.length.sum() / 256 + 2
+    assert packing.pack_documents(docs.limit(0), BYTES).isEmpty()
+
+
+def test_best_fit_takes_the_fullest():
+    fit = packing.BestFit(10, 2)
+    assert [fit.put(n) for n in (6, 7, 3, 4, 5, 5)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (2, 5)]
+    fit = packing.BestFit(10, 1)
+    assert [fit.put(n)[0] for n in (6, 7, 4)] == [0, 1, 2]  # the first closed: one bin only may be open
+
+
+# 4
+
+
+def nearest(rows, k):
+    out = {}
+    for q, a in rows:
+        scores = sorted((-float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), i) for i, b in rows if i != q)
+        out[q] = [i for _, i in scores[:k]]
+    return out
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((20, 16))
+    good = [(i, (centres[i % 20] + 0.4 * rng.standard_normal(16)).tolist()) for i in range(800)]
+    good += [(1000 + i, [float(x) for x in range(1, 17)]) for i in range(30)]
+    bad = [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] * 16), (None, [1.0] * 16)]
+    points = spark.createDataFrame([(i, v, "x") for i, v in good + bad], "vec_id long, embedding array<double>, score string")
+    found = neighbours.nearest_neighbours(points, points.where("vec_id % 10 = 0"), 5).toPandas()
+    wanted = nearest([(i, np.array(v)) for i, v in good], 5)
+    hits = sum(len(set(g.sort_values("rank").vec_id) & set(wanted[q])) for q, g in found.groupby("query_id"))
+    assert hits >= 0.9 * len(found) and found.query_id.nunique() == sum(i % 10 == 0 for i, _ in good)
+    same = found[found.query_id == 1010].sort_values("rank")
+    assert same.vec_id.tolist() == [1000, 1001, 1002, 1003, 1004] and same["rank"].tolist() == [1, 2, 3, 4, 5]
+    few = neighbours.nearest_neighbours(points.where("vec_id < 3"), points.where("vec_id = 0"), 5)
+    assert sorted(r.vec_id for r in few.collect()) == [1, 2]
+    assert neighbours.nearest_neighbours(points.limit(0), points.limit(0)).isEmpty()
+
+
+def test_chi_square():
+    assert abs(neighbours.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
+
+
+# 5
+
+
+def brute_print(text, width=3):
+    words = (text or "").encode().lower().split()
+    runs = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(r, seed=42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def roots(nodes, linked):
+    above = {n: n for n in nodes}
+
+    def top(n):
+        while above[n] != n:
+            n = above[n]
+        return n
+
+    for a, b in combinations(sorted(nodes), 2):
+        if linked(a, b):
+            x, y = top(a), top(b)
+            above[max(x, y)] = min(x, y)
+    return {n: top(n) for n in nodes}
+
+
+def test_simhash(docs, texts):
+    rows = simhash.label_near_duplicates(docs).toPandas()
+    prints = {i: brute_print(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: int.from_bytes(r.fp, "big") for r in rows.itertuples()} == prints
+    wanted = roots(set(prints.values()), lambda a, b: (a ^ b).bit_count() <= 2)
+    assert all(int.from_bytes(r.fp_root, "big") == wanted[prints[r.doc_id]] for r in rows.itertuples())
+    assert simhash.label_near_duplicates(docs.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("large", [20_000, 40])
+def test_links_in_large_shards(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE_SHARD", large)
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    values = {base ^ (rng.getrandbits(9) << rng.choice([0, 20, 33, 50])) for _ in range(700)}
+    frame = spark.createDataFrame([(v.to_bytes(8, "big"),) for v in values], "fp binary").cache()
+    found = {int.from_bytes(r.fp, "big"): int.from_bytes(r.fp_root, "big") for r in simhash.label(frame).collect()}
+    assert found == roots(values, lambda a, b: (a ^ b).bit_count() <= 2)
+
+
+def test_bk_tree():
+    rng = random.Random(4)
+    values = [rng.getrandbits(16) for _ in range(300)]
+    tree = simhash.BKTree()
+    for v in set(values):
+        tree.insert(v)
+    for v in values[:40]:
+        assert {tree.values[i] for i in tree.search(v, 3)} == {x for x in values if (x ^ v).bit_count() <= 3}
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(60)] + [(1, None)]
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(links, "x long, y long")).collect()}
+    pairs = {frozenset(p) for p in links if None not in p}
+    nodes = {n for p in pairs for n in p if len(p) == 2}
+    assert found == {n: r for n, r in roots(nodes, lambda a, b: frozenset((a, b)) in pairs).items()}
+    assert components.components(spark.createDataFrame([], "x long, y long")).isEmpty()
+
+
+def test_keep_first(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    plain = [" ".join(word() for _ in range(150)) for _ in range(12)]
+    close = [t + " " + word() for t in plain[:5]]
+    rows = [(i, t, "s") for i, t in enumerate(plain + close)] + [(3, plain[3], "s"), (None, plain[4], "s"), (50, None, "s"), (51, "", "s")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, DOCS + ", fp string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(12), 50]
+
+
+# 6
+
+
+def test_language(spark):
+    rng = random.Random(8)
+    sounds = {"aa": "ban tor lek mi".split(), "bb": "schu ung ver ich".split(), "cc": "eau oux ille ent".split()}
+    speak = lambda lang: " ".join("".join(rng.choices(sounds[lang], k=rng.randint(1, 3))) for _ in range(rng.randint(3, 40)))
+    rows = [(i, speak(x), x) for i, x in enumerate(rng.choices(list(sounds), k=400))]
+    data = spark.createDataFrame(rows, DOCS + ", lang string")
+    found = language.identify(data.where("doc_id >= 200"), data.where("doc_id < 200"), F.xxhash64("doc_id")).collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found) and all(0 <= r.score <= 1 for r in found)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "ß" * 50_000)], DOCS)
+    told = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(odd, data, F.xxhash64("doc_id")).collect()}
+    assert told[1] == told[2] == told[3] == ("und", 0.0) and told[4][0] in sounds
+    none = language.identify(data, data.limit(0), F.xxhash64("doc_id"))
+    assert {r.lang_pred for r in none.collect()} == {"und"}
+
+
+# 7
+
+
+def brute_shingles(text):
+    import regex
+
+    words = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_decontamination(spark, texts):
+    rng = random.Random(9)
+    items = [(i, t) for i, t in enumerate(texts[20:40])] + [(90, None), (91, ""), (92, "too short"), (93, texts[20])]
+    long = " ".join(" ".join(rng.sample(texts[60].split() * 30, 50)) for _ in range(40))
+    held = [f"{long}\n{t.upper()}!\n{long}" for _, t in items[:5]]
+    cut = [" ".join(t.split()[: int(len(t.split()) * share)]) for _, t in items[5:10] for share in (0.7, 0.8, 0.9, 0.95)]
+    rows = list(enumerate([*texts, *held, *cut])) + [(0, texts[25]), (None, texts[26]), (3, texts[3])]
+    found = decontaminate.contained_items(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, n long"))
+    wanted = set()
+    for d, text in rows:
+        own = brute_shingles(text)
+        for i, item in items:
+            need = brute_shingles(item)
+            if need and 5 * len(own & need) >= 4 * len(need):
+                wanted.add((d, i, len(need), len(own & need)))
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in found.collect()} == wanted
+    left = decontaminate.decontaminate(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    gone = {d for d, *_ in wanted}
+    assert sorted((r.doc_id is None, r.doc_id) for r in left.collect()) == sorted((d is None, d) for d, _ in rows if d not in gone)
+    assert decontaminate.contained_items(spark.createDataFrame([], DOCS), spark.createDataFrame(items, "item_id long, text string")).isEmpty()
+
+
+# 8
+
+
+def test_quality(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices(["th", "an", "er", "on", "re"], k=rng.randint(1, 3)))
+    fine = [" ".join(word() for _ in range(rng.randint(20, 200))) for _ in range(300)]
+    junk = [" ".join(word() + "&&&" for _ in range(rng.randint(20, 200))) for _ in range(60)]
+    rows = list(enumerate(fine + junk)) + [(900, None), (901, "")]
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(0, 360, 2)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    judged = {r.doc_id: r for r in quality.resample(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert all(judged[i].keep for i in range(300)) and not any(judged[i].keep for i in range(300, 360))
+    assert judged[900].keep and judged[901].keep and judged[900].n_grams == 0
+    counts = np.ones((2, 1 << quality.BITS))
+    for i, text in rows:
+        for b in quality.buckets(text):
+            counts[0, b] += 1
+            counts[1, b] += i < 300 and i % 2 == 0
+    ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert abs(judged[7].log_weight - ratios[quality.buckets(fine[7])].sum()) < 1e-6
+    assert all(r.keep for r in quality.resample(spark.createDataFrame(rows[:5], DOCS), labels.limit(0)).collect())
+    assert quality.resample(spark.createDataFrame([], DOCS), labels).isEmpty()
+
+
+# 9
+
+
+def brute_lines(rows):
+    import regex
+
+    every = []
+    for d, text in rows:
+        for k, line in enumerate((text or "").split("\n") if text is not None else []):
+            every.append(((d is None, d), k, set(regex.findall(r"[\p{L}\p{N}]+", line.lower()))))
+    every.sort(key=lambda x: (x[0][0], x[0][1] or 0, x[1]))
+    gone = set()
+    for i, (d, k, own) in enumerate(every):
+        if len(own) >= 5 and any((e[0], e[1]) != (d, k) and len(e[2]) >= 5 and 9 * len(own & e[2]) >= 4 * (len(own) + len(e[2])) for e in every[:i]):
+            gone.add((d[1], k))
+    return gone
+
+
+def test_lines(spark):
+    rng = random.Random(11)
+    vocabulary = ["the", "of", "and", *["".join(rng.choices("abcdef", k=4)) for _ in range(60)]]
+    base = [rng.choices(vocabulary, k=rng.randint(1, 25)) for _ in range(30)]
+
+    def changed():
+        line = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            line[rng.randrange(len(line))] = rng.choice(vocabulary)
+        return rng.choice([str.upper, str])(" ".join(line)) + rng.choice([".", "", "!"])
+
+    rows = [(i, "\n".join(changed() for _ in range(rng.randint(0, 12)))) for i in range(90)]
+    rows += [(200, None), (201, ""), (202, "\n\n"), (None, changed()), (203, " ".join(vocabulary * 50))]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", line int").repartition(3)
+    gone = brute_lines(rows)
+    found = {r.doc_id: r.text for r in lines.dedup_lines(frame).collect()}
+    for d, text in rows:
+        wanted = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (d, k) not in gone)
+        assert found[d] == wanted
+    assert gone and lines.dedup_lines(frame.limit(0)).isEmpty()
+
+
+# 10
+
+
+def brute_bytes(rows, length=substrings.LENGTH):
+    seen, out = set(), {}
+    for d, text in sorted(rows):
+        data = (text or "").encode()
+        mark = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            part = data[i : i + length]
+            if part in seen:
+                mark[i : i + length] = b"\1" * length
+            seen.add(part)
+        kept = bytes(b for b, m in zip(data, mark) if not m)
+        runs = sum(m and (not i or not mark[i - 1]) for i, m in enumerate(mark))
+        out[d] = (len(data), sum(mark), runs, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def fates(frame):
+    rows = substrings.dedup_substrings(frame).collect()
+    return [(r.id, (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256)) for r in rows]
+
+
+def test_substrings(spark, texts, monkeypatch):
+    monkeypatch.setattr(substrings, "SEGMENT", 256)
+    rng = random.Random(12)
+    base = [t for t in texts if t and len(t) > 60]
+    mixed = ["".join(rng.choice(base)[rng.randrange(60) :][: rng.randint(0, 300)] for _ in range(3)) for _ in range(120)]
+    rows = list(enumerate([*texts, *mixed, "é" * 400, "ab" * 300, "x" * 99, "x" * 100]))
+    frame = spark.createDataFrame([(*r, "t") for r in rows], DOCS + ", start string").repartition(4)
+    assert dict(fates(frame)) == brute_bytes(rows)
+    assert substrings.dedup_substrings(frame.limit(0)).isEmpty()
+
+
+def test_substrings_without_good_ids(spark):
+    a, b = "q" * 150, "".join(random.Random(1).choices("abc ", k=250))
+    rows = [(1, b), (1, b + a), (None, b), (None, None), (0, "z" + b)]
+    found = sorted((str(i), *x[:2]) for i, x in fates(spark.createDataFrame(rows, DOCS)))
+    # Later rows lose what they share with row 0, and a run of one letter all but its first place.
+    assert found == sorted([("0", 251, 0), ("1", 250, 250), ("1", 400, 399), ("None", 250, 250), ("None", 0, 0)])
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 3, (500, 6)).astype(np.uint64)
+    order = substrings.multikey_quicksort(words)
+    assert (words[order] == words[np.lexsort(words.T[::-1])]).all()
