@@ -420,7 +420,7 @@ def _(files):
     return query.page(files, "src1", 20)[0].select("id", "path")
 
 
-@register("srt1_next_cursor", "files", f"SELECT max(path) AS path, max_by(id, path) AS id FROM (SELECT path, id FROM files WHERE {ACTIVE} AND library_id = 'src1' ORDER BY path, id LIMIT 20)")
+@register("srt1_next_cursor", "files", f"SELECT max(path) AS path, max_by(id, path) AS id FROM (SELECT path, id FROM files WHERE {ACTIVE} AND library_id = 'src1' ORDER BY path, id LIMIT 20) HAVING (SELECT count(*) FROM files WHERE {ACTIVE} AND library_id = 'src1') > 20")
 def _(files):
     return query.page(files, "src1", 20)[1].select("path", "id")
 
