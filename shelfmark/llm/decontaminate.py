@@ -19,7 +19,7 @@ from .common import let, materialize, table
 WIDTH = 5
 #: Containment of NEED / OF or more.
 NEED, OF = 4, 5
-#: Only tables of at most so many rows (some 16 MB) are broadcast.
+#: Only tables of at most so many values (some 16 MB) are broadcast.
 BROADCAST_ROWS = 500_000
 
 
@@ -28,20 +28,33 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(listed: Column) -> Column:
-    """Each run of five of the words ``listed``; none of fewer words."""
+def over_runs(listed: Column, use) -> Column:
+    """``use(words, i)`` for each run of five of the words ``listed``, from place ``i`` (from 0) on."""
 
     def runs(own: Column) -> Column:
-        starts = F.when(F.size(own) >= WIDTH, F.sequence(F.lit(1), F.size(own) - (WIDTH - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, WIDTH), " "))
+        starts = F.when(F.size(own) >= WIDTH, F.sequence(F.lit(0), F.size(own) - WIDTH)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: use(own, i))
 
     return let(listed, runs)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, written, and marked for broadcast only if it is small enough."""
+def shingles(listed: Column) -> Column:
+    return over_runs(listed, lambda own, i: F.array_join(F.slice(own, i + 1, WIDTH), " "))
+
+
+def shingle_hashes(listed: Column) -> Column:
+    """A hash of each shingle, without building it."""
+    return over_runs(listed, lambda own, i: F.xxhash64(*[F.get(own, i + k) for k in range(WIDTH)]))
+
+
+def bounded(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``df``, written, and marked for broadcast only if it is small enough.
+
+    ``weight``: how many values a row holds, for rows of arrays.
+    """
     written = materialize(df)
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+    size = written.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(written) if size <= BROADCAST_ROWS else written
 
 
 def least(n: Column) -> Column:
@@ -55,24 +68,25 @@ def contained_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     ``documents``: ``doc_id`` and ``text``; ``items``: ``item_id`` and ``text``; further
     columns are left out. Returns ``doc_id``, ``item_id``, ``n_shingles`` and ``n_found``
     (longs, of the item's distinct shingles) and ``containment``. Null and empty texts,
-    and items of fewer than five words, match nothing. Rows that repeat an id with
+    items of fewer than five words, and items without an id, match nothing. Rows that repeat an id with
     another text are searched by themselves and give a pair each; wholly repeated
     rows give one.
     """
-    own = items.select("item_id", F.array_distinct(shingles(words(F.col("text")))).alias("own")).where(F.size("own") > 0).distinct()
-    own = materialize(own.select("item_id", "own", F.size("own").cast("long").alias("n")))
-    ordered = F.array_sort(F.transform("own", lambda s: F.xxhash64(s)))
+    listed = words(F.col("text"))
+    own = items.select("item_id", F.array_distinct(shingles(listed)).alias("own"), F.sort_array(F.array_distinct(shingle_hashes(listed))).alias("hashes")).distinct()
+    own = materialize(own.where(F.size("own") > 0).select("item_id", "own", "hashes", F.size("own").cast("long").alias("n")))
     part = F.floor(F.log2("n")).cast("int")
-    sketch = own.select("item_id", part.alias("part"), F.explode(F.slice(ordered, F.lit(1), (F.col("n") - least(F.col("n")) + 1).cast("int"))).alias("h"))
+    sketch = own.select("item_id", part.alias("part"), F.explode(F.slice("hashes", F.lit(1), (F.col("n") - least(F.col("n")) + 1).cast("int"))).alias("h"))
     source = documents.select("doc_id", F.xxhash64("text").alias("content"), "text")
-    probes = source.select("doc_id", "content", shingles(words(F.col("text"))).alias("own"))
+    probes = source.select("doc_id", "content", shingle_hashes(listed).alias("own"))
     # The largest partition whose smallest items fit: 0.8 * 2**part <= size.
     room = F.floor(F.log2(F.size("own") * OF / NEED)).cast("int")
-    probes = probes.select("doc_id", "content", room.alias("room"), F.explode_outer(F.transform("own", lambda s: F.xxhash64(s))).alias("h"))
+    probes = probes.select("doc_id", "content", room.alias("room"), F.explode_outer("own").alias("h"))
     met = probes.join(bounded(sketch), "h").where("part <= room").select("doc_id", "content", "item_id").distinct()
-    candidates = met.join(own, "item_id").select(F.col("doc_id").alias("d"), F.col("content").alias("c"), "item_id", "own", "n")
-    pairs = source.join(bounded(candidates), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")))
-    found = F.size(F.array_intersect("own", shingles(words(F.col("text"))))).cast("long")
+    candidates = bounded(met.select(F.col("doc_id").alias("d"), F.col("content").alias("c"), "item_id"))
+    pairs = source.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")))
+    pairs = pairs.join(bounded(own.select(F.col("item_id").alias("i"), "own", "n"), F.size("own")), F.col("item_id") == F.col("i"))
+    found = F.size(F.array_intersect("own", shingles(listed))).cast("long")
     counted = pairs.select("doc_id", "content", "item_id", F.col("n").alias("n_shingles"), found.alias("n_found"))
     good = counted.where(F.col("n_found") * OF >= F.col("n_shingles") * NEED).distinct()
     return good.select("doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
