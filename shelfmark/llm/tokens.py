@@ -25,15 +25,21 @@ LONGEST_KEPT = 64
 
 
 class Memo(dict):
-    """A dict that computes what is missing and starts anew when it is full."""
+    """A dict that computes what is missing and holds at most ``2 * most`` entries.
+
+    When ``most`` are new, the ones before them go; entries in use come back first.
+    """
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONGEST_KEPT:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
