@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,23 +31,51 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, never the
-    stages before the written table. The files go when the driver ends.
+    stages before the written table. The files go with ``discard`` or when the
+    driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shelfmark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def written() -> list[str]:
+    """The tables that are there now."""
+    return [path for _, path in _written]
+
+
+def discard(*paths: str) -> None:
+    """Delete tables that nothing will read any more."""
+    for entry in [e for e in _written if e[1] in paths]:
+        _written.remove(entry)
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(hadoop).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs whose DataFrames are out of use.
+
+    Spark deletes them when the driver collects its garbage, which can be long after
+    a written table has made them superfluous.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def discard_written() -> None:
     """Delete all tables that ``materialize`` wrote."""
     while _written:
-        spark, path = _written.pop()
         try:
-            hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(hadoop).delete(where, True)
+            _delete(*_written.pop())
         except Exception:  # noqa: BLE001 - the session may be gone at exit
             return
 

@@ -2,8 +2,8 @@
 
 A line is the set of its words (runs of letters and digits, lower case), and lines
 are alike if the Jaccard similarity of their sets is 0.8 or more. Lines of one set
-are reduced to the first. A word becomes a number that sorts by rarity: how many
-lines hold words of its hash range, then its hash. Of n sorted words the first
+are reduced to the first. A word becomes a number that sorts by rarity: how often
+words of its hash range occur, then its hash. Of n sorted words the first
 n - ceil(0.8 n) + 1 are the prefix; alike lines share a prefix word at places that
 leave room for the overlap (positional filter), and their sizes are within a factor
 of 0.8 (length filter). A 64-bit parity signature, whose difference is never larger
@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .decontaminate import bounded, words
+from .common import discard, let, materialize, release, table
+from .decontaminate import bounded
 
 #: Similarity of NEED / OF or more.
 NEED, OF = 4, 5
@@ -28,32 +28,46 @@ LAST = 2**63 - 1
 
 
 def split_lines(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """``doc`` (null ids: the largest long), ``line`` (int from 0) and ``words`` (their hashes)."""
+    """``doc`` (null ids: the largest long), ``line`` (int from 0) and the line, ``own``."""
     doc = F.coalesce(F.col(id_).cast("long"), F.lit(LAST))
-    each = df.select(doc.alias("doc"), F.posexplode_outer(F.split(F.col(text), "\n", -1)).alias("line", "own"))
-    hashes = F.array_distinct(F.transform(words(F.col("own")), lambda w: F.xxhash64(w)))
-    return each.select("doc", "line", hashes.alias("words"))
+    return df.select(doc.alias("doc"), F.posexplode_outer(F.split(F.col(text), "\n", -1)).alias("line", "own"))
+
+
+def word_hashes(line: Column) -> Column:
+    """Hashes of the words of a line, repeats included; see ``words``."""
+    split = F.split(F.lower(line), r"[^\p{L}\p{N}]+")
+    return F.array_remove(F.transform(split, lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def rarity(lines: DataFrame) -> Column:
-    """A constant array: for each of 65,536 hash ranges the number of lines' words in it."""
+    """A constant array: how often words of each of 65,536 hash ranges occur in all lines."""
     place = F.shiftrightunsigned(F.col("w"), 64 - RANGE_BITS)
-    counts = lines.select(F.explode_outer("words").alias("w")).where("w is not null").groupBy(place.cast("int").alias("place")).count().collect()
-    found = dict(map(tuple, counts))
+    each = lines.select(F.explode_outer(word_hashes(F.col("own"))).alias("w")).where("w is not null")
+    found = dict(map(tuple, each.groupBy(place.cast("int").alias("place")).count().collect()))
     listed = ",".join(str(min(found.get(i, 0), 2**22)) for i in range(1 << RANGE_BITS))
     return F.split(F.lit(listed), ",").cast("array<int>")
 
 
-def ordered(lines: DataFrame, frequency: Column) -> DataFrame:
-    """Lines of enough words with ``codes``, their words by rarity, and ``s``, the hash of the set."""
+def codes(line: Column, frequency: Column) -> Column:
+    """The words of a line by rarity; null for fewer than ``LEAST_WORDS`` different ones."""
 
     def code(w: Column) -> Column:
         count = F.get(frequency, F.shiftrightunsigned(w, 64 - RANGE_BITS).cast("int"))
         return F.shiftleft(count.cast("long"), 40).bitwiseOR(w.bitwiseAND(F.lit(2**40 - 1)))
 
-    enough = lines.where(F.size("words") >= LEAST_WORDS)
-    codes = F.sort_array(F.transform("words", code))
-    return enough.select("doc", "line", codes.alias("codes")).withColumn("s", F.xxhash64("codes"))
+    return let(F.array_distinct(word_hashes(line)), lambda own: F.when(F.size(own) >= LEAST_WORDS, F.sort_array(F.transform(own, code))))
+
+
+def described(line: Column, frequency: Column) -> Column:
+    """Struct of ``s`` (hash of the set), ``n``, ``sign`` and ``prefix`` of a line; null as ``codes``."""
+
+    def struct(own: Column) -> Column:
+        size = F.size(own)
+        prefix = F.slice(own, F.lit(1), (size - F.ceil(size * NEED / OF) + 1).cast("int"))
+        sign = F.aggregate(own, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+        return F.when(own.isNotNull(), F.struct(F.xxhash64(own).alias("s"), size.alias("n"), sign.alias("sign"), prefix.alias("prefix")))
+
+    return let(codes(line, frequency), struct)
 
 
 def earlier(doc: str, line: str, than_doc: str, than_line: str) -> Column:
@@ -71,18 +85,39 @@ def possible(prefix: str) -> Column:
     return lengths & overlap & differ
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of pairs (``s``, ``doc``, ``line``; ``h_s``, ``h_doc``, ``h_line``) those that are alike: their ``s``."""
+def verified(pairs: DataFrame, df: DataFrame, id_: str, text: str, frequency: Column) -> DataFrame:
+    """Of pairs (``doc``, ``line``; ``h_doc``, ``h_line``) those that are alike: their ``doc`` and ``line``.
+
+    Only the lines of the pairs are read again, out of the documents that have some.
+    """
     pairs = materialize(pairs)
-    wanted = pairs.select("doc", "line").union(pairs.select("h_doc", "h_line")).distinct().toDF("w_doc", "w_line")
-    texts = lines.join(bounded(wanted), (F.col("doc") == F.col("w_doc")) & (F.col("line") == F.col("w_line")), "left_semi")
-    texts = materialize(texts.select("doc", "line", "s", "codes"))
-    left = texts.select(F.col("s").alias("l_s"), F.col("codes").alias("l_codes")).dropDuplicates(["l_s"])
-    right = texts.select(F.col("s").alias("r_s"), F.col("codes").alias("r_codes")).dropDuplicates(["r_s"])
-    joined = pairs.select("s", "h_s").distinct().join(left, F.col("s") == F.col("l_s")).join(right, F.col("h_s") == F.col("r_s"))
+    wanted = materialize(pairs.select("doc", "line").union(pairs.select("h_doc", "h_line")).distinct().toDF("w_doc", "w_line"))
+    doc = F.coalesce(F.col(id_).cast("long"), F.lit(LAST))
+    some = df.join(bounded(wanted.select("w_doc").distinct()), doc == F.col("w_doc"), "left_semi")
+    lines = split_lines(some, id_, text).join(bounded(wanted), (F.col("doc") == F.col("w_doc")) & (F.col("line") == F.col("w_line")), "left_semi")
+    found = materialize(lines.select("doc", "line", codes(F.col("own"), frequency).alias("codes")))
+    left = found.toDF("l_doc", "l_line", "l_codes")
+    right = found.toDF("r_doc", "r_line", "r_codes")
+    joined = pairs.join(left, (F.col("doc") == F.col("l_doc")) & (F.col("line") == F.col("l_line")))
+    joined = joined.join(right, (F.col("h_doc") == F.col("r_doc")) & (F.col("h_line") == F.col("r_line")))
     common = F.size(F.array_intersect("l_codes", "r_codes"))
     alike = common * OF >= (F.size("l_codes") + F.size("r_codes") - common) * NEED
-    return joined.where(alike).select("s").distinct()
+    return joined.where(alike).select("doc", "line").distinct()
+
+
+def shared_words(narrow: DataFrame) -> DataFrame:
+    """The prefix words of the first line of each set, without words that only one has.
+
+    ``h_*``: the earliest line with that word. Written once, for both rounds.
+    """
+    firsts = narrow.groupBy("s").agg(F.min(F.struct("doc", "line", "n", "sign", "prefix")).alias("at")).select("at.*")
+    keys = firsts.select("doc", "line", "n", "sign", F.posexplode("prefix").alias("place", "key"))
+    by_key = Window.partitionBy("key").orderBy("doc", "line")
+    head = F.first(F.struct("doc", "line", "n", "sign", "place")).over(by_key).alias("h")
+    ranked = keys.select("*", head, F.lead("line").over(by_key).alias("next"))
+    heads = [F.col(f"h.{c}").alias(f"h_{c}") for c in ("doc", "line", "n", "sign", "place")]
+    found = ranked.select(*keys.columns, *heads, "next").where("doc <> h_doc or line <> h_line or next is not null")
+    return materialize(found.drop("next"))
 
 
 def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,31 +126,31 @@ def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
     Earlier is a smaller id (null: the largest), or the same id and a smaller line
     number; rows of one id share their line numbers, so none of them is earlier.
     """
+    spark = df.sparkSession
     lines = split_lines(df, id_, text)
-    coded = ordered(lines, rarity(lines))
-    size = F.size("codes")
-    prefix = F.slice("codes", F.lit(1), (size - F.ceil(size * NEED / OF) + 1).cast("int"))
-    sign = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    narrow = coded.select("s", F.struct("doc", "line", size.alias("n"), sign.alias("sign"), prefix.alias("prefix")).alias("at"))
-    firsts = materialize(narrow.groupBy("s").agg(F.min("at").alias("at")).select("s", "at.*"))
-    keys = firsts.select("s", "doc", "line", "n", "sign", F.posexplode("prefix").alias("place", "key"))
+    frequency = rarity(lines)
+    described_ = lines.select("doc", "line", described(F.col("own"), frequency).alias("d")).select("doc", "line", "d.*")
+    narrow = materialize(described_).where("s is not null")
+    shared = shared_words(narrow)
+    release(spark)
     # Round 1: against the first line of each prefix word; this settles most of a large group of copies.
-    by_key = Window.partitionBy("key").orderBy("doc", "line", "s")
-    head = [F.first(c).over(by_key).alias(f"h_{c}") for c in ("s", "doc", "line", "n", "sign", "place")]
-    shared = materialize(keys.select("*", *head, F.lead("s").over(by_key).alias("next")).where("s <> h_s or next is not null").drop("next"))
-    near_head = shared.where(earlier("h_doc", "h_line", "doc", "line") & possible("h_")).select("s", "doc", "line", "h_s", "h_doc", "h_line").distinct()
-    gone = materialize(verified(near_head, coded))
+    near_head = shared.where(earlier("h_doc", "h_line", "doc", "line") & possible("h_")).select("doc", "line", "h_doc", "h_line").distinct()
+    gone = materialize(verified(near_head, df, id_, text, frequency))
     # Round 2: the others against all lines before them.
-    open_ = shared.drop(*[c for c in shared.columns if c.startswith("h_")])
-    left = open_.join(gone, "s", "left_anti")
-    right = open_.select(*[F.col(c).alias(f"h_{c}") for c in open_.columns])
+    every = shared.select("doc", "line", "n", "sign", "place", "key")
+    left = every.join(gone, ["doc", "line"], "left_anti")
+    right = every.select(*[F.col(c).alias(f"h_{c}") for c in every.columns])
     met = left.join(right, F.col("key") == F.col("h_key")).where(earlier("h_doc", "h_line", "doc", "line") & possible("h_"))
-    more = verified(met.select("s", "doc", "line", "h_s", "h_doc", "h_line").distinct(), coded)
-    removed = gone.union(more).withColumn("gone", F.lit(True))
-    first = firsts.select("s", F.col("doc").alias("f_doc"), F.col("line").alias("f_line")).join(removed, "s", "left")
-    judged = coded.select("doc", "line", "s").join(first, "s")
+    more = materialize(verified(met.select("doc", "line", "h_doc", "h_line").distinct(), df, id_, text, frequency))
+    discard(shared.written_path)
+    del shared, near_head, every, left, right, met
+    release(spark)
+    removed = gone.union(more).toDF("g_doc", "g_line")
+    first = narrow.groupBy("s").agg(F.min(F.struct("doc", "line")).alias("f")).select("s", F.col("f.doc").alias("f_doc"), F.col("f.line").alias("f_line"))
+    first = first.join(removed, (F.col("f_doc") == F.col("g_doc")) & (F.col("f_line") == F.col("g_line")), "left")
+    judged = narrow.select("doc", "line", "s").join(first, "s")
     later = earlier("f_doc", "f_line", "doc", "line")
-    return judged.where(later | F.col("gone")).select("doc", "line").distinct()
+    return judged.where(later | F.col("g_doc").isNotNull()).select("doc", "line").distinct()
 
 
 def dedup_lines(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
