@@ -11,14 +11,16 @@ leading token can reach, its surroundings:
   all but the first suffix lose them whole. Each task sends on one of them only.
 * A token with only one kind of surroundings needs nothing more.
 * The rest, which stand at the edges of repeats, fetch their surroundings. Sampled
-  splitters range-partition them by leading token; a bucket sorts its strings by
-  multikey quicksort, eight bytes at a time, and compares neighbours. All suffixes
+  splitters range-partition them by leading token; a bucket leaves out suffixes that
+  agree with no other beyond the token, sorts the strings of the rest by multikey
+  quicksort, eight bytes at a time, and compares neighbours. All suffixes
   of one leading token lie in one bucket, so no run crosses a boundary.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, release, table
 from .decontaminate import bounded
 
 LENGTH = 100
@@ -36,8 +38,9 @@ TOKEN = 32
 TOKENS = LENGTH - TOKEN + 1
 LEFT = LENGTH - TOKEN
 SEGMENT = 1 << 21
-STRINGS_AT_ONCE = 200_000
-SMALL = 24
+STRINGS_AT_ONCE = 100_000
+SUFFIXES_AT_ONCE = 100_000
+SMALL = 512
 BASE = 0x100000001B3
 
 
@@ -120,36 +123,46 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes with their surroundings; without hashes: spans that are known to go.
 
     For suffixes, ``start`` is the position times 2**14, plus 2**7 times the bytes to
-    the left, plus the bytes to the right. Of equal surroundings in one batch only
-    the first goes on.
+    the left, plus the bytes to the right. Of equal surroundings among some 100,000
+    suffixes only the first goes on.
     """
     digest = xxhash.xxh64_intdigest
+    parts: list[tuple] = []
+    held = 0
     for batch in batches:
-        parts = []
         for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
             data = value.as_py() or b""
             at, h = named_suffixes(data)
             if len(at):
                 left, right = np.minimum(at, LEFT), np.minimum(len(data) - at, LENGTH)
-                c = [digest(data[p - x : p + y], x) for p, x, y in zip(at.tolist(), left.tolist(), right.tolist())]
-                parts.append((h, np.array(c, np.uint64), np.full(len(at), doc, np.int64), at, left, right))
-        if not parts:
-            continue
-        h, c, doc, at, left, right = map(np.concatenate, zip(*parts))
-        order = np.lexsort((at, doc, c, h))
-        h, c, doc, at, left, right = (x[order] for x in (h, c, doc, at, left, right))
-        first = np.zeros(len(h), bool)
-        first[_runs(h, c)[0]] = True
-        packed = (at << 14) | (left << 7) | right
-        gone = list(_merged(doc[~first], (at - left)[~first], (at + right)[~first]))
-        columns = [
-            pa.array([*h[first].view(np.int64), *[None] * len(gone)], pa.int64()),
-            pa.array([*c[first].view(np.int64), *[None] * len(gone)], pa.int64()),
-            pa.array(np.concatenate([doc[first], np.array([g[0] for g in gone], np.int64)])),
-            pa.array(np.concatenate([packed[first], np.array([g[1] for g in gone], np.int64)])),
-            pa.array([*[None] * int(first.sum()), *[g[2] for g in gone]], pa.int64()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc", "start", "end"])
+                c = np.fromiter((digest(data[p - x : p + y], x) for p, x, y in zip(at.tolist(), left.tolist(), right.tolist())), np.uint64, len(at))
+                parts.append((h, c, np.full(len(at), doc, np.int64), at, left, right))
+                held += len(at)
+            if held >= SUFFIXES_AT_ONCE:
+                yield _reduced(parts)
+                parts, held = [], 0
+    if parts:
+        yield _reduced(parts)
+
+
+def _reduced(parts: list[tuple]) -> pa.RecordBatch:
+    h, c, doc, at, left, right = map(np.concatenate, zip(*parts))
+    order = np.lexsort((at, doc, c, h))
+    h, c, doc, at, left, right = (x[order] for x in (h, c, doc, at, left, right))
+    first = np.zeros(len(h), bool)
+    first[_runs(h, c)[0]] = True
+    packed = (at << 14) | (left << 7) | right
+    gone = np.array(list(_merged(doc[~first], (at - left)[~first], (at + right)[~first])), np.int64).reshape(-1, 3)
+    none, sent = np.zeros(len(gone), np.int64), int(first.sum())
+    is_span = np.arange(sent + len(gone)) >= sent
+    columns = [
+        pa.array(np.concatenate([h[first].view(np.int64), none]), mask=is_span),
+        pa.array(np.concatenate([c[first].view(np.int64), none]), mask=is_span),
+        pa.array(np.concatenate([doc[first], gone[:, 0]])),
+        pa.array(np.concatenate([packed[first], gone[:, 1]])),
+        pa.array(np.concatenate([np.zeros(sent, np.int64), gone[:, 2]]), mask=~is_span),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc", "start", "end"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,38 +203,66 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeated(members: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """Spans (doc, start, end) of strings through one token that are equal to an earlier one."""
-    rows, docs, starts = [], [], []
-    for doc, place, around in members:
-        at, left, right = place >> 14, place >> 7 & 127, place & 127
-        most = len(around) - LENGTH + 1
-        if most > 0:
-            padded = np.zeros((most, 104), np.uint8)
-            padded[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(np.frombuffer(around, np.uint8), LENGTH)
-            # The string must contain the token whole.
-            begin = np.arange(most)
-            good = (begin <= left) & (begin + LENGTH >= left + TOKEN)
-            rows.append(padded[good])
-            docs.append(np.full(int(good.sum()), doc, np.int64))
-            starts.append((at - left + begin[good]).astype(np.int64))
-    if not rows:
-        return []
-    words = np.ascontiguousarray(np.concatenate(rows)).view(">u8").astype(np.uint64)
-    doc, start = np.concatenate(docs), np.concatenate(starts)
+def repeated(members: list[tuple[bytes, int, int, bytes]]) -> list[tuple[int, int, int]]:
+    """Spans (doc, start, end) of strings through one token that are equal to an earlier one.
+
+    ``members``: token, doc, place and surroundings. Equal strings have the token that
+    names their suffix at the same distance, so strings are compared with those of
+    the same token and distance only.
+    """
+    places = np.array([m[2] for m in members], np.int64)
+    docs = np.array([m[1] for m in members], np.int64)
+    at, left, right = places >> 14, places >> 7 & 127, places & 127
+    names = {t: i for i, t in enumerate(dict.fromkeys(m[0] for m in members))}
+    group = np.array([names[m[0]] for m in members], np.uint64)
+    around = np.zeros((len(members), LEFT + LENGTH), np.uint8)
+    for row, member, x in zip(around, members, left.tolist()):
+        row[LEFT - x : LEFT - x + len(member[3])] = np.frombuffer(member[3], np.uint8)
+    words, doc, start = [], [], []
+    for begin in range(TOKENS):
+        own = np.flatnonzero((begin >= LEFT - left) & (begin + LENGTH <= LEFT + right))
+        padded = np.zeros((len(own), 104), np.uint8)
+        padded[:, :LENGTH] = around[own, begin : begin + LENGTH]
+        key = (group[own] << np.uint64(7)) | np.uint64(begin)
+        words.append(np.column_stack([key, padded.view(">u8").astype(np.uint64)]))
+        doc.append(docs[own])
+        start.append(at[own] - LEFT + begin)
+    words, doc, start = map(np.concatenate, (words, doc, start))
     order = multikey_quicksort(words)
     words, doc, start = words[order], doc[order], start[order]
-    gone = np.zeros(len(doc), bool)
-    for i, j in zip(*_runs(*words.T)):
-        if j - i > 1:
-            least = min(zip(doc[i:j].tolist(), start[i:j].tolist()))
-            gone[i:j] = (doc[i:j] != least[0]) | (start[i:j] != least[1])
+    begins, _ = _runs(*words.T)
+    run = np.zeros(len(doc), np.int64)
+    run[begins[1:]] = 1
+    run = np.cumsum(run)
+    ranked = np.lexsort((start, doc, run))
+    gone = np.ones(len(doc), bool)
+    gone[ranked[_runs(run[ranked])[0]]] = False
     return list(_merged(doc[gone], start[gone], start[gone] + LENGTH))
 
 
+def plausible(members: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """Of suffixes with one leading token, those that may share a whole string with another.
+
+    A string has at least half of its other bytes before the token or at least half
+    after it, so two that share one agree on that half next to the token, too.
+    """
+    if len(members) < 2:
+        return []
+    half = LEFT // 2
+    halves = []
+    for _, place, around in members:
+        left, right = place >> 7 & 127, place & 127
+        before = around[left - half : left] if left >= half else None
+        after = around[left + TOKEN : left + TOKEN + half] if right >= TOKEN + half else None
+        halves.append((before, after))
+    befores, afters = (Counter(x) for x in zip(*halves))
+    return [m for m, (b, a) in zip(members, halves) if (b is not None and befores[b] > 1) or (a is not None and afters[a] > 1)]
+
+
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's rows, sorted by token: the spans that go, for as many whole tokens at once as fit."""
-    members: list[tuple[int, int, bytes]] = []
+    members: list[tuple[bytes, int, int, bytes]] = []
+    same: list[tuple[int, int, bytes]] = []
     token = None
 
     def flush() -> pa.RecordBatch:
@@ -231,10 +272,14 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for key, *row in zip(*[c.to_pylist() for c in batch.columns]):
-            if key != token and len(members) * TOKENS >= STRINGS_AT_ONCE:
-                yield flush()
+            if key != token:
+                members += [(token, *m) for m in plausible(same)]
+                same.clear()
+                if len(members) * TOKENS >= STRINGS_AT_ONCE:
+                    yield flush()
             token = key
-            members.append(tuple(row))
+            same.append(tuple(row))
+    members += [(token, *m) for m in plausible(same)]
     if members:
         yield flush()
 
@@ -277,25 +322,35 @@ def numbered(df: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def removed_spans(rows: DataFrame) -> DataFrame:
-    """``doc``, ``start``, ``end``: spans that together cover the bytes that go."""
-    suffixes = materialize(rows.select("doc", "data").mapInArrow(_suffixes, SUFFIX_ROW))
-    known = suffixes.where("h is null").select("doc", "start", "end")
-    sent = suffixes.where("h is not null").drop("end")
-    ranked = sent.selectExpr(
-        "*",
-        "row_number() over (partition by h, c order by doc, start) as n",
-        "min(c) over (partition by h) as least",
-        "max(c) over (partition by h) as most",
-    )
-    kept = materialize(ranked.where("n > 1 or least <> most").select("doc", "start", "n"))
+    """``doc``, ``start``, ``end``: spans that together cover the bytes that go, written."""
+    known, kept = _settled(rows)
+    release(rows.sparkSession)
     at, left, right = "shiftright(start, 14)", "(shiftright(start, 7) & 127)", "(start & 127)"
     whole = kept.where("n > 1").selectExpr("doc", f"{at} - {left} as start", f"{at} + {right} as end")
     places = kept.where("n = 1").groupBy("doc").agg(F.collect_list("start").alias("places")).withColumnRenamed("doc", "p_doc")
-    joined = rows.join(bounded(places), F.col("doc") == F.col("p_doc")).select("doc", "data", "places")
+    joined = rows.join(bounded(places, F.size("places")), F.col("doc") == F.col("p_doc")).select("doc", "data", "places")
     around = joined.mapInArrow(_surroundings, "token binary, doc long, place long, around binary")
     buckets = around.repartitionByRange("token").sortWithinPartitions("token")
     edges = buckets.mapInArrow(_bucket, "doc long, start long, end long")
-    return known.union(whole).union(edges)
+    found = materialize(known.union(whole).union(edges))
+    discard(known.written_path, kept.written_path)
+    return found
+
+
+def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans that go for sure; and suffixes (``n`` > 1: wholly repeated; 1: with others of their token)."""
+    suffixes = materialize(rows.select("doc", "data").mapInArrow(_suffixes, SUFFIX_ROW))
+    known = materialize(suffixes.where("h is null").select("doc", "start", "end"))
+    ranked = suffixes.where("h is not null").selectExpr(
+        "doc",
+        "start",
+        "row_number() over (partition by h, c order by doc, start) as n",
+        "min(c) over (partition by h) as least",
+        "max(c) over (partition by h) as most",
+    )
+    kept = materialize(ranked.where("n > 1 or least <> most").select("doc", "start", "n"))
+    discard(suffixes.written_path)
+    return known, kept
 
 
 def dedup_substrings(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,9 +363,10 @@ def dedup_substrings(df: DataFrame, id_: str = "doc_id", text: str = "text") ->
     what the other has. ``spans`` are the maximal removed runs.
     """
     rows = numbered(df, id_, text)
-    spans_ = materialize(removed_spans(rows))
-    each = spans_.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("gone")).withColumnRenamed("doc", "g_doc")
-    joined = rows.join(bounded(each), F.col("doc") == F.col("g_doc"), "left").select("id", "data", "gone")
+    found = removed_spans(rows)
+    release(df.sparkSession)
+    each = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("gone")).withColumnRenamed("doc", "g_doc")
+    joined = rows.join(bounded(each, F.size("gone")), F.col("doc") == F.col("g_doc"), "left").select("id", "data", "gone")
     return joined.mapInArrow(_fate, "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
 
 
