@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, release, table
-from .decontaminate import bounded
 
 LENGTH = 100
 TOKEN = 32
@@ -328,7 +327,7 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     at, left, right = "shiftright(start, 14)", "(shiftright(start, 7) & 127)", "(start & 127)"
     whole = kept.where("n > 1").selectExpr("doc", f"{at} - {left} as start", f"{at} + {right} as end")
     places = kept.where("n = 1").groupBy("doc").agg(F.collect_list("start").alias("places")).withColumnRenamed("doc", "p_doc")
-    joined = rows.join(bounded(places, F.size("places")), F.col("doc") == F.col("p_doc")).select("doc", "data", "places")
+    joined = rows.join(places, F.col("doc") == F.col("p_doc")).select("doc", "data", "places")
     around = joined.mapInArrow(_surroundings, "token binary, doc long, place long, around binary")
     buckets = around.repartitionByRange("token").sortWithinPartitions("token")
     edges = buckets.mapInArrow(_bucket, "doc long, start long, end long")
@@ -366,7 +365,7 @@ def dedup_substrings(df: DataFrame, id_: str = "doc_id", text: str = "text") ->
     found = removed_spans(rows)
     release(df.sparkSession)
     each = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("gone")).withColumnRenamed("doc", "g_doc")
-    joined = rows.join(bounded(each, F.size("gone")), F.col("doc") == F.col("g_doc"), "left").select("id", "data", "gone")
+    joined = rows.join(each, F.col("doc") == F.col("g_doc"), "left").select("id", "data", "gone")
     return joined.mapInArrow(_fate, "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
 
 
