@@ -227,6 +227,53 @@ def test_keep_first(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [*range(12), 50]
 
 
+@pytest.mark.parametrize("edit", ["append", "block", "scatter"])
+def test_keep_first_on_both_sides_of_the_similarity(spark, edit):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows, wanted = [], set()
+    for pair in range(120):
+        base = [word() for _ in range(300)]
+        sides = {frozenset(base[i : i + 5]) for i in range(296)}
+        least = rng.choice([0.81, 0.76])
+        changed = list(base)
+        for step in range(1, 300):
+            was = changed
+            if edit == "append":
+                changed = [*was, word()]
+            elif edit == "block":
+                changed = [*base[:100], *[word() for _ in range(step)], *base[100 + step :]]
+            else:
+                changed = list(was)
+                changed[rng.randrange(300)] = word()
+            other = {frozenset(changed[i : i + 5]) for i in range(len(changed) - 4)}
+            if len(sides & other) / len(sides | other) < least:
+                changed = was if least > 0.8 else changed
+                break
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(changed))]
+        wanted |= {2 * pair + 1} if least > 0.8 else set()
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert gone <= wanted and len(gone) >= 0.95 * len(wanted)
+
+
+def test_keep_first_connects_groups_and_only_verified_links(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(300)]
+    # A chain whose ends differ, a group of near copies, and variants of which no two are alike enough.
+    chain = [" ".join([*base[20 * i :], *base[: 20 * i]][:260]) for i in range(5)]
+    body = [word() for _ in range(300)]
+    group = [" ".join([*body[:k], word(), *body[k + 1 :]]) for k in rng.sample(range(300), 60)]
+    core = [word() for _ in range(200)]
+    apart = [" ".join([*core, *[word() for _ in range(60)]]) for _ in range(20)]
+    rows = list(enumerate([*chain, *group, *apart]))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    wanted = roots(list(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    kept = simhash.keep_first(spark.createDataFrame(rows, DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(wanted.values())) == [0, 5, *range(65, 85)]
+
+
 # 6
 
 
