@@ -45,8 +45,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines with an earlier line alike go; ``n_chars`` follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Lines with an earlier line alike go, however short; ``n_chars`` follows the text."""
+    return dedup_lines(docs, least=1).withColumn("n_chars", F.length("text").cast("long"))
 
 
 @stage

@@ -21,8 +21,10 @@ from .decontaminate import bounded
 
 #: Similarity of NEED / OF or more.
 NEED, OF = 4, 5
-#: Lines of fewer different words are too common to tell anything; they stay.
+#: Lines of fewer different words stay, if the caller does not say otherwise; the pipeline judges all that have a word.
 LEAST_WORDS = 5
+#: A set of fewer words is alike to equal sets only (3 of 4 are under 0.8, 4 of 5 are not): it needs no prefix.
+JOINED_WORDS = 4
 RANGE_BITS = 16
 LAST = 2**63 - 1
 
@@ -48,26 +50,27 @@ def rarity(lines: DataFrame) -> Column:
     return F.split(F.lit(listed), ",").cast("array<int>")
 
 
-def codes(line: Column, frequency: Column) -> Column:
-    """The words of a line by rarity; null for fewer than ``LEAST_WORDS`` different ones."""
+def codes(line: Column, frequency: Column, least: int) -> Column:
+    """The words of a line by rarity; null for fewer than ``least`` different ones."""
 
     def code(w: Column) -> Column:
         count = F.get(frequency, F.shiftrightunsigned(w, 64 - RANGE_BITS).cast("int"))
         return F.shiftleft(count.cast("long"), 40).bitwiseOR(w.bitwiseAND(F.lit(2**40 - 1)))
 
-    return let(F.array_distinct(word_hashes(line)), lambda own: F.when(F.size(own) >= LEAST_WORDS, F.sort_array(F.transform(own, code))))
+    return let(F.array_distinct(word_hashes(line)), lambda own: F.when(F.size(own) >= least, F.sort_array(F.transform(own, code))))
 
 
-def described(line: Column, frequency: Column) -> Column:
+def described(line: Column, frequency: Column, least: int) -> Column:
     """Struct of ``s`` (hash of the set), ``n``, ``sign`` and ``prefix`` of a line; null as ``codes``."""
 
     def struct(own: Column) -> Column:
         size = F.size(own)
-        prefix = F.slice(own, F.lit(1), (size - F.ceil(size * NEED / OF) + 1).cast("int"))
+        length = F.when(size < JOINED_WORDS, 0).otherwise(size - F.ceil(size * NEED / OF) + 1)
+        prefix = F.slice(own, F.lit(1), length.cast("int"))
         sign = F.aggregate(own, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
         return F.when(own.isNotNull(), F.struct(F.xxhash64(own).alias("s"), size.alias("n"), sign.alias("sign"), prefix.alias("prefix")))
 
-    return let(codes(line, frequency), struct)
+    return let(codes(line, frequency, least), struct)
 
 
 def earlier(doc: str, line: str, than_doc: str, than_line: str) -> Column:
@@ -85,7 +88,7 @@ def possible(prefix: str) -> Column:
     return lengths & overlap & differ
 
 
-def verified(pairs: DataFrame, df: DataFrame, id_: str, text: str, frequency: Column) -> DataFrame:
+def verified(pairs: DataFrame, df: DataFrame, id_: str, text: str, frequency: Column, least: int) -> DataFrame:
     """Of pairs (``doc``, ``line``; ``h_doc``, ``h_line``) those that are alike: their ``doc`` and ``line``.
 
     Only the lines of the pairs are read again, out of the documents that have some.
@@ -95,7 +98,7 @@ def verified(pairs: DataFrame, df: DataFrame, id_: str, text: str, frequency: Co
     doc = F.coalesce(F.col(id_).cast("long"), F.lit(LAST))
     some = df.join(bounded(wanted.select("w_doc").distinct()), doc == F.col("w_doc"), "left_semi")
     lines = split_lines(some, id_, text).join(bounded(wanted), (F.col("doc") == F.col("w_doc")) & (F.col("line") == F.col("w_line")), "left_semi")
-    found = materialize(lines.select("doc", "line", codes(F.col("own"), frequency).alias("codes")))
+    found = materialize(lines.select("doc", "line", codes(F.col("own"), frequency, least).alias("codes")))
     left = found.toDF("l_doc", "l_line", "l_codes")
     right = found.toDF("r_doc", "r_line", "r_codes")
     joined = pairs.join(left, (F.col("doc") == F.col("l_doc")) & (F.col("line") == F.col("l_line")))
@@ -120,7 +123,7 @@ def shared_words(narrow: DataFrame) -> DataFrame:
     return materialize(found.drop("next"))
 
 
-def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``doc``, ``line`` of each line that has an earlier line alike, judged on the input.
 
     Earlier is a smaller id (null: the largest), or the same id and a smaller line
@@ -129,19 +132,19 @@ def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
     spark = df.sparkSession
     lines = split_lines(df, id_, text)
     frequency = rarity(lines)
-    described_ = lines.select("doc", "line", described(F.col("own"), frequency).alias("d")).select("doc", "line", "d.*")
+    described_ = lines.select("doc", "line", described(F.col("own"), frequency, least).alias("d")).select("doc", "line", "d.*")
     narrow = materialize(described_).where("s is not null")
     shared = shared_words(narrow)
     release(spark)
     # Round 1: against the first line of each prefix word; this settles most of a large group of copies.
     near_head = shared.where(earlier("h_doc", "h_line", "doc", "line") & possible("h_")).select("doc", "line", "h_doc", "h_line").distinct()
-    gone = materialize(verified(near_head, df, id_, text, frequency))
+    gone = materialize(verified(near_head, df, id_, text, frequency, least))
     # Round 2: the others against all lines before them.
     every = shared.select("doc", "line", "n", "sign", "place", "key")
     left = every.join(gone, ["doc", "line"], "left_anti")
     right = every.select(*[F.col(c).alias(f"h_{c}") for c in every.columns])
     met = left.join(right, F.col("key") == F.col("h_key")).where(earlier("h_doc", "h_line", "doc", "line") & possible("h_"))
-    more = materialize(verified(met.select("doc", "line", "h_doc", "h_line").distinct(), df, id_, text, frequency))
+    more = materialize(verified(met.select("doc", "line", "h_doc", "h_line").distinct(), df, id_, text, frequency, least))
     discard(shared.written_path)
     del shared, near_head, every, left, right, met
     release(spark)
@@ -153,14 +156,14 @@ def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
     return judged.where(later | F.col("g_doc").isNotNull()).select("doc", "line").distinct()
 
 
-def dedup_lines(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, id_: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``df`` with near-duplicate lines taken out of ``text``; the first of its kind stays.
 
-    Lines of fewer than five different words always stay; null and empty texts stay
+    Lines of fewer than ``least`` different words always stay; null and empty texts stay
     as they are; a document all of whose lines go has an empty text. Rows that repeat
     an id lose the same line numbers. All columns keep their names and order.
     """
-    fates = line_fates(df, id_, text).groupBy("doc").agg(F.collect_set("line").alias("gone_lines")).withColumnRenamed("doc", "gone_doc")
+    fates = line_fates(df, id_, text, least).groupBy("doc").agg(F.collect_set("line").alias("gone_lines")).withColumnRenamed("doc", "gone_doc")
     joined = df.join(fates, F.coalesce(F.col(id_).cast("long"), F.lit(LAST)) == F.col("gone_doc"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("gone_lines", i)), "\n")
     return joined.select(*[(F.when(F.col("gone_doc").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns])

@@ -388,6 +388,13 @@ def test_lines(spark):
     assert gone and lines.dedup_lines(frame.limit(0)).isEmpty()
 
 
+def test_short_lines(spark):
+    texts = ["one two\n\n--\none two three four five\nfew", "Two, one!\none two three\n\n--\nmany", "one two three four\nfew few\n日本語\na b c d", "one two four\n日本語\nd c b a e\none"]
+    frame = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    found = {r.doc_id: r.text for r in lines.dedup_lines(frame, least=1).collect()}
+    assert found == {0: texts[0], 1: "one two three\n\n--\nmany", 2: "日本語\na b c d", 3: "one two four\none"}
+
+
 # 10
 
 
