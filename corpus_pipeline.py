@@ -16,7 +16,7 @@ from shelfmark.llm.common import discard, materialize, table, written
 from shelfmark.llm.decontaminate import decontaminate
 from shelfmark.llm.lines import dedup_lines
 from shelfmark.llm.packing import pack_documents
-from shelfmark.llm.quality import resample
+from shelfmark.llm.quality import mark_toxic, resample
 from shelfmark.llm.simhash import keep_first
 
 
@@ -39,7 +39,7 @@ def stage(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling rejects go."""
+    """Documents that the importance resampling rejects go; toxic ones go in ``near_dedup``."""
     return resample(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
 
 
@@ -51,8 +51,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return keep_first(docs)
+    """Toxic documents go, and of the others one of each group of near duplicates stays."""
+    calm = mark_toxic(docs, table(spark, sf_dir, "labels")).where("not toxic").drop("toxic")
+    return keep_first(materialize(calm))
 
 
 @stage

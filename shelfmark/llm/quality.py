@@ -5,6 +5,10 @@ target (documents labelled good) and one of the raw corpus. A document's log
 importance weight is the sum of log(target / raw) over its n-grams, and Gumbel
 noise on top makes the k largest keys a sample without replacement in proportion
 to the weights.
+
+An averaged weight hardly sees a few toxic words in a long text. So toxicity has a
+ratio of its own, of the shares of toxic and of clean labelled documents that contain
+an n-gram, and a text is judged by its most toxic n-grams alone.
 """
 
 from __future__ import annotations
@@ -21,6 +25,11 @@ from .common import fresh, table
 from .tokens import Memo
 
 BITS = 16
+#: Buckets of the toxic ratios, of which the driver gets those that so many toxic documents share.
+TOXIC_BITS = 20
+TOXIC_LEAST = 3
+#: A text's toxicity is the sum of so many of its largest ratios.
+STRONGEST = 3
 #: At most so many labelled documents are used, as target and to set the threshold.
 LABELLED_ROWS = 20_000
 #: Weights are those of a document of so many n-grams, so that long ones are not extreme.
@@ -33,10 +42,10 @@ CHUNK = 1 << 20
 _hashes = Memo(lambda word: zlib.crc32(word.encode("utf-8", "surrogatepass")), WORDS_KEPT)
 
 
-def buckets(text: str | None) -> np.ndarray:
+def buckets(text: str | None, bits: int = BITS) -> np.ndarray:
     """The bucket of every unigram and bigram of the whole text."""
     h = np.fromiter(map(_hashes.__getitem__, (text or "").split()), np.uint64)
-    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
+    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
     pairs = h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:] * np.uint64(0x165667B19E3779F9)
     return np.concatenate([(h * mix) >> shift, (pairs * mix) >> shift]).astype(np.int64)
 
@@ -142,8 +151,73 @@ def resample(df: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str =
     return rows.withColumn("keep", keep).drop("quality_label")
 
 
+def _containing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bucket how many clean and toxic documents contain it; bucket -1: how many there are."""
+    counts, documents = np.zeros((2, 1 << TOXIC_BITS), np.int32), np.zeros(2, np.int64)
+    for batch in batches:
+        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+            counts[int(toxic), np.unique(buckets(text.as_py(), TOXIC_BITS))] += 1
+            documents[int(toxic)] += 1
+    at = np.flatnonzero(counts.any(axis=0))
+    columns = [np.r_[-1, at], *[np.r_[documents[i], counts[i, at]] for i in (0, 1)]]
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["bucket", "clean", "toxic"])
+
+
+def toxic_ratios(df: DataFrame, text: str, toxic: Column) -> np.ndarray:
+    """For each bucket the log of its toxic to its clean share, less one standard error; at least 0."""
+    counts = df.select(F.col(text), toxic.alias("toxic")).mapInArrow(_containing, "bucket long, clean long, toxic long")
+    sums = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rows = sums.where((F.col("bucket") < 0) | (F.col("toxic") >= TOXIC_LEAST)).collect()
+    out = np.zeros(1 << TOXIC_BITS, np.float32)
+    clean, bad = next(((r.clean, r.toxic) for r in rows if r.bucket < 0), (0, 0))
+    for r in rows:
+        if r.bucket >= 0:
+            t, c = r.toxic + 0.5, r.clean + 0.5
+            out[r.bucket] = max(0.0, np.log(t / (bad + 1)) - np.log(c / (clean + 1)) - np.sqrt(1 / t + 1 / c))
+    return out
+
+
+def toxicity(text: Column, ratios: np.ndarray) -> Column:
+    """The sum of the ``STRONGEST`` largest ratios of each whole text's n-grams; null and empty: 0."""
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for value in texts:
+            found = buckets(value.as_py(), TOXIC_BITS)
+            told = np.unique(found[ratios[found] > 0])
+            out.append(float(np.sort(ratios[told])[-STRONGEST:].sum()))
+        return pa.array(out, pa.float64())
+
+    return run(text)
+
+
+def mark_toxic(df: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add ``toxic``: whether the toxicity is above the value that best separates toxic labels from clean ones.
+
+    ``labels`` has ``doc_id`` and ``toxic`` (1: toxic); at most ``LABELLED_ROWS`` of its
+    ids are used, those with the smallest hashes. One half of them is learned from, the
+    other half sets the threshold, which may reject ``GOOD_LOST`` of its clean texts. All
+    rows are judged, by their text alone. Without both kinds of label, and for null and
+    empty texts, ``toxic`` is false. An id with several labels takes the worst.
+    """
+    if "toxic" in {c.lower() for c in df.columns}:
+        raise ValueError("column toxic exists already")
+    label, key = fresh(df, "toxic_label", "label_id")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic") != 0).alias(label))
+    known = known.withColumnRenamed("doc_id", key).orderBy(F.xxhash64(key), key).limit(LABELLED_ROWS)
+    joined = df.join(F.broadcast(known), F.col(id_) == F.col(key))
+    learned = F.xxhash64(F.lit(9), F.col(id_)) >= 0
+    ratios = toxic_ratios(joined.where(learned), text, F.col(label))
+    held = joined.where(~learned).limit(4 * LABELLED_ROWS)
+    sample = held.select((~F.col(label)).cast("int").alias("q"), (-toxicity(F.col(text), ratios)).alias("gumbel_key")).toPandas()
+    most = threshold(sample)
+    return df.withColumn("toxic", F.lit(False) if most is None else -toxicity(F.col(text), ratios) < most)
+
+
 def op8_quality(spark, sf_dir: str) -> DataFrame:
-    """The importance weight, key and fate of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = resample(docs, table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("gumbel_key", 6).alias("gumbel_key"), "keep")
+    """The importance weight, key and fate of every document; toxic ones are not kept."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    judged = mark_toxic(resample(docs, labels), labels)
+    kept = (F.col("keep") & ~F.col("toxic")).alias("keep")
+    return judged.select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("gumbel_key", 6).alias("gumbel_key"), kept)

@@ -348,6 +348,23 @@ def test_quality(spark):
     assert quality.resample(spark.createDataFrame([], DOCS), labels).isEmpty()
 
 
+def test_toxic_texts_are_told(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices(["th", "an", "er", "on", "re"], k=rng.randint(1, 4)))
+    clean = [[word() for _ in range(rng.randint(50, 600))] for _ in range(600)]
+    insults = ["idiot", "scum", "trash", "moron"]
+    toxic = [[word() for _ in range(rng.randint(50, 600))] for _ in range(120)]
+    for text in toxic:
+        for _ in range(3):
+            text.insert(rng.randrange(len(text)), rng.choice(insults))
+    frame = spark.createDataFrame(list(enumerate(map(" ".join, clean + toxic))), DOCS)
+    # Toxic texts are of good quality here, and half of all texts have no label.
+    labels = spark.createDataFrame([(i, 1, int(i >= 600)) for i in range(0, 720, 2)], "doc_id long, quality int, toxic int")
+    told = {r.doc_id: r.toxic for r in quality.mark_toxic(frame, labels).collect()}
+    assert sum(told[i] for i in range(601, 720, 2)) >= 57 and sum(told[i] for i in range(600)) <= 6
+    assert not any(r.toxic for r in quality.mark_toxic(frame, labels.withColumn("toxic", F.lit(0))).collect())
+
+
 # 9
 
 
