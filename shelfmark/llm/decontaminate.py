@@ -54,7 +54,9 @@ def bounded(df: DataFrame, weight: Column | None = None) -> DataFrame:
     """
     written = materialize(df)
     size = written.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
-    return F.broadcast(written) if size <= BROADCAST_ROWS else written
+    out = F.broadcast(written) if size <= BROADCAST_ROWS else written
+    out.written_path = written.written_path
+    return out
 
 
 def least(n: Column) -> Column:

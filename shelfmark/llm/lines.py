@@ -1,32 +1,43 @@
 """Removal of near-duplicate lines by an exact set-similarity join (DataFrame functions only).
 
-A line is the set of its words (runs of letters and digits, lower case), and lines
-are alike if the Jaccard similarity of their sets is 0.8 or more. Lines of one set
-are reduced to the first. A word becomes a number that sorts by rarity: how often
-words of its hash range occur, then its hash. Of n sorted words the first
-n - ceil(0.8 n) + 1 are the prefix; alike lines share a prefix word at places that
-leave room for the overlap (positional filter), and their sizes are within a factor
-of 0.8 (length filter). A 64-bit parity signature, whose difference is never larger
-than the sets' difference, drops almost all other pairs before the word sets are
-compared.
+A line is the set of its words (runs of letters and digits, lower case), and lines are
+alike if the Jaccard similarity of their sets is 0.8 or more. Lines of one set are
+reduced to the first. Words sort by rarity: words are counted over all documents, the
+``LISTED`` most frequent ones have a class by their count, all others are rarer and
+sort by hash before them. Of n sorted words the first n - ceil(0.8 n) + 1 are the
+prefix; alike lines share a prefix word at places that leave room for the overlap
+(positional filter), and their sizes are within a factor of 0.8 (length filter). A
+64-bit parity signature of the rarest words, whose difference is never larger than the
+sets' allows, drops almost all other pairs before the words themselves are compared.
+
+A prefix word that occurs very often is split: alike lines that share it first share a
+second word of the prefix and the word that follows it, so such lines meet on both.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, let, materialize, release, table
+from .common import discard, fresh, let, materialize, release, table
 from .decontaminate import bounded
 
 #: Similarity of NEED / OF or more.
 NEED, OF = 4, 5
-#: Lines of fewer different words stay, if the caller does not say otherwise; the pipeline judges all that have a word.
-LEAST_WORDS = 5
 #: A set of fewer words is alike to equal sets only (3 of 4 are under 0.8, 4 of 5 are not): it needs no prefix.
 JOINED_WORDS = 4
-RANGE_BITS = 16
+#: So many of the most frequent words have a class of their own; the rest are rarer than any of them.
+LISTED = 1 << 15
+#: Cells of the table of classes, and classes for each doubling of the count.
+CELL_BITS, STEPS = 18, 3
+#: A word that occurs more often is a key only together with a second word.
+OFTEN = 20_000
+#: The signature covers so many of a line's rarest words.
+SIGNED = 24
 LAST = 2**63 - 1
+SPACE = r"[^\p{L}\p{N}]+"
 
 
 def split_lines(df: DataFrame, id_: str, text: str) -> DataFrame:
@@ -35,42 +46,68 @@ def split_lines(df: DataFrame, id_: str, text: str) -> DataFrame:
     return df.select(doc.alias("doc"), F.posexplode_outer(F.split(F.col(text), "\n", -1)).alias("line", "own"))
 
 
-def word_hashes(line: Column) -> Column:
-    """Hashes of the words of a line, repeats included; see ``words``."""
-    split = F.split(F.lower(line), r"[^\p{L}\p{N}]+")
-    return F.array_remove(F.transform(split, lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-
-
-def rarity(lines: DataFrame) -> Column:
-    """A constant array: how often words of each of 65,536 hash ranges occur in all lines."""
-    place = F.shiftrightunsigned(F.col("w"), 64 - RANGE_BITS)
-    each = lines.select(F.explode_outer(word_hashes(F.col("own"))).alias("w")).where("w is not null")
-    found = dict(map(tuple, each.groupBy(place.cast("int").alias("place")).count().collect()))
-    listed = ",".join(str(min(found.get(i, 0), 2**22)) for i in range(1 << RANGE_BITS))
-    return F.split(F.lit(listed), ",").cast("array<int>")
+def line_words(line: Column) -> Column:
+    """The distinct words of a line."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(line), SPACE)), "")
 
 
-def codes(line: Column, frequency: Column, least: int) -> Column:
-    """The words of a line by rarity; null for fewer than ``least`` different ones."""
+def word_hashes(line: Column) -> Column:
+    """Hashes of the distinct words of a line."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(line), SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
-    def code(w: Column) -> Column:
-        count = F.get(frequency, F.shiftrightunsigned(w, 64 - RANGE_BITS).cast("int"))
-        return F.shiftleft(count.cast("long"), 40).bitwiseOR(w.bitwiseAND(F.lit(2**40 - 1)))
 
-    return let(F.array_distinct(word_hashes(line)), lambda own: F.when(F.size(own) >= least, F.sort_array(F.transform(own, code))))
+class Rarity:
+    """Classes of the most frequent words, as a constant array over cells of the hashes' range.
 
+    A cell has the class of the heaviest listed word in it, so a word that shares its cell
+    with a heavier one sorts with that; any fixed order is right, and this one is rare words first.
+    """
 
-def described(line: Column, frequency: Column, least: int) -> Column:
-    """Struct of ``s`` (hash of the set), ``n``, ``sign`` and ``prefix`` of a line; null as ``codes``."""
+    def __init__(self, lines: DataFrame):
+        each = lines.select(F.explode(F.split(F.lower("own"), SPACE)).alias("w")).where("w <> ''")
+        words = materialize(each.groupBy(F.xxhash64("w").alias("w")).count())
+        level = F.floor(F.log2("count") * STEPS).cast("int")
+        sizes = sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True)
+        least, room = 10**9, LISTED
+        for step, n in sizes:
+            if n > room:
+                break
+            least, room = step, room - n
+        cells = [0] * (1 << CELL_BITS)
+        place = F.shiftrightunsigned("w", 64 - CELL_BITS).alias("place")
+        for cell, step in words.where(level >= least).select(place, level.alias("level")).collect():
+            cells[cell] = max(cells[cell], min(step - least + 1, 127))
+        discard(words.written_path)
+        #: The class from which on a word is too frequent to be a key alone.
+        self.often = min(max(math.ceil(math.log2(OFTEN) * STEPS) - least + 1, 1), 128)
+        self.classes = F.split(F.lit(",".join(map(str, cells))), ",").cast("array<int>")
+
+    def code(self, w: Column) -> Column:
+        """A word's hash as a long that sorts by class, then by hash."""
+        own = F.get(self.classes, F.shiftrightunsigned(w, 64 - CELL_BITS).cast("int"))
+        return F.shiftleft(own.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
+
+    def is_often(self, code: Column) -> Column:
+        return F.shiftrightunsigned(code, 56) >= self.often
+
+
+def prefix_length(n: Column) -> Column:
+    return (n - F.ceil(n * NEED / OF) + 1).cast("int")
+
+
+def described(line: Column, rarity: Rarity, least: int) -> Column:
+    """Struct of ``s``, ``t`` (two hashes of the set), ``n``, ``sign`` and ``prefix`` (one word more than the prefix)."""
+    one = F.lit(1).cast("long")
 
     def struct(own: Column) -> Column:
-        size = F.size(own)
-        length = F.when(size < JOINED_WORDS, 0).otherwise(size - F.ceil(size * NEED / OF) + 1)
-        prefix = F.slice(own, F.lit(1), length.cast("int"))
-        sign = F.aggregate(own, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-        return F.when(own.isNotNull(), F.struct(F.xxhash64(own).alias("s"), size.alias("n"), sign.alias("sign"), prefix.alias("prefix")))
+        n = F.size(own)
+        prefix = F.slice(own, F.lit(1), F.when(n < JOINED_WORDS, 0).otherwise(prefix_length(n) + 1))
+        bit = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int")))
+        sign = F.aggregate(F.slice(own, 1, SIGNED), F.lit(0).cast("long"), bit)
+        fields = F.struct(F.xxhash64(own).alias("s"), F.xxhash64(own, F.lit(1)).alias("t"), n.alias("n"), sign.alias("sign"), prefix.alias("prefix"))
+        return F.when(n >= least, fields)
 
-    return let(codes(line, frequency, least), struct)
+    return let(F.sort_array(F.transform(word_hashes(line), rarity.code)), struct)
 
 
 def earlier(doc: str, line: str, than_doc: str, than_line: str) -> Column:
@@ -78,52 +115,102 @@ def earlier(doc: str, line: str, than_doc: str, than_line: str) -> Column:
 
 
 def possible(prefix: str) -> Column:
-    """Length, positional and signature filters between a row and the columns of ``prefix``."""
+    """Positional, length and signature filters between a row and the columns of ``prefix``.
+
+    Equal or not, the shares of words that only one of two alike sets has are bounded:
+    with the overlap o that is needed, the rarest k words of n and l of m differ in no
+    more than the larger of k - l + 2 (m - o) and l - k + 2 (n - o).
+    """
     n, m = F.col("n"), F.col(f"{prefix}n")
-    both = n + m
-    lengths = (F.least(n, m) * OF) >= (F.greatest(n, m) * NEED)
+    overlap = F.ceil((n + m) * NEED / (NEED + OF))
     rest = F.least(n - F.col("place"), m - F.col(f"{prefix}place"))
-    overlap = rest * (NEED + OF) >= both * NEED
-    differ = F.bit_count(F.col("sign").bitwiseXOR(F.col(f"{prefix}sign"))) * (NEED + OF) <= both * (OF - NEED)
-    return lengths & overlap & differ
+    k, l = F.least(n, F.lit(SIGNED)), F.least(m, F.lit(SIGNED))  # noqa: E741
+    most = F.greatest(k - l + (m - overlap) * 2, l - k + (n - overlap) * 2)
+    return (rest >= overlap) & (F.bit_count(F.col("sign").bitwiseXOR(F.col(f"{prefix}sign"))) <= most)
+
+
+ROW = ("doc", "line", "n", "sign", "place")
+
+
+def keyed(firsts: DataFrame, rarity: Rarity, *more: str) -> DataFrame:
+    """A row for each key of each line: its prefix words, frequent ones with each later word."""
+    length = prefix_length(F.col("n"))
+    every = firsts.select("doc", "line", "n", "sign", *more, "prefix", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "key"))
+    plain = every.where(~rarity.is_often(F.col("key"))).select(*ROW, *more, "key")
+    some = firsts.where(rarity.is_often(F.get("prefix", length - 1)))
+    both = some.select("doc", "line", "n", "sign", *more, "prefix", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "first"))
+    both = both.where(rarity.is_often(F.col("first"))).withColumn("second", F.explode(F.slice("prefix", F.col("place") + 2, length - F.col("place"))))
+    return plain.union(both.select(*ROW, *more, F.xxhash64("first", "second").alias("key")))
 
 
-def verified(pairs: DataFrame, df: DataFrame, id_: str, text: str, frequency: Column, least: int) -> DataFrame:
-    """Of pairs (``doc``, ``line``; ``h_doc``, ``h_line``) those that are alike: their ``doc`` and ``line``.
+def head_pairs(firsts: DataFrame, rarity: Rarity) -> DataFrame:
+    """Pairs of a line and the first line of one of its keys, if they may be alike."""
+    by_key = Window.partitionBy("key").orderBy("doc", "line")
+    rows = keyed(firsts, rarity).withColumn("h", F.first(F.struct(*ROW)).over(by_key))
+    rows = rows.where("doc <> h.doc or line <> h.line").select(*ROW, *[F.col(f"h.{c}").alias(f"h_{c}") for c in ROW])
+    return rows.where(possible("h_")).select("doc", "line", "h_doc", "h_line").distinct()
+
+
+def all_pairs(firsts: DataFrame, rarity: Rarity, known: DataFrame, wanted: bool) -> DataFrame:
+    """Pairs of lines that may be alike, the later one (not) among ``known`` (``k_doc``, ``k_line``)."""
+    there = firsts.join(known, (F.col("doc") == F.col("k_doc")) & (F.col("line") == F.col("k_line")), "left")
+    probed = there.select(*firsts.columns, (F.col("k_doc").isNotNull() == F.lit(wanted)).cast("int").alias("probed"))
+    rows = keyed(probed, rarity, "probed")
+    right = rows.select(*[F.col(c).alias(f"h_{c}") for c in rows.columns])
+    # Most lines are probed: a test of both sides is not pushed down, so that one shuffle serves both.
+    of_both = F.col("probed") == 1 if wanted else F.col("probed") * 2 + F.col("h_probed") >= 2
+    met = rows.join(right, (F.col("key") == F.col("h_key")) & earlier("h_doc", "h_line", "doc", "line") & of_both & possible("h_"))
+    return met.select("doc", "line", "h_doc", "h_line").distinct()
 
-    Only the lines of the pairs are read again, out of the documents that have some.
+
+def verified(pairs: DataFrame, df: DataFrame, id_: str, text: str) -> DataFrame:
+    """Of written pairs (``doc``, ``line``; ``h_doc``, ``h_line``) those that are alike: their ``doc`` and ``line``.
+
+    Only the lines of the pairs are read again, out of the documents that have some,
+    and compared word by word.
     """
-    pairs = materialize(pairs)
-    wanted = materialize(pairs.select("doc", "line").union(pairs.select("h_doc", "h_line")).distinct().toDF("w_doc", "w_line"))
-    doc = F.coalesce(F.col(id_).cast("long"), F.lit(LAST))
-    some = df.join(bounded(wanted.select("w_doc").distinct()), doc == F.col("w_doc"), "left_semi")
-    lines = split_lines(some, id_, text).join(bounded(wanted), (F.col("doc") == F.col("w_doc")) & (F.col("line") == F.col("w_line")), "left_semi")
-    found = materialize(lines.select("doc", "line", codes(F.col("own"), frequency, least).alias("codes")))
-    left = found.toDF("l_doc", "l_line", "l_codes")
-    right = found.toDF("r_doc", "r_line", "r_codes")
+    each = pairs.select("doc", "line").union(pairs.select("h_doc", "h_line")).distinct()
+    wanted = bounded(each.groupBy(F.col("doc").alias("w_doc")).agg(F.collect_list("line").alias("w_lines")), 2 + F.size("w_lines") / 4)
+    source = df.select(F.coalesce(F.col(id_).cast("long"), F.lit(LAST)).alias("doc"), F.split(F.col(text), "\n", -1).alias("own"))
+    some = source.join(wanted, F.col("doc") == F.col("w_doc"))
+    lines = some.select("doc", "own", F.explode("w_lines").alias("line")).select("doc", "line", line_words(F.get("own", F.col("line"))).alias("words"))
+    found = materialize(lines)
+    left, right = found.toDF("l_doc", "l_line", "l_words"), found.toDF("r_doc", "r_line", "r_words")
     joined = pairs.join(left, (F.col("doc") == F.col("l_doc")) & (F.col("line") == F.col("l_line")))
     joined = joined.join(right, (F.col("h_doc") == F.col("r_doc")) & (F.col("h_line") == F.col("r_line")))
-    common = F.size(F.array_intersect("l_codes", "r_codes"))
-    alike = common * OF >= (F.size("l_codes") + F.size("r_codes") - common) * NEED
-    return joined.where(alike).select("doc", "line").distinct()
+    common = F.size(F.array_intersect("l_words", "r_words"))
+    alike = common * OF >= (F.size("l_words") + F.size("r_words") - common) * NEED
+    out = materialize(joined.where(alike).select("doc", "line").distinct())
+    discard(found.written_path, wanted.written_path)
+    return out
 
 
-def shared_words(narrow: DataFrame) -> DataFrame:
-    """The prefix words of the first line of each set, without words that only one has.
+def alike_firsts(firsts: DataFrame, rarity: Rarity, df: DataFrame, id_: str, text: str) -> DataFrame:
+    """``doc``, ``line`` of the lines of ``firsts`` that have an earlier line alike there; written.
 
-    ``h_*``: the earliest line with that word. Written once, for both rounds.
+    Lines that may be alike to the first line of a key are not compared with all others,
+    which keeps a large group of near copies from meeting pair by pair; where words prove
+    that they are not, they are compared after all.
     """
-    firsts = narrow.groupBy("s").agg(F.min(F.struct("doc", "line", "n", "sign", "prefix")).alias("at")).select("at.*")
-    keys = firsts.select("doc", "line", "n", "sign", F.posexplode("prefix").alias("place", "key"))
-    by_key = Window.partitionBy("key").orderBy("doc", "line")
-    head = F.first(F.struct("doc", "line", "n", "sign", "place")).over(by_key).alias("h")
-    ranked = keys.select("*", head, F.lead("line").over(by_key).alias("next"))
-    heads = [F.col(f"h.{c}").alias(f"h_{c}") for c in ("doc", "line", "n", "sign", "place")]
-    found = ranked.select(*keys.columns, *heads, "next").where("doc <> h_doc or line <> h_line or next is not null")
-    return materialize(found.drop("next"))
-
-
-def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    spark = firsts.sparkSession
+    heads = materialize(head_pairs(firsts, rarity))
+    release(spark)
+    told = bounded(heads.select("doc", "line").distinct().toDF("k_doc", "k_line"))
+    rest = materialize(all_pairs(firsts, rarity, told, False))
+    release(spark)
+    gone = verified(heads.union(rest), df, id_, text)
+    missed = bounded(told.join(gone, (F.col("k_doc") == F.col("doc")) & (F.col("k_line") == F.col("line")), "left_anti"))
+    if not missed.isEmpty():
+        again = materialize(all_pairs(firsts, rarity, missed, True))
+        proven = verified(again, df, id_, text)
+        both = materialize(gone.union(proven).distinct())
+        discard(again.written_path, proven.written_path, gone.written_path)
+        gone = both
+    discard(heads.written_path, rest.written_path, told.written_path, missed.written_path)
+    return gone
+
+
+def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
     """``doc``, ``line`` of each line that has an earlier line alike, judged on the input.
 
     Earlier is a smaller id (null: the largest), or the same id and a smaller line
@@ -131,42 +218,40 @@ def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text", least: in
     """
     spark = df.sparkSession
     lines = split_lines(df, id_, text)
-    frequency = rarity(lines)
-    described_ = lines.select("doc", "line", described(F.col("own"), frequency, least).alias("d")).select("doc", "line", "d.*")
-    narrow = materialize(described_).where("s is not null")
-    shared = shared_words(narrow)
+    rarity = Rarity(lines)
+    described_ = lines.select("doc", "line", described(F.col("own"), rarity, least).alias("d")).where("d is not null")
+    narrow = materialize(described_.select("doc", "line", "d.*"))
+    at = F.min(F.struct("doc", "line", "n", "sign", "prefix")).alias("at")
+    firsts = materialize(narrow.groupBy("s", "t").agg(at, F.count(F.lit(1)).alias("copies")).select("s", "t", "copies", "at.*"))
+    release(spark)
+    gone = alike_firsts(firsts.where(F.col("n") >= JOINED_WORDS).select("doc", "line", "n", "sign", "prefix"), rarity, df, id_, text)
     release(spark)
-    # Round 1: against the first line of each prefix word; this settles most of a large group of copies.
-    near_head = shared.where(earlier("h_doc", "h_line", "doc", "line") & possible("h_")).select("doc", "line", "h_doc", "h_line").distinct()
-    gone = materialize(verified(near_head, df, id_, text, frequency, least))
-    # Round 2: the others against all lines before them.
-    every = shared.select("doc", "line", "n", "sign", "place", "key")
-    left = every.join(gone, ["doc", "line"], "left_anti")
-    right = every.select(*[F.col(c).alias(f"h_{c}") for c in every.columns])
-    met = left.join(right, F.col("key") == F.col("h_key")).where(earlier("h_doc", "h_line", "doc", "line") & possible("h_"))
-    more = materialize(verified(met.select("doc", "line", "h_doc", "h_line").distinct(), df, id_, text, frequency, least))
-    discard(shared.written_path)
-    del shared, near_head, every, left, right, met
+    judged = firsts.select(F.col("s").alias("f_s"), F.col("t").alias("f_t"), "copies", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"))
+    at = bounded(gone.toDF("g_doc", "g_line"))
+    judged = judged.join(at, (F.col("f_doc") == F.col("g_doc")) & (F.col("f_line") == F.col("g_line")), "left")
+    judged = bounded(judged.where(F.col("g_doc").isNotNull() | (F.col("copies") > 1)).drop("copies"))
+    discard(firsts.written_path, gone.written_path, at.written_path)
+    found = narrow.select("doc", "line", "s", "t").join(judged, (F.col("s") == F.col("f_s")) & (F.col("t") == F.col("f_t")))
+    out = materialize(found.where(F.col("g_doc").isNotNull() | earlier("f_doc", "f_line", "doc", "line")).select("doc", "line").distinct())
+    discard(narrow.written_path, judged.written_path)
     release(spark)
-    removed = gone.union(more).toDF("g_doc", "g_line")
-    first = narrow.groupBy("s").agg(F.min(F.struct("doc", "line")).alias("f")).select("s", F.col("f.doc").alias("f_doc"), F.col("f.line").alias("f_line"))
-    first = first.join(removed, (F.col("f_doc") == F.col("g_doc")) & (F.col("f_line") == F.col("g_line")), "left")
-    judged = narrow.select("doc", "line", "s").join(first, "s")
-    later = earlier("f_doc", "f_line", "doc", "line")
-    return judged.where(later | F.col("g_doc").isNotNull()).select("doc", "line").distinct()
+    return out
 
 
-def dedup_lines(df: DataFrame, id_: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
     """``df`` with near-duplicate lines taken out of ``text``; the first of its kind stays.
 
-    Lines of fewer than ``least`` different words always stay; null and empty texts stay
-    as they are; a document all of whose lines go has an empty text. Rows that repeat
-    an id lose the same line numbers. All columns keep their names and order.
+    Lines of fewer than ``least`` different words always stay, with 1 only lines without
+    a word; null and empty texts stay as they are; a document all of whose lines go has an
+    empty text. Rows that repeat an id lose the same line numbers. An empty table stays
+    empty. All columns keep their names, whatever they are, and their order.
     """
-    fates = line_fates(df, id_, text, least).groupBy("doc").agg(F.collect_set("line").alias("gone_lines")).withColumnRenamed("doc", "gone_doc")
-    joined = df.join(fates, F.coalesce(F.col(id_).cast("long"), F.lit(LAST)) == F.col("gone_doc"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("gone_lines", i)), "\n")
-    return joined.select(*[(F.when(F.col("gone_doc").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns])
+    own, lines = fresh(df, "gone_doc", "gone_lines")
+    fates = line_fates(df.select(F.col(f"`{id_}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), least=least)
+    fates = fates.groupBy(F.col("doc").alias(own)).agg(F.collect_set("line").alias(lines))
+    joined = df.join(bounded(fates, 2 + F.size(lines) / 4), F.coalesce(F.col(f"`{id_}`").cast("long"), F.lit(LAST)) == F.col(own), "left")
+    kept = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda _, i: ~F.array_contains(lines, i)), "\n")
+    return joined.select(*[(F.when(F.col(own).isNull(), F.col(f"`{text}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns])
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -182,7 +267,7 @@ OP9_SQL = r"""
 WITH l AS (
   SELECT doc_id, i - 1 AS line, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[i]), '[\p{L}\p{N}]+')) AS w
   FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)),
-t AS (SELECT doc_id, line, len(w) AS n, unnest(w) AS tok FROM l WHERE len(w) >= 5),
+t AS (SELECT doc_id, line, len(w) AS n, unnest(w) AS tok FROM l),
 f AS (SELECT tok, count(*) AS c FROM t GROUP BY tok),
 r AS (SELECT t.*, row_number() OVER (PARTITION BY doc_id, line ORDER BY c, tok) AS pos FROM t JOIN f USING (tok)),
 p AS (SELECT * FROM r WHERE pos <= n - ceil(0.8 * n) + 1),

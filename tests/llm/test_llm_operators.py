@@ -378,12 +378,14 @@ def brute_lines(rows):
     every.sort(key=lambda x: (x[0][0], x[0][1] or 0, x[1]))
     gone = set()
     for i, (d, k, own) in enumerate(every):
-        if len(own) >= 5 and any((e[0], e[1]) != (d, k) and len(e[2]) >= 5 and 9 * len(own & e[2]) >= 4 * (len(own) + len(e[2])) for e in every[:i]):
+        if own and any((e[0], e[1]) != (d, k) and e[2] and 9 * len(own & e[2]) >= 4 * (len(own) + len(e[2])) for e in every[:i]):
             gone.add((d[1], k))
     return gone
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("often", [20_000, 3])
+def test_lines(spark, monkeypatch, often):
+    monkeypatch.setattr(lines, "OFTEN", often)
     rng = random.Random(11)
     vocabulary = ["the", "of", "and", *["".join(rng.choices("abcdef", k=4)) for _ in range(60)]]
     base = [rng.choices(vocabulary, k=rng.randint(1, 25)) for _ in range(30)]
@@ -396,7 +398,7 @@ def test_lines(spark):
 
     rows = [(i, "\n".join(changed() for _ in range(rng.randint(0, 12)))) for i in range(90)]
     rows += [(200, None), (201, ""), (202, "\n\n"), (None, changed()), (203, " ".join(vocabulary * 50))]
-    frame = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", line int").repartition(3)
+    frame = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], DOCS + ", line int, w_doc string, gone_doc int").repartition(3)
     gone = brute_lines(rows)
     found = {r.doc_id: r.text for r in lines.dedup_lines(frame).collect()}
     for d, text in rows:
