@@ -7,8 +7,8 @@ reduced to the first. Words sort by rarity: words are counted over all documents
 sort by hash before them. Of n sorted words the first n - ceil(0.8 n) + 1 are the
 prefix; alike lines share a prefix word at places that leave room for the overlap
 (positional filter), and their sizes are within a factor of 0.8 (length filter). A
-64-bit parity signature of the rarest words, whose difference is never larger than the
-sets' allows, drops almost all other pairs before the words themselves are compared.
+64-bit parity signature, whose difference is never larger than the sets' difference,
+drops almost all other pairs before the words themselves are compared.
 
 A prefix word that occurs very often is split: alike lines that share it first share a
 second word of the prefix and the word that follows it, so such lines meet on both.
@@ -34,8 +34,6 @@ LISTED = 1 << 15
 CELL_BITS, STEPS = 18, 3
 #: A word that occurs more often is a key only together with a second word.
 OFTEN = 20_000
-#: The signature covers so many of a line's rarest words.
-SIGNED = 24
 LAST = 2**63 - 1
 SPACE = r"[^\p{L}\p{N}]+"
 
@@ -103,7 +101,7 @@ def described(line: Column, rarity: Rarity, least: int) -> Column:
         n = F.size(own)
         prefix = F.slice(own, F.lit(1), F.when(n < JOINED_WORDS, 0).otherwise(prefix_length(n) + 1))
         bit = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int")))
-        sign = F.aggregate(F.slice(own, 1, SIGNED), F.lit(0).cast("long"), bit)
+        sign = F.aggregate(own, F.lit(0).cast("long"), bit)
         fields = F.struct(F.xxhash64(own).alias("s"), F.xxhash64(own, F.lit(1)).alias("t"), n.alias("n"), sign.alias("sign"), prefix.alias("prefix"))
         return F.when(n >= least, fields)
 
@@ -117,16 +115,13 @@ def earlier(doc: str, line: str, than_doc: str, than_line: str) -> Column:
 def possible(prefix: str) -> Column:
     """Positional, length and signature filters between a row and the columns of ``prefix``.
 
-    Equal or not, the shares of words that only one of two alike sets has are bounded:
-    with the overlap o that is needed, the rarest k words of n and l of m differ in no
-    more than the larger of k - l + 2 (m - o) and l - k + 2 (n - o).
+    With the overlap that is needed, two sets differ in no more than the rest of their words.
     """
     n, m = F.col("n"), F.col(f"{prefix}n")
     overlap = F.ceil((n + m) * NEED / (NEED + OF))
     rest = F.least(n - F.col("place"), m - F.col(f"{prefix}place"))
-    k, l = F.least(n, F.lit(SIGNED)), F.least(m, F.lit(SIGNED))  # noqa: E741
-    most = F.greatest(k - l + (m - overlap) * 2, l - k + (n - overlap) * 2)
-    return (rest >= overlap) & (F.bit_count(F.col("sign").bitwiseXOR(F.col(f"{prefix}sign"))) <= most)
+    differ = F.bit_count(F.col("sign").bitwiseXOR(F.col(f"{prefix}sign")))
+    return (rest >= overlap) & (differ <= n + m - overlap * 2)
 
 
 ROW = ("doc", "line", "n", "sign", "place")
@@ -144,21 +139,24 @@ def keyed(firsts: DataFrame, rarity: Rarity, *more: str) -> DataFrame:
 
 
 def head_pairs(firsts: DataFrame, rarity: Rarity) -> DataFrame:
-    """Pairs of a line and the first line of one of its keys, if they may be alike."""
+    """Pairs of a line and the first line of one of its keys, if they may be alike: of several the one with most keys."""
     by_key = Window.partitionBy("key").orderBy("doc", "line")
     rows = keyed(firsts, rarity).withColumn("h", F.first(F.struct(*ROW)).over(by_key))
     rows = rows.where("doc <> h.doc or line <> h.line").select(*ROW, *[F.col(f"h.{c}").alias(f"h_{c}") for c in ROW])
-    return rows.where(possible("h_")).select("doc", "line", "h_doc", "h_line").distinct()
+    met = rows.where(possible("h_")).groupBy("doc", "line", "h_doc", "h_line").agg(F.count(F.lit(1)).alias("keys"))
+    best = met.groupBy("doc", "line").agg(F.max(F.struct("keys", -F.col("h_doc"), -F.col("h_line"), "h_doc", "h_line")).alias("best"))
+    return best.select("doc", "line", "best.h_doc", "best.h_line")
 
 
-def all_pairs(firsts: DataFrame, rarity: Rarity, known: DataFrame, wanted: bool) -> DataFrame:
-    """Pairs of lines that may be alike, the later one (not) among ``known`` (``k_doc``, ``k_line``)."""
+def all_pairs(firsts: DataFrame, rarity: Rarity, known: DataFrame) -> DataFrame:
+    """Pairs of lines that may be alike, the later one not among ``known`` (``k_doc``, ``k_line``)."""
     there = firsts.join(known, (F.col("doc") == F.col("k_doc")) & (F.col("line") == F.col("k_line")), "left")
-    probed = there.select(*firsts.columns, (F.col("k_doc").isNotNull() == F.lit(wanted)).cast("int").alias("probed"))
-    rows = keyed(probed, rarity, "probed")
+    probed = there.select(*firsts.columns, F.col("k_doc").isNull().cast("int").alias("probed"))
+    rows = keyed(probed, rarity, "probed").repartition("key")
     right = rows.select(*[F.col(c).alias(f"h_{c}") for c in rows.columns])
-    # Most lines are probed: a test of both sides is not pushed down, so that one shuffle serves both.
-    of_both = F.col("probed") == 1 if wanted else F.col("probed") * 2 + F.col("h_probed") >= 2
+    # Dealt by the key before columns are renamed, and with a test of both sides, which is not pushed
+    # down: so one shuffle serves both.
+    of_both = F.col("probed") * 2 + F.col("h_probed") >= 2
     met = rows.join(right, (F.col("key") == F.col("h_key")) & earlier("h_doc", "h_line", "doc", "line") & of_both & possible("h_"))
     return met.select("doc", "line", "h_doc", "h_line").distinct()
 
@@ -173,14 +171,15 @@ def verified(pairs: DataFrame, df: DataFrame, id_: str, text: str) -> DataFrame:
     wanted = bounded(each.groupBy(F.col("doc").alias("w_doc")).agg(F.collect_list("line").alias("w_lines")), 2 + F.size("w_lines") / 4)
     source = df.select(F.coalesce(F.col(id_).cast("long"), F.lit(LAST)).alias("doc"), F.split(F.col(text), "\n", -1).alias("own"))
     some = source.join(wanted, F.col("doc") == F.col("w_doc"))
-    lines = some.select("doc", "own", F.explode("w_lines").alias("line")).select("doc", "line", line_words(F.get("own", F.col("line"))).alias("words"))
+    lines = some.select("doc", "own", F.explode("w_lines").alias("line")).select("doc", "line", F.array_join(line_words(F.get("own", F.col("line"))), " ").alias("words"))
     found = materialize(lines)
     left, right = found.toDF("l_doc", "l_line", "l_words"), found.toDF("r_doc", "r_line", "r_words")
     joined = pairs.join(left, (F.col("doc") == F.col("l_doc")) & (F.col("line") == F.col("l_line")))
     joined = joined.join(right, (F.col("h_doc") == F.col("r_doc")) & (F.col("h_line") == F.col("r_line")))
-    common = F.size(F.array_intersect("l_words", "r_words"))
-    alike = common * OF >= (F.size("l_words") + F.size("r_words") - common) * NEED
-    out = materialize(joined.where(alike).select("doc", "line").distinct())
+    both = joined.select("doc", "line", F.split("l_words", " ").alias("own"), F.split("r_words", " ").alias("other"))
+    common = F.size(F.array_intersect("own", "other"))
+    alike = common * OF >= (F.size("own") + F.size("other") - common) * NEED
+    out = materialize(both.where(alike).select("doc", "line").distinct())
     discard(found.written_path, wanted.written_path)
     return out
 
@@ -188,25 +187,20 @@ def verified(pairs: DataFrame, df: DataFrame, id_: str, text: str) -> DataFrame:
 def alike_firsts(firsts: DataFrame, rarity: Rarity, df: DataFrame, id_: str, text: str) -> DataFrame:
     """``doc``, ``line`` of the lines of ``firsts`` that have an earlier line alike there; written.
 
-    Lines that may be alike to the first line of a key are not compared with all others,
-    which keeps a large group of near copies from meeting pair by pair; where words prove
-    that they are not, they are compared after all.
+    Lines that are alike to the first line of one of their keys are not compared with all
+    others, which keeps a large group of near copies from meeting pair by pair.
     """
     spark = firsts.sparkSession
     heads = materialize(head_pairs(firsts, rarity))
     release(spark)
-    told = bounded(heads.select("doc", "line").distinct().toDF("k_doc", "k_line"))
-    rest = materialize(all_pairs(firsts, rarity, told, False))
+    settled = verified(heads, df, id_, text)
     release(spark)
-    gone = verified(heads.union(rest), df, id_, text)
-    missed = bounded(told.join(gone, (F.col("k_doc") == F.col("doc")) & (F.col("k_line") == F.col("line")), "left_anti"))
-    if not missed.isEmpty():
-        again = materialize(all_pairs(firsts, rarity, missed, True))
-        proven = verified(again, df, id_, text)
-        both = materialize(gone.union(proven).distinct())
-        discard(again.written_path, proven.written_path, gone.written_path)
-        gone = both
-    discard(heads.written_path, rest.written_path, told.written_path, missed.written_path)
+    known = bounded(settled.toDF("k_doc", "k_line"))
+    rest = materialize(all_pairs(firsts, rarity, known))
+    release(spark)
+    more = verified(rest, df, id_, text)
+    gone = materialize(settled.union(more))
+    discard(heads.written_path, settled.written_path, known.written_path, rest.written_path, more.written_path)
     return gone
 
 
@@ -219,8 +213,9 @@ def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text", least: in
     spark = df.sparkSession
     lines = split_lines(df, id_, text)
     rarity = Rarity(lines)
-    described_ = lines.select("doc", "line", described(F.col("own"), rarity, least).alias("d")).where("d is not null")
-    narrow = materialize(described_.select("doc", "line", "d.*"))
+    # Lines without a set are left out on reading: a filter here would describe every line twice.
+    described_ = materialize(lines.select("doc", "line", described(F.col("own"), rarity, least).alias("d")).select("doc", "line", "d.*"))
+    narrow = described_.where("s is not null")
     at = F.min(F.struct("doc", "line", "n", "sign", "prefix")).alias("at")
     firsts = materialize(narrow.groupBy("s", "t").agg(at, F.count(F.lit(1)).alias("copies")).select("s", "t", "copies", "at.*"))
     release(spark)
@@ -233,7 +228,7 @@ def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text", least: in
     discard(firsts.written_path, gone.written_path, at.written_path)
     found = narrow.select("doc", "line", "s", "t").join(judged, (F.col("s") == F.col("f_s")) & (F.col("t") == F.col("f_t")))
     out = materialize(found.where(F.col("g_doc").isNotNull() | earlier("f_doc", "f_line", "doc", "line")).select("doc", "line").distinct())
-    discard(narrow.written_path, judged.written_path)
+    discard(described_.written_path, judged.written_path)
     release(spark)
     return out
 
