@@ -3,26 +3,36 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
+import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_recorded = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder of our own is chosen and recorded there.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all
+    executors run in the driver, as in local tests, a temporary folder of our own is
+    chosen and recorded there; it is removed when the driver ends.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="shelfmark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = "file://" + own
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -38,14 +48,22 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/shelfmark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    for paths in getattr(_recorded, "open", []):
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
-def written() -> list[str]:
-    """The tables that are there now."""
-    return [path for _, path in _written]
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Lists the tables that this thread writes meanwhile."""
+    paths: list[str] = []
+    _recorded.open = [*getattr(_recorded, "open", []), paths]
+    try:
+        yield paths
+    finally:
+        _recorded.open = [x for x in _recorded.open if x is not paths]
 
 
 def discard(*paths: str) -> None:

@@ -2,222 +2,329 @@
 
 Two generative models of hashed word unigrams and bigrams are counted: one of the
 target (documents labelled good) and one of the raw corpus. A document's log
-importance weight is the sum of log(target / raw) over its n-grams, and Gumbel
-noise on top makes the k largest keys a sample without replacement in proportion
-to the weights.
+importance weight is the sum of log(target / raw) over its n-grams. Standard Gumbel
+noise is added, and the k documents with the largest sums are a sample without
+replacement in proportion to the weights.
 
-An averaged weight hardly sees a few toxic words in a long text. So toxicity has a
-ratio of its own, of the shares of toxic and of clean labelled documents that contain
-an n-gram, and a text is judged by its most toxic n-grams alone.
+A sum hardly sees a few toxic words in a long text. So toxicity has a ratio of its own,
+of the shares of toxic and of clean labelled documents that contain a word or the first
+bytes of one, and a text is judged by its most toxic ones alone.
+
+Texts are read twice: once for all counts, once for all scores. Words are hashed in
+blocks of bytes, so memory does not grow with a task's texts.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table
-from .tokens import Memo
+from .common import discard, materialize, table
+from .decontaminate import bounded
 
-BITS = 16
-#: Buckets of the toxic ratios, of which the driver gets those that so many toxic documents share.
-TOXIC_BITS = 20
+#: Buckets of the importance ratios, and of the toxic ones.
+BITS, TOXIC_BITS = 18, 22
+#: Words count for toxicity whole and by so many first bytes.
+FIRST_BYTES = (4, 5, 6)
+#: The driver gets the toxic ratios of what so many toxic documents share.
 TOXIC_LEAST = 3
 #: A text's toxicity is the sum of so many of its largest ratios.
 STRONGEST = 3
-#: At most so many labelled documents are used, as target and to set the threshold.
-LABELLED_ROWS = 20_000
-#: Weights are those of a document of so many n-grams, so that long ones are not extreme.
-STANDARD = 400
-#: The threshold may reject at most this share of the documents labelled good.
-GOOD_LOST = 0.005
-WORDS_KEPT = 400_000
-CHUNK = 1 << 20
+#: At most so many labelled documents are learned from, and so many of them for toxicity.
+LABELLED_ROWS, TOXIC_ROWS = 100_000, 20_000
+#: Thresholds may reject at most this share of the documents labelled clean or good.
+CLEAN_LOST = 0.005
+#: The counts of the target are smoothed by so many n-grams that are distributed as in the raw corpus.
+PRIOR = 2_000
+#: Texts are hashed in blocks of about so many bytes.
+CHUNK = 1 << 19
+BASE, INVERSE = 0x100000001B3, pow(0x100000001B3, -1, 2**64)
+MIX, LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
-_hashes = Memo(lambda word: zlib.crc32(word.encode("utf-8", "surrogatepass")), WORDS_KEPT)
+_powers: list[np.ndarray] = []
 
 
-def buckets(text: str | None, bits: int = BITS) -> np.ndarray:
-    """The bucket of every unigram and bigram of the whole text."""
-    h = np.fromiter(map(_hashes.__getitem__, (text or "").split()), np.uint64)
-    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
-    pairs = h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:] * np.uint64(0x165667B19E3779F9)
-    return np.concatenate([(h * mix) >> shift, (pairs * mix) >> shift]).astype(np.int64)
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of ``BASE`` and of its inverse modulo 2**64, ``n`` at least."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 2 * CHUNK)
+        _powers[:] = []
+        for base in (BASE, INVERSE):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers.append(np.cumprod(steps, dtype=np.uint64))
+    return _powers
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-    for batch in batches:
-        for text, good in zip(batch.column(0), batch.column(1).to_pylist()):
-            found = buckets(text.as_py())
-            np.add.at(raw, found, 1)
-            if good:
-                np.add.at(target, found, 1)
-    at = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (at, raw[at], target[at])], names=["bucket", "raw", "target"])
+#: Bytes without case; ASCII bytes that are no letters become blanks.
+FOLDED = np.array([i + 32 if 65 <= i < 91 else i if i >= 128 or 97 <= i < 123 else 32 for i in range(256)], np.uint8)
 
 
-def log_ratios(df: DataFrame, text: str, good: Column) -> np.ndarray:
-    """log(target / raw) for each bucket, with one added to each count.
+def hash_words(data: np.ndarray, bounds: np.ndarray, firsts: tuple[int, ...] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A 64-bit hash of each word (run of bytes other than ASCII white space), and the place of its text.
 
-    Every document counts for raw. Each task sends its sums, so what is moved grows
-    with the number of tasks and the buckets, never with one task's rows.
+    ``bounds``: where the texts in ``data`` begin, and where the last one ends. For each of
+    ``firsts`` follow the hashes of the first so many bytes, and places, of all words that have them.
     """
-    counts = df.select(F.col(text), good.alias("good")).mapInArrow(_counted, "bucket long, raw long, target long")
-    rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    raw, target = np.ones(1 << BITS), np.ones(1 << BITS)
-    for r in rows:
-        raw[r.bucket] += r.raw
-        target[r.bucket] += r.target
-    if target.sum() == len(target):
-        return np.zeros(1 << BITS)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    begin, end = ~space, ~space
+    begin[1:] &= space[:-1]
+    end[:-1] &= space[1:]
+    full = bounds[1:] > bounds[:-1]
+    at, last = bounds[:-1][full], bounds[1:][full] - 1
+    begin[at] = ~space[at]
+    end[last] = ~space[last]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    power, inverse = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    own = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(starts, bounds)))
+    out = [((sums[ends] - sums[starts]) * inverse[starts], own)]
+    for n in firsts:
+        long = ends - starts >= n
+        some = starts[long]
+        out.append(((sums[some + n] - sums[some]) * inverse[some] + np.uint64(n * int(LEFT) % 2**64), own[long]))
+    return out
 
 
-def weigh(text: Column, ratios: np.ndarray) -> Column:
-    """Struct of ``n_grams`` and ``log_weight`` for each whole text; null and empty: 0 and 0.0."""
+def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of whole texts: first and last row, the bytes, and where the texts begin and end in them."""
+    if not len(column):
+        return
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    row = 0
+    while row < len(column):
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        yield row, last, data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
+        row = last
 
-    @F.arrow_udf("n_grams long, log_weight double")
-    def run(texts: pa.Array) -> pa.Array:
-        sizes, sums = [], []
-        for value in texts:
-            found = buckets(value.as_py())
-            sizes.append(len(found))
-            sums.append(float(ratios[found].sum()))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["n_grams", "log_weight"])
 
-    return run(text)
+def n_grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every unigram and then of every bigram of the texts, in order, and the place of the text."""
+    ((hashes, own),) = hash_words(data, bounds)
+    same = own[:-1] == own[1:]
+    pairs = (hashes[:-1] * LEFT + hashes[1:] * RIGHT)[same]
+    return np.concatenate([hashes, pairs]) * MIX, np.concatenate([own, own[:-1][same]])
 
 
-def gumbel(seed: Column) -> Column:
-    """Standard Gumbel noise that depends on ``seed`` (a hash) alone."""
-    uniform = (F.shiftrightunsigned(seed, 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.log(-F.log(uniform))
-
+def words_and_beginnings(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word without case and of its ``FIRST_BYTES``, and the place of the text."""
+    found = hash_words(FOLDED[data], bounds, FIRST_BYTES)
+    return np.concatenate([h for h, _ in found]) * MIX, np.concatenate([own for _, own in found])
 
-def weighed(df: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, float | None]:
-    """``df`` with ``n_grams``, ``log_weight``, ``gumbel_key`` and ``quality_label``, and the threshold."""
-    label, key = fresh(df, "quality_label", "label_id")
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias(label))
-    known = known.withColumnRenamed("doc_id", key).orderBy(F.xxhash64(key), key).limit(LABELLED_ROWS)
-    joined = df.join(F.broadcast(known), F.col(id_) == F.col(key), "left").drop(key)
-    ratios = log_ratios(joined, text, F.coalesce(F.col(label) == 1, F.lit(False)))
 
-    def keyed(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("quality_weight", weigh(F.col(text), ratios))
-        rows = rows.withColumns({"n_grams": F.col("quality_weight.n_grams"), "log_weight": F.col("quality_weight.log_weight")})
-        level = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams") * STANDARD).otherwise(0.0)
-        return rows.withColumn("gumbel_key", level + gumbel(F.xxhash64(F.lit(8), F.col(id_), F.col(text)))).drop("quality_weight")
+def buckets(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
-    sample = keyed(joined.where(F.col(label).isNotNull())).where("n_grams > 0").select(F.col(label).alias("q"), "gumbel_key")
-    return keyed(joined).withColumnRenamed(label, "quality_label"), threshold(sample.limit(4 * LABELLED_ROWS).toPandas())
 
+RAW, TARGET, CLEAN, TOXIC = range(4)
 
-def threshold(sample) -> float | None:
-    """The key that best tells good from bad, losing few good ones; None without both kinds."""
-    good = np.sort(sample["gumbel_key"][sample["q"] == 1].to_numpy())
-    bad = np.sort(sample["gumbel_key"][sample["q"] != 1].to_numpy())
-    if not len(good) or not len(bad):
-        return None
-    cuts = np.unique(np.concatenate([good, bad]))
-    lost = np.searchsorted(good, cuts) / len(good)
-    caught = np.searchsorted(bad, cuts) / len(bad)
-    gain = np.where(lost <= GOOD_LOST, caught - lost, -1)
-    best = int(gain.argmax())
-    below = cuts[best - 1] if best else cuts[best] - 1
-    return float((cuts[best] + below) / 2)
-
-
-def resample(df: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add the weights and ``keep``: whether the row is among the k largest Gumbel keys.
-
-    ``labels`` has ``doc_id`` and ``quality`` (1: good). At most ``LABELLED_ROWS`` labelled
-    ids, those with the smallest hashes, are the target and set k: the number of rows
-    whose key reaches the value that best separates good from bad labels, so k grows
-    with the corpus. Counts of the raw corpus cover all rows. Texts that are null,
-    empty or without words carry no evidence and are kept, as are all rows if either
-    kind of label is missing. An id with several labels takes the worst. Repeated
-    rows are judged alike. Columns of the names that are added must not exist.
-    """
-    if clash := {"n_grams", "log_weight", "gumbel_key", "keep", "quality_label", "quality_weight"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    rows, least = weighed(df, labels, id_, text)
-    keep = F.lit(True) if least is None else (F.col("gumbel_key") >= least) | (F.col("n_grams") == 0)
-    return rows.withColumn("keep", keep).drop("quality_label")
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, bucket, n): occurrences for raw and target, documents for clean and toxic.
 
-def _containing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket how many clean and toxic documents contain it; bucket -1: how many there are."""
-    counts, documents = np.zeros((2, 1 << TOXIC_BITS), np.int32), np.zeros(2, np.int64)
+    Bucket -1 has the number of documents. Columns: text, good, toxic (null: not learned from).
+    """
+    sums = [np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), np.zeros(1 << TOXIC_BITS, np.int32), np.zeros(1 << TOXIC_BITS, np.int32)]
+    documents = np.zeros(4, np.int64)
     for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-            counts[int(toxic), np.unique(buckets(text.as_py(), TOXIC_BITS))] += 1
-            documents[int(toxic)] += 1
-    at = np.flatnonzero(counts.any(axis=0))
-    columns = [np.r_[-1, at], *[np.r_[documents[i], counts[i, at]] for i in (0, 1)]]
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["bucket", "clean", "toxic"])
-
-
-def toxic_ratios(df: DataFrame, text: str, toxic: Column) -> np.ndarray:
-    """For each bucket the log of its toxic to its clean share, less one standard error; at least 0."""
-    counts = df.select(F.col(text), toxic.alias("toxic")).mapInArrow(_containing, "bucket long, clean long, toxic long")
-    sums = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rows = sums.where((F.col("bucket") < 0) | (F.col("toxic") >= TOXIC_LEAST)).collect()
-    out = np.zeros(1 << TOXIC_BITS, np.float32)
-    clean, bad = next(((r.clean, r.toxic) for r in rows if r.bucket < 0), (0, 0))
-    for r in rows:
-        if r.bucket >= 0:
-            t, c = r.toxic + 0.5, r.clean + 0.5
-            out[r.bucket] = max(0.0, np.log(t / (bad + 1)) - np.log(c / (clean + 1)) - np.sqrt(1 / t + 1 / c))
-    return out
+        good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        toxic = np.array([-1 if t is None else int(t) for t in batch.column(2).to_pylist()])
+        documents += [len(good), good.sum(), (toxic == 0).sum(), (toxic == 1).sum()]
+        for row, last, data, bounds in blocks(batch.column(0)):
+            hashes, own = n_grams(data, bounds)
+            found, chosen = buckets(hashes), good[row:last][own]
+            sums[RAW] += np.bincount(found, minlength=1 << BITS)
+            if chosen.any():
+                sums[TARGET] += np.bincount(found[chosen], minlength=1 << BITS)
+            told = toxic[row:last]
+            if (told >= 0).any():
+                hashes, own = words_and_beginnings(data, bounds)
+                for kind, label in ((CLEAN, 0), (TOXIC, 1)):
+                    some = told[own] == label
+                    each = np.unique((own[some] << TOXIC_BITS) | buckets(hashes[some], TOXIC_BITS))
+                    np.add.at(sums[kind], each & ((1 << TOXIC_BITS) - 1), 1)
+    for kind, counts in enumerate(sums):
+        at = np.flatnonzero(counts)
+        n = np.r_[documents[kind], counts[at]].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(np.r_[-1, at]), pa.array(n)], names=["kind", "bucket", "n"])
+
+
+class Model:
+    """What the labelled documents and the corpus say: the log ratio of each bucket, and the toxic ones."""
+
+    def __init__(self, df: DataFrame):
+        """``df``: text, good, toxic, as for ``_counted``; every document counts for raw.
+
+        Each task sends its sums, so what is moved grows with the tasks and the buckets,
+        and the driver gets one row for each bucket.
+        """
+        counts = materialize(df.mapInArrow(_counted, "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")))
+        raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for part, kind in ((raw, RAW), (target, TARGET)):
+            got = counts.where((F.col("kind") == kind) & (F.col("bucket") >= 0)).select("bucket", "n").toPandas()
+            part[got["bucket"]] = got["n"]
+        self.ratios = np.zeros(1 << BITS)
+        if target.sum():
+            share = (raw + 1) / (raw.sum() + len(raw))
+            self.ratios = np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share)
+        documents = {r.kind: r.n for r in counts.where("bucket < 0").collect()}
+        bad = counts.where((F.col("kind") == TOXIC) & (F.col("bucket") >= 0) & (F.col("n") >= TOXIC_LEAST)).select("bucket", F.col("n").alias("t"))
+        also = counts.where(F.col("kind") == CLEAN).select("bucket", F.col("n").alias("c"))
+        both = bad.join(also, "bucket", "left").select("bucket", F.col("t") + 0.5, F.coalesce("c", F.lit(0)) + 0.5).toPandas().to_numpy()
+        self.toxic = np.zeros(1 << TOXIC_BITS, np.float32)
+        if len(both):
+            t, c = both[:, 1], both[:, 2]
+            # Less one standard error; below zero it says nothing.
+            level = np.log(t / (documents[TOXIC] + 1)) - np.log(c / (documents[CLEAN] + 1)) - np.sqrt(1 / t + 1 / c)
+            self.toxic[both[:, 0].astype(np.int64)] = np.maximum(level, 0)
+        self.tells = bool(self.toxic.any())
+        discard(counts.written_path)
+
+    def scored(self, column: pa.Array) -> list[np.ndarray]:
+        """The number of n-grams, log weight and toxicity of each whole text; null and empty: 0."""
+        sizes, weights, toxicity = np.zeros(len(column), np.int64), np.zeros(len(column)), np.zeros(len(column))
+        for row, last, data, bounds in blocks(column):
+            hashes, own = n_grams(data, bounds)
+            sizes[row:last] = np.bincount(own, minlength=last - row)
+            weights[row:last] = np.bincount(own, self.ratios[buckets(hashes)], minlength=last - row)
+            if not self.tells:
+                continue
+            hashes, own = words_and_beginnings(data, bounds)
+            found = buckets(hashes, TOXIC_BITS)
+            told = self.toxic[found] > 0
+            each = np.unique((own[told] << TOXIC_BITS) | found[told])
+            own, level = each >> TOXIC_BITS, self.toxic[each & ((1 << TOXIC_BITS) - 1)]
+            order = np.lexsort((-level, own))
+            own, level = own[order], level[order]
+            strong = np.arange(len(own)) - np.searchsorted(own, own) < STRONGEST
+            toxicity[row:last] = np.bincount(own[strong], level[strong], minlength=last - row)
+        return [sizes, weights, toxicity]
 
 
-def toxicity(text: Column, ratios: np.ndarray) -> Column:
-    """The sum of the ``STRONGEST`` largest ratios of each whole text's n-grams; null and empty: 0."""
-
-    @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for value in texts:
-            found = buckets(value.as_py(), TOXIC_BITS)
-            told = np.unique(found[ratios[found] > 0])
-            out.append(float(np.sort(ratios[told])[-STRONGEST:].sum()))
-        return pa.array(out, pa.float64())
-
-    return run(text)
+def gumbel(seed: Column) -> Column:
+    """Standard Gumbel noise that depends on ``seed`` (a hash) alone."""
+    uniform = (F.shiftrightunsigned(seed, 11).cast("double") + 0.5) / float(1 << 53)
+    return -F.log(-F.log(uniform))
 
 
-def mark_toxic(df: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add ``toxic``: whether the toxicity is above the value that best separates toxic labels from clean ones.
+def kth_largest(values: DataFrame, k: int, bins: int = 4096) -> float:
+    """The ``k``-th largest (from 1) of the doubles in the only column of a written table, exactly.
 
-    ``labels`` has ``doc_id`` and ``toxic`` (1: toxic); at most ``LABELLED_ROWS`` of its
-    ids are used, those with the smallest hashes. One half of them is learned from, the
-    other half sets the threshold, which may reject ``GOOD_LOST`` of its clean texts. All
-    rows are judged, by their text alone. Without both kinds of label, and for null and
-    empty texts, ``toxic`` is false. An id with several labels takes the worst.
+    A histogram of equal ranges tells in which range it lies; that range is divided
+    again until it holds one value. The driver gets ``bins`` rows each time.
+    """
+    v = F.col(values.columns[0])
+    while True:
+        low, high = values.agg(F.min(v), F.max(v)).first()
+        width = (high - low) / bins
+        if low == high or low + width == low:
+            break
+        place = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+        for at, n in sorted(map(tuple, values.groupBy(place).count().collect()), reverse=True):
+            if k <= n:
+                break
+            k -= n
+        values = values.where(place == at)
+    if low == high:
+        return low
+    # The range is as narrow as doubles are: few different values are left.
+    for value, n in sorted(map(tuple, values.groupBy(v).count().collect()), reverse=True):
+        if k <= n:
+            return value
+        k -= n
+
+
+def threshold(bad: np.ndarray, level: np.ndarray) -> float | None:
+    """The level above which ``bad`` ones are best told from others, few of which may be above it; None without both kinds."""
+    good, worse = np.sort(level[~bad]), np.sort(level[bad])
+    if not len(good) or not len(worse):
+        return None
+    cuts = np.unique(level)
+    lost = 1 - np.searchsorted(good, cuts, "right") / len(good)
+    caught = 1 - np.searchsorted(worse, cuts, "right") / len(worse)
+    best = int(np.where(lost <= CLEAN_LOST, caught - lost, -1).argmax())
+    return float(cuts[best] + cuts[min(best + 1, len(cuts) - 1)]) / 2
+
+
+def resample(df: DataFrame, labels: DataFrame, share: float | None = None, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """The judgement of every row of ``df``: ``id``, ``content`` (a hash of the text),
+    ``n_grams``, ``log_weight``, ``gumbel_key``, ``toxic`` and ``keep``.
+
+    ``labels`` has ``doc_id``, ``quality`` (1: good) and ``toxic`` (1: toxic); an id with several
+    labels takes the worst. At most ``LABELLED_ROWS`` labelled ids are learned from, those with
+    the smallest hashes; counts of the raw corpus cover all rows. ``keep`` is true for the k
+    rows with the largest Gumbel keys, ties to smaller ids (null: the largest), if they are not
+    toxic. k is ``share`` of the rows with words; by default it is how many rows there are
+    like the target: as many as have a weight on the good side of the value that best
+    separates the weights of good and bad labels. Toxicity is learned from one half of at
+    most ``TOXIC_ROWS`` labelled ids, the other half sets its threshold. Either threshold may
+    leave ``CLEAN_LOST`` of the good or clean ones on the wrong side.
+
+    Null, empty and wordless texts carry no evidence and are kept. So are all rows where,
+    without ``share``, nothing is labelled good, or all is; nothing is toxic without both kinds of that
+    label. Repeated rows are judged alike. An empty table stays empty. Further columns
+    of ``df`` are left out, whatever they are called.
     """
-    if "toxic" in {c.lower() for c in df.columns}:
-        raise ValueError("column toxic exists already")
-    label, key = fresh(df, "toxic_label", "label_id")
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic") != 0).alias(label))
-    known = known.withColumnRenamed("doc_id", key).orderBy(F.xxhash64(key), key).limit(LABELLED_ROWS)
-    joined = df.join(F.broadcast(known), F.col(id_) == F.col(key))
-    learned = F.xxhash64(F.lit(9), F.col(id_)) >= 0
-    ratios = toxic_ratios(joined.where(learned), text, F.col(label))
-    held = joined.where(~learned).limit(4 * LABELLED_ROWS)
-    sample = held.select((~F.col(label)).cast("int").alias("q"), (-toxicity(F.col(text), ratios)).alias("gumbel_key")).toPandas()
-    most = threshold(sample)
-    return df.withColumn("toxic", F.lit(False) if most is None else -toxicity(F.col(text), ratios) < most)
+    found = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"), F.max(F.col("toxic") != 0).alias("bad"))
+    few = found.orderBy(F.xxhash64("label_id"), "label_id").limit(LABELLED_ROWS)
+    few = bounded(few.withColumn("bad", F.when(F.row_number().over(Window.orderBy(F.xxhash64("label_id"), "label_id")) <= TOXIC_ROWS, F.col("bad"))))
+    docs = df.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    known = docs.join(few, F.col("id") == F.col("label_id"), "left")
+    learned = F.xxhash64(F.lit(9), F.col("id")) >= 0
+    model = Model(known.select("text", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("good"), F.when(learned, F.col("bad")).alias("bad")))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(0), batch.column(1), *map(pa.array, model.scored(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "content", "n_grams", "log_weight", "toxicity"])
+
+    kind = dict(docs.dtypes)["id"]
+    rows = docs.select("id", F.xxhash64("text").alias("content"), "text").mapInArrow(scored, f"id {kind}, content long, n_grams long, log_weight double, toxicity double")
+    rows = materialize(rows.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.xxhash64(F.lit(8), "id", "content"))))
+    # One row for each labelled id, so their number is bounded.
+    own = rows.where("n_grams > 0").groupBy("id").agg(F.min("log_weight").alias("weight"), F.max("toxicity").alias("toxicity"))
+    judged = own.join(few, F.col("id") == F.col("label_id")).select("weight", "toxicity", "quality", "bad", (~learned).alias("held")).toPandas()
+    held, rated = judged[judged["held"] & judged["bad"].notna()], judged[judged["quality"].notna()]
+    most = threshold(held["bad"].to_numpy(bool), held["toxicity"].to_numpy())
+    toxic = F.lit(False) if most is None else F.col("toxicity") > most
+    some = rows.where("n_grams > 0")
+    n = k = some.count()
+    if share is not None:
+        k = round(n * share)
+    elif (least := threshold((rated["quality"] != 1).to_numpy(bool), -rated["weight"].to_numpy())) is not None:
+        k = some.where(F.col("log_weight") >= -least).count()
+    keep = F.lit(True)
+    if n and k < n:
+        keep = F.lit(False)
+        if k:
+            least = kth_largest(some.select("gumbel_key"), k)
+            above = some.where(F.col("gumbel_key") > least).count()
+            tied = some.where(F.col("gumbel_key") == least)
+            order = -F.coalesce(F.col("id").cast("double"), F.lit(float("inf")))
+            last = kth_largest(tied.select(order.alias("order")), min(k - above, tied.count()))
+            keep = (F.col("gumbel_key") > least) | ((F.col("gumbel_key") == least) & (order >= last))
+    keep = (keep | (F.col("n_grams") == 0)) & ~F.col("toxic")
+    return rows.withColumn("toxic", toxic).select("id", "content", "n_grams", "log_weight", "gumbel_key", "toxic", keep.alias("keep"))
+
+
+def keep_selected(df: DataFrame, labels: DataFrame, share: float | None = None, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``resample`` keeps, with all their columns."""
+    judged = resample(df, labels, share, id_, text)
+    gone = bounded(judged.where("not keep").select(F.col("id").alias("gone_id"), F.col("content").alias("gone_content")).distinct())
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("content"))
+    left = own.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("content") == F.col("gone_content")), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     """The importance weight, key and fate of every document; toxic ones are not kept."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    judged = mark_toxic(resample(docs, labels), labels)
-    kept = (F.col("keep") & ~F.col("toxic")).alias("keep")
-    return judged.select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("gumbel_key", 6).alias("gumbel_key"), kept)
+    judged = resample(docs, labels)
+    return judged.select(F.col("id").alias("doc_id"), "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("gumbel_key", 6).alias("gumbel_key"), "toxic", "keep")

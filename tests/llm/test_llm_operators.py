@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -112,6 +114,17 @@ def test_packing(docs, texts):
     assert packing.pack_documents(docs.limit(0), BYTES).isEmpty()
 
 
+def test_packed_ids_of_noise():
+    from tokenizers import Tokenizer
+
+    library, coder, rng = Tokenizer.from_file(BYTES), packing.encoder(BYTES), random.Random(17)
+    letters = "abtheing' \u00a0\u2003\n\r\té日本ß\u0301😀1２.,<|>endoftext-'s'll"
+    noise = ["".join(rng.choices(letters, k=rng.randint(0, 90))) for _ in range(1500)]
+    noise += [" " * n + "x" for n in range(1, 20)] + ["\n" * n + " a" for n in range(1, 8)] + [t for t in ODD if t]
+    for text, wanted in zip(noise, library.encode_batch(noise, add_special_tokens=False)):
+        assert np.frombuffer(coder.ids(text), "<u4").tolist() == wanted.ids, text
+
+
 def test_best_fit_takes_the_fullest():
     fit = packing.BestFit(10, 2)
     assert [fit.put(n) for n in (6, 7, 3, 4, 5, 5)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (2, 5)]
@@ -327,42 +340,105 @@ def test_decontamination(spark, texts):
 # 8
 
 
-def test_quality(spark):
+def brute_hashes(text, firsts=()):
+    """Hashes of words and of pairs of words, or of words and their first bytes, in Python's integers."""
+    most, mix = 2**64, 0x9E3779B97F4A7C15
+    left, right = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    plain = lambda w: sum((c + 1) * quality.BASE**i for i, c in enumerate(w)) % most
+    words = [w for w in re.split(rb"[ \t-\r]+", text.encode()) if w]
+    h = [plain(w) for w in words]
+    if firsts:
+        more = [(plain(w[:n]) + n * left) % most for n in firsts for w in words if len(w) >= n]
+    else:
+        more = [(a * left + b * right) % most for a, b in zip(h, h[1:])]
+    return [x * mix % most for x in h + more]
+
+
+def test_hashed_n_grams(texts, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 700)
+    column = pa.array([None, *texts])[1:]
+    grams, beginnings = {i: [] for i in range(len(texts))}, {i: [] for i in range(len(texts))}
+    for row, last, data, bounds in quality.blocks(column):
+        for out, found in ((grams, quality.n_grams(data, bounds)), (beginnings, quality.words_and_beginnings(data, bounds))):
+            for h, own in zip(*found):
+                out[row + int(own)].append(int(h))
+    for i, text in enumerate(texts):
+        folded = "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in text or "")
+        assert grams[i] == brute_hashes(text or "") and beginnings[i] == brute_hashes(folded, quality.FIRST_BYTES)
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0] * 9, [float(x % 7) for x in range(50)], [1.5**x for x in range(-90, 90)], [1.0, 1.0 + 2**-52, -1e300, 1e300]])
+def test_kth_largest(spark, values):
+    frame = spark.createDataFrame([(v,) for v in values], "v double").cache()
+    for k in {1, 2, len(values) // 2, len(values)} & set(range(1, len(values) + 1)):
+        assert quality.kth_largest(frame, k, bins=4) == sorted(values)[-k]
+
+
+@pytest.fixture(scope="module")
+def rated():
     rng = random.Random(10)
     word = lambda: "".join(rng.choices(["th", "an", "er", "on", "re"], k=rng.randint(1, 3)))
     fine = [" ".join(word() for _ in range(rng.randint(20, 200))) for _ in range(300)]
     junk = [" ".join(word() + "&&&" for _ in range(rng.randint(20, 200))) for _ in range(60)]
-    rows = list(enumerate(fine + junk)) + [(900, None), (901, "")]
-    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(0, 360, 2)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
-    judged = {r.doc_id: r for r in quality.resample(spark.createDataFrame(rows, DOCS), labels).collect()}
-    assert all(judged[i].keep for i in range(300)) and not any(judged[i].keep for i in range(300, 360))
+    return list(enumerate(fine + junk)) + [(900, None), (901, ""), (7, fine[7])]
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_quality(spark, rated):
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(0, 360, 2)] + [(None, 1, 0), (5, None, 0)], LABELS)
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rated], DOCS + ", KEEP int, label_id string")
+    rows = quality.resample(frame, labels).collect()
+    judged = {r.id: r for r in rows}
+    assert len(rows) == len(rated) and all(judged[i].keep for i in range(300)) and not any(judged[i].keep for i in range(300, 360))
     assert judged[900].keep and judged[901].keep and judged[900].n_grams == 0
-    counts = np.ones((2, 1 << quality.BITS))
-    for i, text in rows:
-        for b in quality.buckets(text):
-            counts[0, b] += 1
-            counts[1, b] += i < 300 and i % 2 == 0
-    ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    assert abs(judged[7].log_weight - ratios[quality.buckets(fine[7])].sum()) < 1e-6
-    assert all(r.keep for r in quality.resample(spark.createDataFrame(rows[:5], DOCS), labels.limit(0)).collect())
-    assert quality.resample(spark.createDataFrame([], DOCS), labels).isEmpty()
+    counts = np.zeros((2, 1 << quality.BITS))
+    for i, text in rated:
+        for h in brute_hashes(text or ""):
+            counts[0, h >> 64 - quality.BITS] += 1
+            counts[1, h >> 64 - quality.BITS] += i < 300 and i % 2 == 0
+    share = (counts[0] + 1) / (counts[0].sum() + counts.shape[1])
+    ratios = np.log((counts[1] + quality.PRIOR * share) / (counts[1].sum() + quality.PRIOR)) - np.log(share)
+    for i, text in rated:
+        assert abs(judged[i].log_weight - sum(ratios[h >> 64 - quality.BITS] for h in brute_hashes(text or ""))) < 1e-6
+    kept = quality.keep_selected(frame, labels)
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == sorted([*range(300), 7, 900, 901])
+    assert all(r.keep for r in quality.resample(frame, labels.limit(0)).collect())
+    assert quality.resample(frame.limit(0), labels).isEmpty() and quality.keep_selected(frame.limit(0), labels).isEmpty()
+
+
+def test_the_largest_keys_are_selected(spark, rated):
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(0, 360, 2)], LABELS)
+    frame = spark.createDataFrame([r for r in rated if r[0] != 7], DOCS)
+    for share in (0.0, 0.1, 0.5, 1.0):
+        rows = [r for r in quality.resample(frame, labels, share).collect() if r.n_grams]
+        best = sorted(rows, key=lambda r: (-r.gumbel_key, r.id))[: round(share * len(rows))]
+        assert {r.id for r in rows if r.keep} == {r.id for r in best}
+
+
+def test_gumbel_selection_is_in_proportion_to_the_weights(spark):
+    # Exponentials of the weights are 1 and 3: the heavier of two is the larger in 3 of 4 cases.
+    seeds = spark.range(20_000).select(quality.gumbel(F.xxhash64("id")).alias("a"), (quality.gumbel(F.xxhash64("id", F.lit(1))) + float(np.log(3))).alias("b"))
+    assert abs(seeds.where("b > a").count() / 20_000 - 0.75) < 0.015
 
 
 def test_toxic_texts_are_told(spark):
     rng = random.Random(13)
     word = lambda: "".join(rng.choices(["th", "an", "er", "on", "re"], k=rng.randint(1, 4)))
     clean = [[word() for _ in range(rng.randint(50, 600))] for _ in range(600)]
-    insults = ["idiot", "scum", "trash", "moron"]
+    insults = ["Idiot,", "scum", "trash!", "moron", "vequ"]
     toxic = [[word() for _ in range(rng.randint(50, 600))] for _ in range(120)]
     for text in toxic:
         for _ in range(3):
-            text.insert(rng.randrange(len(text)), rng.choice(insults))
+            insult = rng.choice(insults)
+            text.insert(rng.randrange(len(text)), insult + word() if insult == "vequ" else insult)
     frame = spark.createDataFrame(list(enumerate(map(" ".join, clean + toxic))), DOCS)
     # Toxic texts are of good quality here, and half of all texts have no label.
-    labels = spark.createDataFrame([(i, 1, int(i >= 600)) for i in range(0, 720, 2)], "doc_id long, quality int, toxic int")
-    told = {r.doc_id: r.toxic for r in quality.mark_toxic(frame, labels).collect()}
+    labels = spark.createDataFrame([(i, 1, int(i >= 600)) for i in range(0, 720, 2)], LABELS)
+    told = {r.id: r.toxic for r in quality.resample(frame, labels).collect()}
     assert sum(told[i] for i in range(601, 720, 2)) >= 57 and sum(told[i] for i in range(600)) <= 6
-    assert not any(r.toxic for r in quality.mark_toxic(frame, labels.withColumn("toxic", F.lit(0))).collect())
+    assert not any(r.toxic for r in quality.resample(frame, labels.withColumn("toxic", F.lit(0))).collect())
 
 
 # 9
