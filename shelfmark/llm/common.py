@@ -8,6 +8,7 @@ import gc
 import shutil
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -83,10 +84,13 @@ def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished jobs whose DataFrames are out of use.
 
     Spark deletes them when the driver collects its garbage, which can be long after
-    a written table has made them superfluous.
+    a written table has made them superfluous. What the first collection lets go of
+    can hold others, so there are two.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def discard_written() -> None:

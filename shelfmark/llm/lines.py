@@ -215,9 +215,11 @@ def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text", least: in
     rarity = Rarity(lines)
     # Lines without a set are left out on reading: a filter here would describe every line twice.
     described_ = materialize(lines.select("doc", "line", described(F.col("own"), rarity, least).alias("d")).select("doc", "line", "d.*"))
-    narrow = described_.where("s is not null")
+    sets = described_.where("s is not null")
     at = F.min(F.struct("doc", "line", "n", "sign", "prefix")).alias("at")
-    firsts = materialize(narrow.groupBy("s", "t").agg(at, F.count(F.lit(1)).alias("copies")).select("s", "t", "copies", "at.*"))
+    firsts = materialize(sets.groupBy("s", "t").agg(at, F.count(F.lit(1)).alias("copies")).select("s", "t", "copies", "at.*"))
+    narrow = materialize(sets.select("doc", "line", "s", "t"))
+    discard(described_.written_path)
     release(spark)
     gone = alike_firsts(firsts.where(F.col("n") >= JOINED_WORDS).select("doc", "line", "n", "sign", "prefix"), rarity, df, id_, text)
     release(spark)
@@ -228,7 +230,7 @@ def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text", least: in
     discard(firsts.written_path, gone.written_path, at.written_path)
     found = narrow.select("doc", "line", "s", "t").join(judged, (F.col("s") == F.col("f_s")) & (F.col("t") == F.col("f_t")))
     out = materialize(found.where(F.col("g_doc").isNotNull() | earlier("f_doc", "f_line", "doc", "line")).select("doc", "line").distinct())
-    discard(described_.written_path, judged.written_path)
+    discard(narrow.written_path, judged.written_path)
     release(spark)
     return out
 
