@@ -143,17 +143,28 @@ def nearest(rows, k):
     return out
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("cell", [8_192, 100])
+def test_neighbours(spark, monkeypatch, cell):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", cell)
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((20, 16))
     good = [(i, (centres[i % 20] + 0.4 * rng.standard_normal(16)).tolist()) for i in range(800)]
     good += [(1000 + i, [float(x) for x in range(1, 17)]) for i in range(30)]
-    bad = [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] * 16), (None, [1.0] * 16)]
-    points = spark.createDataFrame([(i, v, "x") for i, v in good + bad], "vec_id long, embedding array<double>, score string")
-    found = neighbours.nearest_neighbours(points, points.where("vec_id % 10 = 0"), 5).toPandas()
-    wanted = nearest([(i, np.array(v)) for i, v in good], 5)
+    bad = [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] * 16), (None, [1.0] * 16), (2005, [])]
+    # Another length, and components whose squares overflow or vanish.
+    other = [(3000, [1e200, 1e200]), (3001, [1e-200, 0.0]), (3002, [3e-170, 4e-170]), (3003, [-1.0, 0.0])]
+    points = spark.createDataFrame([(i, v, "x") for i, v in good + bad + other], "vec_id long, embedding array<double>, score string")
+    found = neighbours.nearest_neighbours(points, points.where("vec_id % 10 = 0").union(points.where("vec_id = 20")), 5).toPandas()
+    short = found[found.query_id == 3000].sort_values("rank")
+    assert short.vec_id.tolist() == [3002, 3001, 3003] and np.allclose(short.score, [7 / np.sqrt(50), np.sqrt(0.5), -np.sqrt(0.5)], rtol=1e-14)
+    found = found[found.query_id < 3000]
+    rows = [(i, np.array(v)) for i, v in good]
+    wanted = nearest(rows, 5)
     hits = sum(len(set(g.sort_values("rank").vec_id) & set(wanted[q])) for q, g in found.groupby("query_id"))
-    assert hits >= 0.9 * len(found) and found.query_id.nunique() == sum(i % 10 == 0 for i, _ in good)
+    assert hits >= 0.95 * len(found) and found.query_id.nunique() == sum(i % 10 == 0 for i, _ in good) and (found.groupby("query_id").size() == 5).all()
+    vectors = dict(rows)
+    cosine = [np.dot(vectors[a], vectors[b]) / np.sqrt(np.dot(vectors[a], vectors[a]) * np.dot(vectors[b], vectors[b])) for a, b in zip(found.query_id, found.vec_id)]
+    assert np.allclose(found.score, cosine, rtol=1e-12)
     same = found[found.query_id == 1010].sort_values("rank")
     assert same.vec_id.tolist() == [1000, 1001, 1002, 1003, 1004] and same["rank"].tolist() == [1, 2, 3, 4, 5]
     few = neighbours.nearest_neighbours(points.where("vec_id < 3"), points.where("vec_id = 0"), 5)
@@ -161,6 +172,27 @@ def test_neighbours(spark):
     assert neighbours.nearest_neighbours(points.limit(0), points.limit(0)).isEmpty()
 
 
+def test_recall_on_the_sample(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    vectors = neighbours.units(np.stack(rows.embedding).astype(float))
+    ids = rows.vec_id.to_numpy()
+    asked = np.flatnonzero(ids % 50 == 0)
+    cosine = vectors[asked] @ vectors.T
+    cosine[np.arange(len(asked)), asked] = -2
+    wanted = {(ids[q], ids[p]) for q, line in zip(asked, cosine) for p in np.argsort(-line)[:5]}
+    found = {(r.query_id, r.vec_id) for r in neighbours.op4_nearest(spark, "/root/testdata/sf0.01").collect()}
+    assert len(found & wanted) >= 0.9 * len(wanted)
+
+
+def test_near_neighbours_are_found_without_verifying_all(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((400, 32))
+    vectors = np.repeat(centres, 25, axis=0) + 0.05 * rng.standard_normal((10_000, 32))
+    queries = vectors[::200]
+    q, p, _, verified = neighbours.search(np.arange(10_000), vectors, np.arange(0, 10_000, 200), queries, 5, np.full(50, np.inf))
+    assert (q * 200 // 25 == p // 25).all() and len(q) == 250 and verified < 0.1 * 50 * 10_000
+
+
 def test_chi_square():
     assert abs(neighbours.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
 
