@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,7 +41,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(edges)
     state = _state(edges)
     while state[0]:
-        edges = materialize(_small_star(_large_star(edges)))
+        old, edges = edges, materialize(_small_star(_large_star(edges)))
+        discard(old.written_path)
         before, state = state, _state(edges)
         if before == state:
             break

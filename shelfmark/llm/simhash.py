@@ -2,14 +2,13 @@
 
 Fingerprints are looked up in BK-trees, whose children are keyed by their integer
 Hamming distance to the parent: a search within radius r follows only the edges
-from d - r to d + r. One tree of all fingerprints would grow with the corpus, so
-there is a tree for each shard, and a shard's members come to its tree in one
-shuffle; trees of unbounded size are never sent to all executors.
-
-Shards are chosen so that fingerprints within the radius meet in one. For small
-radii that is certain: of four blocks at most ``radius`` = 2 differ, so two blocks
-agree (six shards a fingerprint). For large radii shards are the pairs of
-neighbouring bytes, and two fingerprints meet if they agree on one of them.
+from d - r to d + r. A tree of all fingerprints grows with the corpus, and so does the
+number of trees of a bounded size that every fingerprint would have to be searched in,
+if they were broadcast. So shards are chosen such that only a shard's own members need its
+tree, and come to it in one shuffle: of r + 1 blocks of bits two fingerprints within the radius
+agree on one, hence on its leading bits, of which there are as many as make shards of
+about ``SHARD`` fingerprints. Large shards are split by the whole block and then, in
+the same way, by blocks of the remaining bits.
 
 ``keep_first`` takes fingerprints for candidates only and verifies five-word shingles.
 At its radius a tree's edges would rule out nothing, so shards are compared in full.
@@ -18,7 +17,7 @@ At its radius a tree's edges would rule out nothing, so shards are compared in f
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,10 @@ from .components import components
 
 SEED = 42
 BLOCK = 32_768
-#: Shards with more fingerprints are split again, by the bytes that differ.
-LARGE_SHARD = 20_000
+#: Fingerprints of a shard (about); shards with more than so many are split.
+SHARD, LARGE_SHARD = 512, 8_192
+#: Searches that go through a tree together.
+AT_ONCE = 4_096
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -71,69 +72,76 @@ def fingerprint(hashes: list[int], words: int = 1) -> bytes:
     return np.packbits(total * 2 > len(hashes), axis=1).tobytes()
 
 
-def simhash(text: Column, width: int = 3, words: int = 1) -> Column:
-    """The fingerprint of each whole text as binary; null, empty or wordless: all bits zero."""
+def simhash(text: Column, width: int = 3) -> Column:
+    """The fingerprint of each whole text as a signed long; null, empty or wordless: zero."""
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(shingle_hashes(t, width), words) for t in texts.to_pylist()], pa.binary())
+        found = (fingerprint(shingle_hashes(t.as_py(), width)) for t in texts)
+        return pa.array([int.from_bytes(x, "big", signed=True) for x in found], pa.int64())
 
     return prints(text)
 
 
 class BKTree:
-    """A tree of integers; the children of a node are keyed by their Hamming distance to it."""
-
-    def __init__(self):
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def insert(self, value: int) -> None:
-        values, children = self.values, self.children
-        new = len(values)
-        if new:
-            node = 0
-            while True:
-                distance = (values[node] ^ value).bit_count()
-                below = children[node].get(distance)
-                if below is None:
-                    children[node][distance] = new
-                    break
-                node = below
-        values.append(value)
-        children.append({})
-
-    def search(self, value: int, radius: int) -> list[int]:
-        """The places of all values within ``radius``."""
-        values, children, found, todo = self.values, self.children, [], [0] if self.values else []
-        while todo:
-            node = todo.pop()
-            distance = (values[node] ^ value).bit_count()
-            if distance <= radius:
-                found.append(node)
-            for edge, below in children[node].items():
-                if distance - radius <= edge <= distance + radius:
-                    todo.append(below)
-        return found
-
-
-def shard_links(values: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
-    """Links that connect the same fingerprints as all pairs within ``radius`` do."""
-    tree, above, out = BKTree(), [], []
+    """A tree of distinct 64-bit integers; the children of a node are keyed by their Hamming distance to it.
+
+    Values are inserted in their order, a level of the tree at once: of the values that
+    came to a node and have one distance to it the first becomes the child.
+    """
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        edges, children = [], []
+        left, node = np.arange(1, len(values)), np.zeros(max(len(values) - 1, 0), np.int64)
+        while len(left):
+            edge = node * 65 + np.bitwise_count(values[left] ^ values[node])
+            found, first, which = np.unique(edge, return_index=True, return_inverse=True)
+            edges.append(found)
+            children.append(left[first])
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, node = left[rest], left[first][which[rest]]
+        edges, children = np.concatenate([*edges, np.empty(0, np.int64)]), np.concatenate([*children, np.empty(0, np.int64)])
+        order = np.argsort(edges)
+        #: Node times 65 plus distance, sorted, and the child there.
+        self.edges, self.children = edges[order], children[order]
+
+    def search(self, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places (of ``values``, of the tree's) of all pairs within ``radius``, and how many nodes were visited."""
+        found, visited = [(np.empty(0, np.int64),) * 2], 0
+        asking = np.arange(len(values)) if len(self.values) else np.empty(0, np.int64)
+        node = np.zeros(len(asking), np.int64)
+        while len(asking):
+            visited += len(asking)
+            distance = np.bitwise_count(values[asking] ^ self.values[node]).astype(np.int64)
+            near = distance <= radius
+            found.append((asking[near], node[near]))
+            # The edges from distance - radius to distance + radius stand together.
+            low = np.searchsorted(self.edges, node * 65 + np.maximum(distance - radius, 0))
+            high = np.searchsorted(self.edges, node * 65 + np.minimum(distance + radius, 64), "right")
+            count = high - low
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            asking, node = np.repeat(asking, count), self.children[np.repeat(low, count) + within]
+        return *(np.concatenate(x) for x in zip(*found)), visited
+
+
+def shard_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that connect the same fingerprints as all pairs within ``radius`` do, as places."""
+    tree, above, out = BKTree(values), list(range(len(values))), []
 
     def top(i: int) -> int:
         while above[i] != i:
             above[i] = i = above[above[i]]
         return i
 
-    for i, value in enumerate(values):
-        number = int.from_bytes(value, "big")
-        above.append(i)
-        for j in tree.search(number, radius):
+    for at in range(0, len(values), AT_ONCE):
+        asking, found, _ = tree.search(values[at : at + AT_ONCE], radius)
+        later = found > asking + at
+        for i, j in zip((asking[later] + at).tolist(), found[later].tolist()):
             if (a := top(i)) != (b := top(j)):
                 above[max(a, b)] = min(a, b)
-                out.append((value, values[j]))
-        tree.insert(number)
+                out.append((i, j))
     return out
 
 
@@ -141,89 +149,114 @@ def _linked(radius: int):
     """Over rows sorted by shard: the links of one shard after the other."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, members, out = None, [], []
+        held: list[np.ndarray] = []
+        shard = None
+
+        def flush() -> pa.RecordBatch:
+            values = np.unique(np.concatenate(held)).view(np.uint64)
+            pairs = np.array(shard_links(values, radius), np.int64).reshape(-1, 2)
+            ends = values.view(np.int64)[pairs]
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if key != shard:
-                    if len(members) > 1:
-                        out += shard_links(members, radius)
-                    shard, members = key, []
-                members.append(value)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], names=["a", "b"])
-                out = []
-        if len(members) > 1:
-            out += shard_links(members, radius)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], names=["a", "b"])
+            keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+                if a == b:
+                    continue
+                if keys[a] != shard and held:
+                    if sum(map(len, held)) > 1:
+                        yield flush()
+                    held = []
+                shard = keys[a]
+                held.append(values[a:b])
+        if sum(map(len, held)) > 1:
+            yield flush()
 
     return links
 
 
-def _pairs(prefix: Column, label: int, blocks: list[Column]) -> Column:
-    """Shards of fingerprints that agree in two of four blocks."""
-    keys = [F.concat(prefix, F.lit(bytes([label + n])), blocks[i], blocks[j]) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    return F.array(*keys)
+def _mask(bits: range) -> int:
+    """The signed 64-bit integer with these bits set; bit 0 is the highest."""
+    value = sum(1 << 63 - b for b in bits)
+    return value - (1 << 64) if value >> 63 else value
 
 
-def _rest(value: Column, pair: int) -> list[Column]:
-    """The single bytes of the two blocks that shard ``pair`` does not fix."""
-    fixed = list(combinations(range(4), 2))[pair]
-    return [F.substring(value, 2 * i + 1 + k, 1) for i in range(4) if i not in fixed for k in (0, 1)]
+def _parts(bits: list[int], n: int) -> list[list[int]]:
+    """``bits`` cut into ``n`` blocks of about one size."""
+    return [bits[len(bits) * i // n : len(bits) * (i + 1) // n] for i in range(n)]
 
 
-def links_within(prints: DataFrame, radius: int, words: int = 1) -> DataFrame:
-    """Links between distinct binary fingerprints (column ``fp``) within ``radius``.
+def shard_masks(radius: int, leading: int) -> list[list[int]]:
+    """For each level the masks of its shards' fixed bits; shard i of a level is split into those from i * (its share) on.
 
-    They connect exactly what all such pairs connect if ``words`` is 1 and ``radius``
-    at most 2, and what they connect of the pairs that share a shard otherwise. In
-    the exact case a shard of over 20,000 fingerprints, all with the same four bytes,
-    is split by the other four bytes in the same way; its parts hold 65,536 at most.
+    Level 0: the leading bits of a block; 1: the block; 2 and 3: a block of the remaining bits as well.
     """
-    value = F.col("fp")
-    if words == 1 and radius <= 2:
-        blocks = [F.substring(value, 2 * i + 1, 2) for i in range(4)]
-        keyed = prints.select(F.explode(_pairs(F.lit(b""), 0, blocks)).alias("key"), "fp")
-        large = materialize(keyed.groupBy("key").count().where(F.col("count") > LARGE_SHARD).select("key"))
-        if not large.isEmpty():
-            within = keyed.join(large, "key", "left_semi")
-            finer = None
-            for pair in range(6):
-                split = _pairs(F.col("key"), 8, _rest(value, pair))
-                part = within.where(F.substring("key", 1, 1) == F.lit(bytes([pair]))).select(F.explode(split).alias("key"), "fp")
-                finer = part if finer is None else finer.union(part)
-            keyed = keyed.join(large, "key", "left_anti").union(finer)
-    else:
-        size = 8 * words
-        bands = F.array(*[F.concat(F.lit(bytes([i])), F.substring(value, i + 1, 2)) for i in range(size - 1)])
-        keyed = prints.select(F.explode(bands).alias("key"), "fp")
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_linked(radius), "a binary, b binary").distinct()
-
-
-def label(prints: DataFrame, radius: int = 2, words: int = 1) -> DataFrame:
-    """Add ``fp_root`` to rows with a fingerprint ``fp``: the smallest one it is connected with.
+    n, every = radius + 1, list(range(64))
+    blocks = [(own, [b for b in every if b not in own]) for own in _parts(every, n)]
+    levels = [[own[:leading] for own, _ in blocks], [own for own, _ in blocks]]
+    for _ in range(2):
+        blocks = [([*own, *part], [b for b in rest if b not in part]) for own, rest in blocks for part in _parts(rest, n)]
+        levels.append([own for own, _ in blocks])
+    return [[_mask(own) for own in level] for level in levels]
+
+
+def _keyed(rows: DataFrame, level: list[int], first: Column, share: int) -> DataFrame:
+    """``path``, ``fp`` and ``key``: a row for each of the shards from ``first`` on."""
+    masks = F.array(*[F.lit(m).cast("long") for m in level])
+    paths = rows.select("fp", F.explode(F.sequence(first, first + share - 1)).alias("path"))
+    return paths.select("path", "fp", F.xxhash64(F.lit(len(level)), "path", F.col("fp").bitwiseAND(F.get(masks, F.col("path")))).alias("key"))
+
+
+def links_within(prints: DataFrame, radius: int) -> DataFrame:
+    """Links between distinct fingerprints (written longs, column ``fp``) within ``radius``.
+
+    They connect exactly what all such pairs connect. Two that share no key never meet;
+    two of one key that only shares its hash are told apart by their distance. With a
+    radius of 2 a shard holds at most 2**19 fingerprints after the last split.
+    """
+    n = radius + 1
+    leading = max(0, min(64 // n, (prints.count() // SHARD).bit_length()))
+    masks = shard_masks(radius, leading)
+    rows, small = _keyed(prints, masks[0], F.lit(0), n), []
+    for level in (1, 2, 3):
+        large = materialize(rows.groupBy("key").count().where(F.col("count") > LARGE_SHARD).select("key"))
+        if large.isEmpty():
+            break
+        small.append(rows.join(large, "key", "left_anti"))
+        share = 1 if level == 1 else n
+        rows = materialize(_keyed(rows.join(large, "key", "left_semi"), masks[level], F.col("path") * share, share))
+    every = reduce(DataFrame.unionByName, small, rows)
+    dealt = every.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
+    return dealt.mapInArrow(_linked(radius), "a long, b long").distinct()
+
+
+def label(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """``fp``, ``root``: for every distinct long ``fp`` of ``prints`` the smallest one it is connected with; written.
 
     Equal fingerprints are reduced to one before any search, so a group of copies
-    costs no more than one text. ``prints`` should be a written table.
+    costs no more than one text.
     """
-    found = components(links_within(prints.select("fp").distinct(), radius, words))
-    joined = prints.join(found, F.col("fp") == F.col("node"), "left")
-    return joined.select(*prints.columns, F.coalesce("root", "fp").alias("fp_root"))
+    own = materialize(prints.select("fp").distinct())
+    found = components(links_within(own, radius))
+    return materialize(own.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
-def label_near_duplicates(df: DataFrame, text: str = "text", width: int = 3, radius: int = 2, words: int = 1) -> DataFrame:
-    """Add ``fp`` and ``fp_root`` (binary) to ``df``: see ``simhash`` and ``label``.
+def label_near_duplicates(df: DataFrame, text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """Add ``fp`` and ``fp_root`` (longs) to ``df``: see ``simhash`` and ``label``.
 
     Texts of one fingerprint are connected, and fingerprints within ``radius`` bits
     are, see ``links_within``. Null, empty and wordless texts have fingerprint zero
     and are connected like others. Repeated rows stay; an empty table gives an empty
-    table. ``df`` must not have columns of the names ``fp``, ``fp_root``, ``node`` or
-    ``root``; all others keep their values.
+    table. ``df`` must not have columns of the names ``fp`` or ``fp_root``; all others
+    keep their values.
     """
-    if clash := {"fp", "fp_root", "node", "root"} & {c.lower() for c in df.columns}:
+    if clash := {"fp", "fp_root"} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {sorted(clash)} exist already")
-    return label(materialize(df.withColumn("fp", simhash(F.col(text), width, words))), radius, words)
+    rows = materialize(df.withColumn("fp", simhash(F.col(f"`{text}`"), width)))
+    found = label(rows, radius).select(F.col("fp").alias("known_fp"), F.col("root").alias("fp_root"))
+    joined = rows.alias("l").join(found.alias("r"), F.col("l.fp") == F.col("r.known_fp"))
+    return joined.select(*[F.col(f"l.`{c}`") for c in rows.columns], F.col("r.fp_root"))
 
 
 #: Near duplicates share NEED / OF of their distinct five-word shingles, or more.
@@ -446,6 +479,10 @@ def keep_first(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the smallest doc_id each is connected with."""
     docs = table(spark, sf_dir, "documents")
-    labelled = materialize(label(materialize(docs.select("doc_id", simhash(F.col("text")).alias("fp")))))
-    least = labelled.groupBy("fp_root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "fp_root").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    rows = materialize(docs.select("doc_id", simhash(F.col("text")).alias("fp")))
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    # Components are told by fingerprint first, so a group of copies is one row in every shuffle but the last join.
+    known = materialize(label(rows).join(least, "fp"))
+    roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = materialize(known.join(roots, "root").select(F.col("fp").alias("known_fp"), "component_id"))
+    return rows.join(told, F.col("fp") == F.col("known_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

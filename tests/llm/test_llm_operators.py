@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from shelfmark.llm import components, decontaminate, language, lines, neighbours, packing, quality, sharding, simhash, substrings, tokens
+from shelfmark.llm.common import materialize
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -223,33 +224,67 @@ def roots(nodes, linked):
 
 
 def test_simhash(docs, texts):
-    rows = simhash.label_near_duplicates(docs).toPandas()
+    extra = docs.withColumns({"root": F.lit("x"), "a b": F.lit(1)})
+    rows = simhash.label_near_duplicates(extra).collect()
     prints = {i: brute_print(t) for i, t in enumerate(texts)}
-    assert {r.doc_id: int.from_bytes(r.fp, "big") for r in rows.itertuples()} == prints
+    assert {r.doc_id: r.fp % 2**64 for r in rows} == prints and all(r.root == "x" for r in rows)
     wanted = roots(set(prints.values()), lambda a, b: (a ^ b).bit_count() <= 2)
-    assert all(int.from_bytes(r.fp_root, "big") == wanted[prints[r.doc_id]] for r in rows.itertuples())
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.fp_root, set()).add(wanted[prints[r.doc_id]])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(wanted.values()))
     assert simhash.label_near_duplicates(docs.limit(0)).isEmpty()
 
 
-@pytest.mark.parametrize("large", [20_000, 40])
-def test_links_in_large_shards(spark, monkeypatch, large):
+def signed(value):
+    return value - 2**64 if value >> 63 else value
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 4])
+@pytest.mark.parametrize(("shard", "large"), [(512, 8_192), (16, 30)])
+def test_links_in_shards(spark, monkeypatch, radius, shard, large):
+    monkeypatch.setattr(simhash, "SHARD", shard)
     monkeypatch.setattr(simhash, "LARGE_SHARD", large)
+    monkeypatch.setattr(simhash, "AT_ONCE", 100)
     rng = random.Random(2)
     base = rng.getrandbits(64)
-    values = {base ^ (rng.getrandbits(9) << rng.choice([0, 20, 33, 50])) for _ in range(700)}
-    frame = spark.createDataFrame([(v.to_bytes(8, "big"),) for v in values], "fp binary").cache()
-    found = {int.from_bytes(r.fp, "big"): int.from_bytes(r.fp_root, "big") for r in simhash.label(frame).collect()}
-    assert found == roots(values, lambda a, b: (a ^ b).bit_count() <= 2)
+    values = {base ^ (rng.getrandbits(9) << rng.choice([0, 20, 33, 50])) for _ in range(700)} | {0, 2**64 - 1, 2**63}
+    frame = materialize(spark.createDataFrame([(signed(v),) for v in values for _ in range(2)], "fp long"))
+    found = {r.fp: r.root for r in simhash.label(frame, radius).collect()}
+    wanted = roots({signed(v) for v in values}, lambda a, b: (a ^ b).bit_count() <= radius if (a < 0) == (b < 0) else (a % 2**64 ^ b % 2**64).bit_count() <= radius)
+    assert found == wanted
 
 
-def test_bk_tree():
+def test_bk_tree_follows_only_edges_within_the_radius():
     rng = random.Random(4)
-    values = [rng.getrandbits(16) for _ in range(300)]
-    tree = simhash.BKTree()
-    for v in set(values):
-        tree.insert(v)
-    for v in values[:40]:
-        assert {tree.values[i] for i in tree.search(v, 3)} == {x for x in values if (x ^ v).bit_count() <= 3}
+    base = rng.getrandbits(64)
+    for radius, values in ((3, {rng.getrandbits(16) for _ in range(300)}), (2, {rng.getrandbits(64) for _ in range(3000)} | {base ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)})):
+        values = np.array(list(values), np.uint64)
+        tree = simhash.BKTree(values)
+        assert sorted([0, *tree.children]) == list(range(len(values)))
+        # The tree of one insertion after the other.
+        nodes = {}
+        for i, v in enumerate(values.tolist()):
+            at = 0
+            while i and (edge := (at, (v ^ int(values[at])).bit_count())) in nodes:
+                at = nodes[edge]
+            if i:
+                nodes[edge] = i
+        assert nodes == {divmod(int(e), 65): int(c) for e, c in zip(tree.edges, tree.children)}
+        asked = values[:60]
+        a, b, visited = tree.search(asked, radius)
+        near = np.bitwise_count(asked[:, None] ^ values) <= radius
+        assert set(zip(a.tolist(), b.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near)))) and len(a) == near.sum()
+        wanted = 0
+        for q in asked.tolist():
+            todo = [0]
+            while todo:
+                at = todo.pop()
+                wanted += 1
+                distance = (q ^ int(values[at])).bit_count()
+                todo += [nodes[at, e] for e in range(max(0, distance - radius), distance + radius + 1) if (at, e) in nodes]
+        assert visited == wanted < (0.6 if radius == 2 else 1) * len(asked) * len(values)
+    assert len(simhash.BKTree(values[:0]).search(asked, 2)[0]) == 0
 
 
 def test_components(spark):
