@@ -4,34 +4,35 @@ The kernel of two texts is the number of character n-grams (a blended spectrum o
 n = 1, 2, 3) that both contain, divided by the root of the product of their own
 numbers. A Nystrom map on landmark texts approximates it, and ridge regression in
 that space fits one score for each language. As the kernel is linear in n-gram
-presence, landmarks, map and weights fold into one matrix; a batch of texts is
-scored by one product of its presence matrix with it.
+presence, landmarks, map and weights fold into one matrix, with a row for every n-gram
+of the landmarks: no other n-gram can be shared with one. A batch of texts is scored
+by one product of its presence matrix with it; each text's own number counts all its n-grams.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 SIZES = (1, 2, 3)
-#: At most so many labelled rows are fitted, and so many of them are landmarks.
-FIT_ROWS = 2_000
-LANDMARKS = 300
-VOCABULARY = 8_192
+#: About so many labelled rows are fitted, dealt evenly to the languages, but at least so many of each.
+FIT_ROWS, LEAST_ROWS = 2_000, 20
+#: So many of them are landmarks, dealt evenly as well, but at least so many of each language.
+LANDMARKS, LEAST_LANDMARKS = 300, 5
 RIDGE = 1e-3
-BATCH = 256
-TABLE_BITS = 18
+BATCH = 128
 UNKNOWN = "und"
 
 
 def gram_codes(text: str) -> np.ndarray:
-    """Distinct codes of the n-grams of ``text`` in lower case; 21 bits a character."""
+    """Distinct codes of the n-grams of ``text`` in lower case, sorted; 21 bits a character."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     codes, out = points, []
     for n in SIZES:
@@ -39,8 +40,20 @@ def gram_codes(text: str) -> np.ndarray:
             codes = (codes[:-1] << 21) | points[n - 1 :]
         if not len(codes):
             break
-        out.append(codes)
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+        # Codes of different n differ but for 3-grams of an unassigned character and NULs.
+        out.append(codes + (n << 61) if n < 3 else codes)
+    codes = np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
+    return codes[np.r_[True, codes[1:] != codes[:-1]]] if len(codes) else codes
+
+
+def presence(codes: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
+    """Which of the sorted ``codes`` each text has, divided by the root of the number of its n-grams."""
+    out = np.zeros((len(grams), len(codes)), np.float32)
+    for row, own in zip(out, grams):
+        if len(own) and len(codes):
+            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            row[at[codes[at] == own]] = 1 / np.sqrt(len(own))
+    return out
 
 
 @dataclass
@@ -51,81 +64,49 @@ class Model:
     codes: np.ndarray
     weights: np.ndarray
 
-    def __post_init__(self):
-        # A perfect-looking hash is not needed: each cell lists one code, the others are searched for.
-        self.cells = np.full(1 << TABLE_BITS, -1, np.int32)
-        self.cells[self.cell(self.codes)] = np.arange(len(self.codes), dtype=np.int32)
-        lost = self.codes[self.cells[self.cell(self.codes)]] != self.codes if len(self.codes) else np.empty(0, bool)
-        self.lost = self.codes[lost]
-        self.lost_at = np.flatnonzero(lost)
-
-    @staticmethod
-    def cell(codes: np.ndarray) -> np.ndarray:
-        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-    def present(self, text: str) -> np.ndarray:
-        """Which of the model's n-grams the whole of ``text`` contains."""
-        seen = np.zeros(len(self.codes) + 1, bool)
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        codes = points
-        for n in SIZES:
-            if n > 1:
-                codes = (codes[:-1] << 21) | points[n - 1 :]
-            if not len(codes):
-                break
-            at = self.cells[self.cell(codes)]
-            seen[at[self.codes[at] == codes]] = True
-            if len(self.lost):
-                seen[self.lost_at[np.isin(self.lost, codes)]] = True
-        return seen[:-1]
-
     def scores(self, texts: list[str]) -> np.ndarray:
         """Ridge scores of each text for each language."""
-        out = []
-        for i in range(0, len(texts), BATCH):
-            presence = np.array([self.present(t) for t in texts[i : i + BATCH]], np.float32).reshape(-1, len(self.codes))
-            norms = np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
-            out.append((presence @ self.weights) / norms)
-        return np.concatenate(out) if out else np.empty((0, len(self.languages)))
+        blocks = [presence(self.codes, [gram_codes(t) for t in texts[i : i + BATCH]]) @ self.weights for i in range(0, len(texts), BATCH)]
+        return np.concatenate(blocks) if blocks else np.empty((0, len(self.languages)))
 
 
 def fit(texts: list[str], languages: list[str]) -> Model | None:
-    """Kernel ridge regression on at most ``LANDMARKS`` landmarks, dealt evenly to the languages."""
+    """Kernel ridge regression on landmarks; None if no text has an n-gram."""
     names = sorted(set(languages))
-    if not names:
-        return None
     grams = [gram_codes(t) for t in texts]
-    codes, counts = np.unique(np.concatenate(grams), return_counts=True)
-    kept = np.sort(codes[np.lexsort((codes, -counts))[:VOCABULARY]])
-    presence = np.array([np.isin(kept, g, assume_unique=True) for g in grams], np.float64)
-    presence /= np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
-    share = -(-LANDMARKS // len(names))
-    places = [i for name in names for i in [j for j, x in enumerate(languages) if x == name][:share]]
-    marks = presence[places]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
-    good = values > 1e-8 * max(values.max(), 1e-300)
+    share = max(LEAST_LANDMARKS, -(-LANDMARKS // max(1, len(names))))
+    places = [i for name in names for i in [j for j, x in enumerate(languages) if x == name and len(grams[j])][:share]]
+    if not places:
+        return None
+    codes = np.unique(np.concatenate([grams[i] for i in places]))
+    marks = presence(codes, [grams[i] for i in places])
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    features = presence @ marks.T @ whiten
+    kernel = np.concatenate([presence(codes, grams[i : i + BATCH]) @ marks.T for i in range(0, len(grams), BATCH)])
+    features = kernel @ whiten
     targets = np.array([[float(x == name) for name in names] for x in languages])
     # Every language weighs the same, however many rows it has.
     weight = 1 / np.array([languages.count(x) for x in languages], float)[:, None]
     weight *= len(languages) / weight.sum()
     gram = features.T @ (features * weight) + RIDGE * len(texts) * np.eye(features.shape[1])
     ridge = np.linalg.solve(gram, features.T @ (targets * weight))
-    return Model(names, kept, (marks.T @ (whiten @ ridge)).astype(np.float32))
+    return Model(names, codes, (marks.T @ (whiten @ ridge)).astype(np.float32))
 
 
 def labelled_sample(df: DataFrame, text: str, language: str, key: Column, rows: int = FIT_ROWS) -> tuple[list[str], list[str]]:
-    """At most ``rows`` whole labelled texts, those with the smallest ``key`` (a 64-bit hash).
+    """About ``rows`` whole labelled texts, as many of each language, those with the smallest ``key`` (a 64-bit hash).
 
-    The labelled rows are counted first, so that only the part of the keys' range
-    that should hold a few more than ``rows`` is sorted and sent to the driver.
+    Languages are counted first, so that only the part of the keys' range that should
+    hold a few more than wanted is sorted and sent to the driver.
     """
-    usable = df.where(F.col(text).isNotNull() & F.col(language).isNotNull())
-    share = min(1.0, 1.2 * rows / max(1, usable.count()))
-    below = F.shiftrightunsigned(key, 1) <= min(int(share * 2**63), 2**63 - 1)
-    few = usable.where(below).select(F.col(text).alias("t"), F.col(language).alias("l"), F.shiftrightunsigned(key, 1).alias("k"))
-    got = few.orderBy("k", "l", F.xxhash64("t")).limit(rows).collect()
+    usable = df.select(F.col(f"`{text}`").alias("t"), F.col(f"`{language}`").alias("l"), F.shiftrightunsigned(key, 1).alias("k")).where("t is not null and l is not null")
+    counts = dict(map(tuple, usable.groupBy("l").count().collect()))
+    share = max(LEAST_ROWS, -(-rows // max(1, len(counts))))
+    below = {name: min(2**63 - 1, int(1.2 * share / n * 2**63)) for name, n in counts.items()}
+    some = reduce(lambda a, b: a | b, [(F.col("l") == name) & (F.col("k") <= most) for name, most in below.items()], F.lit(False))
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("k", F.xxhash64("t"), "t"))
+    got = usable.where(some).withColumn("n", nth).where(F.col("n") <= share).orderBy("k", "l", F.xxhash64("t")).collect()
     return [r.t for r in got], [r.l for r in got]
 
 
@@ -153,14 +134,16 @@ def predict(text: Column, model: Model | None) -> Column:
 def identify(df: DataFrame, train: DataFrame, key: Column, text: str = "text", language: str = "lang") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to ``df``, by a model fitted on ``train``.
 
-    The model learns from at most ``FIT_ROWS`` labelled rows of ``train``, chosen by
-    ``key``; every row of ``df`` is predicted from the whole of its text alone. Equal
-    texts get equal predictions; a tie goes to the language that sorts first. Any
-    columns of those two names are replaced. An empty ``train`` predicts ``und``.
+    The model learns from about ``FIT_ROWS`` labelled rows of ``train``, chosen by ``key`` and
+    dealt evenly to the languages; every row of ``df`` is predicted from the whole of its
+    text alone. Equal texts get equal predictions; a tie goes to the language that sorts
+    first. Null texts, texts without a letter, and all texts if nothing or only empty texts
+    can be learned from, are ``und`` with score 0. Columns of the two added names are
+    replaced; all others stay, whatever they are called.
     """
     model = fit(*labelled_sample(train, text, language, key))
-    (told,) = [n for n in ["language_told"] if n not in df.columns] or ["_language_told"]
-    predicted = df.withColumn(told, predict(F.col(text), model))
+    (told,) = fresh(df, "language_told")
+    predicted = df.withColumn(told, predict(F.col(f"`{text}`"), model))
     return predicted.withColumns({"lang_pred": F.col(f"{told}.lang_pred"), "score": F.col(f"{told}.score")}).drop(told)
 
 

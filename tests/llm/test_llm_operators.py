@@ -368,8 +368,38 @@ def test_language(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "ß" * 50_000)], DOCS)
     told = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(odd, data, F.xxhash64("doc_id")).collect()}
     assert told[1] == told[2] == told[3] == ("und", 0.0) and told[4][0] in sounds
-    none = language.identify(data, data.limit(0), F.xxhash64("doc_id"))
-    assert {r.lang_pred for r in none.collect()} == {"und"}
+    for nothing in (data.limit(0), data.withColumn("text", F.lit("")), data.withColumn("lang", F.lit(None).cast("string"))):
+        assert {r.lang_pred for r in language.identify(data, nothing, F.xxhash64("doc_id")).collect()} == {"und"}
+    clash = data.withColumns({"language_told": F.lit(1), "_language_told": F.lit(2), "score": F.lit(3)}).limit(5)
+    told = language.identify(clash, data, F.xxhash64("doc_id"))
+    assert told.columns == [*clash.columns, "lang_pred"] and all(r._language_told == 2 and r.score <= 1 for r in told.collect())
+
+
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(18)
+    rows = [(i, "".join(rng.choices("abcd ", k=80)), "often") for i in range(3000)] + [(5000 + i, "".join(rng.choices("wxyz ", k=80)), "rare") for i in range(6)]
+    data = spark.createDataFrame(rows, DOCS + ", lang string")
+    told = {r.doc_id: r.lang_pred for r in language.identify(data.where("doc_id >= 5000 or doc_id < 50"), data, F.xxhash64("doc_id")).collect()}
+    assert all(told[i] == ("rare" if i >= 5000 else "often") for i in told)
+
+
+def test_scores_are_those_of_the_kernel(texts):
+    """The folded matrix against kernels of sets, the same landmarks and plain linear algebra."""
+    texts = [t for t in texts if t] + ["a\0b", "\0", "ab", "bß𝄞"]
+    names = [["x", "y", "z"][i % 3] for i in range(len(texts))]
+    grams = [{(n, t.lower()[i : i + n]) for n in (1, 2, 3) for i in range(len(t.lower()) - n + 1)} for t in texts]
+    assert [len(language.gram_codes(t)) for t in texts] == [len(g) for g in grams]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    model = language.fit(texts, names)
+    share = max(language.LEAST_LANDMARKS, language.LANDMARKS // 3)
+    places = [i for name in "xyz" for i in [j for j, x in enumerate(names) if x == name][:share]]
+    values, vectors = np.linalg.eigh(kernel[np.ix_(places, places)])
+    good = values > 1e-6 * values.max()
+    features = kernel[:, places] @ vectors[:, good] / np.sqrt(values[good])
+    weight = np.array([len(texts) / 3 / names.count(x) for x in names])[:, None]
+    targets = np.array([[float(x == name) for name in "xyz"] for x in names])
+    ridge = np.linalg.solve(features.T @ (features * weight) + language.RIDGE * len(texts) * np.eye(good.sum()), features.T @ (targets * weight))
+    assert np.allclose(model.scores(texts), features @ ridge, atol=2e-3)
 
 
 # 7
