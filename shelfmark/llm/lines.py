@@ -7,7 +7,7 @@ reduced to the first. Words sort by rarity: words are counted over all documents
 sort by hash before them. Of n sorted words the first n - ceil(0.8 n) + 1 are the
 prefix; alike lines share a prefix word at places that leave room for the overlap
 (positional filter), and their sizes are within a factor of 0.8 (length filter). A
-64-bit parity signature, whose difference is never larger than the sets' difference,
+parity signature, whose difference is never larger than the sets' difference,
 drops almost all other pairs before the words themselves are compared.
 
 A prefix word that occurs very often is split: alike lines that share it first share a
@@ -32,6 +32,8 @@ JOINED_WORDS = 4
 LISTED = 1 << 15
 #: Cells of the table of classes, and classes for each doubling of the count.
 CELL_BITS, STEPS = 18, 3
+#: Lines of more words have a signature of twice the bits: differences of up to a ninth of two sets would fill 64.
+LONG = 90
 #: A word that occurs more often is a key only together with a second word.
 OFTEN = 20_000
 LAST = 2**63 - 1
@@ -94,15 +96,20 @@ def prefix_length(n: Column) -> Column:
 
 
 def described(line: Column, rarity: Rarity, least: int) -> Column:
-    """Struct of ``s``, ``t`` (two hashes of the set), ``n``, ``sign`` and ``prefix`` (one word more than the prefix)."""
+    """Struct of ``s``, ``t`` (two hashes of the set), ``n``, ``sign``, ``half`` and ``prefix`` (one word more than the prefix).
+
+    ``sign`` is the parity of the words under each of 64 numbers, ``half`` that of one half of the words, for long lines.
+    """
     one = F.lit(1).cast("long")
 
     def struct(own: Column) -> Column:
         n = F.size(own)
         prefix = F.slice(own, F.lit(1), F.when(n < JOINED_WORDS, 0).otherwise(prefix_length(n) + 1))
         bit = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int")))
-        sign = F.aggregate(own, F.lit(0).cast("long"), bit)
-        fields = F.struct(F.xxhash64(own).alias("s"), F.xxhash64(own, F.lit(1)).alias("t"), n.alias("n"), sign.alias("sign"), prefix.alias("prefix"))
+        some = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(c, 6).bitwiseAND(one), c.bitwiseAND(F.lit(63)).cast("int")))
+        none = F.lit(0).cast("long")
+        signs = [F.aggregate(own, none, bit).alias("sign"), F.when(n > LONG, F.aggregate(own, none, some)).otherwise(none).alias("half")]
+        fields = F.struct(F.xxhash64(own).alias("s"), F.xxhash64(own, F.lit(1)).alias("t"), n.alias("n"), *signs, prefix.alias("prefix"))
         return F.when(n >= least, fields)
 
     return let(F.sort_array(F.transform(word_hashes(line), rarity.code)), struct)
@@ -120,20 +127,21 @@ def possible(prefix: str) -> Column:
     n, m = F.col("n"), F.col(f"{prefix}n")
     overlap = F.ceil((n + m) * NEED / (NEED + OF))
     rest = F.least(n - F.col("place"), m - F.col(f"{prefix}place"))
-    differ = F.bit_count(F.col("sign").bitwiseXOR(F.col(f"{prefix}sign")))
+    sign, half = F.col("sign").bitwiseXOR(F.col(f"{prefix}sign")), F.col("half").bitwiseXOR(F.col(f"{prefix}half"))
+    differ = F.when((n > LONG) & (m > LONG), F.bit_count(half) + F.bit_count(sign.bitwiseXOR(half))).otherwise(F.bit_count(sign))
     return (rest >= overlap) & (differ <= n + m - overlap * 2)
 
 
-ROW = ("doc", "line", "n", "sign", "place")
+ROW = ("doc", "line", "n", "sign", "half", "place")
 
 
 def keyed(firsts: DataFrame, rarity: Rarity, *more: str) -> DataFrame:
     """A row for each key of each line: its prefix words, frequent ones with each later word."""
     length = prefix_length(F.col("n"))
-    every = firsts.select("doc", "line", "n", "sign", *more, "prefix", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "key"))
+    every = firsts.select("doc", "line", "n", "sign", "half", *more, "prefix", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "key"))
     plain = every.where(~rarity.is_often(F.col("key"))).select(*ROW, *more, "key")
     some = firsts.where(rarity.is_often(F.get("prefix", length - 1)))
-    both = some.select("doc", "line", "n", "sign", *more, "prefix", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "first"))
+    both = some.select("doc", "line", "n", "sign", "half", *more, "prefix", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "first"))
     both = both.where(rarity.is_often(F.col("first"))).withColumn("second", F.explode(F.slice("prefix", F.col("place") + 2, length - F.col("place"))))
     return plain.union(both.select(*ROW, *more, F.xxhash64("first", "second").alias("key")))
 
@@ -216,12 +224,12 @@ def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text", least: in
     # Lines without a set are left out on reading: a filter here would describe every line twice.
     described_ = materialize(lines.select("doc", "line", described(F.col("own"), rarity, least).alias("d")).select("doc", "line", "d.*"))
     sets = described_.where("s is not null")
-    at = F.min(F.struct("doc", "line", "n", "sign", "prefix")).alias("at")
+    at = F.min(F.struct("doc", "line", "n", "sign", "half", "prefix")).alias("at")
     firsts = materialize(sets.groupBy("s", "t").agg(at, F.count(F.lit(1)).alias("copies")).select("s", "t", "copies", "at.*"))
     narrow = materialize(sets.select("doc", "line", "s", "t"))
     discard(described_.written_path)
     release(spark)
-    gone = alike_firsts(firsts.where(F.col("n") >= JOINED_WORDS).select("doc", "line", "n", "sign", "prefix"), rarity, df, id_, text)
+    gone = alike_firsts(firsts.where(F.col("n") >= JOINED_WORDS).select("doc", "line", "n", "sign", "half", "prefix"), rarity, df, id_, text)
     release(spark)
     judged = firsts.select(F.col("s").alias("f_s"), F.col("t").alias("f_t"), "copies", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"))
     at = bounded(gone.toDF("g_doc", "g_line"))

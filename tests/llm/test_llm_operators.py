@@ -559,6 +559,7 @@ def brute_lines(rows):
 @pytest.mark.parametrize("often", [20_000, 3])
 def test_lines(spark, monkeypatch, often):
     monkeypatch.setattr(lines, "OFTEN", often)
+    monkeypatch.setattr(lines, "LONG", 12)
     rng = random.Random(11)
     vocabulary = ["the", "of", "and", *["".join(rng.choices("abcdef", k=4)) for _ in range(60)]]
     base = [rng.choices(vocabulary, k=rng.randint(1, 25)) for _ in range(30)]
