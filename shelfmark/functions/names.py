@@ -64,3 +64,15 @@ def fold_diacritics(text: Column) -> Column:
         return values.map(lambda t: None if t is None else plain(t))
 
     return run(text)
+
+
+def fold_case(text: Column) -> Column:
+    """Full case folding by SQL functions: ``Straße`` and ``STRASSE`` become equal.
+
+    Upper case expands what folding expands; a dotless i, which folding keeps, has no
+    part in that, and there is one sigma only. The optimizer merges case mappings
+    that follow each other, but none that a replacement parts.
+    """
+    dotless, kept = F.lit("\u0131"), F.lit("\ue131")
+    upper = F.upper(F.replace(F.lower(text), dotless, kept))
+    return F.replace(F.lower(F.replace(upper, kept, dotless)), F.lit("\u03c2"), F.lit("\u03c3"))

@@ -45,6 +45,18 @@ def within(path: Column, directory: str) -> Column:
     return (path == base) | path.startswith(f"{base}/")
 
 
+# Folders of the system, which nothing may be done in.
+SYSTEM_FOLDERS = ("/System", "/private", "/usr", "/bin", "/sbin", "/etc")
+
+
+def protected(folder: Column, home: str, application: str, denied: tuple[str, ...] = ()) -> Column:
+    """The root, home and the application's folder themselves; system and denied folders with all below."""
+    out = folder.isin("", "/", home.rstrip("/"), application.rstrip("/"))
+    for known in (*SYSTEM_FOLDERS, *denied):
+        out |= within(folder, known)
+    return out
+
+
 def initial(name: Column) -> Column:
     """The first letter A to Z of a name in upper case, else the label for others."""
     first = F.substring(F.upper(F.ltrim(name)), 1, 1)

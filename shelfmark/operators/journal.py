@@ -100,6 +100,12 @@ def claim(jobs: DataFrame, now_ms: int) -> DataFrame:
     return expire(jobs, now_ms).where("status = 'queued'").orderBy(F.desc("priority"), "created_at_ms", "id").limit(1)
 
 
+def claim_order(jobs: DataFrame, now_ms: int, *by: str) -> DataFrame:
+    """Jobs that can be claimed, with their ``place`` among those with equal ``by``."""
+    order = Window.partitionBy(*by).orderBy(F.desc("priority"), "created_at_ms", "id")
+    return expire(jobs, now_ms).where("status = 'queued'").withColumn("place", F.row_number().over(order))
+
+
 def request(jobs: DataFrame, kind: str) -> DataFrame:
     """Jobs after a ``pause`` or ``cancel`` request: running ones are asked, waiting ones change at once."""
     final = {"pause": "paused", "cancel": "cancelled"}[kind]
@@ -135,9 +141,18 @@ def finish(jobs: DataFrame, owner: str, now_ms: int, expected: str, outcome: str
     return jobs.withColumn("applied", mine).withColumn("status", F.when(mine, outcome).otherwise(F.col("status")))
 
 
+#: States in which a job belongs to its worker.
+HELD = ("running", "pause_requested", "cancel_requested")
+
+
+def held(owner: str, now_ms: int) -> Column:
+    """Whether ``owner`` works on the job under a live lease; else a report or a renewal is lost."""
+    return owned(owner, now_ms) & F.col("status").isin(*HELD)
+
+
 def progress(jobs: DataFrame, owner: str, now_ms: int, current: Column, total: Column) -> DataFrame:
-    """Jobs after a progress report; a total that is not given is kept."""
-    ok = owned(owner, now_ms) & F.coalesce(current <= total, F.lit(True))
+    """Jobs after a progress report; a total that is not given is kept. A report beyond its total changes nothing."""
+    ok = held(owner, now_ms) & F.coalesce(current <= total, F.lit(True))
     return jobs.withColumns(
         {
             "progress_current": F.when(ok, current).otherwise(F.col("progress_current")),
@@ -146,6 +161,13 @@ def progress(jobs: DataFrame, owner: str, now_ms: int, current: Column, total: C
     )
 
 
+def renew(jobs: DataFrame, owner: str, now_ms: int, duration_ms: int) -> DataFrame:
+    """Jobs after their owner renews its leases, for a millisecond at least; ``renewed`` is false where that is too late."""
+    ok = held(owner, now_ms)
+    until = F.lit(now_ms + max(1, duration_ms)).cast("long")
+    return jobs.withColumn("renewed", ok).withColumn("lease_expires_at_ms", F.when(ok, until).otherwise(F.col("lease_expires_at_ms")))
+
+
 def first_events(jobs: DataFrame) -> DataFrame:
     """What enqueueing logs: one ``queued`` event for each job, with nothing done yet."""
     return jobs.select(F.col("id").alias("job_id"), F.lit("queued").alias("event"), F.col("created_at_ms"))

@@ -161,6 +161,16 @@ def from_rule(rule: dict) -> SearchSpec:
 
 
 def natural_key(name: Column) -> Column:
-    """A key that sorts numbers in names by their value: lower case, digits padded to 20."""
-    padded = F.regexp_replace(F.lower(name), r"([0-9]+)", "0" * 20 + "$1")
-    return F.regexp_replace(padded, r"[0-9]*([0-9]{20})", "$1")
+    """A key that sorts numbers in names by their value, whatever their length; case does not matter."""
+
+    def part(x: Column) -> Column:
+        number = F.coalesce(F.nullif(F.ltrim(x, F.lit("0")), F.lit("")), F.lit("0"))
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(number).cast("string"), 6, "0"), number)).otherwise(x)
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit("[0-9]+|[^0-9]+"), 0), part), "")
+
+
+def natural_order(path: Column, descending: bool = False) -> list[Column]:
+    """By name, then by path; the tiebreak turns with the direction."""
+    keys = [natural_key(basename(path)), path]
+    return [k.desc() for k in keys] if descending else keys

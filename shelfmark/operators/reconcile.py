@@ -116,3 +116,24 @@ def watch(previous: DataFrame, current: DataFrame, has_run: Column) -> DataFrame
     count = F.when(settles, F.col("p.stable_count") + 1).when(same, F.col("p.stable_count")).otherwise(0)
     handled = F.when(~has_run, F.lit(True)).when(settles, F.lit(True)).when(same, F.col("p.handled")).otherwise(F.lit(False))
     return joined.select("c.*", count.cast("int").alias("stable_count"), handled.alias("handled"), (settles & has_run).alias("candidate"))
+
+
+def register_roots(roots: DataFrame, libraries: DataFrame, wanted: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """``roots`` and ``libraries`` after roots are registered.
+
+    ``wanted``: ``path``, ``library_id``, ``root_id``, ``name``; one row for a path. A root that is
+    known keeps its ids and name, is enabled, and its library counts as updated now; an
+    unknown one is added, with its library.
+    """
+    asked = wanted.select(F.col("path").alias("w_path"), F.col("library_id").alias("w_library"), F.col("root_id").alias("w_root"), F.col("name").alias("w_name"))
+    here = roots.join(asked.select("w_path"), F.col("path") == F.col("w_path"), "left")
+    known = here.withColumn("enabled", F.col("w_path").isNotNull() | F.col("enabled")).select(*roots.columns)
+    new = asked.join(roots, F.col("path") == F.col("w_path"), "left_anti")
+    now = F.lit(now_ms).cast("long")
+    values = {"id": F.col("w_root"), "library_id": F.col("w_library"), "path": F.col("w_path"), "enabled": F.lit(True), "created_at_ms": now}
+    fill = lambda table, given: [given.get(c, F.lit(None)).cast(table.schema[c].dataType).alias(c) for c in table.columns]
+    touched = roots.join(asked, F.col("path") == F.col("w_path"), "left_semi").select(F.col("library_id").alias("t_id")).distinct()
+    renewed = libraries.join(touched, F.col("id") == F.col("t_id"), "left")
+    renewed = renewed.withColumn("updated_at_ms", F.when(F.col("t_id").isNotNull(), now).otherwise(F.col("updated_at_ms"))).select(*libraries.columns)
+    named = {"id": F.col("w_library"), "name": F.col("w_name"), "created_at_ms": now, "updated_at_ms": now}
+    return known.union(new.select(*fill(roots, values))), renewed.union(new.select(*fill(libraries, named)))

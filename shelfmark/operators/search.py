@@ -126,3 +126,12 @@ def search(files: DataFrame, query: str | SearchSpec, library: str | None = None
     for condition in [active(), *filters(spec), *([F.col("library_id") == library] if library is not None else [])]:
         rows = rows.where(condition)
     return rows.orderBy("rank", "path", "id").limit(clamp(limit, SEARCH_ROWS))
+
+
+def index_statistics(files: DataFrame) -> DataFrame:
+    """``token``, ``df``, ``tf``, ``n`` and ``average_length``: what ranking needs of names and paths, which are indexed both."""
+    listed = files.select("id", tokens(F.col("path")).alias("t"))
+    totals = listed.agg(F.count(F.lit(1)).alias("n"), F.avg((2 * F.size("t")).cast("double")).alias("average_length"))
+    each = listed.select("id", F.explode("t").alias("token")).groupBy("token", "id").count()
+    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), (2 * F.sum("count")).alias("tf"))
+    return counted.join(F.broadcast(totals)).select("token", "df", "tf", "n", "average_length")

@@ -50,13 +50,32 @@ def similarity(left: Column, right: Column) -> Column:
     return (1 - F.bit_count(left.bitwiseXOR(right)) / BITS).cast("double")
 
 
+def bit_votes(hashes: DataFrame, key: str, value: str, bits: int = BITS) -> DataFrame:
+    """``key`` and ``hash``: each bit is the majority of its group's values; ties set it."""
+    vote = lambda b: F.sum(F.when(F.shiftright(value, b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
+    votes = hashes.groupBy(key).agg(*[vote(b).alias(f"b{b}") for b in range(bits)])
+    out = F.lit(0).cast("long")
+    for b in range(bits):
+        signed = (1 << b) - (1 << 64) * (b == 63)
+        out = out.bitwiseOR(F.when(F.col(f"b{b}") >= 0, F.lit(signed).cast("long")).otherwise(F.lit(0).cast("long")))
+    return votes.select(key, out.alias("hash"))
+
+
 def similar_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """Pairs of ids within ``distance`` bits (below the number of blocks): they agree on one block."""
-    blocks = distance + 1
-    width = BITS // blocks
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("hash", width * i).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(blocks)])
-    keyed = prints.select("id", "hash", F.explode(keys).alias("key"))
-    left = keyed.select("key", F.col("id").alias("left_id"), F.col("hash").alias("left_hash"))
-    right = keyed.select("key", F.col("id").alias("right_id"), F.col("hash").alias("right_hash"))
-    near = left.join(right, "key").where((F.col("left_id") < F.col("right_id")) & (F.bit_count(F.col("left_hash").bitwiseXOR(F.col("right_hash"))) <= distance))
-    return near.select("left_id", "right_id", similarity(F.col("left_hash"), F.col("right_hash")).alias("similarity")).distinct()
+    """``left_id``, ``right_id``, ``similarity``: links that leave out no class of equal hashes.
+
+    The smallest id stands for its class: it is linked with each member (similarity 1), and with
+    those of the classes within ``distance`` bits. Of distance + 2 blocks two such hashes
+    agree on two at least, so they meet under a pair of blocks; a hash is computed and kept once.
+    """
+    classes = prints.where("hash is not null").groupBy("hash").agg(F.min("id").alias("rep"))
+    blocks = distance + 2
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    part = lambda i: F.shiftrightunsigned("hash", cuts[i]).bitwiseAND(F.lit((1 << cuts[i + 1] - cuts[i]) - 1))
+    keys = F.array(*[F.struct(F.lit(blocks * i + j).alias("n"), part(i).alias("a"), part(j).alias("b")) for i in range(blocks) for j in range(i + 1, blocks)])
+    keyed = classes.select("rep", "hash", F.explode(keys).alias("key")).repartition("key")
+    other = keyed.select(F.col("key").alias("other_key"), F.col("rep").alias("right_id"), F.col("hash").alias("right_hash"))
+    met = keyed.join(other, (F.col("key") == F.col("other_key")) & (F.col("rep") < F.col("right_id")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("right_hash"))) <= distance))
+    near = met.select(F.col("rep").alias("left_id"), "right_id", similarity(F.col("hash"), F.col("right_hash")).alias("similarity")).distinct()
+    members = prints.join(classes.withColumnRenamed("hash", "known"), F.col("hash") == F.col("known")).where(F.col("id") != F.col("rep"))
+    return near.union(members.select("rep", "id", F.lit(1.0)))

@@ -2,39 +2,84 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import numbered_name, split_name
+from ..functions.names import numbered_name, safe_filename, split_name
 from ..functions.paths import basename
 from ..operators.classify import classify, label
 
-OUTPUT = "归序整理"
+#: The folder below a library's root that plans move files into, if the caller names no other.
+OUTPUT = "organized"
 LIFETIME_MS = 15 * 60 * 1000
 MOST_FILES = 500
+#: After so many numbers a name gets a hash instead.
+MOST_NUMBERS = 100_000
+
+
+def fold_name(name: str, style: str) -> str:
+    """What tells names apart: the mainline style maps to lower case, the legacy one folds case."""
+    return name.lower() if style == "mainline" else name.casefold()
+
+
+def candidate(name: str, number: int, style: str) -> str:
+    """The ``number``-th alternative (from 1) to a name that is taken."""
+    stem, extension = split_name(name)
+    if style == "legacy":
+        return f"{stem} ({number})" + (f".{extension}" if extension else "")
+    if number >= MOST_NUMBERS:
+        return safe_filename(f"{stem}-{hashlib.sha256(name.encode()).hexdigest()}", extension)
+    return numbered_name(name, number + 1)
+
+
+def family(name: str, style: str) -> str:
+    """The folded name without any numbers that were added: names of other families never become equal."""
+    stem, extension = split_name(name if style == "legacy" else candidate(name, 1, style))
+    while stem.endswith(")") and " (" in stem and stem[stem.rindex(" (") + 2 : -1].isdigit():
+        stem = stem[: stem.rindex(" (")]
+    return fold_name(f"{stem}.{extension}", style)
+
+
+def _told_apart(name: Column, style: str) -> Column:
+    @F.pandas_udf("key string, family string")
+    def run(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"key": [fold_name(n, style) for n in names], "family": [family(n, style) for n in names]})
+
+    return run(name)
+
+
+def _alternative(name: Column, number: Column, style: str) -> Column:
+    @F.pandas_udf("string")
+    def run(names: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([n if k < 1 else candidate(n, int(k), style) for n, k in zip(names, numbers)])
+
+    return run(name, number)
 
 
 def _assign(style: str):
-    """Names of one folder in plan order, each unlike all before it and all that exist there."""
+    """Names of one family in plan order, each unlike all before it and all that exist there."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        taken = {n.casefold() for names in rows["existing"] if names is not None for n in names}
-        planned = rows[rows["ordinal"].notna()].sort_values("ordinal", kind="stable")
-        following: dict[str, int] = {}
+        taken = {fold_name(n, style) for n in rows.loc[rows["id"].isna(), "name"]}
+        planned = rows[rows["id"].notna()].sort_values("place", kind="stable")
+        tried: dict[str, int] = {}
         out = []
         for name in planned["name"]:
-            chosen, key = name, name.casefold()
-            number = following.get(key, 2 if style == "mainline" else 1)
-            while chosen.casefold() in taken:
-                stem, ext = split_name(name)
-                chosen = numbered_name(name, number) if style == "mainline" else f"{stem} ({number})" + (f".{ext}" if ext else "")
+            number, chosen = tried.get(name, 0), name
+            while number < MOST_NUMBERS or style == "legacy":
+                chosen = candidate(name, number, style) if number else name
+                if fold_name(chosen, style) not in taken:
+                    break
                 number += 1
-            following[key] = number
-            taken.add(chosen.casefold())
+            else:
+                chosen = candidate(name, number, style)
+            tried[name] = number
+            taken.add(fold_name(chosen, style))
             out.append(chosen)
-        planned = planned.assign(unique_name=out)
-        return planned[["folder", "ordinal", "id", "unique_name"]]
+        return planned.assign(unique_name=out)[["folder", "id", "unique_name"]]
 
     return run
 
@@ -42,39 +87,43 @@ def _assign(style: str):
 def unique_names(plan: DataFrame, existing: DataFrame, style: str = "mainline") -> DataFrame:
     """``folder``, ``ordinal``, ``id``, ``unique_name`` for rows (``folder``, ``ordinal``, ``id``, ``name``).
 
-    ``existing``: (``folder``, ``name``) of what is there already. Case does not
-    tell names apart. Only folded names that clash somewhere meet in one task, a
-    group for each folder and folded stem; names without a clash never leave the JVM.
+    ``existing``: (``folder``, ``name``) of what is there already. Names are given in the
+    order of ``ordinal`` (ties: ``id``, which must be unique in a folder): the first of a name keeps it unless it exists, each later
+    one takes the smallest number that is free then. Where a family (see ``family``) has
+    one name only, numbers follow from the rows' order; only families in which a name
+    with a number may meet another name go through Python one by one.
     """
-    folded = F.lower("name")
-    rows = plan.withColumn("_key", folded)
-    there = existing.select("folder", F.lower("name").alias("_key")).distinct()
-    clash = rows.groupBy("folder", "_key").count().where("count > 1").select("folder", "_key").union(rows.join(there, ["folder", "_key"], "left_semi").select("folder", "_key")).distinct()
-    alone = rows.join(clash, ["folder", "_key"], "left_anti").select("folder", "ordinal", "id", F.col("name").alias("unique_name"))
-    # A numbered name may itself be planned or exist: compare within the family of one stem.
-    family = F.regexp_replace(F.regexp_replace(F.lower("name"), r"(?s)(.)\.[^.]*$", "$1"), r"( \(\d+\))+$", "")
-    families = rows.join(clash, ["folder", "_key"], "left_semi").select("folder", family.alias("family")).distinct()
-    crowded = rows.join(clash, ["folder", "_key"], "left_semi").select("folder", family.alias("family"), F.col("ordinal").cast("double"), "id", "name", F.lit(None).cast("array<string>").alias("existing"))
-    others = alone.withColumnRenamed("unique_name", "name").select("folder", "name").union(existing.select("folder", "name"))
-    known = others.withColumn("family", family).join(families, ["folder", "family"]).groupBy("folder", "family").agg(F.collect_set("name").alias("existing"))
-    known = known.select("folder", "family", F.lit(None).cast("double").alias("ordinal"), F.lit(None).cast("string").alias("id"), F.lit("").alias("name"), "existing")
-    renamed = crowded.union(known).groupBy("folder", "family").applyInPandas(_assign(style), "folder string, ordinal double, id string, unique_name string")
-    return alone.union(renamed.select("folder", F.col("ordinal").cast("int"), "id", "unique_name"))
-
-
-def move_plan(files: DataFrame, ids: DataFrame, root: str, now_ms: int, existing: DataFrame) -> DataFrame:
-    """A plan for the files with the ids given: one folder for each category below ``root``.
-
-    Files in the output already are refused (they are left out). Sorted by source
-    path; the plan expires after 15 minutes.
+    rows = plan.select("folder", "ordinal", "id", "name", _told_apart(F.col("name"), style).alias("t")).select("folder", "ordinal", "id", "name", "t.*")
+    there = existing.select("folder", "name").distinct().select("folder", "name", _told_apart(F.col("name"), style).alias("t")).select("folder", "name", "t.*")
+    sizes = rows.select("folder", "family", "key", F.lit(1).alias("planned")).union(there.select("folder", "family", "key").distinct().withColumn("planned", F.lit(0)))
+    crowded = sizes.groupBy("folder", "family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+    crowded = crowded.where((F.col("keys") > 1) & (F.col("n") > F.col("keys"))).select("folder", "family")
+    place = F.row_number().over(Window.partitionBy("folder", "key").orderBy("ordinal", "id")) - 1
+    taken = there.select("folder", "key").distinct().withColumn("taken", F.lit(1))
+    plain = rows.join(crowded, ["folder", "family"], "left_anti").join(taken, ["folder", "key"], "left")
+    numbered = plain.withColumn("number", place + F.coalesce("taken", F.lit(0)))
+    alone = numbered.select("folder", "ordinal", "id", _alternative(F.col("name"), F.col("number"), style).alias("unique_name"))
+    order = F.row_number().over(Window.partitionBy("folder", "family").orderBy("ordinal", "id")).alias("place")
+    together = rows.join(crowded, ["folder", "family"], "left_semi").select("folder", "family", order, "id", "name")
+    known = there.join(crowded, ["folder", "family"], "left_semi").select("folder", "family", F.lit(0).alias("place"), F.lit(None).cast("string").alias("id"), "name")
+    one_by_one = together.union(known).groupBy("folder", "family").applyInPandas(_assign(style), "folder string, id string, unique_name string")
+    named = plan.select("folder", "ordinal", "id").join(one_by_one, ["folder", "id"]).select("folder", "ordinal", "id", "unique_name")
+    return alone.union(named)
+
+
+def move_plan(files: DataFrame, ids: DataFrame, root: str, now_ms: int, existing: DataFrame, output: str = OUTPUT) -> DataFrame:
+    """A plan for the files with the ids given: one folder for each category below ``output`` in ``root``.
+
+    Files in the output already are refused (they are left out). Names are given in the
+    order of ids; rows are numbered by source path in each library. The plan expires after 15 minutes.
     """
-    wanted = files.join(ids.select("id").distinct(), "id", "left_semi").where(~F.col("path").startswith(f"{root}/{OUTPUT}/"))
+    wanted = files.join(ids.select("id").distinct(), "id", "left_semi").where(~F.col("path").startswith(f"{root}/{output}/"))
     category = classify(F.col("path"), F.col("header"))["category"]
-    folder = F.concat(F.lit(f"{root}/{OUTPUT}/"), label(category))
-    rows = wanted.select("id", F.col("path").alias("source_path"), folder.alias("folder"), basename(F.col("path")).alias("name"))
-    numbered = rows.withColumn("ordinal", (F.row_number().over(Window.orderBy("source_path", "id")) - 1).cast("int"))
-    names = unique_names(numbered.select("folder", "ordinal", "id", "name"), existing)
-    joined = numbered.join(names.select("id", "unique_name"), "id")
+    folder = F.concat(F.lit(f"{root}/{output}/"), label(category))
+    rows = wanted.select("id", "library_id", F.col("path").alias("source_path"), folder.alias("folder"), basename(F.col("path")).alias("name"))
+    names = unique_names(rows.select("folder", F.col("id").alias("ordinal"), "id", "name"), existing)
+    number = F.row_number().over(Window.partitionBy("library_id").orderBy("source_path", "id")) - 1
+    joined = rows.withColumn("ordinal", number.cast("int")).join(names.select("id", "unique_name"), "id")
     return joined.select(
         "ordinal", F.col("id").alias("file_id"), "source_path", F.concat("folder", F.lit("/"), "unique_name").alias("target_path"),
         F.lit(now_ms).cast("long").alias("created_at_ms"), F.lit(now_ms + LIFETIME_MS).cast("long").alias("expires_at_ms"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +14,7 @@ from .catalog import bind, with_roles
 from .functions import paths
 from .operators import classify, duplicates, journal, query, reconcile, rules, search, similarity
 from .plans import organize
-from .sources import content, sinks
-from .sources.directory import DirectorySource
+from .sources import content, directory, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -203,10 +205,17 @@ def _(files):
     return files.where(F.col("ordinary") & paths.within(F.col("path"), "/src2")).select("id")
 
 
-@register("flt16_protected_directories", "files", "SELECT id, (path = '/src4' OR starts_with(path, '/src4/')) OR (path = '/src5/en' OR starts_with(path, '/src5/en/')) AS protected FROM files")
+FOLDER = r"regexp_extract(path, '^(.*)/[^/]*$', 1)"
+DENIED = ("/src4", "/src5/en")
+
+
+@register("flt16_protected_directories", "files", f"""SELECT DISTINCT folder, folder IN ('', '/', '/src6', '/src7/de')
+  OR {" OR ".join(f"folder = '{d}' OR starts_with(folder, '{d}/')" for d in (*DENIED, *paths.SYSTEM_FOLDERS))} AS protected
+  FROM (SELECT {FOLDER} AS folder FROM files UNION ALL SELECT unnest(['/', '/etc', '/etc/x', '/etcetera', '/usr/bin', '/src6', '/src6/sub', '/private/tmp']))""")
 def _(files):
-    p = F.col("path")
-    return files.select("id", (paths.within(p, "/src4") | paths.within(p, "/src5/en")).alias("protected"))
+    named = files.sparkSession.createDataFrame([(d,) for d in ("/", "/etc", "/etc/x", "/etcetera", "/usr/bin", "/src6", "/src6/sub", "/private/tmp")], "folder string")
+    folders = files.select(paths.parent(F.col("path")).alias("folder")).union(named).distinct()
+    return folders.select("folder", paths.protected(F.col("folder"), home="/src6", application="/src7/de", denied=DENIED).alias("protected"))
 
 
 @register("flt17_due_automations", "jobs", f"SELECT id, greatest({NOW_MS}, updated_at_ms) + priority * 1000 AS next_run FROM jobs WHERE status <> 'cancelled' AND updated_at_ms <= {NOW_MS}")
@@ -445,9 +454,9 @@ def _(files):
     return search.search(files, "ext:PDF size:>2KB").select("id", "path", "rank")
 
 
-@register("srt10_plan_order", "files", "SELECT id, row_number() OVER (ORDER BY path, id) - 1 AS ordinal FROM files WHERE library_id = 'src7'")
+@register("srt10_plan_order", "files", "SELECT id, row_number() OVER (PARTITION BY library_id ORDER BY path, id) - 1 AS ordinal FROM files")
 def _(files):
-    return files.where("library_id = 'src7'").select("id", (F.row_number().over(Window.orderBy("path", "id")) - 1).cast("long").alias("ordinal"))
+    return files.select("id", (F.row_number().over(Window.partitionBy("library_id").orderBy("path", "id")) - 1).cast("long").alias("ordinal"))
 
 
 @register("srt14_undo_order", "items", "SELECT operation_id, ordinal, row_number() OVER (PARTITION BY operation_id ORDER BY ordinal DESC) AS step FROM items")
@@ -507,7 +516,10 @@ def _(files):
     return search.search(files, "   ").select("id", "path")
 
 
-@register("txt10_safe_filename", "files")
+STEM = rf"CASE WHEN regexp_matches({NAME}, '^.+\.[^.]*$') THEN regexp_extract({NAME}, '^(.+)\.[^.]*$', 1) ELSE {NAME} END"
+
+
+@register("txt10_safe_filename", "files", f"SELECT id, trim(regexp_replace('ab' || ({STEM}), ' +', ' ', 'g'), ' .') || CASE WHEN {EXT} = '' THEN '' ELSE '.' || {EXT} END AS name FROM files")
 def _(files):
     from .functions.names import safe_filename_column
 
@@ -515,10 +527,23 @@ def _(files):
     return files.select("id", safe_filename_column(F.concat(F.lit(' a:b*"'), paths.stem(p), F.lit(" .")), paths.extension(p)).alias("name"))
 
 
-@register("txt11_unique_filename", "files")
+def _copies(files):
+    """Many files of one name in each library, every seventh of which exists there."""
+    order = Window.partitionBy("library_id").orderBy("path", "id")
+    name = F.concat(F.lit("copy."), F.coalesce(F.nullif(paths.extension(F.col("path")), F.lit("")), F.lit("bin")))
+    plan = files.select(F.col("library_id").alias("folder"), F.row_number().over(order).alias("ordinal"), "id", name.alias("name"))
+    return plan, plan.where("ordinal % 7 = 0").select("folder", "name")
+
+
+COPIES_SQL = f""", c AS (SELECT library_id AS folder, row_number() OVER (PARTITION BY library_id ORDER BY path, id) AS ordinal, id, CASE WHEN {EXT} = '' THEN 'bin' ELSE {EXT} END AS ext FROM files),
+  e AS (SELECT DISTINCT folder, ext, 1 AS there FROM c WHERE ordinal % 7 = 0),
+  n AS (SELECT c.*, row_number() OVER (PARTITION BY folder, ext ORDER BY ordinal) - 1 + coalesce(there, 0) AS k FROM c LEFT JOIN e USING (folder, ext))
+  SELECT folder, cast(ordinal AS INT) AS ordinal, id, CASE WHEN k = 0 THEN 'copy.' ELSE 'copy (' || cast(k + {{first}} AS VARCHAR) || ').' END || ext AS unique_name FROM n"""
+
+
+@register("txt11_unique_filename", "files", COPIES_SQL.format(first=1))
 def _(files):
-    plan = files.select(F.col("library_id").alias("folder"), F.row_number().over(Window.partitionBy("library_id").orderBy("path", "id")).alias("ordinal"), "id", F.concat(F.lit("copy."), F.coalesce(F.nullif(paths.extension(F.col("path")), F.lit("")), F.lit("bin"))).alias("name"))
-    return organize.unique_names(plan, plan.where("ordinal % 7 = 0").select("folder", "name"))
+    return organize.unique_names(*_copies(files))
 
 
 @register("txt13_destination", "files", f"""SELECT id, '归档/' || strftime(make_timestamp((modified_at_ns // 1000000000) * 1000000), '%Y') || '/' || strftime(make_timestamp((modified_at_ns // 1000000000) * 1000000), '%m')
@@ -544,6 +569,14 @@ def _(files):
     return rules.evaluate(files, RULES, NOW_NS).select("id", "rule")
 
 
+@register("flt11_folded_names", "files", f"SELECT id FROM files WHERE contains(lower({NAME}), 'report')")
+def _(files):
+    """Names in another case, with a letter that only folding makes equal."""
+    other = F.replace(F.upper("path"), F.lit("REPORT"), F.lit("STRASSE"))
+    rule = rules.sanitize({"name": "f", "conditions": {"name_contains": "stra\u00dfe"}, "action": {"destination": "x"}})
+    return files.withColumn("path", other).where(rules.matches(rule["conditions"], NOW_NS)).select("id")
+
+
 @register("flt11_rule_match", "files", f"SELECT id FROM files WHERE {RULE_SQL[0][0]}")
 def _(files):
     return files.where(rules.matches(RULES[0]["conditions"], NOW_NS)).select("id")
@@ -555,12 +588,14 @@ def _(files):
     return rules.evaluate(files, RULES, NOW_NS).where("rule is not null").select("id", "rule", "destination")
 
 
-@register("anl9_move_plan", "files", f"""SELECT row_number() OVER (ORDER BY path, id) - 1 AS ordinal, id AS file_id, path AS source_path, '/r/归序整理/' || {LABEL_SQL.format(x=CATEGORY_SQL)} || '/' || {NAME} AS target_path,
-  cast({NOW_MS} as bigint) AS created_at_ms, cast({NOW_MS + organize.LIFETIME_MS} as bigint) AS expires_at_ms FROM files WHERE library_id = 'src2'""")
+@register("anl9_move_plan", "files", f"""SELECT row_number() OVER (PARTITION BY library_id ORDER BY path, id) - 1 AS ordinal, id AS file_id, path AS source_path,
+  '/r/sorted/' || folder || '/' || CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '(\\.[^.]*)?$', ' (' || cast(k + 1 AS VARCHAR) || ')\\1') END AS target_path,
+  cast({NOW_MS} as bigint) AS created_at_ms, cast({NOW_MS + organize.LIFETIME_MS} as bigint) AS expires_at_ms
+  FROM (SELECT *, row_number() OVER (PARTITION BY folder, lower(name) ORDER BY id) - 1 AS k FROM (SELECT *, {LABEL_SQL.format(x=CATEGORY_SQL)} AS folder, {NAME} AS name FROM files))""")
 def _(files):
     rows = files.withColumn("header", F.unhex("header_hex"))
     none = files.where("false").select(F.lit("").alias("folder"), F.lit("").alias("name"))
-    return organize.move_plan(rows, rows.where("library_id = 'src2'"), "/r", NOW_MS, none).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return organize.move_plan(rows, rows, "/r", NOW_MS, none, "sorted").withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @register("cdc7_plan_validity", "plans", f"SELECT id, expires_at_ms < {NOW_MS} AS expired FROM plans")
@@ -596,10 +631,24 @@ def _(items):
     return items.select("operation_id", "ordinal", journal.presence_verdict(F.col("source_exists"), F.col("target_exists")).alias("verdict"))
 
 
-@register("cdc12_root_registration", "roots", "SELECT path, id, true AS enabled FROM roots")
-def _(roots):
-    again = roots.select("path", F.lit(True).alias("enabled"))
-    return roots.drop("enabled").join(again, "path").select("path", "id", "enabled")
+def _registered(roots, libraries):
+    """A third of the roots are registered again under other ids, and as many new ones."""
+    again = roots.where("cast(id as int) % 3 = 0")
+    wanted = again.select("path", F.lit("x").alias("library_id"), F.lit("y").alias("root_id"), F.lit("z").alias("name"))
+    new = again.select(F.concat("path", F.lit("/new")).alias("path"), F.concat(F.lit("l"), "id").alias("library_id"), F.concat(F.lit("r"), "id").alias("root_id"), "path")
+    return reconcile.register_roots(roots, libraries, wanted.union(new), NOW_MS)
+
+
+@register("cdc12_root_registration", "roots libraries", f"""SELECT path, id, library_id, enabled OR cast(id AS INT) % 3 = 0 AS enabled, created_at_ms FROM roots
+  UNION ALL SELECT path || '/new', 'r' || id, 'l' || id, true, cast({NOW_MS} AS BIGINT) FROM roots WHERE cast(id AS INT) % 3 = 0""")
+def _(roots, libraries):
+    return _registered(roots, libraries)[0].select("path", "id", "library_id", "enabled", "created_at_ms")
+
+
+@register("cdc12_library_touch", "roots libraries", f"""SELECT id, name, CASE WHEN id IN (SELECT library_id FROM roots WHERE cast(id AS INT) % 3 = 0) THEN {NOW_MS} ELSE updated_at_ms END AS updated_at_ms FROM libraries
+  UNION ALL SELECT 'l' || id, path, cast({NOW_MS} AS BIGINT) FROM roots WHERE cast(id AS INT) % 3 = 0""")
+def _(roots, libraries):
+    return _registered(roots, libraries)[1].select("id", "name", "updated_at_ms")
 
 
 @register("snk1_upsert", "observed", "SELECT native_file_id, max(observed_at_ms) AS observed_at_ms FROM observed GROUP BY native_file_id")
@@ -632,15 +681,29 @@ def _(jobs):
     return journal.claim(jobs, NOW_MS).select("id", "priority")
 
 
-@register("srt6_claim_order", "jobs", CLAIM_SQL)
+@register("srt6_claim_order", "jobs", f"""SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, created_at_ms, id) AS place
+  FROM (SELECT *, {EXPIRED_STATUS} AS s FROM jobs) WHERE s = 'queued'""")
 def _(jobs):
-    return journal.claim(jobs, NOW_MS).select("id", "priority")
+    return journal.claim_order(jobs, NOW_MS, "kind").select("kind", "id", F.col("place").cast("long").alias("place"))
+
+
+HELD_SQL = f"lease_owner = 'w1' AND lease_expires_at_ms >= {NOW_MS} AND status IN ('running', 'pause_requested', 'cancel_requested')"
+
+
+@register("job4_progress", "jobs", f"""SELECT id, CASE WHEN ok THEN 50 ELSE progress_current END AS progress_current, CASE WHEN ok THEN 60 ELSE progress_total END AS progress_total
+  FROM (SELECT *, coalesce({HELD_SQL}, false) AS ok FROM jobs)""")
+def _(jobs):
+    return journal.progress(jobs, "w1", NOW_MS, F.lit(50).cast("long"), F.lit(60).cast("long")).select("id", "progress_current", "progress_total")
+
+
+@register("job4_renewal", "jobs", f"SELECT id, coalesce({HELD_SQL}, false) AS renewed, CASE WHEN {HELD_SQL} THEN {NOW_MS + 5000} ELSE lease_expires_at_ms END AS lease_expires_at_ms FROM jobs")
+def _(jobs):
+    return journal.renew(jobs, "w1", NOW_MS, 5000).select("id", "renewed", "lease_expires_at_ms")
 
 
-@register("job4_progress", "jobs", f"""SELECT id, CASE WHEN ok THEN 50 ELSE progress_current END AS progress_current, CASE WHEN ok THEN coalesce(progress_total, NULL) ELSE progress_total END AS progress_total
-  FROM (SELECT *, coalesce(lease_owner = 'w1' AND lease_expires_at_ms >= {NOW_MS}, false) AS ok FROM jobs)""")
+@register("job4_late_progress", "jobs", "SELECT id, progress_current, progress_total FROM jobs")
 def _(jobs):
-    return journal.progress(jobs, "w1", NOW_MS, F.lit(50).cast("long"), F.lit(None).cast("long")).select("id", "progress_current", "progress_total")
+    return journal.progress(jobs, "w1", NOW_MS, F.lit(70).cast("long"), F.lit(60).cast("long")).select("id", "progress_current", "progress_total")
 
 
 @register("job5_requests", "jobs", """SELECT id, CASE WHEN status = 'running' THEN 'pause_requested' WHEN status = 'queued' THEN 'paused' ELSE status END AS paused,
@@ -675,12 +738,23 @@ def _(files):
     return similarity.similar_pairs(files.select("id", similarity.text_simhash(F.col("content")).alias("hash")))
 
 
+@register("anl3_hash_classes", "files", """, h AS (SELECT id, (size % 1024) * 2654435761 % 4294967296 AS hash FROM files), c AS (SELECT hash, min(id) AS rep FROM h GROUP BY hash)
+  SELECT a.rep AS left_id, b.rep AS right_id, 1 - bit_count(xor(a.hash, b.hash)) / 64 AS similarity FROM c a JOIN c b ON a.rep < b.rep AND bit_count(xor(a.hash, b.hash)) <= 3
+  UNION ALL SELECT rep, id, cast(1 AS DOUBLE) FROM h JOIN c USING (hash) WHERE id <> rep""")
+def _(files):
+    return similarity.similar_pairs(files.select("id", (F.col("size") % 1024 * 2654435761 % 4294967296).alias("hash")))
+
+
 SAMPLES = "transform(sequence(0, 71), i -> cast((size * (i + 3) + i * i * 7) % 256 as int))"
 
 
-@register("anl4_image_dhash", "files", "SELECT id, cast(sum(CASE WHEN (size * (9 * r + c + 3) + (9 * r + c) * (9 * r + c) * 7) % 256 > (size * (9 * r + c + 4) + (9 * r + c + 1) * (9 * r + c + 1) * 7) % 256 THEN 1 ELSE 0 END) AS INT) AS set_bits FROM files, unnest(range(8)) a(r), unnest(range(8)) b(c) GROUP BY id")
+GREY = "(size * (9 * r + c + {k} + 3) + (9 * r + c + {k}) * (9 * r + c + {k}) * 7) % 256"
+
+
+@register("anl4_image_dhash", "files", f"""SELECT id, string_agg(CASE WHEN {GREY.format(k=0)} > {GREY.format(k=1)} THEN '1' ELSE '0' END, '' ORDER BY 8 * r + c DESC) AS bits
+  FROM files, unnest(range(8)) a(r), unnest(range(8)) b(c) GROUP BY id""")
 def _(files):
-    return files.select("id", F.bit_count(similarity.image_dhash(F.expr(SAMPLES))).alias("set_bits"))
+    return files.select("id", F.lpad(F.bin(similarity.image_dhash(F.expr(SAMPLES))), 64, "0").alias("bits"))
 
 
 @register("src4_header", "files", "SELECT id, substr(header_hex, 1, 32) AS header_hex FROM files")
@@ -721,10 +795,10 @@ def _(files):
     return joined.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("largest"))
 
 
-@register("agg12_index_statistics", "files", f"SELECT count(*) AS n, avg(cast(2 * len({TOKENS_SQL}) AS DOUBLE)) AS average_length, count(*) FILTER (len(list_filter({TOKENS_SQL}, lambda t: t = 'report')) > 0) AS with_report FROM files")
+@register("agg12_index_statistics", "files", f""", w AS (SELECT id, unnest({TOKENS_SQL}) AS token FROM files), s AS (SELECT count(*) AS n, avg(cast(2 * len({TOKENS_SQL}) AS DOUBLE)) AS average_length FROM files)
+  SELECT token, count(DISTINCT id) AS df, 2 * count(*) AS tf, max(n) AS n, max(average_length) AS average_length FROM w, s GROUP BY token""")
 def _(files):
-    listed = files.select(search.tokens(F.col("path")).alias("t"))
-    return listed.agg(F.count(F.lit(1)).alias("n"), F.avg((2 * F.size("t")).cast("double")).alias("average_length"), F.count_if(F.array_contains("t", "report")).alias("with_report"))
+    return search.index_statistics(files)
 
 
 @register("srt2_search_topk", "files", _rounded(STATS.format(count=f"2.0 * len(list_filter({TOKENS_SQL}, lambda t: starts_with(t, 'no')))", length=f"2 * len({TOKENS_SQL})").replace("LIMIT 200", "LIMIT 25")))
@@ -732,19 +806,22 @@ def _(files):
     return _ranked(search.search(files, "no", limit=25))
 
 
-NATURAL_SQL = f"regexp_replace(regexp_replace(lower({NAME}), '([0-9]+)', '{'0' * 20}\\1', 'g'), '[0-9]*([0-9]{{20}})', '\\1', 'g')"
+NATURAL_SQL = f"""list_aggregate(list_transform(regexp_extract_all(lower({NAME}), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]')
+  THEN '0' || lpad(cast(length(coalesce(nullif(ltrim(x, '0'), ''), '0')) AS VARCHAR), 6, '0') || coalesce(nullif(ltrim(x, '0'), ''), '0') ELSE x END), 'string_agg', '')"""
 
 
-@register("srt11_natural_order", "files", f"SELECT id, row_number() OVER (PARTITION BY library_id ORDER BY {NATURAL_SQL}, path) AS place FROM files")
+@register("srt11_natural_order", "files", f"""SELECT id, row_number() OVER (PARTITION BY library_id ORDER BY {NATURAL_SQL}, path) AS place,
+  row_number() OVER (PARTITION BY library_id ORDER BY {NATURAL_SQL} DESC, path DESC) AS place_down FROM files""")
 def _(files):
-    order = Window.partitionBy("library_id").orderBy(query.natural_key(paths.basename(F.col("path"))), "path")
-    return files.select("id", F.row_number().over(order).cast("long").alias("place"))
+    up, down = (query.natural_order(F.col("path"), descending=d) for d in (False, True))
+    by = Window.partitionBy("library_id")
+    return files.select("id", F.row_number().over(by.orderBy(*up)).cast("long").alias("place"), F.row_number().over(by.orderBy(*down)).cast("long").alias("place_down"))
 
 
-@register("srt13_rule_order", "libraries", "SELECT * FROM (VALUES ('reports', 1), ('old', 2), ('small', 3)) AS t(name, place)")
-def _(libraries):
-    rows = [(r["name"], i + 1) for i, r in enumerate(rules.ordered(RULES[::-1]))]
-    return libraries.sparkSession.createDataFrame(rows, "name string, place int")
+@register("srt13_rule_order", "jobs", "SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, created_at_ms, id) AS place FROM jobs")
+def _(jobs):
+    order = Window.partitionBy("kind").orderBy(*rules.order("priority", "created_at_ms"), "id")
+    return jobs.select("kind", "id", F.row_number().over(order).cast("long").alias("place"))
 
 
 @register("txt8_smart_folder", "files", f"SELECT id, path FROM files WHERE {ACTIVE} AND lower(path) LIKE '%.html' AND size <= 3000 ORDER BY path, id LIMIT 200")
@@ -753,14 +830,16 @@ def _(files):
     return search.search(files, query.from_rule(saved["rule"])).select("id", "path")
 
 
-@register("txt12_legacy_names", "files")
+@register("txt12_legacy_names", "files", COPIES_SQL.format(first=0))
 def _(files):
-    order = Window.partitionBy("library_id").orderBy("path", "id")
-    plan = files.select(F.col("library_id").alias("folder"), F.row_number().over(order).alias("ordinal"), "id", F.concat(F.lit("copy."), F.coalesce(F.nullif(paths.extension(F.col("path")), F.lit("")), F.lit("bin"))).alias("name"))
-    return organize.unique_names(plan, plan.where("ordinal % 7 = 0").select("folder", "name"), "legacy")
+    return organize.unique_names(*_copies(files), "legacy")
+
 
+TENTHS = "cast(floor(size * 10 / 1024.0 + 0.5) AS BIGINT)"
 
-@register("txt15_readable_size", "files")
+
+@register("txt15_readable_size", "files", f"""SELECT id, CASE WHEN size < 1024 THEN cast(size AS VARCHAR) || ' B' WHEN size < 10240 THEN cast({TENTHS} // 10 AS VARCHAR) || '.' || cast({TENTHS} % 10 AS VARCHAR) || ' KB'
+  ELSE cast(cast(floor(size / 1024.0 + 0.5) AS BIGINT) AS VARCHAR) || ' KB' END AS shown FROM files""")
 def _(files):
     return files.select("id", paths.readable_size(F.col("size")).alias("shown"))
 
@@ -773,9 +852,10 @@ def _(files):
     return organize.unique_names(plan, plan.limit(0).select("folder", "name"), "legacy")
 
 
-@register("agg11_bit_votes", "files")
+@register("agg11_bit_votes", "files", """, b AS (SELECT library_id, bit, sum(CASE WHEN (size * 2654435761 >> bit) & 1 = 1 THEN 1 ELSE -1 END) AS votes FROM files, unnest(range(32)) t(bit) GROUP BY library_id, bit)
+  SELECT library_id, cast(sum(CASE WHEN votes >= 0 THEN cast(1 AS BIGINT) << bit ELSE 0 END) AS BIGINT) AS hash FROM b GROUP BY library_id""")
 def _(files):
-    return files.select("id", F.bit_count(similarity.text_simhash(F.col("content"))).alias("set_bits"))
+    return similarity.bit_votes(files.select("library_id", (F.col("size") * 2654435761).alias("h")), "library_id", "h", 32)
 
 
 @register("job1_enqueue", "jobs", "SELECT id AS job_id, 'queued' AS event, created_at_ms FROM jobs")
@@ -797,14 +877,76 @@ def _(jobs):
     return journal.next_runs(automations, 900_000)
 
 
-def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(DirectorySource)
-    return spark.read.format("directory").option("root", sf_dir).load()
+# Sources and sinks that have no table of their own
+
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/shelfmark-{uuid.uuid4().hex}"
+
+
+@register("snk2_journal", "operations items", """SELECT i.operation_id, i.ordinal, i.source_path, o.status FROM items i JOIN operations o ON o.id = i.operation_id
+  WHERE o.id IN ('op1', 'op2', 'op3', 'op4', 'op5', 'op6', 'op7')""")
+def _(operations, items):
+    """Operations are appended one after the other, one of them again: a retry adds nothing."""
+    path, header = _scratch(items.sparkSession), operations.select("id", "status")
+    for n in (1, 2, 3, 4, 5, 6, 7, 3):
+        sinks.append_journal(header, items.select("operation_id", "ordinal", "source_path"), path, f"op{n}")
+    written = [items.sparkSession.read.parquet(f"{path}/{name}") for name in ("operation_items", "operations")]
+    return written[0].join(written[1], F.col("operation_id") == F.col("id")).select("operation_id", "ordinal", "source_path", "status")
 
-QUERIES["src1_directory_scan"] = lambda spark, sf_dir: _scanned(spark, sf_dir).select("name", "size", "depth", "issue")
-QUERIES["src3_observe"] = lambda spark, sf_dir: _scanned(spark, sf_dir).select("path", "platform", "volume_id", "native_file_id", "generation", "size", "modified_at_ns")
-QUERIES["src6_full_read"] = lambda spark, sf_dir: content.file_hashes(_scanned(spark, sf_dir).where("issue is null")).select("path", "quick", "full")
+
+@register("snk3_job_events", "jobs", "SELECT id AS job_id, 'queued' AS event, created_at_ms FROM jobs")
+def _(jobs):
+    path, events = _scratch(jobs.sparkSession), journal.first_events(jobs)
+    for part in (events.where("created_at_ms % 2 = 0"), events, events):
+        sinks.append_events(part, path)
+    return jobs.sparkSession.read.parquet(path)
+
+
+LITERALS = {"=1.5KB": (1536, 1536), ">10MB": (10485761, None), ">=7B": (7, None), "<1b": (None, 0), "<=2kb": (None, 2048), "3": (3, 3), ".5KB": (512, 512), "1TB": (1099511627776, 1099511627776)}
+
+
+@register("txt1a_size_literals", "files", "SELECT id, literal FROM files, (VALUES " + ", ".join(f"('{k}', {a if a is not None else 'NULL'}, {b if b is not None else 'NULL'})" for k, (a, b) in LITERALS.items()) + ") t(literal, low, high) WHERE (low IS NULL OR size >= low) AND (high IS NULL OR size <= high)")
+def _(files):
+    bounds = files.sparkSession.createDataFrame([(x, *query.parse_size(x)) for x in LITERALS], "literal string, low long, high long")
+    met = files.join(F.broadcast(bounds), (F.coalesce("low", F.lit(0)) <= F.col("size")) & (F.col("size") <= F.coalesce("high", F.lit(2**62))))
+    return met.select("id", "literal")
+
+
+@register("txt9_trimmed_folder", "libraries", "SELECT id, name, 'ext:md' AS query FROM libraries")
+def _(libraries):
+    saved = [(r.id, query.smart_folder(f"  {r.name}\n", "\text:md ")) for r in libraries.select("id", "name").limit(200).collect()]
+    return libraries.sparkSession.createDataFrame([(i, s["name"], s["query"]) for i, s in saved], "id string, name string, query string")
+
+
+@register("txt14_rule_sanitiser", "libraries", """SELECT * FROM (VALUES ('plain', '{"conditions": {"extensions": ["c++", "md"], "name_contains": "x", "min_size": 5}, "action": {"destination": "a/{YYYY}"}, "name": "n", "enabled": true, "priority": 9999, "mode": "preview"}'),
+  ('name', 'invalid'), ('extension', 'invalid'), ('number', 'invalid'), ('sizes', 'invalid'), ('parent', 'invalid'), ('variable', 'invalid'), ('mode', 'invalid'), ('low', '0')) t(kind, outcome)""")
+def _(libraries):
+    given = {
+        "plain": {"name": " n ", "priority": 10**6, "conditions": {"extensions": [".MD", "c++", "md", " "], "name_contains": " x", "min_size": "5", "max_size": ""}, "action": {"destination": "/a/{YYYY}/"}},
+        "name": {"name": "x" * 81}, "extension": {"conditions": {"extensions": ["a b"]}}, "number": {"conditions": {"older_than_days": -1}}, "sizes": {"conditions": {"min_size": 2, "max_size": 1}},
+        "parent": {"action": {"destination": "a/../b"}}, "variable": {"action": {"destination": "{year}"}}, "mode": {"mode": "now"}, "low": {"priority": -5},
+    }
+    out = []
+    for kind, rule in given.items():
+        try:
+            found = rules.sanitize({"name": "n", "action": {"destination": "d"}, **rule})
+            out.append((kind, str(found["priority"]) if kind == "low" else json.dumps(found)))
+        except rules.InvalidRule:
+            out.append((kind, "invalid"))
+    return libraries.sparkSession.createDataFrame(out, "kind string, outcome string")
+
+
+QUERIES["src1_directory_scan"] = lambda spark, sf_dir: directory.scan(spark, sf_dir).select("name", "size", "depth", "issue")
+QUERIES["src2_scan_options"] = lambda spark, sf_dir: directory.scan(spark, sf_dir, exclude="labels.parquet", maxDepth="1", hidden="false", batchSize="3").select("name", "depth")
+QUERIES["src3_observe"] = lambda spark, sf_dir: directory.scan(spark, sf_dir).select("path", "platform", "volume_id", "native_file_id", "generation", "size", "modified_at_ns")
+QUERIES["src5_samples"] = lambda spark, sf_dir: content.file_hashes(directory.scan(spark, sf_dir).where("issue is null")).select("path", "quick")
+QUERIES["src6_full_read"] = lambda spark, sf_dir: content.whole_files(spark, sf_dir).select("path", "size", "full")
+QUERIES["src8_legacy_scan"] = lambda spark, sf_dir: directory.legacy_scan(spark, sf_dir, reserved=("documents.parquet",), recursive=True).select("name", "size")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension
@@ -35,6 +35,12 @@ def preview(path: Column, content: Column) -> Column:
     )
 
 
+def whole_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path``, ``size``, ``header`` and ``full`` of the files in a folder of any store that Spark reads."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return rows.select("path", F.col("length").alias("size"), header(F.col("content")).alias("header"), F.sha2("content", 256).alias("full"))
+
+
 def file_hashes(files: DataFrame) -> DataFrame:
     """``files`` (path, size) with ``header``, ``quick`` and ``full``: read where they lie, in blocks.
 

@@ -2,11 +2,13 @@
 
 Spark's own file sources leave out empty files and names that start with a dot or
 an underscore, so listing is a Python data source; each reader partition walks one
-part of the tree with ``os.scandir``, and nothing is gathered on the driver but the
-names at the top.
+part of the tree with ``os.scandir``. Folders are listed breadth first on the driver until
+there are enough of them to share out; the names of files are never gathered there.
 
     spark.dataSource.register(DirectorySource)
     spark.read.format("directory").option("root", path).load()
+
+``scan`` and ``legacy_scan`` add the bounds that hold for a whole scan.
 """
 
 from __future__ import annotations
@@ -14,7 +16,11 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -23,6 +29,12 @@ SCHEMA = (
     "volume_id string, native_file_id string, generation string, depth int, issue string"
 )
 MOST_ISSUES = 100
+#: Rows of a batch, if the caller says nothing, and at most.
+BATCH, MOST_BATCH = 256, 2_048
+#: Folders that a scan is shared out by, if there are as many.
+PARTS = 64
+#: An older scan refuses more files.
+MOST_FILES = 10_000
 
 
 def platform() -> str:
@@ -77,34 +89,56 @@ class Part(InputPartition):
 
 
 class DirectoryReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, schema: StructType):
         self.root = os.path.realpath(options["root"])
-        excluded = options.get("exclude", "")
+        names = lambda key: set(options.get(key, "").split(",")) - {""}
         depth = options.get("maxDepth")
         self.options = {
             "hidden": options.get("hidden", "true").lower() == "true",
-            "exclude": set(excluded.split(",")) - {""},
+            "exclude": names("exclude"),
             "max_depth": int(depth) if depth is not None else None,
         }
+        self.top_exclude = names("topExclude")
         self.recursive = options.get("recursive", "true").lower() == "true"
+        self.batch = min(max(int(options.get("batchSize", BATCH)), 1), MOST_BATCH)
+        self.schema = schema
+
+    def below(self, folder: str, depth: int) -> list[str]:
+        """The folders in ``folder`` that the scan goes into."""
+        deepest = self.options["max_depth"]
+        if not self.recursive or (deepest is not None and depth >= deepest):
+            return []
+        excluded = self.options["exclude"] | (self.top_exclude if not depth else set())
+        try:
+            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        except OSError:
+            return []  # the part that walks the folder's files tells
+        shown = (e for e in entries if self.options["hidden"] or not e.name.startswith("."))
+        return [e.path for e in shown if e.name not in excluded and e.is_dir(follow_symlinks=False)]
 
     def partitions(self) -> list[InputPartition]:
-        """One for the files at the top, and one for each folder there."""
-        parts: list[InputPartition] = [Part(self.root, 0, True)]
-        if self.recursive and (self.options["max_depth"] is None or self.options["max_depth"] > 0):
-            for entry in sorted(os.scandir(self.root), key=lambda e: e.name):
-                shown = self.options["hidden"] or not entry.name.startswith(".")
-                if shown and entry.is_dir(follow_symlinks=False) and entry.name not in self.options["exclude"]:
-                    parts.append(Part(entry.path, 1, False))
+        """The files of the upper folders, and the whole of each folder below them."""
+        parts: list[InputPartition] = []
+        level, depth = [self.root], 0
+        while level:
+            parts += [Part(folder, depth, True) for folder in level]
+            level, depth = [x for folder in level for x in self.below(folder, depth)], depth + 1
+            if len(level) >= PARTS:
+                return parts + [Part(folder, depth, False) for folder in level]
         return parts
 
-    def read(self, part: Part) -> Iterator[tuple]:
-        options = {**self.options, "max_depth": 0} if part.files_only else self.options
-        return walk(part.folder, part.depth, options)
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        options = {**self.options, "max_depth": part.depth} if part.files_only else self.options
+        rows, names = walk(part.folder, part.depth, options), self.schema.names
+        kinds = {"string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32()}
+        types = [kinds[f.dataType.simpleString()] for f in self.schema]
+        while batch := list(islice(rows, self.batch)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch), types)], names=names)
 
 
 class DirectorySource(DataSource):
-    """Options: ``root``; ``hidden`` (true), ``recursive`` (true), ``exclude`` (names, by comma), ``maxDepth``."""
+    """Options: ``root``; ``hidden`` (true), ``recursive`` (true), ``exclude`` (names, by comma), ``topExclude``
+    (names of folders at the top), ``maxDepth``, ``batchSize`` (256, from 1 to 2048)."""
 
     @classmethod
     def name(cls) -> str:
@@ -114,4 +148,26 @@ class DirectorySource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DirectoryReader:
-        return DirectoryReader(self.options)
+        return DirectoryReader(self.options, schema)
+
+
+def scan(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    """The tree as a table, with at most ``MOST_ISSUES`` issues, those of the first paths."""
+    spark.dataSource.register(DirectorySource)
+    rows = spark.read.format("directory").options(root=root, **options).load()
+    return rows.where("issue is null").union(rows.where("issue is not null").orderBy("path").limit(MOST_ISSUES))
+
+
+def legacy_scan(spark: SparkSession, root: str, reserved: tuple[str, ...] = (), recursive: bool = False, ignore_hidden: bool = True, most: int = MOST_FILES) -> DataFrame:
+    """The files of the older scan: flat and without hidden names by default, never in the folders at the top it sorts into.
+
+    ``ValueError`` if a folder can't be read or there are more than ``most`` files.
+    """
+    options = {"recursive": str(recursive), "hidden": str(not ignore_hidden), "topExclude": ",".join(reserved)}
+    rows = scan(spark, root, **options)
+    issues, files = rows.agg(F.count("issue"), F.count_if(F.col("issue").isNull())).first()
+    if issues:
+        raise ValueError(f"{issues} folders or names can't be read")
+    if files > most:
+        raise ValueError(f"{files} files are more than {most}")
+    return rows

@@ -1,19 +1,40 @@
-"""Writing: idempotent appends and upserts of tables that are kept as Parquet."""
+"""Writing: journals that a retry does not repeat, and upserts of tables that are kept as Parquet."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+
+def _there(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path``, empty if there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_new(rows: DataFrame, path: str, *key: str) -> None:
+    """Append the rows whose key is not there yet, so that a repeated append adds nothing."""
+    known = _there(rows.sparkSession, path, rows.schema).select(*key)
+    rows.join(known, list(key), "left_anti").select(*rows.columns).write.mode("append").parquet(path)
 
 
 def append_journal(header: DataFrame, items: DataFrame, path: str, operation_id: str) -> None:
-    """Append an operation's items, then its header: a reader that sees the header sees all items."""
-    items.write.mode("append").parquet(f"{path}/operation_items")
-    header.where(F.col("id") == operation_id).write.mode("append").parquet(f"{path}/operations")
+    """Append an operation's items, then its header: a reader that sees the header sees all items.
+
+    A retry appends only what is missing.
+    """
+    append_new(items.where(F.col("operation_id") == operation_id), f"{path}/operation_items", "operation_id", "ordinal")
+    append_new(header.where(F.col("id") == operation_id), f"{path}/operations", "id")
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").parquet(path)
+    """Append the events of jobs that are not logged yet: a job logs a state once at one time."""
+    append_new(events, path, "job_id", "event", "created_at_ms")
 
 
 def upserted(current: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import random
 import sqlite3
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions.names import safe_filename
+from shelfmark.functions.names import fold_case, safe_filename
 from shelfmark.operators import classify, duplicates, journal, query, reconcile, rules, search, similarity
 from shelfmark.plans import organize
+from shelfmark.sources import directory, sinks
 from shelfmark.sources.content import file_hashes
 from shelfmark.sources.directory import DirectorySource
 from shelfmark.streaming import watch
@@ -132,6 +135,69 @@ def test_names(spark):
     assert older["1"] == "报告 (1).pdf"
 
 
+def plan_of(names):
+    return [("/f", i, f"{i:04}", n) for i, n in enumerate(names)]
+
+
+PLAN, THERE = "folder string, ordinal int, id string, name string", "folder string, name string"
+
+
+def test_names_are_given_in_plan_order(spark):
+    plan = spark.createDataFrame(plan_of(["a.pdf", "a.pdf", "a (2).pdf"]), PLAN)
+    none = spark.createDataFrame([], THERE)
+    names = lambda df: [r.unique_name for r in df.orderBy("ordinal").collect()]
+    assert names(organize.unique_names(plan, none)) == ["a.pdf", "a (2).pdf", "a (2) (2).pdf"]
+    folded = spark.createDataFrame(plan_of(["straße.pdf", "STRASSE.pdf", "Strasse.pdf"]), PLAN)
+    assert names(organize.unique_names(folded, none, "legacy")) == ["straße.pdf", "STRASSE (1).pdf", "Strasse (2).pdf"]
+    assert names(organize.unique_names(folded, none)) == ["straße.pdf", "STRASSE.pdf", "Strasse (2).pdf"]
+
+
+@pytest.mark.parametrize("style", ["mainline", "legacy"])
+def test_names_against_one_after_the_other(spark, style):
+    rng = random.Random(3)
+    pool = ["a.pdf", "A.PDF", "a (1).pdf", "a (2).pdf", "a  (2).pdf", "a (2) (2).pdf", "b", "b (1)", ".bashrc", "b.tar.gz", "CON", "ß.txt", "SS.txt", "a:.pdf", "x (2)", "x"]
+    names, there = rng.choices(pool, k=80), rng.sample(pool, 4)
+    taken, wanted = {organize.fold_name(n, style) for n in there}, []
+    for name in names:
+        number, chosen = 0, name
+        while organize.fold_name(chosen, style) in taken:
+            number += 1
+            stem, dot, ext = name.rpartition(".") if "." in name[1:] else (name, "", "")
+            chosen = f"{stem} ({number}){dot}{ext}" if style == "legacy" else safe_filename(f"{stem} ({number + 1})", ext)
+        taken.add(organize.fold_name(chosen, style))
+        wanted.append(chosen)
+    found = organize.unique_names(spark.createDataFrame(plan_of(names), PLAN), spark.createDataFrame([("/f", n) for n in there], THERE), style)
+    assert [r.unique_name for r in found.orderBy("ordinal").collect()] == wanted
+
+
+def test_fold_case(spark):
+    rows = spark.createDataFrame([(chr(c),) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE200 and unicodedata.category(chr(c)) != "Cn"], "c string")
+    wrong = [r.c for r in rows.select("c", fold_case(F.col("c")).alias("f")).collect() if r.f != r.c.casefold()]
+    # Cherokee folds to upper case, and letters newer than one of the two tables fold in one of them only.
+    assert all("CHEROKEE" in unicodedata.name(c) or ord(c) > 0x2C00 or ord(c) in (0x1C89, 0x1C8A) for c in wrong), wrong
+
+
+def test_retried_appends_add_nothing(spark, tmp_path):
+    header = spark.createDataFrame([("o1", "x"), ("o2", "y")], "id string, status string")
+    items = spark.createDataFrame([("o1", 0), ("o1", 1), ("o2", 0)], "operation_id string, ordinal int")
+    for _ in range(2):
+        sinks.append_journal(header, items, str(tmp_path), "o1")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/operation_items").collect())) == [("o1", 0), ("o1", 1)]
+    assert [r.id for r in spark.read.parquet(f"{tmp_path}/operations").collect()] == ["o1"]
+
+
+def test_leases(spark):
+    columns = "id string, status string, lease_owner string, lease_expires_at_ms long, progress_current long, progress_total long"
+    states = ("running", "pause_requested", "cancel_requested", "queued", "completed")
+    jobs = spark.createDataFrame([(s, s, "w", 15, 4, 10) for s in states] + [("late", "running", "w", 9, 4, 10), ("other", "running", "v", 15, 4, 10)], columns)
+    mine = set(states[:3])
+    assert {r.id for r in journal.renew(jobs, "w", 10, 5).collect() if r.renewed} == mine
+    assert {r.id for r in journal.renew(jobs, "w", 10, -5).collect() if r.lease_expires_at_ms == 11} == mine
+    moved = journal.progress(jobs, "w", 10, F.lit(6).cast("long"), F.lit(None).cast("long")).collect()
+    assert {r.id for r in moved if (r.progress_current, r.progress_total) == (6, 10)} == mine
+    assert not any(r.progress_current == 7 for r in journal.progress(jobs, "w", 10, F.lit(7).cast("long"), F.lit(6).cast("long")).collect())
+
+
 def test_fingerprints(spark):
     a, b = similarity.text_fingerprint("项目计划和预算说明"), similarity.text_fingerprint("项目计划与预算说明")
     assert 1 - ((a ^ b) & (2**64 - 1)).bit_count() / 64 > 0.6
@@ -183,6 +249,11 @@ def test_directory_source(spark, tmp_path):
     assert {r.name for r in read(exclude="skip").collect()} == {".hidden", "_draft", "empty", "x.txt", "y.txt"}
     assert {r.name for r in read(hidden="false", recursive="false").collect()} == {"_draft", "empty"}
     assert "x.txt" not in {r.name for r in read(maxDepth="1").collect()}
+    assert {r.name for r in read(topExclude="sub,skip", batchSize="1").collect()} == {".hidden", "_draft", "empty"}
+    assert {r.name for r in directory.legacy_scan(spark, str(tmp_path), ("skip",), recursive=True).collect()} == {"_draft", "empty", "x.txt", "y.txt"}
+    assert {r.name for r in directory.legacy_scan(spark, str(tmp_path)).collect()} == {"_draft", "empty"}
+    with pytest.raises(ValueError):
+        directory.legacy_scan(spark, str(tmp_path), most=1)
     hashed = {r.path.rsplit("/", 1)[1]: r.full for r in file_hashes(read().where("issue is null")).collect()}
     assert hashed["x.txt"] == hashed["y.txt"] != hashed["z.txt"]
 
