@@ -1,7 +1,8 @@
-"""Exact duplicates in three tiers: size, a hash of samples, a hash of everything.
+"""Exact duplicates by size, a hash of samples, and a hash of everything.
 
-Each tier keeps only rows whose key occurs twice; later, costlier tiers see what is
-left. Groups are never collected whole before they are known to be duplicates.
+Contents are read and hashed in one narrow pass; only paths, sizes and hashes are
+shuffled, each once, and counted before they move. A semi-join that kept whole contents
+for later tiers would shuffle them, and the optimizer would hash them below it anyway.
 """
 
 from __future__ import annotations
@@ -20,39 +21,42 @@ def sampled(content: Column, size: Column, sample: int = SAMPLE) -> Column:
     return F.sha2(F.concat_ws("\0", size.cast("string"), *parts), 256)
 
 
-def repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose key occurs more than once, by a semi-join with the repeated keys."""
-    often = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
-    return rows.join(often, list(keys), "left_semi")
+def hashed(files: DataFrame, sample: int = SAMPLE, skip_empty: bool = False) -> DataFrame:
+    """``files`` (size, content) with ``quick`` and ``full`` hashes in place of the content."""
+    rows = files.where("size > 0") if skip_empty else files
+    hashes = rows.withColumns({"quick": sampled(F.col("content"), F.col("size"), sample), "full": F.sha2(F.col("content"), 256)})
+    return hashes.drop("content")
 
 
-def tiers(files: DataFrame, sample: int = SAMPLE, skip_empty: bool = False) -> DataFrame:
-    """``files`` (id, path, size, content) that reach the last tier, with ``quick`` and ``full`` hashes."""
-    rows = files.where("size > 0") if skip_empty else files
-    same_size = repeated(rows, "size").withColumn("quick", sampled(F.col("content"), F.col("size"), sample))
-    same_quick = repeated(same_size, "size", "quick")
-    return same_quick.withColumn("full", F.sha2(F.col("content"), 256))
+def buckets(files: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``n`` where more than one row has them."""
+    return files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def classes(files: DataFrame, sample: int = SAMPLE, skip_empty: bool = False) -> DataFrame:
+    """``content_hash``, ``size``, ``n``, ``suggested_keep`` and ``potential_savings`` of each group, without its members."""
+    found = hashed(files, sample, skip_empty).groupBy("full", "size").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("suggested_keep"))
+    return found.where("n > 1").select(F.col("full").alias("content_hash"), "size", "n", "suggested_keep", (F.col("size") * (F.col("n") - 1)).alias("potential_savings"))
 
 
 def groups(files: DataFrame, sample: int = SAMPLE, skip_empty: bool = False) -> DataFrame:
-    """``content_hash``, ``size``, ``n``, ``paths``, ``suggested_keep`` and ``potential_savings`` of each group."""
-    found = tiers(files, sample, skip_empty).groupBy("full", "size").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("path")).alias("paths"))
+    """``classes`` with the sorted ``paths`` of each group, for a display; join ``classes`` for groups without bound."""
+    found = hashed(files, sample, skip_empty).groupBy("full", "size").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("path")).alias("paths"))
     return found.where("n > 1").select(
         F.col("full").alias("content_hash"), "size", "n", "paths", F.get("paths", F.lit(0)).alias("suggested_keep"), (F.col("size") * (F.col("n") - 1)).alias("potential_savings")
     )
 
 
 def statistics(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """How many files entered, were sampled, were hashed whole, and were skipped as not ordinary."""
-    ordinary = files.where("ordinary")
-    quick = repeated(ordinary, "size").withColumn("quick", sampled(F.col("content"), F.col("size"), sample))
-    full = repeated(quick, "size", "quick")
-    counts = [
-        files.agg(F.count(F.lit(1)).alias("input_files"), F.count_if(~F.col("ordinary")).alias("skipped_files")),
-        quick.agg(F.count(F.lit(1)).alias("quick_hashed_files")),
-        full.agg(F.count(F.lit(1)).alias("fully_hashed_files")),
-    ]
-    out = counts[0]
-    for more in counts[1:]:
-        out = out.join(more)
-    return out
+    """How many files entered, share their size, share size and samples too, and were skipped as not ordinary."""
+    quick = F.when(F.col("ordinary"), sampled(F.col("content"), F.col("size"), sample))
+    pairs = files.groupBy("size", "ordinary", quick.alias("quick")).agg(F.count(F.lit(1)).alias("n"))
+    again = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+    sizes = pairs.groupBy("size", "ordinary").agg(F.sum("n").alias("n"), again.alias("again"))
+    told = F.col("ordinary") & (F.col("n") > 1)
+    return sizes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("input_files"),
+        F.coalesce(F.sum(F.when(~F.col("ordinary"), F.col("n"))), F.lit(0)).alias("skipped_files"),
+        F.coalesce(F.sum(F.when(told, F.col("n"))), F.lit(0)).alias("quick_hashed_files"),
+        F.coalesce(F.sum(F.when(told, F.col("again"))), F.lit(0)).alias("fully_hashed_files"),
+    )

@@ -70,7 +70,7 @@ def _(files):
 
 @register("prj3_duplicate_view", "files", f"SELECT content_hash, size, potential_savings, suggested_keep FROM ({GROUPS_SQL.format(where='')})")
 def _(files):
-    return duplicates.groups(files).select("content_hash", "size", "potential_savings", "suggested_keep")
+    return duplicates.classes(files).select("content_hash", "size", "potential_savings", "suggested_keep")
 
 
 @register("prj4_record_id", "observed", """SELECT DISTINCT new_file_id,
@@ -385,12 +385,12 @@ def _(files):
 
 @register("agg2_size_buckets", "files", "SELECT size, count(*) AS n FROM files GROUP BY size HAVING count(*) > 1")
 def _(files):
-    return duplicates.repeated(files, "size").groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    return duplicates.buckets(files, "size")
 
 
 @register("agg3_quick_buckets", "files", "SELECT size, count(*) AS n FROM files GROUP BY size, content HAVING count(*) > 1")
 def _(files):
-    return duplicates.repeated(files, "size").withColumn("quick", duplicates.sampled(F.col("content"), F.col("size"))).groupBy("size", "quick").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "n")
+    return duplicates.buckets(duplicates.hashed(files), "size", "quick").select("size", "n")
 
 
 @register("agg5_duplicate_stats", "files", """, o AS (SELECT * FROM files WHERE ordinary) SELECT (SELECT count(*) FROM files) AS input_files, (SELECT count(*) FROM files WHERE NOT ordinary) AS skipped_files,
@@ -402,12 +402,12 @@ def _(files):
 
 @register("agg6_legacy_duplicates", "files", "SELECT substr(sha256(content), 1, 12) AS id, size, count(*) AS n, cast(size * (count(*) - 1) AS BIGINT) AS reclaimable FROM files WHERE size > 0 GROUP BY sha256(content), size HAVING count(*) > 1")
 def _(files):
-    return duplicates.groups(files, skip_empty=True).select(F.substring("content_hash", 1, 12).alias("id"), "size", "n", F.col("potential_savings").alias("reclaimable"))
+    return duplicates.classes(files, skip_empty=True).select(F.substring("content_hash", 1, 12).alias("id"), "size", "n", F.col("potential_savings").alias("reclaimable"))
 
 
 @register("agg7_reclaimable", "files", "SELECT cast(sum(r) AS BIGINT) AS reclaimable FROM (SELECT size * (count(*) - 1) AS r FROM files WHERE size > 0 GROUP BY sha256(content), size)")
 def _(files):
-    return duplicates.groups(files, skip_empty=True).agg(F.sum("potential_savings").alias("reclaimable"))
+    return duplicates.classes(files, skip_empty=True).agg(F.sum("potential_savings").alias("reclaimable"))
 
 
 @register("agg10_execution_tally", "items", """SELECT operation_id, count(*) FILTER (status = 'completed') AS completed, count(*) AS total,
