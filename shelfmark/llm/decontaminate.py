@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, table
+from .common import fresh, let, materialize, table
 
 WIDTH = 5
 #: Containment of NEED / OF or more.
@@ -98,10 +98,11 @@ def decontaminate(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``documents`` that contain no item; rows without an id or text stay as they are judged.
 
     A null ``doc_id`` is an id like others: all rows of an id of which one row contains
-    an item are removed.
+    an item are removed. All columns stay, whatever they are called.
     """
-    leaks = contained_items(documents, items).select(F.col("doc_id").alias("leak")).distinct()
-    return documents.join(bounded(leaks), F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti")
+    (leak,) = fresh(documents, "leak")
+    leaks = contained_items(documents, items).select(F.col("doc_id").alias(leak)).distinct()
+    return documents.join(bounded(leaks), F.col("doc_id").eqNullSafe(F.col(leak)), "left_anti")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

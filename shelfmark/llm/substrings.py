@@ -4,17 +4,21 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier.
 Not every suffix is sorted. Each string of that length names one of its own suffixes,
 the one whose first ``TOKEN`` bytes hash lowest, so equal strings name suffixes with
 the same leading token, at the same distance from their starts. Only these suffixes
-(one in some 35) are kept, each with a hash of all bytes that strings through its
-leading token can reach, its surroundings:
+(one in some 35) are kept, each with 96 bits of hashes of all bytes that strings through
+its leading token can reach, its surroundings (the bytes themselves would be seven
+times the input):
 
 * Suffixes with equal surroundings: all strings through the token are equal, so
-  all but the first suffix lose them whole. Each task sends on one of them only.
+  all but the first suffix lose them whole. Each task compares the bytes of its own and
+  sends on one of them only.
 * A token with only one kind of surroundings needs nothing more.
 * The rest, which stand at the edges of repeats, fetch their surroundings. Sampled
   splitters range-partition them by leading token; a bucket leaves out suffixes that
   agree with no other beyond the token, sorts the strings of the rest by multikey
-  quicksort, eight bytes at a time, and compares neighbours. All suffixes
-  of one leading token lie in one bucket, so no run crosses a boundary.
+  quicksort, eight bytes at a time, and compares neighbours. All suffixes of one
+  leading token lie in one bucket, so no run crosses a boundary. A token that stands at more
+  than ``OFTEN`` edges is split by the bytes beside it: a string through it has at least
+  half of its other bytes before or after it, so equal ones agree on that half, too.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, release, table
+from .decontaminate import bounded
 
 LENGTH = 100
 TOKEN = 32
@@ -40,6 +45,9 @@ SEGMENT = 1 << 21
 STRINGS_AT_ONCE = 100_000
 SUFFIXES_AT_ONCE = 100_000
 SMALL = 512
+#: A token at more edges than this is split by the ``HALF`` bytes before or after it.
+OFTEN = 20_000
+HALF = LEFT // 2
 BASE = 0x100000001B3
 
 
@@ -115,7 +123,7 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(columns[0]))
 
 
-SUFFIX_ROW = "h long, c long, doc long, start long, end long"
+SUFFIX_ROW = "h long, c long, d int, doc long, start long, end long"
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +133,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the left, plus the bytes to the right. Of equal surroundings among some 100,000
     suffixes only the first goes on.
     """
-    digest = xxhash.xxh64_intdigest
     parts: list[tuple] = []
+    texts: list[bytes] = []
     held = 0
     for batch in batches:
         for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -134,45 +142,62 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, h = named_suffixes(data)
             if len(at):
                 left, right = np.minimum(at, LEFT), np.minimum(len(data) - at, LENGTH)
-                c = np.fromiter((digest(data[p - x : p + y], x) for p, x, y in zip(at.tolist(), left.tolist(), right.tolist())), np.uint64, len(at))
-                parts.append((h, c, np.full(len(at), doc, np.int64), at, left, right))
+                c = b"".join([xxhash.xxh3_128_digest(data[p - x : p + y], x) for p, x, y in zip(at.tolist(), left.tolist(), right.tolist())])
+                c = np.frombuffer(c, np.int64).reshape(-1, 2)
+                parts.append((h, c[:, 0], c[:, 1].astype(np.int32), np.full(len(at), doc, np.int64), at, left, right, np.full(len(at), len(texts))))
+                texts.append(data)
                 held += len(at)
             if held >= SUFFIXES_AT_ONCE:
-                yield _reduced(parts)
-                parts, held = [], 0
+                yield _reduced(parts, texts)
+                parts, texts, held = [], [], 0
     if parts:
-        yield _reduced(parts)
+        yield _reduced(parts, texts)
 
 
-def _reduced(parts: list[tuple]) -> pa.RecordBatch:
-    h, c, doc, at, left, right = map(np.concatenate, zip(*parts))
-    order = np.lexsort((at, doc, c, h))
-    h, c, doc, at, left, right = (x[order] for x in (h, c, doc, at, left, right))
+def _reduced(parts: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
+    h, c, d, doc, at, left, right, text = map(np.concatenate, zip(*parts))
+    order = np.lexsort((at, doc, d, c, h))
+    h, c, d, doc, at, left, right, text = (x[order] for x in (h, c, d, doc, at, left, right, text))
     first = np.zeros(len(h), bool)
-    first[_runs(h, c)[0]] = True
+    first[_runs(h, c, d)[0]] = True
+    own = lambda i: texts[text[i]][at[i] - left[i] : at[i] + right[i]]
+    for i in np.flatnonzero(~first):
+        # Hashes that agree though the bytes differ would be a wonder; then the suffix goes on by itself.
+        first[i] = own(i) != own(i - 1)
     packed = (at << 14) | (left << 7) | right
     gone = np.array(list(_merged(doc[~first], (at - left)[~first], (at + right)[~first])), np.int64).reshape(-1, 3)
     none, sent = np.zeros(len(gone), np.int64), int(first.sum())
     is_span = np.arange(sent + len(gone)) >= sent
     columns = [
         pa.array(np.concatenate([h[first].view(np.int64), none]), mask=is_span),
-        pa.array(np.concatenate([c[first].view(np.int64), none]), mask=is_span),
+        pa.array(np.concatenate([c[first], none]), mask=is_span),
+        pa.array(np.concatenate([d[first], none]).astype(np.int32), mask=is_span),
         pa.array(np.concatenate([doc[first], gone[:, 0]])),
         pa.array(np.concatenate([packed[first], gone[:, 1]])),
         pa.array(np.concatenate([np.zeros(sent, np.int64), gone[:, 2]]), mask=~is_span),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc", "start", "end"])
+    return pa.RecordBatch.from_arrays(columns, names=["h", "c", "d", "doc", "start", "end"])
+
+
+PLAIN, AFTER, BEFORE = b"\0", b"\1", b"\2"
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (doc, data, places): the surroundings of each place."""
+    """Of rows (doc, data, places, often): the surroundings of each place, by token or, for frequent ones, by token and half."""
     for batch in batches:
         out: list[tuple] = []
-        for doc, data, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            data = data.as_py()
+        for doc, data, places, often in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+            data, often = data.as_py(), set(often.as_py())
             for place in places.as_py():
                 at, left, right = place >> 14, place >> 7 & 127, place & 127
-                out.append((data[at : at + TOKEN], doc, place, data[at - left : at + right]))
+                around = data[at - left : at + right]
+                if place not in often:
+                    out.append((PLAIN + data[at : at + TOKEN], doc, place, around))
+                    continue
+                if right >= TOKEN + HALF:
+                    out.append((AFTER + data[at : at + TOKEN + HALF], doc, place, around))
+                if left >= HALF:
+                    out.append((BEFORE + data[at - HALF : at + TOKEN], doc, place, around))
         types = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
         columns = list(zip(*out)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["token", "doc", "place", "around"])
@@ -205,28 +230,39 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
 def repeated(members: list[tuple[bytes, int, int, bytes]]) -> list[tuple[int, int, int]]:
     """Spans (doc, start, end) of strings through one token that are equal to an earlier one.
 
-    ``members``: token, doc, place and surroundings. Equal strings have the token that
+    ``members``: key (see ``_surroundings``), doc, place and surroundings. Equal strings have the token that
     names their suffix at the same distance, so strings are compared with those of
-    the same token and distance only.
+    the same key and distance only. Of very many members, those of one distance are sorted at a time.
     """
     places = np.array([m[2] for m in members], np.int64)
     docs = np.array([m[1] for m in members], np.int64)
     at, left, right = places >> 14, places >> 7 & 127, places & 127
     names = {t: i for i, t in enumerate(dict.fromkeys(m[0] for m in members))}
     group = np.array([names[m[0]] for m in members], np.uint64)
+    kind = np.array([m[0][0] for m in members], np.uint8)
     around = np.zeros((len(members), LEFT + LENGTH), np.uint8)
     for row, member, x in zip(around, members, left.tolist()):
         row[LEFT - x : LEFT - x + len(member[3])] = np.frombuffer(member[3], np.uint8)
+    out: list[tuple[int, int, int]] = []
     words, doc, start = [], [], []
     for begin in range(TOKENS):
-        own = np.flatnonzero((begin >= LEFT - left) & (begin + LENGTH <= LEFT + right))
+        # Strings that begin up to HALF before the token reach HALF after it at least; the others stand in BEFORE.
+        late = begin >= LEFT - HALF
+        own = np.flatnonzero((begin >= LEFT - left) & (begin + LENGTH <= LEFT + right) & (kind != (BEFORE[0] if late else AFTER[0])))
         padded = np.zeros((len(own), 104), np.uint8)
         padded[:, :LENGTH] = around[own, begin : begin + LENGTH]
         key = (group[own] << np.uint64(7)) | np.uint64(begin)
         words.append(np.column_stack([key, padded.view(">u8").astype(np.uint64)]))
         doc.append(docs[own])
         start.append(at[own] - LEFT + begin)
-    words, doc, start = map(np.concatenate, (words, doc, start))
+        if begin == TOKENS - 1 or len(own) > STRINGS_AT_ONCE // 4:
+            out += _later(*map(np.concatenate, (words, doc, start)))
+            words, doc, start = [], [], []
+    return out
+
+
+def _later(words: np.ndarray, doc: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
+    """Spans of the strings that are equal to one that starts earlier."""
     order = multikey_quicksort(words)
     words, doc, start = words[order], doc[order], start[order]
     begins, _ = _runs(*words.T)
@@ -239,20 +275,21 @@ def repeated(members: list[tuple[bytes, int, int, bytes]]) -> list[tuple[int, in
     return list(_merged(doc[gone], start[gone], start[gone] + LENGTH))
 
 
-def plausible(members: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """Of suffixes with one leading token, those that may share a whole string with another.
+def plausible(key: bytes, members: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """Of suffixes with one key, those that may share a whole string with another.
 
     A string has at least half of its other bytes before the token or at least half
     after it, so two that share one agree on that half next to the token, too.
     """
     if len(members) < 2:
         return []
-    half = LEFT // 2
+    if key[:1] != PLAIN:
+        return members
     halves = []
     for _, place, around in members:
         left, right = place >> 7 & 127, place & 127
-        before = around[left - half : left] if left >= half else None
-        after = around[left + TOKEN : left + TOKEN + half] if right >= TOKEN + half else None
+        before = around[left - HALF : left] if left >= HALF else None
+        after = around[left + TOKEN : left + TOKEN + HALF] if right >= TOKEN + HALF else None
         halves.append((before, after))
     befores, afters = (Counter(x) for x in zip(*halves))
     return [m for m, (b, a) in zip(members, halves) if (b is not None and befores[b] > 1) or (a is not None and afters[a] > 1)]
@@ -272,13 +309,13 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, *row in zip(*[c.to_pylist() for c in batch.columns]):
             if key != token:
-                members += [(token, *m) for m in plausible(same)]
+                members += [(token, *m) for m in plausible(token, same)]
                 same.clear()
                 if len(members) * TOKENS >= STRINGS_AT_ONCE:
                     yield flush()
             token = key
             same.append(tuple(row))
-    members += [(token, *m) for m in plausible(same)]
+    members += [(token, *m) for m in plausible(token, same)]
     if members:
         yield flush()
 
@@ -326,13 +363,16 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     release(rows.sparkSession)
     at, left, right = "shiftright(start, 14)", "(shiftright(start, 7) & 127)", "(start & 127)"
     whole = kept.where("n > 1").selectExpr("doc", f"{at} - {left} as start", f"{at} + {right} as end")
-    places = kept.where("n = 1").groupBy("doc").agg(F.collect_list("start").alias("places")).withColumnRenamed("doc", "p_doc")
-    joined = rows.join(places, F.col("doc") == F.col("p_doc")).select("doc", "data", "places")
+    edges = kept.where("n = 1")
+    often = bounded(edges.groupBy("h").count().where(F.col("count") > OFTEN).select(F.col("h").alias("often")))
+    place = F.collect_list("start").alias("places"), F.collect_list(F.when(F.col("often").isNotNull(), F.col("start"))).alias("often_places")
+    places = edges.join(often, F.col("h") == F.col("often"), "left").groupBy(F.col("doc").alias("p_doc")).agg(*place)
+    joined = rows.join(places, F.col("doc") == F.col("p_doc")).select("doc", "data", "places", "often_places")
     around = joined.mapInArrow(_surroundings, "token binary, doc long, place long, around binary")
     buckets = around.repartitionByRange("token").sortWithinPartitions("token")
-    edges = buckets.mapInArrow(_bucket, "doc long, start long, end long")
-    found = materialize(known.union(whole).union(edges))
-    discard(known.written_path, kept.written_path)
+    repeats = buckets.mapInArrow(_bucket, "doc long, start long, end long")
+    found = materialize(known.union(whole).union(repeats))
+    discard(known.written_path, kept.written_path, often.written_path)
     return found
 
 
@@ -340,14 +380,9 @@ def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans that go for sure; and suffixes (``n`` > 1: wholly repeated; 1: with others of their token)."""
     suffixes = materialize(rows.select("doc", "data").mapInArrow(_suffixes, SUFFIX_ROW))
     known = materialize(suffixes.where("h is null").select("doc", "start", "end"))
-    ranked = suffixes.where("h is not null").selectExpr(
-        "doc",
-        "start",
-        "row_number() over (partition by h, c order by doc, start) as n",
-        "min(c) over (partition by h) as least",
-        "max(c) over (partition by h) as most",
-    )
-    kept = materialize(ranked.where("n > 1 or least <> most").select("doc", "start", "n"))
+    ranked = suffixes.where("h is not null").selectExpr("h", "doc", "start", "row_number() over (partition by h, c, d order by doc, start) as n")
+    kinds = ranked.withColumn("kinds", F.expr("count_if(n = 1) over (partition by h)"))
+    kept = materialize(kinds.where("n > 1 or kinds > 1").select("h", "doc", "start", "n"))
     discard(suffixes.written_path)
     return known, kept
 

@@ -612,8 +612,10 @@ def fates(frame):
     return [(r.id, (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256)) for r in rows]
 
 
-def test_substrings(spark, texts, monkeypatch):
+@pytest.mark.parametrize("often", [20_000, 3])
+def test_substrings(spark, texts, monkeypatch, often):
     monkeypatch.setattr(substrings, "SEGMENT", 256)
+    monkeypatch.setattr(substrings, "OFTEN", often)
     rng = random.Random(12)
     base = [t for t in texts if t and len(t) > 60]
     mixed = ["".join(rng.choice(base)[rng.randrange(60) :][: rng.randint(0, 300)] for _ in range(3)) for _ in range(120)]
@@ -631,6 +633,36 @@ def test_substrings_without_good_ids(spark):
     assert found == sorted([("0", 251, 0), ("1", 250, 250), ("1", 400, 399), ("None", 250, 250), ("None", 0, 0)])
 
 
+@pytest.mark.parametrize("at_once", [100_000, 40])
+def test_edges_of_frequent_tokens(at_once, monkeypatch):
+    """One token in many surroundings, split by its halves, against all pairs of strings."""
+    monkeypatch.setattr(substrings, "STRINGS_AT_ONCE", at_once)
+    rng = random.Random(19)
+    token = bytes(rng.randrange(97, 123) for _ in range(substrings.TOKEN))
+    side = lambda n: b"".join(rng.choice([b"aaaa", b"bbbb"]) * 5 for _ in range(n))
+    texts = [(side(rng.randint(0, 4))[rng.randrange(20) :]) + token + side(rng.randint(0, 6))[: rng.randint(0, 110)] for _ in range(150)]
+    rows = {kind: [] for kind in (substrings.PLAIN, substrings.AFTER, substrings.BEFORE)}
+    for doc, data in enumerate(texts):
+        at = data.index(token)
+        left, right = min(at, substrings.LEFT), min(len(data) - at, substrings.LENGTH)
+        place = (at << 14) | (left << 7) | right
+        column = [pa.array([doc]), pa.array([data], pa.binary()), pa.array([[place]])]
+        for often in ([], [place]):
+            batch = pa.RecordBatch.from_arrays([*column, pa.array([often], pa.list_(pa.int64()))], names=["doc", "data", "places", "often"])
+            for row in next(substrings._surroundings(iter([batch]))).to_pylist():
+                rows[row["token"][:1]].append(tuple(row.values()))
+    seen, wanted = set(), set()
+    for doc, data in enumerate(texts):
+        at = data.index(token)
+        for a in range(max(0, at - substrings.LEFT), min(at, len(data) - 100) + 1):
+            part = (at - a, data[a : a + 100])
+            wanted |= {(doc, i) for i in range(a, a + 100)} if part in seen else set()
+            seen.add(part)
+    covered = lambda spans: {(doc, i) for doc, a, b in spans for i in range(a, b)}
+    split = rows[substrings.AFTER] + rows[substrings.BEFORE]
+    assert wanted and covered(substrings.repeated(rows[substrings.PLAIN])) == covered(substrings.repeated(split)) == wanted
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 3, (500, 6)).astype(np.uint64)

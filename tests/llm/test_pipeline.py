@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -34,6 +37,58 @@ def test_stages(spark):
     assert 0 < sizes[4] <= sizes[3] < sizes[2] == sizes[1] < sizes[0]
 
 
+CLASHES = ("leak", "w_doc", "gone_doc", "label_id", "row_key", "content", "id", "key", "own", "keep", "n_grams", "Fp", "a b")
+
+
+def odd_rows(spark):
+    """Null and empty texts, a very long one, ties, repeated rows, a null id, and columns of names used inside."""
+    good = table(spark, DATA, "documents")
+    some = [r.asDict() for r in good.orderBy("doc_id").limit(6).collect()]
+    base = some[0]
+    made = some + [base, {**base, "doc_id": 900}, {**base, "doc_id": 900, "text": None}]
+    made += [{**base, "doc_id": 901 + i, "text": t} for i, t in enumerate([None, "", "   ", "\n\n", "x", base["text"] * 40, "日本語"])]
+    made += [{**base, "doc_id": None}, {**base, "doc_id": None, "text": None}]
+    rows = [tuple(r[c] for c in good.columns) for r in made]
+    frame = spark.createDataFrame(rows, good.schema)
+    return frame.withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
+
+
+@pytest.mark.parametrize("name", ["quality", "line_dedup", "near_dedup", "decontamination"])
+def test_odd_rows(spark, name):
+    docs, work = odd_rows(spark), dict(corpus_pipeline.STAGES)[name]
+    out = materialize(work(spark, docs, DATA).withColumnRenamed("a b", "a_b"))
+    assert out.columns == [c.replace(" ", "_") for c in docs.columns]
+    rows = out.collect()
+    assert rows and all(r[c] == i for r in rows for i, c in enumerate(x.replace(" ", "_") for x in CLASHES))
+    counted = Counter((r.doc_id, r.text) for r in docs.collect())
+    kept = Counter((r.doc_id, r.text) for r in rows)
+    if name == "line_dedup":
+        assert Counter(d for d, _ in kept.elements()) == Counter(d for d, _ in counted.elements())
+        assert kept[(901, None)] == 1 and kept[(902, "")] == 1
+    elif name == "near_dedup":
+        # Of the copies the smallest id stays, of the wordless texts the first, and no row twice.
+        assert kept <= counted and max(kept.values()) == 1 and (900, docs.first().text) not in kept
+        assert sum(not (t or "").strip() for _, t in kept) == 1
+    else:
+        assert kept <= counted and all(kept[x] in (0, n) for x, n in counted.items())
+        assert kept[(901, None)] == 1 and kept[(902, "")] == 1
+    assert work(spark, docs.limit(0), DATA).isEmpty()
+
+
+def test_odd_rows_are_packed(spark):
+    docs = odd_rows(spark)
+    pieces = corpus_pipeline.packing(spark, docs, DATA).collect()
+    assert Counter(p.doc_id for p in pieces if p.piece == 0) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+    assert max(Counter((p.sequence_id, p.offset) for p in pieces).values()) == 1
+    assert corpus_pipeline.packing(spark, docs.limit(0), DATA).isEmpty()
+
+
+def test_two_runs_do_not_disturb_each_other(spark):
+    first = corpus_pipeline.run(spark, DATA)
+    second = corpus_pipeline.run(spark, DATA)
+    assert first.count() == second.count() > 0
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
