@@ -34,6 +34,8 @@ LISTED = 1 << 15
 CELL_BITS, STEPS = 18, 3
 #: Lines of more words have a signature of twice the bits: differences of up to a ninth of two sets would fill 64.
 LONG = 90
+#: Links to the first line of a key are looked for under so many of a line's rarest words.
+HEADED = 4
 #: A word that occurs more often is a key only together with a second word.
 OFTEN = 20_000
 LAST = 2**63 - 1
@@ -122,14 +124,15 @@ def earlier(doc: str, line: str, than_doc: str, than_line: str) -> Column:
 def possible(prefix: str) -> Column:
     """Positional, length and signature filters between a row and the columns of ``prefix``.
 
-    With the overlap that is needed, two sets differ in no more than the rest of their words.
+    Alike sets of n and m words share 4/9 (n + m) at least, so no more than a ninth of n + m differs.
+    Whole numbers only: this is what a join spends its time on.
     """
     n, m = F.col("n"), F.col(f"{prefix}n")
-    overlap = F.ceil((n + m) * NEED / (NEED + OF))
-    rest = F.least(n - F.col("place"), m - F.col(f"{prefix}place"))
+    both = n + m
+    rest = F.least(n - F.col("place"), m - F.col(f"{prefix}place")) * (NEED + OF) >= both * NEED
     sign, half = F.col("sign").bitwiseXOR(F.col(f"{prefix}sign")), F.col("half").bitwiseXOR(F.col(f"{prefix}half"))
     differ = F.when((n > LONG) & (m > LONG), F.bit_count(half) + F.bit_count(sign.bitwiseXOR(half))).otherwise(F.bit_count(sign))
-    return (rest >= overlap) & (differ <= n + m - overlap * 2)
+    return rest & (differ * (NEED + OF) <= both * (OF - NEED))
 
 
 ROW = ("doc", "line", "n", "sign", "half", "place")
@@ -147,9 +150,9 @@ def keyed(firsts: DataFrame, rarity: Rarity, *more: str) -> DataFrame:
 
 
 def head_pairs(firsts: DataFrame, rarity: Rarity) -> DataFrame:
-    """Pairs of a line and the first line of one of its keys, if they may be alike: of several the one with most keys."""
+    """Pairs of a line and the first line of one of its rarest keys, if they may be alike: of several the one with most keys."""
     by_key = Window.partitionBy("key").orderBy("doc", "line")
-    rows = keyed(firsts, rarity).withColumn("h", F.first(F.struct(*ROW)).over(by_key))
+    rows = keyed(firsts, rarity).where(F.col("place") < HEADED).withColumn("h", F.first(F.struct(*ROW)).over(by_key))
     rows = rows.where("doc <> h.doc or line <> h.line").select(*ROW, *[F.col(f"h.{c}").alias(f"h_{c}") for c in ROW])
     met = rows.where(possible("h_")).groupBy("doc", "line", "h_doc", "h_line").agg(F.count(F.lit(1)).alias("keys"))
     best = met.groupBy("doc", "line").agg(F.max(F.struct("keys", -F.col("h_doc"), -F.col("h_line"), "h_doc", "h_line")).alias("best"))

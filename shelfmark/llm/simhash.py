@@ -338,45 +338,90 @@ def first_shared(keys: np.ndarray, prints: np.ndarray, a: np.ndarray, b: np.ndar
     return first == band
 
 
+#: Shards with more members than this are searched by leaders first.
+CROWD = 256
+#: Pairs that are compared at once.
+PAIRS_AT_ONCE = 1 << 20
+
+
+def alike_sizes(sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(sizes[a], sizes[b]) * OF >= np.maximum(sizes[a], sizes[b]) * NEED
+
+
+def led(sizes: np.ndarray, prints: np.ndarray, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a leader and those of the shard's places that are near to it and to no leader before.
+
+    A leader that is near only to places of others is paired with the first of these, so that
+    every place with a partner in the shard is in a pair. A group of near copies costs one
+    comparison for each member and leader.
+    """
+    every, free, out = np.arange(low, high), np.ones(high - low, bool), []
+    while free.any():
+        lead = every[free.argmax()]
+        to = every[every != lead]
+        to = to[alike_sizes(sizes, np.full(len(to), lead), to)]
+        to = to[near(prints, sizes, np.full(len(to), lead), to)]
+        own = to[free[to - low]]
+        partner = own if len(own) else to[:1]
+        out.append((np.full(len(partner), lead), partner))
+        free[own - low] = False
+        free[lead - low] = False
+    return out
+
+
 def near_in_shards(keys: np.ndarray, sizes: np.ndarray, prints: np.ndarray, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs of one key that are ``near`` and whose sizes allow the similarity.
 
     With ``group``, all pairs of different groups, each in one of the shards they share;
-    without, each place with the first and with the next such partner only. Rows are
-    sorted by key. All shards are compared at once, place i with i + 1, then i + 2 and
-    so on.
+    rows are sorted by key and group then, and pairs within a group are never looked at.
+    Without, each place that has such a partner with one at least; rows are sorted by key,
+    and all small shards are compared at once, place i with i + 1, then i + 2 and so on.
     """
-    left, right, at, lag = [], [], np.arange(len(keys)), 1
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    shard = np.searchsorted(keys, keys, "right")
+    if group is not None:
+        begins = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (group[1:] != group[:-1])]) if len(keys) else np.empty(0, int)
+        after = np.repeat(np.r_[begins[1:], len(keys)], np.diff(np.r_[begins, len(keys)])) if len(keys) else np.empty(0, int)
+        count = shard - after
+        total = np.cumsum(count)
+        for at in range(0, int(total[-1]) if len(total) else 0, PAIRS_AT_ONCE):
+            pair = np.arange(at, min(at + PAIRS_AT_ONCE, total[-1]))
+            a = np.searchsorted(total, pair, "right")
+            b = after[a] + pair - (total[a] - count[a])
+            fits = alike_sizes(sizes, a, b)
+            a, b = a[fits], b[fits]
+            close = near(prints, sizes, a, b)
+            a, b = a[close], b[close]
+            if len(a):
+                new = first_shared(keys, prints, a, b)
+                left.append(a[new])
+                right.append(b[new])
+        return np.concatenate(left), np.concatenate(right)
+    first = np.searchsorted(keys, keys)
+    crowd = shard - first > CROWD
+    for low in np.unique(first[crowd]):
+        for a, b in led(sizes, prints, int(low), int(shard[low])):
+            left.append(a)
+            right.append(b)
+    at, lag = np.flatnonzero(~crowd), 1
     below, above = np.zeros(len(keys), bool), np.full(len(keys), -1)
     while True:
-        at = at[at + lag < len(keys)]
-        at = at[keys[at] == keys[at + lag]]
+        at = at[at + lag < shard[at]]
         if not len(at):
             break
-        to = at + lag
-        fits = np.minimum(sizes[at], sizes[to]) * OF >= np.maximum(sizes[at], sizes[to]) * NEED
-        if group is not None:
-            fits &= group[at] != group[to]
-        a, b = at[fits], to[fits]
+        a, b = at, at + lag
+        fits = alike_sizes(sizes, a, b)
+        a, b = a[fits], b[fits]
         close = near(prints, sizes, a, b)
         a, b = a[close], b[close]
-        if group is None:
-            above[b] = a  # the last that is written is the first in the shard
-            new = ~below[a]
-            below[a] = True
-            a, b = a[new], b[new]
-        elif len(a):
-            new = first_shared(keys, prints, a, b)
-            a, b = a[new], b[new]
-        left.append(a)
-        right.append(b)
+        above[b] = a  # the last that is written is the first in the shard
+        new = ~below[a]
+        below[a] = True
+        left.append(a[new])
+        right.append(b[new])
         lag += 1
-    if group is None:
-        found = np.flatnonzero(above >= 0)
-        left.append(above[found])
-        right.append(found)
-    empty = [np.empty(0, np.int64)]
-    return np.concatenate(left or empty), np.concatenate(right or empty)
+    found = np.flatnonzero(above >= 0)
+    return np.concatenate([*left, above[found]]), np.concatenate([*right, found])
 
 
 def _near(grouped: bool):
@@ -411,7 +456,8 @@ def _near(grouped: bool):
 def near_pairs(nodes: DataFrame) -> DataFrame:
     """Candidates ``a`` < ``b`` among ``nodes`` (``s``, ``n``, ``fp``; ``root``: see ``near_in_shards``)."""
     keyed = nodes.mapInArrow(_banded, "key int, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes))
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "s")
+    order = ["key", "root", "s"] if "root" in nodes.columns else ["key", "s"]
+    dealt = keyed.repartition("key").sortWithinPartitions(*order)
     found = dealt.mapInArrow(_near("root" in nodes.columns), "a long, b long")
     return found if "root" in nodes.columns else found.distinct()
 

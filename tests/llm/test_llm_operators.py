@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 from itertools import combinations
 
@@ -49,6 +51,35 @@ def test_feistel_permutes(spark, rows):
     assert rows < 50 or found != sorted(found)
 
 
+def brute_place(x, rows, seed):
+    """The walk of a number, with hashes of another library."""
+    a = max(1, math.isqrt(max(rows, 1)))
+    b = -(-max(rows, 1) // a)
+
+    def keyed(i, half):
+        state = 42
+        for value, kind in ((seed, "<i"), (i, "<i"), (half, "<q")):
+            state = xxhash.xxh64_intdigest(struct.pack(kind, value), state)
+        return state - 2**64 if state >> 63 else state
+
+    while True:
+        left, right = divmod(x, b)
+        for i in range(8):
+            if i % 2:
+                right = (right + keyed(i, left) % b) % b
+            else:
+                left = (left + keyed(i, right) % a) % a
+        x = left * b + right
+        if x < rows:
+            return x
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 30, 1000, 5_003])
+def test_feistel_against_another_one(spark, rows):
+    found = spark.range(rows).select("id", sharding.feistel(F.col("id"), rows, 9).alias("p")).collect()
+    assert all(r.p == brute_place(r.id, rows, 9) for r in found)
+
+
 def test_shards(spark, docs):
     extra = docs.withColumns({"H": F.lit(None).cast("string"), "bucket": F.lit(1), "row_number": F.lit(2)})
     found = sharding.shard(extra, 7, seed=3)
@@ -337,7 +368,10 @@ def test_keep_first_on_both_sides_of_the_similarity(spark, edit):
     assert gone <= wanted and len(gone) >= 0.95 * len(wanted)
 
 
-def test_keep_first_connects_groups_and_only_verified_links(spark):
+@pytest.mark.parametrize("crowd", [256, 3])
+def test_keep_first_connects_groups_and_only_verified_links(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 1 << 20 if crowd == 256 else 50)
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
     base = [word() for _ in range(300)]
