@@ -34,7 +34,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, release, table
-from .decontaminate import bounded
 
 LENGTH = 100
 TOKEN = 32
@@ -46,7 +45,7 @@ STRINGS_AT_ONCE = 100_000
 SUFFIXES_AT_ONCE = 100_000
 SMALL = 512
 #: A token at more edges than this is split by the ``HALF`` bytes before or after it.
-OFTEN = 20_000
+OFTEN = 1_000
 HALF = LEFT // 2
 BASE = 0x100000001B3
 
@@ -363,16 +362,14 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     release(rows.sparkSession)
     at, left, right = "shiftright(start, 14)", "(shiftright(start, 7) & 127)", "(start & 127)"
     whole = kept.where("n > 1").selectExpr("doc", f"{at} - {left} as start", f"{at} + {right} as end")
-    edges = kept.where("n = 1")
-    often = bounded(edges.groupBy("h").count().where(F.col("count") > OFTEN).select(F.col("h").alias("often")))
-    place = F.collect_list("start").alias("places"), F.collect_list(F.when(F.col("often").isNotNull(), F.col("start"))).alias("often_places")
-    places = edges.join(often, F.col("h") == F.col("often"), "left").groupBy(F.col("doc").alias("p_doc")).agg(*place)
+    place = F.collect_list("start").alias("places"), F.collect_list(F.when(F.col("often"), F.col("start"))).alias("often_places")
+    places = kept.where("n = 1").groupBy(F.col("doc").alias("p_doc")).agg(*place)
     joined = rows.join(places, F.col("doc") == F.col("p_doc")).select("doc", "data", "places", "often_places")
     around = joined.mapInArrow(_surroundings, "token binary, doc long, place long, around binary")
     buckets = around.repartitionByRange("token").sortWithinPartitions("token")
     repeats = buckets.mapInArrow(_bucket, "doc long, start long, end long")
     found = materialize(known.union(whole).union(repeats))
-    discard(known.written_path, kept.written_path, often.written_path)
+    discard(known.written_path, kept.written_path)
     return found
 
 
@@ -382,7 +379,7 @@ def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = materialize(suffixes.where("h is null").select("doc", "start", "end"))
     ranked = suffixes.where("h is not null").selectExpr("h", "doc", "start", "row_number() over (partition by h, c, d order by doc, start) as n")
     kinds = ranked.withColumn("kinds", F.expr("count_if(n = 1) over (partition by h)"))
-    kept = materialize(kinds.where("n > 1 or kinds > 1").select("h", "doc", "start", "n"))
+    kept = materialize(kinds.where("n > 1 or kinds > 1").select("doc", "start", "n", (F.col("kinds") > OFTEN).alias("often")))
     discard(suffixes.written_path)
     return known, kept
 
