@@ -15,6 +15,7 @@ from .functions import paths
 from .operators import classify, duplicates, journal, query, reconcile, rules, search, similarity
 from .plans import organize
 from .sources import content, directory, sinks
+from .streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -907,6 +908,17 @@ def _(jobs):
     return jobs.sparkSession.read.parquet(path)
 
 
+@register("src9_file_events", "files", """, d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM files WHERE ordinary)
+  SELECT directory FROM d WHERE NOT EXISTS (SELECT 1 FROM d a WHERE starts_with(d.directory, a.directory || '/'))""")
+def _(files):
+    """Events that arrive as files, through the stream: what each micro-batch finds is written."""
+    spark, path = files.sparkSession, _scratch(files.sparkSession)
+    files.where("ordinary").select("path", F.lit("modify").alias("event"), F.col("modified_at_ns").alias("observed_at_ms")).coalesce(1).write.parquet(f"{path}/events")
+    write = lambda found, number: found.select("directory").write.mode("overwrite").parquet(f"{path}/found/batch={number}")
+    watch.dirty_batches(watch.event_stream(spark, f"{path}/events"), "/", write, f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/found").select("directory")
+
+
 LITERALS = {"=1.5KB": (1536, 1536), ">10MB": (10485761, None), ">=7B": (7, None), "<1b": (None, 0), "<=2kb": (None, 2048), "3": (3, 3), ".5KB": (512, 512), "1TB": (1099511627776, 1099511627776)}
 
 
