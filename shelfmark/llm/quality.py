@@ -16,6 +16,7 @@ blocks of bytes, so memory does not grow with a task's texts.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,6 +125,7 @@ def buckets(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 RAW, TARGET, CLEAN, TOXIC = range(4)
+_made = threading.local()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,29 +180,39 @@ class Model:
         bad = counts.where((F.col("kind") == TOXIC) & (F.col("bucket") >= 0) & (F.col("n") >= TOXIC_LEAST)).select("bucket", F.col("n").alias("t"))
         also = counts.where(F.col("kind") == CLEAN).select("bucket", F.col("n").alias("c"))
         both = bad.join(also, "bucket", "left").select("bucket", F.col("t") + 0.5, F.coalesce("c", F.lit(0)) + 0.5).toPandas().to_numpy()
-        self.toxic = np.zeros(1 << TOXIC_BITS, np.float32)
+        self.told, self.levels = np.empty(0, np.int64), np.empty(0, np.float32)
         if len(both):
             t, c = both[:, 1], both[:, 2]
             # Less one standard error; below zero it says nothing.
             level = np.log(t / (documents[TOXIC] + 1)) - np.log(c / (documents[CLEAN] + 1)) - np.sqrt(1 / t + 1 / c)
-            self.toxic[both[:, 0].astype(np.int64)] = np.maximum(level, 0)
-        self.tells = bool(self.toxic.any())
+            self.told, self.levels = both[level > 0, 0].astype(np.int64), level[level > 0].astype(np.float32)
         discard(counts.written_path)
 
+    @property
+    def toxic(self) -> np.ndarray:
+        """The ratio of every bucket, made where it is used: what is sent holds only those that tell something."""
+        table = getattr(_made, "table", None)
+        if table is None or _made.of is not self:
+            table = np.zeros(1 << TOXIC_BITS, np.float32)
+            table[self.told] = self.levels
+            _made.of, _made.table = self, table
+        return table
+
     def scored(self, column: pa.Array) -> list[np.ndarray]:
         """The number of n-grams, log weight and toxicity of each whole text; null and empty: 0."""
         sizes, weights, toxicity = np.zeros(len(column), np.int64), np.zeros(len(column)), np.zeros(len(column))
+        toxic = self.toxic if len(self.told) else None
         for row, last, data, bounds in blocks(column):
             hashes, own = n_grams(data, bounds)
             sizes[row:last] = np.bincount(own, minlength=last - row)
             weights[row:last] = np.bincount(own, self.ratios[buckets(hashes)], minlength=last - row)
-            if not self.tells:
+            if toxic is None:
                 continue
             hashes, own = words_and_beginnings(data, bounds)
             found = buckets(hashes, TOXIC_BITS)
-            told = self.toxic[found] > 0
+            told = toxic[found] > 0
             each = np.unique((own[told] << TOXIC_BITS) | found[told])
-            own, level = each >> TOXIC_BITS, self.toxic[each & ((1 << TOXIC_BITS) - 1)]
+            own, level = each >> TOXIC_BITS, toxic[each & ((1 << TOXIC_BITS) - 1)]
             order = np.lexsort((-level, own))
             own, level = own[order], level[order]
             strong = np.arange(len(own)) - np.searchsorted(own, own) < STRONGEST
