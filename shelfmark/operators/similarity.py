@@ -31,7 +31,8 @@ def text_simhash(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else text_fingerprint(t) for t in texts], dtype="Int64")
 
-    return run(text)
+    # So marked, filters on the hash are not pushed below it, where they would compute it again.
+    return run.asNondeterministic()(text)
 
 
 def image_dhash(samples: Column) -> Column:
