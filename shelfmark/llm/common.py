@@ -121,6 +121,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def worker_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Register what an operator remembers in a Python worker from one task to the next."""
+    _caches[owner] = clear
+
+
+def enter(owner: str) -> None:
+    """At the start of an operator's task: what others left in this worker, which Spark uses again, goes."""
+    for other, clear in _caches.items():
+        if other != owner:
+            clear()
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, though the optimizer may inline it.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import enter, materialize, table, worker_cache
 from .tokens import Memo
 
 CHUNKS_KEPT = 600_000
@@ -90,6 +90,9 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+worker_cache("packing", encoder.cache_clear)
+
+
 def cut_documents(df: DataFrame, path: str, capacity: int = 2048, end: int = 0, text: str = "text", with_ids: bool = False) -> DataFrame:
     """The pieces of each document: its token ids and ``end``, in at most ``capacity`` tokens.
 
@@ -106,6 +109,7 @@ def cut_documents(df: DataFrame, path: str, capacity: int = 2048, end: int = 0,
     closing = end.to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing")
         coder = encoder(path)
         for batch in batches:
             rows, out = [], [[], [], [], [], []]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, enter, materialize, table, worker_cache
 from .decontaminate import bounded
 
 #: Buckets of the importance ratios, and of the toxic ones.
@@ -126,6 +126,7 @@ def buckets(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 RAW, TARGET, CLEAN, TOXIC = range(4)
 _made = threading.local()
+worker_cache("quality", lambda: _made.__dict__.clear())
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +134,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Bucket -1 has the number of documents. Columns: text, good, toxic (null: not learned from).
     """
+    enter("quality")
     sums = [np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), np.zeros(1 << TOXIC_BITS, np.int32), np.zeros(1 << TOXIC_BITS, np.int32)]
     documents = np.zeros(4, np.int64)
     for batch in batches:
@@ -293,6 +295,7 @@ def resample(df: DataFrame, labels: DataFrame, share: float | None = None, id_:
     model = Model(known.select("text", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("good"), F.when(learned, F.col("bad")).alias("bad")))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for batch in batches:
             columns = [batch.column(0), batch.column(1), *map(pa.array, model.scored(batch.column(2)))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "content", "n_grams", "log_weight", "toxicity"])

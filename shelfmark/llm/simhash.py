@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, release, table
+from .common import enter, fresh, materialize, release, table
 from .components import components
 
 SEED = 42
@@ -284,6 +284,7 @@ def described(text: Column) -> Column:
 
     @F.arrow_udf("s long, n int, fp binary")
     def run(texts: pa.Array) -> pa.Array:
+        enter("simhash")
         sets = [shingle_set(t.as_py()) for t in texts]
         names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
         prints = pa.array([fingerprint(x, WIDE_WORDS) for x in sets], pa.binary())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import enter, table, worker_cache
 
 SPACE = "▁"
 WORDS_KEPT = 400_000
@@ -129,10 +129,15 @@ def counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
+worker_cache("tokens", counter.cache_clear)
+
+
 def token_count(text: Column, path: str) -> Column:
     """Number of tokens of ``text`` (null and empty: 0) under the model at ``path``."""
+
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
+        enter("tokens")
         return pa.array(list(map(counter(path).count, texts.to_pylist())), pa.int64())
 
     return count(text)
