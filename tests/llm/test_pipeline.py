@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_llm_operators import BYTES, brute_lines, brute_shingles, roots
+from tokenizers import Tokenizer
 
 import __spark_entry__
-from shelfmark.llm import decontaminate
+from shelfmark.llm import decontaminate, quality
 from shelfmark.llm.common import materialize, table
 
 DATA = "/root/testdata/sf0.001"
@@ -37,6 +41,46 @@ def test_stages(spark):
     assert 0 < sizes[4] <= sizes[3] < sizes[2] == sizes[1] < sizes[0]
 
 
+def test_stages_against_brute_force(spark):
+    """Each stage's rows on its own input, by plain loops over sets."""
+    stages, docs = dict(corpus_pipeline.STAGES), table(spark, DATA, "documents")
+    texts = lambda frame: {r.doc_id: r.text for r in frame.select("doc_id", "text").collect()}
+    judged = {r.id: r for r in quality.resample(docs, table(spark, DATA, "labels")).collect()}
+    ranked = sorted((r for r in judged.values() if r.n_grams), key=lambda r: (-r.gumbel_key, r.id))
+    lowest = min(r.gumbel_key for r in ranked if r.keep)
+    docs = materialize(stages["quality"](spark, docs, DATA))
+    assert set(texts(docs)) == {r.id for r in ranked if r.gumbel_key >= lowest and not r.toxic} | {r.id for r in judged.values() if not r.n_grams}
+
+    before = texts(docs)
+    gone = brute_lines(list(before.items()))
+    docs = materialize(stages["line_dedup"](spark, docs, DATA))
+    assert gone and texts(docs) == {d: "\n".join(x for k, x in enumerate(text.split("\n")) if (d, k) not in gone) for d, text in before.items()}
+
+    before = texts(docs)
+    runs = {d: (t or "").encode().lower().split() for d, t in before.items()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in runs.items()}
+    first = roots(list(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = materialize(stages["near_dedup"](spark, docs, DATA))
+    assert set(texts(docs)) == set(first.values()) and len(first) > len(set(first.values()))
+
+    before = texts(docs)
+    items = [brute_shingles(r.text) for r in table(spark, DATA, "benchmark").collect()]
+    leaks = {d for d, t in before.items() if any(x and 5 * len(brute_shingles(t) & x) >= 4 * len(x) for x in items)}
+    docs = materialize(stages["decontamination"](spark, docs, DATA))
+    assert leaks and set(texts(docs)) == set(before) - leaks
+
+    library = Tokenizer.from_file(BYTES)
+    pieces = stages["packing"](spark, docs, DATA).toPandas()
+    for d, text in texts(docs).items():
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        own = pieces[pieces.doc_id == d].sort_values("piece")
+        cuts = [0, *own.length.cumsum()]
+        assert own.start.tolist() == cuts[:-1] and cuts[-1] == len(ids) and (own.length.iloc[1:] == 2048).all()
+        assert own.ids_crc32.tolist() == [zlib.crc32(np.array(ids[a:b], "<u4").tobytes()) for a, b in zip(cuts, cuts[1:])]
+    for _, sequence in pieces.sort_values("offset").groupby("sequence_id"):
+        assert sequence.offset.tolist() == [0, *sequence.length.cumsum().tolist()[:-1]] and sequence.length.sum() <= 2048
+
+
 CLASHES = ("leak", "w_doc", "gone_doc", "label_id", "row_key", "content", "id", "key", "own", "keep", "n_grams", "Fp", "a b")
 
 
