@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontamination
+from .infill import OP12_SQL, op12_infill
 from .language import op6_language
 from .lines import OP9_SQL, op9_line_dedup
+from .merkle import OP13_SQL, op13_manifest
 from .neighbours import op4_nearest
 from .packing import op3_packing
 from .quality import op8_quality
@@ -24,8 +26,12 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_substrings": op10_substrings,
+    "op12_infill": op12_infill,
+    "op13_manifest": op13_manifest,
 }
 SQL = {
     "op7_decontamination": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op12_infill": OP12_SQL,
+    "op13_manifest": OP13_SQL,
 }
