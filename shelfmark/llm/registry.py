@@ -14,6 +14,7 @@ from .sharding import op1_sharding
 from .simhash import op5_simhash
 from .substrings import op10_substrings
 from .tokens import op2_token_counts
+from .toxicity import op11_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_substrings": op10_substrings,
+    "op11_toxicity": op11_toxicity,
     "op12_infill": op12_infill,
     "op13_manifest": op13_manifest,
 }
