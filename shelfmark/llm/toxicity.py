@@ -31,12 +31,13 @@ LOOKALIKES = {
 }
 #: What may stand between the letters of one word, blanks apart.
 SEPARATORS = "-._~^'`·•/\\,:;=*#|+\u00ad\u200b\u200c\u200d\u2060\ufeff"
-#: What the channel's changes cost, in nats: a look-alike, a separator, one letter doubled, or said more than twice.
-LOOKALIKE, SPACING, DOUBLED, REPEATED = 2.5, 1.0, 5.5, 1.0
+#: What the channel's changes cost, in nats: a look-alike, a separator, one letter doubled, or said more than twice;
+#: and what a sign that looks like a letter costs as itself.
+LOOKALIKE, SPACING, DOUBLED, REPEATED, ODD = 2.5, 1.0, 5.5, 1.0, 2.5
 
 #: Symbols of the model: no letter or digit, a to z, any other letter, a digit, the edge of a text.
 BITS = 5
-NONE, OTHER, DIGIT, EDGE = 0, 27, 28, 31
+NONE, OTHER, DIGIT, SIGN, EDGE = 0, 27, 28, 29, 31
 ORDER = 4
 CELLS = 1 << (BITS * ORDER)
 CONTEXT = (1 << (BITS * (ORDER - 1))) - 1
@@ -64,22 +65,40 @@ def symbol(character: str) -> int:
     return EDGE if base == "\0" else OTHER if base.isalpha() else DIGIT if base.isdigit() else NONE
 
 
-#: The symbols of Latin characters, and of those beyond by what they are.
-LATIN = np.array([symbol(chr(i)) for i in range(0x250)], np.int64)
+def _kind(point: int) -> int:
+    character = chr(point)
+    found = symbol(character)
+    return SIGN if found == NONE and not character.isspace() else found
+
+
+#: The symbols of Latin characters; signs have one of their own here.
+LATIN = np.array([_kind(i) for i in range(0x250)], np.int64)
 
 
 def symbols(text: str) -> np.ndarray:
+    """The symbol of each character, ``EDGE`` for what may be a disguise: digits beside letters, and signs between them."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     out = LATIN[np.minimum(points, len(LATIN) - 1)]
     beyond = points >= len(LATIN)
     if beyond.any():
         some, at = np.unique(points[beyond], return_inverse=True)
-        out[beyond] = np.array([symbol(chr(p)) for p in some])[at]
+        out[beyond] = np.array([_kind(p) for p in some])[at]
+    # The last and the next place that is no sign.
+    places, sign = np.arange(len(out)), out == SIGN
+    last = np.maximum.accumulate(np.where(sign, 0, places))
+    following = np.minimum.accumulate(np.where(sign, len(out) - 1, places)[::-1])[::-1]
+    letter = (out > NONE) & (out <= OTHER)
+    between = sign & letter[last] & letter[following]
+    near = np.zeros(len(out), bool)
+    near[1:] |= letter[:-1]
+    near[:-1] |= letter[1:]
+    out[sign] = NONE
+    out[between | ((out == DIGIT) & near)] = EDGE
     return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, n): how often four symbols follow each other in texts; runs of signs that are none count as one."""
+    """Rows (cell, n): how often four symbols follow each other in texts, runs of signs and blanks being one; nothing that may be a disguise counts."""
     sums, carry = np.zeros(CELLS, np.int64), np.zeros(0, np.int64)
 
     def add(text: str) -> None:
@@ -98,7 +117,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal sums
         sums += np.bincount(cells[~edge], minlength=CELLS)
 
-    held, size = [], 0
+    # Before and after each text an edge stands.
+    held, size = [" \0 "], 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
             # A long text is taken in slices; what one slice ends with precedes the next.
@@ -158,7 +178,7 @@ class Channel:
         """What a run of one character may stand for: what is written then, its symbols, and the cost."""
         sign, size = run[0].lower(), len(run)
         own = symbol(sign)
-        unit = [(run, (own,) * size if own != NONE else (NONE,), 0.0)]
+        unit = [(run, (own,) * size if own != NONE else (NONE,), ODD if own == NONE and sign in LOOKALIKES else 0.0)]
         if 1 <= own <= 26 and size > 1:
             unit.append((run[:1], (own,), DOUBLED if size == 2 else REPEATED))
             if size > 2:
