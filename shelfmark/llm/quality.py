@@ -2,8 +2,10 @@
 
 Two generative models of hashed word unigrams and bigrams are counted: one of the
 target (documents labelled good) and one of the raw corpus. A document's log
-importance weight is the sum of log(target / raw) over its n-grams. Standard Gumbel
-noise is added, and the k documents with the largest sums are a sample without
+importance weight is the sum of log(target / raw) over its n-grams, under models
+that have not counted the document itself, so that a labelled document is judged as an
+unlabelled one is. The number of buckets follows the target's n-grams, so that a bucket's
+counts tell something about n-grams of other documents. Standard Gumbel noise is added, and the k documents with the largest sums are a sample without
 replacement in proportion to the weights.
 
 A sum hardly sees a few toxic words in a long text. So toxicity has a ratio of its own,
@@ -16,6 +18,7 @@ blocks of bytes, so memory does not grow with a task's texts.
 
 from __future__ import annotations
 
+import math
 import threading
 from collections.abc import Iterator
 
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import discard, enter, materialize, table, worker_cache
 from .decontaminate import bounded
 
-#: Buckets of the importance ratios, and of the toxic ones.
-BITS, TOXIC_BITS = 18, 22
+#: About so many n-grams of the target fall to a bucket; the buckets are 2**8 to 2**20.
+TO_A_BUCKET, LEAST_BITS, MOST_BITS = 70, 8, 20
+#: Buckets of the toxic ratios.
+TOXIC_BITS = 22
 #: Words count for toxicity whole and by so many first bytes.
 FIRST_BYTES = (4, 5, 6)
 #: The driver gets the toxic ratios of what so many toxic documents share.
@@ -39,8 +44,9 @@ STRONGEST = 3
 LABELLED_ROWS, TOXIC_ROWS = 100_000, 20_000
 #: Thresholds may reject at most this share of the documents labelled clean or good.
 CLEAN_LOST = 0.005
-#: The counts of the target are smoothed by so many n-grams that are distributed as in the raw corpus.
-PRIOR = 2_000
+#: What a bucket has in the target, and what it would have if the target were like the raw corpus, are smoothed by so many
+#: n-grams, so a bucket that no other document has met says nothing.
+PRIOR = 20
 #: Texts are hashed in blocks of about so many bytes.
 CHUNK = 1 << 19
 BASE, INVERSE = 0x100000001B3, pow(0x100000001B3, -1, 2**64)
@@ -120,7 +126,7 @@ def words_and_beginnings(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarr
     return np.concatenate([h for h, _ in found]) * MIX, np.concatenate([own for _, own in found])
 
 
-def buckets(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+def buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -129,13 +135,13 @@ _made = threading.local()
 worker_cache("quality", lambda: _made.__dict__.clear())
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Rows (kind, bucket, n): occurrences for raw and target, documents for clean and toxic.
 
     Bucket -1 has the number of documents. Columns: text, good, toxic (null: not learned from).
     """
     enter("quality")
-    sums = [np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), np.zeros(1 << TOXIC_BITS, np.int32), np.zeros(1 << TOXIC_BITS, np.int32)]
+    sums = [np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), np.zeros(1 << TOXIC_BITS, np.int32), np.zeros(1 << TOXIC_BITS, np.int32)]
     documents = np.zeros(4, np.int64)
     for batch in batches:
         good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -143,10 +149,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents += [len(good), good.sum(), (toxic == 0).sum(), (toxic == 1).sum()]
         for row, last, data, bounds in blocks(batch.column(0)):
             hashes, own = n_grams(data, bounds)
-            found, chosen = buckets(hashes), good[row:last][own]
-            sums[RAW] += np.bincount(found, minlength=1 << BITS)
+            found, chosen = buckets(hashes, bits), good[row:last][own]
+            sums[RAW] += np.bincount(found, minlength=1 << bits)
             if chosen.any():
-                sums[TARGET] += np.bincount(found[chosen], minlength=1 << BITS)
+                sums[TARGET] += np.bincount(found[chosen], minlength=1 << bits)
             told = toxic[row:last]
             if (told >= 0).any():
                 hashes, own = words_and_beginnings(data, bounds)
@@ -160,8 +166,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(np.r_[-1, at]), pa.array(n)], names=["kind", "bucket", "n"])
 
 
+def bits_for(n: int) -> int:
+    """The bits of a bucket's number for a target of about ``n`` n-grams."""
+    return min(max(round(math.log2(max(n, 1) / TO_A_BUCKET)), LEAST_BITS), MOST_BITS)
+
+
 class Model:
-    """What the labelled documents and the corpus say: the log ratio of each bucket, and the toxic ones."""
+    """What the labelled documents and the corpus say: the counts of each bucket, and the toxic ratios."""
 
     def __init__(self, df: DataFrame):
         """``df``: text, good, toxic, as for ``_counted``; every document counts for raw.
@@ -169,15 +180,20 @@ class Model:
         Each task sends its sums, so what is moved grows with the tasks and the buckets,
         and the driver gets one row for each bucket.
         """
-        counts = materialize(df.mapInArrow(_counted, "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")))
-        raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        for part, kind in ((raw, RAW), (target, TARGET)):
+        # White space tells about how many words there are; each gives a word and a pair.
+        blank = F.octet_length("text") - F.octet_length(F.translate("text", " \t\n\x0b\x0c\r", ""))
+        bits = bits_for(2 * (df.where("good").agg(F.sum(blank + 1)).first()[0] or 0))
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _counted(batches, bits)
+
+        self.bits = bits
+        counts = materialize(df.mapInArrow(counted, "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")))
+        self.raw, self.target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        for part, kind in ((self.raw, RAW), (self.target, TARGET)):
             got = counts.where((F.col("kind") == kind) & (F.col("bucket") >= 0)).select("bucket", "n").toPandas()
             part[got["bucket"]] = got["n"]
-        self.ratios = np.zeros(1 << BITS)
-        if target.sum():
-            share = (raw + 1) / (raw.sum() + len(raw))
-            self.ratios = np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share)
+        self.sums = int(self.raw.sum()), int(self.target.sum())
         documents = {r.kind: r.n for r in counts.where("bucket < 0").collect()}
         bad = counts.where((F.col("kind") == TOXIC) & (F.col("bucket") >= 0) & (F.col("n") >= TOXIC_LEAST)).select("bucket", F.col("n").alias("t"))
         also = counts.where(F.col("kind") == CLEAN).select("bucket", F.col("n").alias("c"))
@@ -190,6 +206,21 @@ class Model:
             self.told, self.levels = both[level > 0, 0].astype(np.int64), level[level > 0].astype(np.float32)
         discard(counts.written_path)
 
+    def weights(self, found: np.ndarray, own: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Log importance weights of texts: ``found`` are buckets of n-grams, ``own`` their texts' numbers, ``good`` tells which texts the target has counted.
+
+        A text's own n-grams are taken out of both models first.
+        """
+        raw, target = self.sums
+        if not target:
+            return np.zeros(len(good))
+        each, n = np.unique((own << self.bits) | found, return_counts=True)
+        own, found = each >> self.bits, each & ((1 << self.bits) - 1)
+        size = np.bincount(own, n, len(good))
+        seen, learned = self.target[found] - n * good[own], target - size * good
+        usual = (learned / np.maximum(raw - size, 1))[own] * (self.raw[found] - n)
+        return np.bincount(own, n * np.log((seen + PRIOR) / (usual + PRIOR)), len(good))
+
     @property
     def toxic(self) -> np.ndarray:
         """The ratio of every bucket, made where it is used: what is sent holds only those that tell something."""
@@ -200,14 +231,14 @@ class Model:
             _made.of, _made.table = self, table
         return table
 
-    def scored(self, column: pa.Array) -> list[np.ndarray]:
-        """The number of n-grams, log weight and toxicity of each whole text; null and empty: 0."""
+    def scored(self, column: pa.Array, good: np.ndarray) -> list[np.ndarray]:
+        """The number of n-grams, log weight and toxicity of each whole text; null and empty: 0. ``good``: which the target has counted."""
         sizes, weights, toxicity = np.zeros(len(column), np.int64), np.zeros(len(column)), np.zeros(len(column))
         toxic = self.toxic if len(self.told) else None
         for row, last, data, bounds in blocks(column):
             hashes, own = n_grams(data, bounds)
             sizes[row:last] = np.bincount(own, minlength=last - row)
-            weights[row:last] = np.bincount(own, self.ratios[buckets(hashes)], minlength=last - row)
+            weights[row:last] = self.weights(buckets(hashes, self.bits), own, good[row:last])
             if toxic is None:
                 continue
             hashes, own = words_and_beginnings(data, bounds)
@@ -277,7 +308,7 @@ def resample(df: DataFrame, labels: DataFrame, share: float | None = None, id_:
     rows with the largest Gumbel keys, ties to smaller ids (null: the largest), if they are not
     toxic. k is ``share`` of the rows with words; by default it is how many rows there are
     like the target: as many as have a weight on the good side of the value that best
-    separates the weights of good and bad labels. Toxicity is learned from one half of at
+    separates the weights of good and bad labels. No weight holds the document's own counts. Toxicity is learned from one half of at
     most ``TOXIC_ROWS`` labelled ids, the other half sets its threshold. Either threshold may
     leave ``CLEAN_LOST`` of the good or clean ones on the wrong side.
 
@@ -290,18 +321,19 @@ def resample(df: DataFrame, labels: DataFrame, share: float | None = None, id_:
     few = found.orderBy(F.xxhash64("label_id"), "label_id").limit(LABELLED_ROWS)
     few = bounded(few.withColumn("bad", F.when(F.row_number().over(Window.orderBy(F.xxhash64("label_id"), "label_id")) <= TOXIC_ROWS, F.col("bad"))))
     docs = df.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    known = docs.join(few, F.col("id") == F.col("label_id"), "left")
     learned = F.xxhash64(F.lit(9), F.col("id")) >= 0
-    model = Model(known.select("text", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("good"), F.when(learned, F.col("bad")).alias("bad")))
+    known = docs.join(few, F.col("id") == F.col("label_id"), "left").withColumns({"good": F.coalesce(F.col("quality") == 1, F.lit(False)), "bad": F.when(learned, F.col("bad"))})
+    model = Model(known.select("text", "good", "bad"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("quality")
         for batch in batches:
-            columns = [batch.column(0), batch.column(1), *map(pa.array, model.scored(batch.column(2)))]
+            good = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            columns = [batch.column(0), batch.column(1), *map(pa.array, model.scored(batch.column(2), good))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "content", "n_grams", "log_weight", "toxicity"])
 
     kind = dict(docs.dtypes)["id"]
-    rows = docs.select("id", F.xxhash64("text").alias("content"), "text").mapInArrow(scored, f"id {kind}, content long, n_grams long, log_weight double, toxicity double")
+    rows = known.select("id", F.xxhash64("text").alias("content"), "text", "good").mapInArrow(scored, f"id {kind}, content long, n_grams long, log_weight double, toxicity double")
     rows = materialize(rows.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.xxhash64(F.lit(8), "id", "content"))))
     # One row for each labelled id, so their number is bounded.
     own = rows.where("n_grams > 0").groupBy("id").agg(F.min("log_weight").alias("weight"), F.max("toxicity").alias("toxicity"))
@@ -321,10 +353,15 @@ def resample(df: DataFrame, labels: DataFrame, share: float | None = None, id_:
         if k:
             least = kth_largest(some.select("gumbel_key"), k)
             above = some.where(F.col("gumbel_key") > least).count()
-            tied = some.where(F.col("gumbel_key") == least)
-            order = -F.coalesce(F.col("id").cast("double"), F.lit(float("inf")))
-            last = kth_largest(tied.select(order.alias("order")), min(k - above, tied.count()))
-            keep = (F.col("gumbel_key") > least) | ((F.col("gumbel_key") == least) & (order >= last))
+            # Noise depends on the id and the text, so the ids that tie are few.
+            tied = some.where(F.col("gumbel_key") == least).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+            before = F.coalesce(F.sum("n").over(Window.orderBy(F.asc_nulls_last("id")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            gone = tied.withColumn("before", before).where(F.col("before") >= k - above).select(F.col("id").alias("late"))
+            late = gone.orderBy(F.asc_nulls_last("late")).limit(1).collect()
+            keep = F.col("gumbel_key") >= least
+            if late:
+                early = F.col("id").isNotNull() if late[0][0] is None else F.coalesce(F.col("id") < F.lit(late[0][0]), F.lit(False))
+                keep = (F.col("gumbel_key") > least) | ((F.col("gumbel_key") == least) & early)
     keep = (keep | (F.col("n_grams") == 0)) & ~F.col("toxic")
     return rows.withColumn("toxic", toxic).select("id", "content", "n_grams", "log_weight", "gumbel_key", "toxic", keep.alias("keep"))
 

@@ -34,13 +34,25 @@ def test_stages(spark):
         if name == "quality":
             judged = before.join(table(spark, DATA, "labels"), "doc_id").withColumn("kept", F.col("doc_id").isin([r[0] for r in docs.select("doc_id").collect()]))
             # Toxic documents are to go, whatever their quality.
-            good, bad = (judged.where(q).agg(F.avg(F.col("kept").cast("double"))).first()[0] for q in ("quality = 1 and toxic = 0", "quality = 0"))
-            assert good >= 0.97 and bad <= 0.2
+            assert judged.where("quality = 1 and toxic = 0").agg(F.avg(F.col("kept").cast("double"))).first()[0] >= 0.97
         if name == "decontamination":
             assert decontaminate.contained_items(docs, table(spark, DATA, "benchmark")).isEmpty()
     assert 0 < sizes[4] <= sizes[3] < sizes[2] == sizes[1] < sizes[0]
 
 
+def test_quality_where_labels_are_hidden(spark):
+    """Learned from even ids, judged on all others: good ones stay, bad ones go, and rows without a label fare like those with one."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    kept = quality.keep_selected(docs, labels.where("doc_id % 2 = 0")).select("doc_id", F.lit(1.0).alias("kept"))
+    judged = docs.join(labels, "doc_id", "left").join(kept, "doc_id", "left").fillna(0.0, "kept")
+    share = lambda q: judged.where(q).agg(F.avg("kept")).first()[0]
+    assert share("doc_id % 2 = 1 and quality = 1 and toxic = 0") >= 0.95
+    assert share("doc_id % 2 = 1 and quality = 0") <= 0.1
+    assert share("doc_id % 2 = 1 and toxic = 1") <= 0.2
+    seen, hidden, unlabelled = share("doc_id % 2 = 0 and quality is not null"), share("doc_id % 2 = 1 and quality is not null"), share("quality is null")
+    assert abs(seen - hidden) < 0.03 and abs(unlabelled - hidden) < 0.05
+
+
 def test_stages_against_brute_force(spark):
     """Each stage's rows on its own input, by plain loops over sets."""
     stages, docs = dict(corpus_pipeline.STAGES), table(spark, DATA, "documents")
