@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import discard, enter, materialize, table, worker_cache
 from .decontaminate import bounded
 
-#: About so many n-grams of the target fall to a bucket; the buckets are 2**8 to 2**20.
-TO_A_BUCKET, LEAST_BITS, MOST_BITS = 70, 8, 20
+#: About so many n-grams of the target fall to a bucket; the buckets are 2**8 to 2**19.
+TO_A_BUCKET, LEAST_BITS, MOST_BITS = 70, 8, 19
 #: Buckets of the toxic ratios.
 TOXIC_BITS = 22
 #: Words count for toxicity whole and by so many first bytes.
@@ -191,13 +191,14 @@ class Model:
         counts = materialize(df.mapInArrow(counted, "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")))
         self.raw, self.target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for part, kind in ((self.raw, RAW), (self.target, TARGET)):
-            got = counts.where((F.col("kind") == kind) & (F.col("bucket") >= 0)).select("bucket", "n").toPandas()
-            part[got["bucket"]] = got["n"]
+            got = counts.where((F.col("kind") == kind) & (F.col("bucket") >= 0)).select("bucket", "n").toArrow()
+            part[got["bucket"].to_numpy()] = got["n"].to_numpy()
         self.sums = int(self.raw.sum()), int(self.target.sum())
         documents = {r.kind: r.n for r in counts.where("bucket < 0").collect()}
         bad = counts.where((F.col("kind") == TOXIC) & (F.col("bucket") >= 0) & (F.col("n") >= TOXIC_LEAST)).select("bucket", F.col("n").alias("t"))
         also = counts.where(F.col("kind") == CLEAN).select("bucket", F.col("n").alias("c"))
-        both = bad.join(also, "bucket", "left").select("bucket", F.col("t") + 0.5, F.coalesce("c", F.lit(0)) + 0.5).toPandas().to_numpy()
+        both = bad.join(also, "bucket", "left").select("bucket", (F.col("t") + 0.5).alias("t"), (F.coalesce("c", F.lit(0)) + 0.5).alias("c")).toArrow()
+        both = np.column_stack([column.to_numpy().astype(float) for column in both.columns])
         self.told, self.levels = np.empty(0, np.int64), np.empty(0, np.float32)
         if len(both):
             t, c = both[:, 1], both[:, 2]
