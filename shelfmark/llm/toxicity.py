@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,9 +140,9 @@ def character_model(texts: DataFrame) -> array:
 
     A task sends a sum for each sequence that it has met; the driver gets at most 2**20 rows.
     """
-    counted = texts.mapInArrow(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counted = texts.mapInArrow(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS)
-    counts[counted["cell"]] = counted["n"]
+    counts[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     size = 1 << BITS
     likely = np.full(size, 1 / size)
     for order in range(1, ORDER + 1):
@@ -161,6 +162,7 @@ _SPLIT = re.compile(rf"[^\W_][{re.escape(SEPARATORS)}]+[^\W_]")
 _WHITE = re.compile(r"(\s+)")
 #: At least three single characters with blanks between them.
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t ]+){2,}\S(?!\S)")
+_ODD_WHITE = re.compile(r"[^\S \t\n\x0b\x0c\r]")
 _RUNS = re.compile(r"(.)\1*", re.IGNORECASE | re.DOTALL)
 #: What stands before and after words without being part of them.
 _AROUND = ".,;:?!\"'()[]{}<>…»«“”„"
@@ -173,6 +175,7 @@ class Channel:
         self.model = model
         self.words = Memo(self.restored_word, WORDS_KEPT)
         self.runs = Memo(self.meanings, RUNS_KEPT)
+        self.signs = Memo(symbol, RUNS_KEPT)
 
     def meanings(self, run: str) -> Unit:
         """What a run of one character may stand for: what is written then, its symbols, and the cost."""
@@ -214,6 +217,35 @@ class Channel:
             parts.append(written)
         return "".join(reversed(parts))
 
+    def doubled_only(self, word: str) -> bool:
+        """Whether ``word``, in which only doubled letters are suspicious, is surely meant as it is.
+
+        Doubles that stand four symbols apart change no common terms of the model, so each is judged by
+        what the path without its second letter would gain; closer ones are left to ``decode``.
+        """
+        model, last = self.model, -ORDER
+        own = [NONE] * (ORDER - 1) + [self.signs[c] for c in word] + [NONE]
+        if NONE in own[ORDER - 1 : -1]:
+            return False
+        for i in range(ORDER, len(own) - 1):
+            if own[i] != own[i - 1] or not NONE < own[i] < OTHER:
+                continue
+            if i - last < ORDER or own[i + 1] == own[i]:
+                return False
+            last, gain = i, -DOUBLED
+            before = (own[i - 3] << (2 * BITS)) | (own[i - 2] << BITS) | own[i - 1]
+            at = before
+            for s in own[i : i + ORDER]:
+                at = ((at & CONTEXT) << BITS) | s
+                gain -= model[at]
+            at = before
+            for s in own[i + 1 : i + ORDER]:
+                at = ((at & CONTEXT) << BITS) | s
+                gain += model[at]
+            if gain > 0:
+                return False
+        return True
+
     def restored_word(self, word: str) -> str:
         """``word``, a text without blanks, with disguises undone; other white space may be in it."""
         if not _LETTER.search(word):
@@ -221,7 +253,9 @@ class Channel:
         if _WHITE.search(word):
             return "".join(self.restored_word(part) for part in _WHITE.split(word))
         core = word.strip(_AROUND)
-        if not (_LOOKALIKE.search(core) or _RUN.search(core) or _SPLIT.search(core)) or not _LETTER.search(core):
+        if not _LETTER.search(core):
+            return word
+        if not (_LOOKALIKE.search(core) or _SPLIT.search(core)) and (not _RUN.search(core) or self.doubled_only(core)):
             return word
         at = word.index(core)
         return word[:at] + self.decode(core) + word[at + len(core) :]
@@ -230,13 +264,80 @@ class Channel:
         return self.decode(found[0]) if _LETTER.search(found[0]) else found[0]
 
     def restored(self, text: str | None) -> str:
-        if not text:
-            return ""
-        if not text.isascii():
-            # Wide letters, and marks that stand apart from theirs.
-            text = unicodedata.normalize("NFKC", text)
+        """The whole text as it was meant; null: empty."""
+        return self.whole(composed(text))
+
+    def whole(self, text: str) -> str:
         return " ".join(map(self.words.__getitem__, _SPACED.sub(self.spaced, text).split(" ")))
 
+    def restored_all(self, texts: list[str | None]) -> list[str]:
+        """``restored`` of each text; only words that may be suspicious are looked at one by one."""
+        texts = [composed(t) for t in texts]
+        raw = "\n".join([*texts, ""]).encode("utf-8", "surrogatepass")
+        data = np.frombuffer(raw, np.uint8)
+        begin, end, suspicious, spaced = suspects(data)
+        bounds = np.cumsum([0, *(len(t) + 1 if t.isascii() else len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts)])
+        out = list(texts)
+        slow = {i for i, t in enumerate(texts) if _ODD_WHITE.search(t)} | set((np.searchsorted(bounds, begin[spaced], "right") - 1).tolist())
+        for i in slow:
+            out[i] = self.whole(texts[i])
+        changes: dict[int, list[tuple[int, int, bytes]]] = {}
+        own = np.searchsorted(bounds, begin[suspicious], "right") - 1
+        for i, lo, hi in zip(own.tolist(), begin[suspicious].tolist(), end[suspicious].tolist()):
+            word = raw[lo:hi].decode("utf-8", "surrogatepass")
+            meant = self.words[word]
+            if meant != word:
+                changes.setdefault(i, []).append((lo, hi, meant.encode("utf-8", "surrogatepass")))
+        for i, found in changes.items():
+            if i not in slow:
+                parts, at = [], int(bounds[i])
+                for lo, hi, meant in found:
+                    parts += [raw[at:lo], meant]
+                    at = hi
+                out[i] = b"".join([*parts, raw[at : int(bounds[i + 1]) - 1]]).decode("utf-8", "surrogatepass")
+        return out
+
+
+def composed(text: str | None) -> str:
+    """``text`` with wide letters as usual ones and marks on their letters; null: empty."""
+    return text or "" if not text or text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+
+
+_AROUND_BYTES = np.isin(np.arange(256), np.frombuffer(_AROUND.encode("ascii", "ignore"), np.uint8))
+
+
+def suspects(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where words (runs of bytes but ASCII white space) begin and end, which of them may hold a
+    disguise, and which are the third single character in a row, with only blanks between.
+
+    Digits, signs other than punctuation around words, doubled letters and what bytes don't tell are suspicious.
+    ``data`` ends with white space.
+    """
+    white = (data == 32) | ((data >= 9) & (data <= 13))
+    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    plain = (low >= 97) & (low <= 122)
+    high = data >= 128
+    sign = ~(white | plain | high)
+    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+    before[1:], after[:-1] = white[:-1], white[1:]
+    flag = sign & (~_AROUND_BYTES[data] | ~(before | after))
+    flag[1:] |= plain[1:] & (low[1:] == low[:-1])
+    flag |= (data == 0xC2) | (data >= 0xE0)
+    flag[1:] |= (data[1:] >= 0xC0) & high[:-1]
+    begin, end = np.flatnonzero(~white & before), np.flatnonzero(~white & after) + 1
+    if not len(begin):
+        none = np.zeros(0, bool)
+        return begin, end, none, none
+    suspicious = np.add.reduceat(flag, begin, dtype=np.int64) > 0
+    characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    lines = np.concatenate([[0], np.cumsum(white & (data != 32) & (data != 9))])
+    single = characters[end] - characters[begin] == 1
+    joined = np.zeros(len(begin), bool)
+    joined[1:] = single[1:] & single[:-1] & (lines[begin[1:]] == lines[end[:-1]])
+    third = np.zeros(len(begin), bool)
+    third[2:] = joined[2:] & joined[1:-1]
+    return begin, end, suspicious, third
+
 
 _channels: dict[int, Channel] = {}
 worker_cache("toxicity", _channels.clear)
@@ -251,6 +352,16 @@ def channel(model: array) -> Channel:
     return _channels[key]
 
 
+def portions(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in lists of about ``CHUNK`` bytes, or of one text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    row = 0
+    while row < len(column):
+        last = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + CHUNK, "right")))
+        yield column.slice(row, last - row).to_pylist()
+        row = last
+
+
 def restore_texts(df: DataFrame, text: str = "text", name: str = "restored", model: array | None = None) -> DataFrame:
     """``df`` with ``name``: the text as it was meant (null and empty: empty). Without ``model`` one is counted over all of ``df``."""
     model = model or character_model(df.select(text))
@@ -258,7 +369,10 @@ def restore_texts(df: DataFrame, text: str = "text", name: str = "restored", mod
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         enter("toxicity")
-        return pa.array(map(channel(model).restored, texts.to_pylist()), pa.string(), len(texts))
+        out = []
+        for some in portions(texts):
+            out += channel(model).restored_all(some)
+        return pa.array(out, pa.string())
 
     return df.withColumn(name, run(F.col(f"`{text}`")))
 
@@ -268,12 +382,13 @@ CLEAN, TOXIC = 0, 1
 
 def _words(column: pa.Array, model: array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For blocks of texts, first and last row, the buckets of the words and beginnings of words of restored texts, and the row in the block."""
-    restore = channel(model).restored
-    for row in range(0, len(column), 256):
-        texts = pa.array([restore(t) for t in column.slice(row, 256).to_pylist()], pa.string())
+    row = 0
+    for some in portions(column):
+        texts = pa.array(channel(model).restored_all(some), pa.string())
         for first, last, data, bounds in blocks(texts):
             hashes, own = words_and_beginnings(data, bounds)
             yield row + first, row + last, buckets(hashes, TOXIC_BITS), own
+        row += len(some)
 
 
 class Evidence:
@@ -328,11 +443,11 @@ def evidence(learned: DataFrame, model: array) -> list[Evidence]:
 
     rows = learned.mapInArrow(counted, "bucket long, c0 long, t0 long, c1 long, t1 long")
     counts = materialize(rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")]))
-    few = counts.where(F.col("t0") + F.col("t1") >= TOXIC_LEAST).toPandas().to_numpy(np.int64, na_value=0)
-    totals = counts.where("bucket < 0").toPandas().to_numpy(np.int64)
+    shared = counts.where((F.col("t0") + F.col("t1") >= TOXIC_LEAST) & (F.col("bucket") >= 0)).toArrow()
+    few = np.column_stack([c.to_numpy().astype(float) for c in shared.columns])
+    totals = counts.where("bucket < 0").first()
     discard(counts.written_path)
-    totals = totals[0, 1:] if len(totals) else np.zeros(4, np.int64)
-    few = few[few[:, 0] >= 0].astype(float)
+    totals = np.array(totals[1:] if totals else [0] * 4)
     part = lambda c, t: np.column_stack([few[:, 0], few[:, c].sum(1), few[:, t].sum(1)])
     pick = [([3], [4]), ([1], [2]), ([1, 3], [2, 4])]
     return [Evidence(part(c, t), totals[np.array(c) - 1].sum(), totals[np.array(t) - 1].sum()) for c, t in pick]
