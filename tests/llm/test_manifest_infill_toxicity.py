@@ -221,6 +221,25 @@ def test_disguises_are_undone(spark, words, corpus):
         assert isinstance(channel.restored(text), str)
 
 
+def test_blocks_of_texts_are_restored_as_single_ones(spark, corpus, monkeypatch):
+    """The search in bytes, and the judgement of doubled letters without a lattice, leave nothing out."""
+    model = toxicity.character_model(spark.createDataFrame(corpus[0], DOCS).select("text"))
+    rng = random.Random(24)
+    made = ["".join(rng.choices("aabdit10 .-*!\n\té\u00a0\u2028\x1c(ＡÉ日", k=rng.randint(0, 40))) for _ in range(1500)]
+    texts = [*made, *[t for _, t in corpus[0][:300]], None, "", "a b c", "i d\ni o t", "(1d10t!)", "a" * 9000]
+    block = toxicity.Channel(model).restored_all(texts)
+    monkeypatch.setattr(toxicity.Channel, "doubled_only", lambda self, word: False)
+    single = toxicity.Channel(model)
+    assert block == [single.restored(t) for t in texts]
+    assert toxicity.Channel(model).restored_all([]) == []
+
+
+def test_restored_column(spark, corpus):
+    frame = spark.createDataFrame([*corpus[0][:200], (-1, None), (-2, "")], DOCS + "").withColumn("model", F.lit(1))
+    found = {r.doc_id: r for r in toxicity.restore_texts(frame).collect()}
+    assert len(found) == 202 and found[-1].restored == found[-2].restored == "" and found[0].model == 1
+
+
 def test_decoding_is_exact(words, spark, corpus):
     """Against all paths of short lattices."""
     model = toxicity.character_model(spark.createDataFrame(corpus[0], DOCS).select("text"))
