@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.names import numbered_name, safe_filename, split_name
 from ..functions.paths import basename
 from ..operators.classify import classify, label
+from ..operators.ranks import positions
 
 #: The folder below a library's root that plans move files into, if the caller names no other.
 OUTPUT = "organized"
@@ -122,8 +123,8 @@ def move_plan(files: DataFrame, ids: DataFrame, root: str, now_ms: int, existing
     folder = F.concat(F.lit(f"{root}/{output}/"), label(category))
     rows = wanted.select("id", "library_id", F.col("path").alias("source_path"), folder.alias("folder"), basename(F.col("path")).alias("name"))
     names = unique_names(rows.select("folder", F.col("id").alias("ordinal"), "id", "name"), existing)
-    number = F.row_number().over(Window.partitionBy("library_id").orderBy("source_path", "id")) - 1
-    joined = rows.withColumn("ordinal", number.cast("int")).join(names.select("id", "unique_name"), "id")
+    numbered = positions(rows.select("id", "library_id", "source_path", "folder"), ["library_id"], [F.col("source_path").asc(), F.col("id").asc()], "ordinal")
+    joined = numbered.withColumn("ordinal", F.col("ordinal").cast("int")).join(names.select("id", "unique_name"), "id")
     return joined.select(
         "ordinal", F.col("id").alias("file_id"), "source_path", F.concat("folder", F.lit("/"), "unique_name").alias("target_path"),
         F.lit(now_ms).cast("long").alias("created_at_ms"), F.lit(now_ms + LIFETIME_MS).cast("long").alias("expires_at_ms"),

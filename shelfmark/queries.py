@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import bind, with_roles
-from .functions import paths
-from .operators import classify, duplicates, journal, query, reconcile, rules, search, similarity
+from .functions import names, paths
+from .operators import classify, duplicates, index, journal, query, ranks, reconcile, rules, search, similarity
 from .plans import organize
 from .sources import content, directory, sinks
+from .sources.written import new_path
 from .streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: SQL over the roles, as it was registered.
+PLAIN: dict[str, str] = {}
 NOW_MS = 1_400_000
 NOW_NS = 1_700_000_000_000_000_000
 
@@ -34,6 +37,7 @@ def register(name: str, roles: str = "", sql: str = ""):
     def add(make):
         QUERIES[name] = lambda spark, sf_dir: make(*[bind(spark, sf_dir, r) for r in names])
         if sql:
+            PLAIN[name] = sql
             SQL[name] = with_roles(sql, *names)
         return make
 
@@ -69,6 +73,28 @@ def _(files):
     return duplicates.groups(query.scoped(files)).withColumn("paths", F.array_join("paths", "|"))
 
 
+MEMBERS_SQL = """SELECT content_hash, size, path, path = first AS keep FROM (SELECT sha256(content) AS content_hash, size, path,
+  count(*) OVER w AS n, min(path) OVER w AS first FROM files {where} WINDOW w AS (PARTITION BY sha256(content), size)) WHERE n > 1"""
+
+
+@register("anl1_duplicate_members", "files", MEMBERS_SQL.format(where=""))
+def _(files):
+    return duplicates.members(files)
+
+
+@register("agg4_group_members", "files", MEMBERS_SQL.format(where=f"WHERE {ACTIVE}"))
+def _(files):
+    return duplicates.members(query.scoped(files))
+
+
+@register("agg4_empty_files", "files", f"""{MEMBERS_SQL.format(where="WHERE true")}""".replace("FROM files WHERE true", "FROM (SELECT path, CASE WHEN size % 3 = 0 THEN '' ELSE content END AS content, CASE WHEN size % 3 = 0 THEN 0 ELSE size END AS size FROM files)"))
+def _(files):
+    """A third of the files are empty here, and form one group."""
+    empty = F.col("size") % 3 == 0
+    rows = files.select("path", F.when(empty, "").otherwise(F.col("content")).alias("content"), F.when(empty, 0).otherwise(F.col("size")).alias("size"))
+    return duplicates.members(rows)
+
+
 @register("prj3_duplicate_view", "files", f"SELECT content_hash, size, potential_savings, suggested_keep FROM ({GROUPS_SQL.format(where='')})")
 def _(files):
     return duplicates.classes(files).select("content_hash", "size", "potential_savings", "suggested_keep")
@@ -391,7 +417,7 @@ def _(files):
 
 @register("agg3_quick_buckets", "files", "SELECT size, count(*) AS n FROM files GROUP BY size, content HAVING count(*) > 1")
 def _(files):
-    return duplicates.buckets(duplicates.hashed(files), "size", "quick").select("size", "n")
+    return duplicates.buckets(duplicates.samples(files), "size", "quick").select("size", "n")
 
 
 @register("agg5_duplicate_stats", "files", """, o AS (SELECT * FROM files WHERE ordinary) SELECT (SELECT count(*) FROM files) AS input_files, (SELECT count(*) FROM files WHERE NOT ordinary) AS skipped_files,
@@ -457,7 +483,15 @@ def _(files):
 
 @register("srt10_plan_order", "files", "SELECT id, row_number() OVER (PARTITION BY library_id ORDER BY path, id) - 1 AS ordinal FROM files")
 def _(files):
-    return files.select("id", (F.row_number().over(Window.partitionBy("library_id").orderBy("path", "id")) - 1).cast("long").alias("ordinal"))
+    rows = files.select("id", "library_id", "path")
+    return ranks.positions(rows, ["library_id"], [F.col("path").asc(), F.col("id").asc()], "ordinal").select("id", "ordinal")
+
+
+@register("srt10_legacy_order", "files", f"""SELECT id, row_number() OVER (ORDER BY lower({NAME}), path) - 1 AS ordinal FROM files""")
+def _(files):
+    """The order of a legacy plan: names without case, then whole paths."""
+    order = [names.fold_case(paths.basename(F.col("path"))).asc(), F.col("path").asc()]
+    return ranks.positions(files.select("id", "path"), [], order, "ordinal").select("id", "ordinal")
 
 
 @register("srt14_undo_order", "items", "SELECT operation_id, ordinal, row_number() OVER (PARTITION BY operation_id ORDER BY ordinal DESC) AS step FROM items")
@@ -807,6 +841,46 @@ def _(files):
     return _ranked(search.search(files, "no", limit=25))
 
 
+def _indexed(files: DataFrame) -> tuple[DataFrame, str]:
+    """What a search shows and filters by, indexed in a new folder."""
+    rows = files.select("id", "path", "size", "library_id", "missing_since_ms")
+    root = new_path(files.sparkSession, "index")
+    index.build(rows, root, shards=4)
+    return rows, root
+
+
+def _found(files: DataFrame, text: str, library: str | None = None, limit: int = query.SEARCH_ROWS) -> DataFrame:
+    rows, root = _indexed(files)
+    return _ranked(index.Search(files.sparkSession, root, rows.schema, text, library, limit).rows())
+
+
+@register("txt2_indexed_prefix", "files", PLAIN["txt2_prefix_search"])
+def _(files):
+    return _found(files, "b")
+
+
+@register("txt3_indexed_substring", "files", PLAIN["txt3_substring_search"])
+def _(files):
+    return _found(files, "DGET")
+
+
+@register("srt2_indexed_topk", "files", PLAIN["srt2_search_topk"])
+def _(files):
+    return _found(files, "no", limit=25)
+
+
+@register("srt2_updated_index", "files", PLAIN["srt2_search_topk"])
+def _(files):
+    """An index of an older state, in which some files are missing, some have gone since and some other names, is brought up to date."""
+    spark, rows = files.sparkSession, files.select("id", "path", "size", "library_id", "missing_since_ms")
+    old = F.when(F.crc32("id") % 5 == 1, F.concat("path", F.lit(" notes notes"))).otherwise(F.col("path"))
+    stale = rows.where(F.crc32("id") % 5 != 0).withColumn("path", old).union(rows.withColumn("id", F.concat(F.lit("gone"), "id")).where(F.crc32("id") % 5 == 2))
+    root = new_path(spark, "index")
+    index.build(stale, root, shards=4)
+    index.update(spark, root, rows.where(F.crc32("id") % 5 < 2), stale.where(F.col("id").startswith("gone")).select("id"))
+    return _ranked(index.Search(spark, root, rows.schema, "no", limit=25).rows())
+
+
 NATURAL_SQL = f"""list_aggregate(list_transform(regexp_extract_all(lower({NAME}), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]')
   THEN '0' || lpad(cast(length(coalesce(nullif(ltrim(x, '0'), ''), '0')) AS VARCHAR), 6, '0') || coalesce(nullif(ltrim(x, '0'), ''), '0') ELSE x END), 'string_agg', '')"""
 
@@ -814,9 +888,10 @@ NATURAL_SQL = f"""list_aggregate(list_transform(regexp_extract_all(lower({NAME})
 @register("srt11_natural_order", "files", f"""SELECT id, row_number() OVER (PARTITION BY library_id ORDER BY {NATURAL_SQL}, path) AS place,
   row_number() OVER (PARTITION BY library_id ORDER BY {NATURAL_SQL} DESC, path DESC) AS place_down FROM files""")
 def _(files):
-    up, down = (query.natural_order(F.col("path"), descending=d) for d in (False, True))
-    by = Window.partitionBy("library_id")
-    return files.select("id", F.row_number().over(by.orderBy(*up)).cast("long").alias("place"), F.row_number().over(by.orderBy(*down)).cast("long").alias("place_down"))
+    # Descending turns the ties round too, so it is the same order from the other end.
+    up = ranks.positions(files.select("id", "library_id", "path"), ["library_id"], query.natural_order(F.col("path")), "place")
+    sizes = files.groupBy(F.col("library_id").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    return up.join(sizes, F.col("library_id").eqNullSafe(F.col("of"))).select("id", (F.col("place") + 1).alias("place"), (F.col("n") - F.col("place")).alias("place_down"))
 
 
 @register("srt13_rule_order", "jobs", "SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, created_at_ms, id) AS place FROM jobs")

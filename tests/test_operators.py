@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import sqlite3
 import unicodedata
@@ -114,6 +115,29 @@ def test_duplicates(spark):
     assert duplicates.groups(files, skip_empty=True).count() == 1
 
 
+@pytest.mark.parametrize("set_rows", [2_000_000, 0])
+def test_only_what_may_be_equal_is_hashed(spark, monkeypatch, set_rows):
+    """Unique sizes are not sampled, and files that differ in their samples not hashed; a bitmap of many sizes decides alike."""
+    monkeypatch.setattr(duplicates, "SET_ROWS", set_rows)
+    rows = [(f"/unique{i}", 100 + i, "u" * (100 + i)) for i in range(40)]
+    rows += [(f"/same{i}", 50, "s" * 50) for i in range(3)] + [(f"/differs{i}", 60, chr(97 + i) * 60) for i in range(5)]
+    rows += [(f"/empty{i}", 0, "") for i in range(30)] + [("/null1", None, None), ("/null2", None, None)]
+    files = spark.createDataFrame(rows, "path string, size long, content string").repartition(4)
+    read, calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(content):
+        read.add(len(content or ""))
+        calls.add(1)
+        return None if content is None else hashlib.sha256(content.encode()).hexdigest()
+
+    done = duplicates.tiers(files, 10, full=counted)
+    assert done.sampled.count() == 3 + 5 + 30 + 2 and done.hashed.count() == calls.value == 3 + 30 + 2 and read.value == 3 * 50
+    found = duplicates.members(files, 10).groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("kept")).collect()
+    assert {(r.size, r.n, r.kept) for r in found} == {(50, 3, 1), (0, 30, 1), (None, 2, 1)}
+    assert duplicates.members(files.limit(0)).isEmpty()
+
+
 def test_classification(spark):
     rows = [("photo.txt", "89504E470D0A1A0A"), ("contract.docx", "504B0304"), ("budget.xlsx", "504B0304"), ("backup.zip", "504B0304"), ("x.dotm", ""), (".bashrc", "")]
     files = spark.createDataFrame(rows, "path string, hex string")
