@@ -14,7 +14,7 @@ from .catalog import bind, with_roles
 from .functions import names, paths
 from .operators import classify, duplicates, index, journal, query, ranks, reconcile, rules, search, similarity
 from .plans import organize
-from .sources import content, directory, sinks
+from .sources import content, directory, events, sinks
 from .sources.written import new_path
 from .streaming import watch
 
@@ -983,17 +983,62 @@ def _(jobs):
     return jobs.sparkSession.read.parquet(path)
 
 
-@register("src9_file_events", "files", """, d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM files WHERE ordinary)
-  SELECT directory FROM d WHERE NOT EXISTS (SELECT 1 FROM d a WHERE starts_with(d.directory, a.directory || '/'))""")
+LEAST_SQL = """, d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM files WHERE ordinary)
+  SELECT directory FROM d WHERE NOT EXISTS (SELECT 1 FROM d a WHERE starts_with(d.directory, a.directory || '/'))"""
+
+
+def _events(files: DataFrame) -> DataFrame:
+    return files.where("ordinary").select("path", F.lit("modify").alias("event"), F.col("modified_at_ns").alias("observed_at_ms"))
+
+
+def _stream(rows: DataFrame, path: str, query_name: str) -> DataFrame:
+    """Everything that is available now, through the stream and into a table."""
+    rows.writeStream.queryName(query_name).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/out")
+
+
+@register("src9_file_events", "files", LEAST_SQL)
 def _(files):
-    """Events that arrive as files, through the stream: what each micro-batch finds is written."""
-    spark, path = files.sparkSession, _scratch(files.sparkSession)
-    files.where("ordinary").select("path", F.lit("modify").alias("event"), F.col("modified_at_ns").alias("observed_at_ms")).coalesce(1).write.parquet(f"{path}/events")
+    """Events that arrive as files, all in one micro-batch of as many tasks as there are files: its directories are written."""
+    spark, path = files.sparkSession, new_path(files.sparkSession, "events")
+    _events(files).write.parquet(f"{path}/events")
     write = lambda found, number: found.select("directory").write.mode("overwrite").parquet(f"{path}/found/batch={number}")
     watch.dirty_batches(watch.event_stream(spark, f"{path}/events"), "/", write, f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/found").select("directory")
 
 
+@register("cdc5_dirty_over_batches", "files", LEAST_SQL)
+def _(files):
+    """The same events in several micro-batches, the deepest directories first, through tries that are kept from batch to batch."""
+    path, rows = new_path(files.sparkSession, "events"), _events(files)
+    depth = F.size(F.split("path", "/"))
+    for hidden in (True, False):
+        rows.where((depth > 4) == hidden).write.mode("append").parquet(f"{path}/events")
+    changes = watch.dirty_changes(watch.event_stream(files.sparkSession, f"{path}/events", files_at_once=3), "/")
+    return watch.still_dirty(_stream(changes, path, "dirty"), "/")
+
+
+#: Six looks at all files, of which each look misses some and finds some changed.
+SIGHTINGS = ("library_id AS automation_id", "path", "size + ((cast(substr(id, 2) AS bigint) + look) // 3) % 2 AS size", "cast(7 AS bigint) AS mtime_ns", "look")
+LOOKS, THERE = 6, "(cast(substr(id, 2) AS bigint) * 7 + look * 3) % 5 <> 0"
+
+
+@register("cdc6_watch_stream", "files", f""", s AS (SELECT {', '.join(SIGHTINGS)} FROM files, range({LOOKS}) l(look) WHERE {THERE}),
+  b AS (SELECT *, coalesce(lag(look) OVER w = look - 1 AND lag(size) OVER w = size, false) AS same FROM s WINDOW w AS (PARTITION BY automation_id, path ORDER BY look)),
+  r AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY automation_id, path ORDER BY look) AS run FROM b)
+  SELECT automation_id, path, min(look) + 1 AS look FROM r GROUP BY automation_id, path, run HAVING count(*) > 1 AND min(look) > 0""")
+def _(files):
+    """One micro-batch for each look, the state of every file kept by the stream."""
+    spark, path = files.sparkSession, new_path(files.sparkSession, "looks")
+    out = []
+    for look in range(LOOKS):
+        seen = files.withColumn("look", F.lit(look).cast("long")).where(F.expr(THERE)).selectExpr(*[x.replace("//", "div") for x in SIGHTINGS])
+        seen.withColumn("seen_at", F.timestamp_millis(F.col("look") * 60_000 + NOW_NS // 1_000_000)).write.mode("append").parquet(f"{path}/looks")
+        settled = watch.settled_files(watch.event_stream(spark, f"{path}/looks", watch.SIGHTING), grace_ms=90_000)
+        out = _stream(settled, path, "settled")
+    return out
+
+
 LITERALS = {"=1.5KB": (1536, 1536), ">10MB": (10485761, None), ">=7B": (7, None), "<1b": (None, 0), "<=2kb": (None, 2048), "3": (3, 3), ".5KB": (512, 512), "1TB": (1099511627776, 1099511627776)}
 
 
@@ -1028,6 +1073,14 @@ def _(libraries):
     return libraries.sparkSession.createDataFrame(out, "kind string, outcome string")
 
 
+def _watched_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a watcher of the tables' folder tells at its first poll."""
+    path = new_path(spark, "watched")
+    rows = events.file_events(spark, sf_dir, path.removeprefix("file://") + "/log")
+    return _stream(rows, path, "watched").select("path", "event")
+
+
+QUERIES["src9_watched_folder"] = _watched_folder
 QUERIES["src1_directory_scan"] = lambda spark, sf_dir: directory.scan(spark, sf_dir).select("name", "size", "depth", "issue")
 QUERIES["src2_scan_options"] = lambda spark, sf_dir: directory.scan(spark, sf_dir, exclude="labels.parquet", maxDepth="1", hidden="false", batchSize="3").select("name", "depth")
 QUERIES["src3_observe"] = lambda spark, sf_dir: directory.scan(spark, sf_dir).select("path", "platform", "volume_id", "native_file_id", "generation", "size", "modified_at_ns")

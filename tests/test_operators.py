@@ -289,11 +289,3 @@ def test_streams(spark, tmp_path):
     stream = watch.dirty_batches(watch.event_stream(spark, str(source)), "/r", lambda df, _: got.extend(r.directory for r in df.collect()), str(tmp_path / "c1"))
     stream.awaitTermination(60)
     assert got == ["/r/a"]
-    looks = tmp_path / "looks"
-    rows = [("w", "old", 1, 1, 0), ("w", "old", 1, 1, 1), ("w", "new", 1, 1, 1), ("w", "new", 1, 1, 2), ("w", "new", 1, 1, 3)]
-    spark.createDataFrame(rows, watch.SIGHTING).coalesce(1).write.parquet(str(looks))
-    found: list = []
-    settled = watch.settled_files(watch.event_stream(spark, str(looks), watch.SIGHTING))
-    query_ = settled.writeStream.foreachBatch(lambda df, _: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    query_.awaitTermination(90)
-    assert [(r.path, r.look) for r in found] == [("new", 2)]

@@ -132,6 +132,7 @@ BRUTE = {
     "src3_observe": (("path", "native_file_id", "size", "modified_at_ns"), lambda: {(str(p), str(p.stat().st_ino), p.stat().st_size, p.stat().st_mtime_ns) for _, p, _ in tree()}),
     "src5_samples": (("path", "quick"), lambda: {(str(p), samples(p.read_bytes())) for _, p, _ in tree()}),
     "src6_full_read": (("path", "size", "full"), lambda: {(f"file:{p}", p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for n, p, _ in tree() if n[0] not in "._"}),
+    "src9_watched_folder": (("path", "event"), lambda: {(str(p), "create") for _, p, _ in tree()}),
     "src8_legacy_scan": (("name", "size"), lambda: {(n, p.stat().st_size) for n, p, _ in tree() if n[0] != "." and p.relative_to(Path(DATA).resolve()).parts[0] != "documents.parquet" or (n == "documents.parquet" and p.parent == Path(DATA).resolve())}),
 }
 
