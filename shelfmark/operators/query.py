@@ -6,6 +6,7 @@ import math
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +157,23 @@ def smart_folder(name: str, query: str) -> dict:
     return {"name": name, "query": query, "rule_version": 1, "rule": rule}
 
 
+def smart_folders(name: Column, query: Column) -> Column:
+    """``smart_folder`` for rows: a struct of ``name`` and ``query`` as they are stored and ``wrong``, null where nothing is."""
+
+    @F.pandas_udf("name string, query string, wrong string")
+    def run(names: pd.Series, queries: pd.Series) -> pd.DataFrame:
+        out = []
+        for given in zip(names, queries):
+            try:
+                saved = smart_folder(*(text or "" for text in given))
+                out.append((saved["name"], saved["query"], None))
+            except (InvalidSearch, FileTooLarge) as wrong:
+                out.append((None, None, str(wrong)))
+        return pd.DataFrame(out, columns=["name", "query", "wrong"])
+
+    return run(name, query)
+
+
 def from_rule(rule: dict) -> SearchSpec:
     return SearchSpec(rule["text"], rule["extension"], rule["minimum_size"], rule["maximum_size"])
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -345,6 +342,16 @@ def _(observed):
     return reconcile.apply(files, seen, "/data", 1_000_000_000).where("missing_since_ms is not null").select("id", "missing_since_ms")
 
 
+SOME_SQL = AFTER_SQL.replace("FULL JOIN new n", "FULL JOIN (SELECT * FROM new WHERE cast(native_file_id AS BIGINT) % 3 <> 0) n")
+
+
+@register_halves("cdc3_some_missing", f"SELECT id, missing_since_ms FROM ({SOME_SQL}) WHERE missing_since_ms IS NOT NULL")
+def _(observed):
+    """Every third file is not seen again."""
+    files, seen = _halves(observed)
+    return reconcile.apply(files, seen.where("cast(native_file_id as bigint) % 3 <> 0"), "/data", 1_000_000_000).where("missing_since_ms is not null").select("id", "missing_since_ms")
+
+
 HISTORY_SQL = """SELECT native_file_id, path, observed_at_ms AS valid_from_ms, lead(observed_at_ms) OVER (PARTITION BY native_file_id ORDER BY observed_at_ms) AS valid_until_ms
   FROM (SELECT *, lag(path) OVER (PARTITION BY native_file_id ORDER BY observed_at_ms) AS before FROM observed) WHERE before IS NULL OR before <> path"""
 
@@ -531,6 +538,11 @@ def _(files):
     return _ranked(search.search(files, "re", "src1"))
 
 
+@register("txt4_bm25_numbers", "files", _rounded(STATS.format(count=f"2.0 * len(list_filter({TOKENS_SQL}, lambda t: starts_with(t, '1')))", length=f"2 * len({TOKENS_SQL})").replace("missing_since_ms IS NULL", "missing_since_ms IS NULL AND library_id = 'src1'")))
+def _(files):
+    return _ranked(search.search(files, "1", "src1"))
+
+
 @register("txt1_parsed_search", "files", f"SELECT id, path, size FROM files WHERE {ACTIVE} AND lower(path) LIKE '%.txt' AND size <= 1535 ORDER BY path, id LIMIT 200")
 def _(files):
     return search.search(files, "ext:.TXT size:<1.5KB").select("id", "path", "size")
@@ -623,6 +635,13 @@ def _(files):
     return rules.evaluate(files, RULES, NOW_NS).where("rule is not null").select("id", "rule", "destination")
 
 
+@register("jn8_rule_table", "files", PLAIN["jn8_first_rule"])
+def _(files):
+    """The same rules, and one that is not enabled, as rows of a table."""
+    table = rules.rule_rows(files.sparkSession, [*RULES, {**RULES[1], "enabled": False, "priority": 9999}])
+    return rules.evaluate_table(files, table, NOW_NS).where("rule is not null").select("id", "rule", "destination")
+
+
 @register("anl9_move_plan", "files", f"""SELECT row_number() OVER (PARTITION BY library_id ORDER BY path, id) - 1 AS ordinal, id AS file_id, path AS source_path,
   '/r/sorted/' || folder || '/' || CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '(\\.[^.]*)?$', ' (' || cast(k + 1 AS VARCHAR) || ')\\1') END AS target_path,
   cast({NOW_MS} as bigint) AS created_at_ms, cast({NOW_MS + organize.LIFETIME_MS} as bigint) AS expires_at_ms
@@ -956,29 +975,32 @@ def _(jobs):
 # Sources and sinks that have no table of their own
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/shelfmark-{uuid.uuid4().hex}"
+@register("snk2_journal", "operations items", "SELECT i.operation_id, i.ordinal, i.source_path, o.status FROM items i JOIN operations o ON o.id = i.operation_id")
+def _(operations, items):
+    """Half of all operations in one commit, then all in another: what is there already is not repeated."""
+    spark, root = items.sparkSession, new_path(items.sparkSession, "journal")
+    header, rows = operations.select("id", "status"), items.select("operation_id", "ordinal", "source_path")
+    sinks.journal(header.where(F.crc32("id") % 2 == 0), rows, root)
+    sinks.journal(header, rows, root)
+    written = sinks.journalled(spark, root, header.schema, rows.schema)
+    return written[1].join(written[0], F.col("operation_id") == F.col("id")).select("operation_id", "ordinal", "source_path", "status")
 
 
-@register("snk2_journal", "operations items", """SELECT i.operation_id, i.ordinal, i.source_path, o.status FROM items i JOIN operations o ON o.id = i.operation_id
-  WHERE o.id IN ('op1', 'op2', 'op3', 'op4', 'op5', 'op6', 'op7')""")
-def _(operations, items):
-    """Operations are appended one after the other, one of them again: a retry adds nothing."""
-    path, header = _scratch(items.sparkSession), operations.select("id", "status")
-    for n in (1, 2, 3, 4, 5, 6, 7, 3):
-        sinks.append_journal(header, items.select("operation_id", "ordinal", "source_path"), path, f"op{n}")
-    written = [items.sparkSession.read.parquet(f"{path}/{name}") for name in ("operation_items", "operations")]
-    return written[0].join(written[1], F.col("operation_id") == F.col("id")).select("operation_id", "ordinal", "source_path", "status")
+@register("snk1_merge_stream", "observed", PLAIN["snk1_upsert"])
+def _(observed):
+    """Observations arrive as a stream and are merged batch by batch."""
+    spark, root = observed.sparkSession, new_path(observed.sparkSession, "merge")
+    rows = observed.select("native_file_id", "path", "size", "observed_at_ms")
+    rows.repartition(4).write.parquet(f"{root}/arriving")
+    stream = watch.event_stream(spark, f"{root}/arriving", rows.schema, files_at_once=2)
+    sinks.merge_stream(stream, f"{root}/table", "native_file_id", "observed_at_ms", "observer", f"{root}/state").awaitTermination()
+    return sinks.merged(spark, f"{root}/table", rows.schema).select("native_file_id", "observed_at_ms")
 
 
 @register("snk3_job_events", "jobs", "SELECT id AS job_id, 'queued' AS event, created_at_ms FROM jobs")
 def _(jobs):
-    path, events = _scratch(jobs.sparkSession), journal.first_events(jobs)
-    for part in (events.where("created_at_ms % 2 = 0"), events, events):
+    path, events_ = new_path(jobs.sparkSession, "job-events"), journal.first_events(jobs)
+    for part in (events_.where("created_at_ms % 2 = 0"), events_, events_):
         sinks.append_events(part, path)
     return jobs.sparkSession.read.parquet(path)
 
@@ -1049,28 +1071,35 @@ def _(files):
     return met.select("id", "literal")
 
 
-@register("txt9_trimmed_folder", "libraries", "SELECT id, name, 'ext:md' AS query FROM libraries")
-def _(libraries):
-    saved = [(r.id, query.smart_folder(f"  {r.name}\n", "\text:md ")) for r in libraries.select("id", "name").limit(200).collect()]
-    return libraries.sparkSession.createDataFrame([(i, s["name"], s["query"]) for i, s in saved], "id string, name string, query string")
+#: Names of folders, some of them too long, and searches, some of them blank.
+GIVEN_NAME = "CASE WHEN size % 3 = 0 THEN repeat('n', cast(70 + size % 20 AS int)) ELSE '  ' || id || chr(10) END"
+GIVEN_QUERY = "CASE WHEN size % 5 = 0 THEN '  ' ELSE chr(9) || 'ext:md ' END"
 
 
-@register("txt14_rule_sanitiser", "libraries", """SELECT * FROM (VALUES ('plain', '{"conditions": {"extensions": ["c++", "md"], "name_contains": "x", "min_size": 5}, "action": {"destination": "a/{YYYY}"}, "name": "n", "enabled": true, "priority": 9999, "mode": "preview"}'),
-  ('name', 'invalid'), ('extension', 'invalid'), ('number', 'invalid'), ('sizes', 'invalid'), ('parent', 'invalid'), ('variable', 'invalid'), ('mode', 'invalid'), ('low', '0')) t(kind, outcome)""")
-def _(libraries):
-    given = {
-        "plain": {"name": " n ", "priority": 10**6, "conditions": {"extensions": [".MD", "c++", "md", " "], "name_contains": " x", "min_size": "5", "max_size": ""}, "action": {"destination": "/a/{YYYY}/"}},
-        "name": {"name": "x" * 81}, "extension": {"conditions": {"extensions": ["a b"]}}, "number": {"conditions": {"older_than_days": -1}}, "sizes": {"conditions": {"min_size": 2, "max_size": 1}},
-        "parent": {"action": {"destination": "a/../b"}}, "variable": {"action": {"destination": "{year}"}}, "mode": {"mode": "now"}, "low": {"priority": -5},
-    }
-    out = []
-    for kind, rule in given.items():
-        try:
-            found = rules.sanitize({"name": "n", "action": {"destination": "d"}, **rule})
-            out.append((kind, str(found["priority"]) if kind == "low" else json.dumps(found)))
-        except rules.InvalidRule:
-            out.append((kind, "invalid"))
-    return libraries.sparkSession.createDataFrame(out, "kind string, outcome string")
+@register("txt9_trimmed_folder", "files", f"""SELECT id, CASE WHEN size % 5 <> 0 AND length(n) <= 80 THEN n END AS name, CASE WHEN size % 5 <> 0 AND length(n) <= 80 THEN 'ext:md' END AS query
+  FROM (SELECT id, size, trim({GIVEN_NAME}, ' ' || chr(10)) AS n FROM files)""")
+def _(files):
+    saved = query.smart_folders(F.expr(GIVEN_NAME), F.expr(GIVEN_QUERY))
+    return files.select("id", "size", saved.alias("saved")).select("id", "saved.name", "saved.query")
+
+
+#: Rules for each file, of which some break one law or another.
+NUMBER = "cast(substr(id, 2) AS bigint)"
+GIVEN_DESTINATION = f"CASE {NUMBER} % 7 WHEN 0 THEN 'a/../b' WHEN 1 THEN '{{year}}' WHEN 2 THEN '/docs/{{YYYY}}/' ELSE 'docs/{{category}}' END"
+LAWFUL = f"{NUMBER} % 83 BETWEEN 1 AND 80 AND {NUMBER} % 11 <> 0 AND {NUMBER} % 130 <= 120 AND size % 70 >= size % 50 AND {NUMBER} % 7 > 1"
+
+
+@register("txt14_rule_sanitiser", "files", f"""SELECT id, {LAWFUL} AS valid, CASE WHEN {LAWFUL} THEN greatest(0, least(9999, ({NUMBER} * 37) % 20001 - 5000)) END AS priority,
+  CASE WHEN {LAWFUL} THEN '["c++", "md", "tar"]' END AS extensions, CASE WHEN {LAWFUL} THEN CASE {NUMBER} % 7 WHEN 2 THEN 'docs/{{YYYY}}' ELSE 'docs/{{category}}' END END AS destination FROM files""")
+def _(files):
+    number = F.expr(NUMBER)
+    extensions = F.when(number % 11 == 0, F.array(F.lit("a b"))).otherwise(F.array(*map(F.lit, (".MD", "c++", " ", "md", "..Tar"))))
+    conditions = F.struct(extensions.alias("extensions"), F.repeat(F.lit("x"), (number % 130).cast("int")).alias("name_contains"), (F.col("size") % 50).alias("min_size"), (F.col("size") % 70).alias("max_size"))
+    action = F.struct(F.expr(GIVEN_DESTINATION).alias("destination"))
+    rule = F.struct(F.repeat(F.lit("n"), (number % 83).cast("int")).alias("name"), (number * 37 % 20001 - 5000).alias("priority"), conditions.alias("conditions"), action.alias("action"))
+    told = files.select("id", rules.sanitized(F.to_json(rule)).alias("t"))
+    part = lambda path: F.get_json_object("t.normal", path)
+    return told.select("id", F.col("t.wrong").isNull().alias("valid"), part("$.priority").cast("long").alias("priority"), F.regexp_replace(part("$.conditions.extensions"), '","', '", "').alias("extensions"), part("$.action.destination").alias("destination"))
 
 
 def _watched_folder(spark: SparkSession, sf_dir: str) -> DataFrame:

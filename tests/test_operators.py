@@ -201,13 +201,39 @@ def test_fold_case(spark):
     assert all("CHEROKEE" in unicodedata.name(c) or ord(c) > 0x2C00 or ord(c) in (0x1C89, 0x1C8A) for c in wrong), wrong
 
 
-def test_retried_appends_add_nothing(spark, tmp_path):
-    header = spark.createDataFrame([("o1", "x"), ("o2", "y")], "id string, status string")
-    items = spark.createDataFrame([("o1", 0), ("o1", 1), ("o2", 0)], "operation_id string, ordinal int")
+def test_a_journal_is_whole_or_not_there(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}"
+    header = spark.createDataFrame([("o1", "x"), ("o2", "y"), ("o3", "z")], "id string, status string")
+    items = spark.createDataFrame([("o1", 0), ("o1", 1), ("o2", 0), ("o9", 0)], "operation_id string, ordinal int")
+    there = lambda: tuple(sorted(map(tuple, t.collect())) for t in sinks.journalled(spark, root, header.schema, items.schema))
+    # A writer that fails once its files are there leaves nothing that a reader sees.
+    publish = sinks.versioned.publish
+    monkeypatch.setattr(sinks.versioned, "publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        sinks.journal(header, items, root)
+    monkeypatch.setattr(sinks.versioned, "publish", publish)
+    assert there() == ([], [])
+    sinks.journal(header.where("id = 'o1'"), items, root)
+    assert there() == ([("o1", "x")], [("o1", 0), ("o1", 1)])
     for _ in range(2):
-        sinks.append_journal(header, items, str(tmp_path), "o1")
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/operation_items").collect())) == [("o1", 0), ("o1", 1)]
-    assert [r.id for r in spark.read.parquet(f"{tmp_path}/operations").collect()] == ["o1"]
+        sinks.journal(header, items, root)
+    assert there() == ([("o1", "x"), ("o2", "y"), ("o3", "z")], [("o1", 0), ("o1", 1), ("o2", 0)])
+
+
+def test_merge_touches_few_buckets_and_repeats_nothing(spark, tmp_path):
+    root, schema = f"file://{tmp_path}", "k string, v int, at long"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    first = sinks.merge(rows(*[(f"k{i}", i, 1) for i in range(200)]), root, "k", "at", ("w", 0), buckets=8)
+    second = sinks.merge(rows(("k5", 50, 2), ("k5", 51, 3), ("k6", 60, 0), ("new", 1, 1)), root, "k", "at", ("w", 1))
+    moved = [b for b in second.parts["rows"] if first.parts["rows"].get(b) != second.parts["rows"][b]]
+    assert len(first.parts["rows"]) == 8 and 1 <= len(moved) <= 3
+    # The same batch again, an older one, and one of another writer.
+    assert sinks.merge(rows(("k5", 99, 9)), root, "k", "at", ("w", 1)) == second
+    assert sinks.merge(rows(("k5", 99, 9)), root, "k", "at", ("w", 0)) == second
+    sinks.merge(rows(("k7", 70, 1)), root, "k", "at", ("other", 0))
+    sinks.merge(rows(), root, "k", "at", ("w", 2))
+    found = {r.k: (r.v, r.at) for r in sinks.merged(spark, root, first and rows().schema).collect()}
+    assert len(found) == 201 and found["k5"] == (51, 3) and found["k6"] == (6, 1) and found["k7"] == (70, 1) and found["new"] == (1, 1)
 
 
 def test_leases(spark):
@@ -242,6 +268,30 @@ def test_rules(spark):
             rules.sanitize(bad)
 
 
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_a_table_of_rules_decides_like_a_list(spark, monkeypatch, most):
+    """Many rules with ties and without conditions, sent as lists and joined."""
+    monkeypatch.setattr(rules, "MOST_RULES", most)
+    rng = random.Random(8)
+    made = []
+    for i in range(150):
+        conditions = {"extensions": rng.sample(["pdf", "txt", "md", "zip"], rng.randint(0, 2)), "name_contains": rng.choice(["", "", "a", "STRASSE", "7"])}
+        for name, most_ in (("min_size", 400), ("max_size", 900), ("older_than_days", 3), ("newer_than_days", 9)):
+            if rng.random() < 0.4:
+                conditions[name] = rng.randrange(most_)
+        if conditions.get("max_size", 1000) < conditions.get("min_size", 0):
+            del conditions["max_size"]
+        rule = {"name": f"r{i:03}", "enabled": rng.random() < 0.8, "priority": rng.randrange(5), "conditions": conditions, "action": {"destination": rng.choice(["x/{ext}", "{category}/{YYYY}", "{initial}"])}}
+        made.append(rules.sanitize(rule) | {"created_at": f"{i:03}"})
+    now = 10**18
+    files = [(f"f{i}", f"/d/{rng.choice(['a', 'b7', 'Straße', 'x'])}{i}.{rng.choice(['pdf', 'TXT', 'q', 'md'])}", rng.randrange(1000), now - rng.randrange(-1, 10) * rules.DAY_NS - 5) for i in range(300)]
+    frame = spark.createDataFrame(files, "id string, path string, size long, modified_at_ns long")
+    wanted = {r.id: (r.rule, r.destination) for r in rules.evaluate(frame, made, now).collect()}
+    found = rules.evaluate_table(frame, rules.rule_rows(spark, made), now)
+    assert {r.id: (r.rule, r.destination) for r in found.collect()} == wanted and len(set(wanted.values())) > 10
+    assert all(r.rule is None for r in rules.evaluate_table(frame, rules.rule_rows(spark, []), now).collect())
+
+
 def test_states_and_recovery(spark):
     log = spark.createDataFrame([("a", 1, "draft"), ("a", 2, "executing"), ("b", 1, "draft"), ("b", 2, "planned")], "id string, at int, status string")
     assert [r.id for r in journal.illegal_steps(log, "id", "at").collect()] == ["a"]
