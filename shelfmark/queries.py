@@ -1115,6 +1115,8 @@ QUERIES["src2_scan_options"] = lambda spark, sf_dir: directory.scan(spark, sf_di
 QUERIES["src3_observe"] = lambda spark, sf_dir: directory.scan(spark, sf_dir).select("path", "platform", "volume_id", "native_file_id", "generation", "size", "modified_at_ns")
 QUERIES["src5_samples"] = lambda spark, sf_dir: content.file_hashes(directory.scan(spark, sf_dir).where("issue is null")).select("path", "quick")
 QUERIES["src6_full_read"] = lambda spark, sf_dir: content.whole_files(spark, sf_dir).select("path", "size", "full")
+QUERIES["src6_tree_hashes"] = lambda spark, sf_dir: content.tree_hashes(content.listed(spark, sf_dir), 1 << 16)
+QUERIES["src1_listing_rounds"] = lambda spark, sf_dir: content.listed(spark, sf_dir).select("path", "size", "modified_at_ns")
 QUERIES["src8_legacy_scan"] = lambda spark, sf_dir: directory.legacy_scan(spark, sf_dir, reserved=("documents.parquet",), recursive=True).select("name", "size")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.names import fold_case, safe_filename
 from shelfmark.operators import classify, duplicates, journal, query, reconcile, rules, search, similarity
 from shelfmark.plans import organize
-from shelfmark.sources import directory, sinks
+from shelfmark.sources import content, directory, sinks
 from shelfmark.sources.content import file_hashes
 from shelfmark.sources.directory import DirectorySource
 from shelfmark.streaming import watch
@@ -328,6 +328,13 @@ def test_directory_source(spark, tmp_path):
     assert {r.name for r in directory.legacy_scan(spark, str(tmp_path)).collect()} == {"_draft", "empty"}
     with pytest.raises(ValueError):
         directory.legacy_scan(spark, str(tmp_path), most=1)
+    # Hidden and empty files are listed and read, links are not followed.
+    there = {r.path.removeprefix(f"{tmp_path}/"): r for r in content.whole_files(spark, str(tmp_path)).collect()}
+    assert set(there) == {".hidden", "_draft", "empty", "sub/deep/x.txt", "sub/y.txt", "skip/z.txt"}
+    assert there["empty"].full == hashlib.sha256().hexdigest() and bytes(there[".hidden"].header) == b"h"
+    assert content.listed(spark, f"{tmp_path}/sub/deep").count() == 1 and content.listed(spark, f"{tmp_path}/nowhere").isEmpty()
+    gone = spark.createDataFrame([(f"{tmp_path}/gone", 3), (f"{tmp_path}/empty", 7)], "path string, size long")
+    assert all(r.full is None for r in file_hashes(gone).collect()) and all(r.tree is None for r in content.tree_hashes(gone).collect())
     hashed = {r.path.rsplit("/", 1)[1]: r.full for r in file_hashes(read().where("issue is null")).collect()}
     assert hashed["x.txt"] == hashed["y.txt"] != hashed["z.txt"]
 

@@ -62,6 +62,11 @@ def samples(data):
     return out.hexdigest()
 
 
+def hash_tree(data, segment=1 << 16):
+    parts = [data[i : i + segment] for i in range(0, len(data), segment)] or [b""]
+    return hashlib.sha256("".join(hashlib.sha256(p).hexdigest() for p in parts).encode()).hexdigest()
+
+
 def votes(text):
     """The fingerprint of a text, one vote after the other."""
     plain = "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
@@ -131,7 +136,9 @@ BRUTE = {
     "src2_scan_options": (("name", "depth"), lambda: {(n, d) for n, p, d in tree() if d <= 1 and not any(x.startswith(".") for x in p.relative_to(Path(DATA).resolve()).parts) and "labels.parquet" not in p.relative_to(Path(DATA).resolve()).parts[:-1]}),
     "src3_observe": (("path", "native_file_id", "size", "modified_at_ns"), lambda: {(str(p), str(p.stat().st_ino), p.stat().st_size, p.stat().st_mtime_ns) for _, p, _ in tree()}),
     "src5_samples": (("path", "quick"), lambda: {(str(p), samples(p.read_bytes())) for _, p, _ in tree()}),
-    "src6_full_read": (("path", "size", "full"), lambda: {(f"file:{p}", p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for n, p, _ in tree() if n[0] not in "._"}),
+    "src6_full_read": (("path", "size", "full"), lambda: {(str(p), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for _, p, _ in tree()}),
+    "src6_tree_hashes": (("path", "size", "tree"), lambda: {(str(p), p.stat().st_size, hash_tree(p.read_bytes())) for _, p, _ in tree()}),
+    "src1_listing_rounds": (("path", "size", "modified_at_ns"), lambda: {(str(p), p.stat().st_size, p.stat().st_mtime_ns) for _, p, _ in tree()}),
     "src9_watched_folder": (("path", "event"), lambda: {(str(p), "create") for _, p, _ in tree()}),
     "src8_legacy_scan": (("name", "size"), lambda: {(n, p.stat().st_size) for n, p, _ in tree() if n[0] != "." and p.relative_to(Path(DATA).resolve()).parts[0] != "documents.parquet" or (n == "documents.parquet" and p.parent == Path(DATA).resolve())}),
 }
