@@ -10,17 +10,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.written import written
+
 BITS = 64
+#: 3-grams whose digests are kept while a batch of texts is read.
+GRAMS_KEPT = 400_000
+
+
+class GramDigests(dict):
+    """The first 8 bytes of the SHA-256 of each 3-gram, computed when it is first met."""
+
+    def __missing__(self, gram: str) -> bytes:
+        if len(self) >= GRAMS_KEPT:
+            self.clear()
+        self[gram] = found = hashlib.sha256(gram.encode()).digest()[:8]
+        return found
 
 
-def text_fingerprint(text: str) -> int:
+def text_fingerprint(text: str, digests_of: dict[str, bytes] | None = None) -> int:
     """64 votes of the SHA-256 of character 3-grams over letters and digits; ties set the bit."""
+    digests_of = GramDigests() if digests_of is None else digests_of
     plain = "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
     grams = [plain[i : i + 3] for i in range(len(plain) - 2)] or [plain]
     known: dict[str, int] = {}
     for gram in grams:
         known[gram] = known.get(gram, 0) + 1
-    digests = np.frombuffer(b"".join(hashlib.sha256(g.encode()).digest()[:8] for g in known), np.uint8).reshape(-1, 8)
+    digests = np.frombuffer(b"".join(map(digests_of.__getitem__, known)), np.uint8).reshape(-1, 8)
     bits = np.unpackbits(digests, axis=1, bitorder="little").astype(np.int64)
     weights = (2 * bits - 1).T @ np.fromiter(known.values(), np.int64)
     return int(np.packbits(weights >= 0, bitorder="little").view("<i8")[0])
@@ -29,7 +44,8 @@ def text_fingerprint(text: str) -> int:
 def text_simhash(text: Column) -> Column:
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else text_fingerprint(t) for t in texts], dtype="Int64")
+        digests = GramDigests()
+        return pd.Series([None if t is None else text_fingerprint(t, digests) for t in texts], dtype="Int64")
 
     # So marked, filters on the hash are not pushed below it, where they would compute it again.
     return run.asNondeterministic()(text)
@@ -67,8 +83,9 @@ def similar_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
 
     The smallest id stands for its class: it is linked with each member (similarity 1), and with
     those of the classes within ``distance`` bits. Of distance + 2 blocks two such hashes
-    agree on two at least, so they meet under a pair of blocks; a hash is computed and kept once.
+    agree on two at least, so they meet under a pair of blocks. Hashes are computed once, and written.
     """
+    prints = written(prints)
     classes = prints.where("hash is not null").groupBy("hash").agg(F.min("id").alias("rep"))
     blocks = distance + 2
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
