@@ -31,6 +31,8 @@ DIMENSIONS = 8
 CONFIDENCE = 0.97
 #: Points of a leaf, rows of a cell (about), and rows of the sample that cells are made from.
 LEAF, CELL_ROWS, SAMPLE_ROWS = 64, 8_192, 262_144
+#: Queries of a cell that one task searches, about.
+BLOCK_QUERIES = 4_096
 #: So many sampled rows stand for a cell at least.
 SAMPLED_A_CELL = 16
 SEED = 7
@@ -240,7 +242,15 @@ def _routed(trees: dict[int, Cells]):
 
 
 def searched(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query_id``, ``vec_id``, ``score``: the k nearest that each query finds in the cell it is sent to."""
+    """``query_id``, ``vec_id``, ``score``: the k nearest that each query finds in the cell it is sent to.
+
+    The queries of a cell are dealt to blocks of about ``BLOCK_QUERIES`` by a hash, and the cell's vectors are
+    sent to each of its blocks, so that no task holds all queries of a crowded cell.
+    """
+    dealt = queries.groupBy("dims", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("blocks"))
+    blocks = materialize(dealt)
+    queries = queries.join(blocks, ["dims", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("blocks")
+    points = points.join(blocks, ["dims", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
 
     def found(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(others):
@@ -251,7 +261,7 @@ def searched(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         q, p, s, _ = search(ids, vectors, query_ids, asked, k, others["worst"].to_numpy(float))
         return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[p], "score": s})
 
-    return points.groupBy("dims", "cell").cogroup(queries.groupBy("dims", "cell")).applyInPandas(found, "query_id long, vec_id long, score double")
+    return points.groupBy("dims", "cell", "block").cogroup(queries.groupBy("dims", "cell", "block")).applyInPandas(found, "query_id long, vec_id long, score double")
 
 
 def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
