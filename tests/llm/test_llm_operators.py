@@ -205,6 +205,17 @@ def test_neighbours(spark, monkeypatch, cell):
     assert neighbours.nearest_neighbours(points.limit(0), points.limit(0)).isEmpty()
 
 
+def test_queries_of_one_cell_in_blocks(spark, monkeypatch):
+    """Hundreds of queries for one cell: in blocks of a few they find what they find together."""
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(i, rng.standard_normal(12).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    found = []
+    for size in (4_096, 7):
+        monkeypatch.setattr(neighbours, "BLOCK_QUERIES", size)
+        found.append(sorted(map(tuple, neighbours.nearest_neighbours(points, points.where("vec_id < 300"), 5).collect())))
+    assert found[0] == found[1] and len(found[0]) == 1500
+
+
 def test_recall_on_the_sample(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").toPandas()
     vectors = neighbours.units(np.stack(rows.embedding).astype(float))
@@ -418,12 +429,36 @@ def test_rare_languages_are_learned(spark):
     assert all(told[i] == ("rare" if i >= 5000 else "often") for i in told)
 
 
-def test_scores_are_those_of_the_kernel(texts):
+def test_long_texts_of_many_characters(spark):
+    """Landmarks of some MB and millions of n-grams, and a text of 2 MB: memory follows the n-grams, not their product with the texts."""
+    import tracemalloc
+
+    rng = random.Random(30)
+    made = lambda base, n: "".join(chr(base + rng.randrange(9000)) for _ in range(n))
+    texts = [made(0x4E00 if i % 2 else 0xAC00, 5_000) for i in range(160)]
+    tracemalloc.start()
+    model = language.fit(texts, ["han" if i % 2 else "hangul" for i in range(160)])
+    told = model.scores([made(0x4E00, 700_000), made(0xAC00, 3_000), ""])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.codes) > 1_000_000 and peak < 600e6
+    assert [model.languages[row.argmax()] for row in told[:2]] == ["han", "hangul"] and not told[2].any()
+    # Long texts are learned from only where a language has no others.
+    rows = [(i, "ab " * 8000, "long") for i in range(9)] + [(100 + i, "xy " * (10 + i), "both") for i in range(30)] + [(200, "xy " * 8000, "both")]
+    sample = language.labelled_sample(spark.createDataFrame(rows, DOCS + ", lang string"), "text", "lang", F.xxhash64("doc_id"))
+    assert sample[1].count("long") == language.LEAST_LANDMARKS and sample[1].count("both") == 30 and max(map(len, (t for t, x in zip(*sample) if x == "both"))) < 200
+
+
+def test_scores_are_those_of_the_kernel(texts, monkeypatch):
     """The folded matrix against kernels of sets, the same landmarks and plain linear algebra."""
     texts = [t for t in texts if t] + ["a\0b", "\0", "ab", "bß𝄞"]
     names = [["x", "y", "z"][i % 3] for i in range(len(texts))]
     grams = [{(n, t.lower()[i : i + n]) for n in (1, 2, 3) for i in range(len(t.lower()) - n + 1)} for t in texts]
     assert [len(language.gram_codes(t)) for t in texts] == [len(g) for g in grams]
+    whole = [language.gram_codes(t) for t in texts]
+    monkeypatch.setattr(language, "PIECE", 5)
+    monkeypatch.setattr(language, "HITS", 50)
+    assert all((language.gram_codes(t) == g).all() for t, g in zip(texts, whole))
     kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
     model = language.fit(texts, names)
     share = max(language.LEAST_LANDMARKS, language.LANDMARKS // 3)
