@@ -16,6 +16,7 @@ At its radius a tree's edges would rule out nothing, so shards are compared in f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -267,11 +268,21 @@ WIDE_WORDS, WIDEST_WORDS = 4, 16
 DIFFERENT, DEVIATIONS = 0.1515, 4
 #: Of sets with fewer shingles the bits scatter more: a quarter of them may differ.
 FEW = 64
-BANDS, BAND_BITS = 64, 14
-_picked = np.argsort(np.random.default_rng(SEED).random((BANDS, 64 * WIDE_WORDS)), axis=1)[:, :BAND_BITS]
-_masks = np.zeros((BANDS, 64 * WIDE_WORDS), np.uint8)
-np.put_along_axis(_masks, _picked, 1, axis=1)
-_masks = np.packbits(_masks, axis=1).view(np.uint64)
+#: Bits of a band at least. Of more than 2**20 fingerprints bands have more bits, so that a shard holds some 64
+#: of unlike texts at any size; and there are as many bands as leave out this share of pairs of similarity 0.8 only.
+BAND_BITS, UNLIKE_BITS, MISSED = 14, 6, 0.0012
+
+
+class Bands:
+    """Chosen bits of a fingerprint; pairs are compared that agree on all bits of a band."""
+
+    def __init__(self, rows: int):
+        self.bits = max(BAND_BITS, math.ceil(math.log2(max(rows, 1))) - UNLIKE_BITS)
+        self.count = math.ceil(math.log(MISSED) / math.log(1 - (1 - DIFFERENT) ** self.bits))
+        self.picked = np.argsort(np.random.default_rng(SEED).random((self.count, 64 * WIDE_WORDS)), axis=1)[:, : self.bits]
+        masks = np.zeros((self.count, 64 * WIDE_WORDS), np.uint8)
+        np.put_along_axis(masks, self.picked, 1, axis=1)
+        self.masks = np.packbits(masks, axis=1).view(np.uint64)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -310,16 +321,20 @@ def _print_words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(bands: Bands):
     """A row for each fingerprint and band: ``key`` is the band and its bits."""
-    powers = 1 << np.arange(BAND_BITS)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            bits = np.unpackbits(_print_words(batch.column("fp")).view(np.uint8), axis=1, count=64 * WIDE_WORDS)
-            keys = np.stack([(k << BAND_BITS) + bits[:, own] @ powers for k, own in enumerate(_picked)], axis=1)
-            each = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), *[c.take(each) for c in batch.columns]], names=["key", *batch.schema.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 1 << np.arange(bands.bits)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                bits = np.unpackbits(_print_words(batch.column("fp")).view(np.uint8), axis=1, count=64 * WIDE_WORDS)
+                keys = np.stack([(k << bands.bits) + bits[:, own] @ powers for k, own in enumerate(bands.picked)], axis=1)
+                each = pa.array(np.repeat(np.arange(batch.num_rows), bands.count))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[c.take(each) for c in batch.columns]], names=["key", *batch.schema.names])
+
+    return run
 
 
 def near(prints: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -330,12 +345,12 @@ def near(prints: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= radius
 
 
-def first_shared(keys: np.ndarray, prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def first_shared(keys: np.ndarray, prints: np.ndarray, a: np.ndarray, b: np.ndarray, bands: Bands) -> np.ndarray:
     """Whether the band of ``keys`` is the first on which the fingerprints at ``a`` and ``b`` agree."""
-    differ, band = prints[a, :WIDE_WORDS] ^ prints[b, :WIDE_WORDS], keys[a] >> BAND_BITS
-    first = np.full(len(a), BANDS)
-    for k in range(BANDS - 1, -1, -1):
-        first[~(differ & _masks[k]).any(axis=1)] = k
+    differ, band = prints[a, :WIDE_WORDS] ^ prints[b, :WIDE_WORDS], keys[a] >> bands.bits
+    first = np.full(len(a), bands.count)
+    for k in range(bands.count - 1, -1, -1):
+        first[~(differ & bands.masks[k]).any(axis=1)] = k
     return first == band
 
 
@@ -370,7 +385,7 @@ def led(sizes: np.ndarray, prints: np.ndarray, low: int, high: int) -> list[tupl
     return out
 
 
-def near_in_shards(keys: np.ndarray, sizes: np.ndarray, prints: np.ndarray, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def near_in_shards(keys: np.ndarray, sizes: np.ndarray, prints: np.ndarray, group: np.ndarray | None, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs of one key that are ``near`` and whose sizes allow the similarity.
 
     With ``group``, all pairs of different groups, each in one of the shards they share;
@@ -394,7 +409,7 @@ def near_in_shards(keys: np.ndarray, sizes: np.ndarray, prints: np.ndarray, grou
             close = near(prints, sizes, a, b)
             a, b = a[close], b[close]
             if len(a):
-                new = first_shared(keys, prints, a, b)
+                new = first_shared(keys, prints, a, b, bands)
                 left.append(a[new])
                 right.append(b[new])
         return np.concatenate(left), np.concatenate(right)
@@ -425,7 +440,7 @@ def near_in_shards(keys: np.ndarray, sizes: np.ndarray, prints: np.ndarray, grou
     return np.concatenate([*left, above[found]]), np.concatenate([*right, found])
 
 
-def _near(grouped: bool):
+def _near(grouped: bool, bands: Bands):
     """Over rows sorted by key: the pairs of ``near_in_shards``, by ``s``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +448,7 @@ def _near(grouped: bool):
             rows = pa.Table.from_batches(parts).combine_chunks()
             key, s, n = (rows.column(c).to_numpy() for c in ("key", "s", "n"))
             group = rows.column("root").to_numpy() if grouped else None
-            a, b = near_in_shards(key, n.astype(np.int64), _print_words(rows.column("fp")), group)
+            a, b = near_in_shards(key, n.astype(np.int64), _print_words(rows.column("fp")), group, bands)
             both = np.unique(np.stack([np.minimum(s[a], s[b]), np.maximum(s[a], s[b])], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
@@ -454,12 +469,12 @@ def _near(grouped: bool):
     return run
 
 
-def near_pairs(nodes: DataFrame) -> DataFrame:
+def near_pairs(nodes: DataFrame, bands: Bands) -> DataFrame:
     """Candidates ``a`` < ``b`` among ``nodes`` (``s``, ``n``, ``fp``; ``root``: see ``near_in_shards``)."""
-    keyed = nodes.mapInArrow(_banded, "key int, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes))
+    keyed = nodes.mapInArrow(_banded(bands), "key long, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes))
     order = ["key", "root", "s"] if "root" in nodes.columns else ["key", "s"]
     dealt = keyed.repartition("key").sortWithinPartitions(*order)
-    found = dealt.mapInArrow(_near("root" in nodes.columns), "a long, b long")
+    found = dealt.mapInArrow(_near("root" in nodes.columns, bands), "a long, b long")
     return found if "root" in nodes.columns else found.distinct()
 
 
@@ -480,7 +495,8 @@ def verified_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
     with all candidates that they are not yet connected with.
     """
     nodes = materialize(prints.groupBy("s").agg(F.min(F.struct("id", "key", "n", "fp")).alias("at")).select("s", "at.*"))
-    tried = materialize(near_pairs(nodes.select("s", "n", "fp")))
+    bands = Bands(nodes.count())
+    tried = materialize(near_pairs(nodes.select("s", "n", "fp"), bands))
     release(prints.sparkSession)
     involved = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
     some = materialize(nodes.join(involved, F.col("s") == F.col("node"), "left_semi"))
@@ -492,7 +508,7 @@ def verified_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
     links = materialize(alike(tried, sets))
     known = materialize(components(links))
     rest = described_.join(known, F.col("s") == F.col("node"), "left").select("s", F.size("own").alias("n"), F.col("widest").alias("fp"), F.coalesce("root", "s").alias("root"))
-    more = materialize(near_pairs(rest))
+    more = materialize(near_pairs(rest, bands))
     release(prints.sparkSession)
     return links.union(alike(more.join(tried, ["a", "b"], "left_anti"), sets))
 
@@ -502,8 +518,8 @@ def keep_first(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
 
     Near duplicates have five-word shingle sets of a Jaccard similarity of 0.8 or more
     (a text of up to five words is one shingle), and a group is what such pairs connect.
-    Candidates agree on one of 64 bands of 14 bits of a 256-bit fingerprint and differ in
-    no more bits than alike sets do (see ``near``; of 3,000 made pairs right at 0.8, 99.4 %
+    Candidates agree on one of 64 bands of 14 bits (of more rows, more and longer bands: see
+    ``Bands``) of a 256-bit fingerprint and differ in no more bits than alike sets do (see ``near``; of 3,000 made pairs right at 0.8, 99.4 %
     were found); each link is verified with the sets themselves. A null id counts as
     larger than any; among equal ids the row with the smaller hash of its values stays,
     and of wholly equal rows one stays. Null, empty and wordless texts are copies of each

@@ -400,6 +400,33 @@ def test_keep_first_connects_groups_and_only_verified_links(spark, monkeypatch,
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(wanted.values())) == [0, 5, *range(65, 85)]
 
 
+@pytest.mark.parametrize("rows", [100, 1 << 24, 1 << 30])
+def test_bands_of_any_size_find_alike_texts(spark, rows):
+    """Pairs just above 0.8, by scattered, appended and replaced words, under the bands of small and of very large tables."""
+    bands = simhash.Bands(rows)
+    assert (bands.bits, bands.count) == {100: (14, 64), 1 << 24: (18, 127), 1 << 30: (24, 344)}[rows]
+    rng, texts = random.Random(40), []
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    for i in range(240):
+        own = [word() for _ in range(300)]
+        other = list(own)
+        if i % 3 == 0:
+            for at in rng.sample(range(300), 6):
+                other[at] = word()
+        elif i % 3 == 1:
+            other += [word() for _ in range(70)]
+        else:
+            other[100:130] = [word() for _ in range(30)]
+        texts += [" ".join(own), " ".join(other)]
+    sets = [brute_shingles(t) for t in texts]
+    pairs = [(i, i + 1) for i in range(0, 480, 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])]
+    told = spark.createDataFrame(list(enumerate(texts)), DOCS).select("doc_id", simhash.described(F.col("text")).alias("d")).select("doc_id", "d.*")
+    names = {r.doc_id: r.s for r in told.collect()}
+    found = {(r.a, r.b) for r in simhash.near_pairs(materialize(told.select("s", "n", "fp")), bands).collect()}
+    hit = sum((min(names[a], names[b]), max(names[a], names[b])) in found for a, b in pairs)
+    assert len(pairs) > 150 and hit >= 0.97 * len(pairs)
+
+
 # 6
 
 
