@@ -377,7 +377,8 @@ def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans that go for sure; and suffixes (``n`` > 1: wholly repeated; 1: with others of their token)."""
     suffixes = materialize(rows.select("doc", "data").mapInArrow(_suffixes, SUFFIX_ROW))
     known = materialize(suffixes.where("h is null").select("doc", "start", "end"))
-    ranked = suffixes.where("h is not null").selectExpr("h", "doc", "start", "row_number() over (partition by h, c, d order by doc, start) as n")
+    # Dealt by token once, for both windows.
+    ranked = suffixes.where("h is not null").repartition("h").selectExpr("h", "doc", "start", "row_number() over (partition by h, c, d order by doc, start) as n")
     kinds = ranked.withColumn("kinds", F.expr("count_if(n = 1) over (partition by h)"))
     kept = materialize(kinds.where("n > 1 or kinds > 1").select("doc", "start", "n", (F.col("kinds") > OFTEN).alias("often")))
     discard(suffixes.written_path)
