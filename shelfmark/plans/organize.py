@@ -12,6 +12,7 @@ from ..functions.names import numbered_name, safe_filename, split_name
 from ..functions.paths import basename
 from ..operators.classify import classify, label
 from ..operators.ranks import positions
+from ..sources.written import written
 
 #: The folder below a library's root that plans move files into, if the caller names no other.
 OUTPUT = "organized"
@@ -44,10 +45,27 @@ def family(name: str, style: str) -> str:
     return fold_name(f"{stem}.{extension}", style)
 
 
+def numbered_place(name: str, style: str) -> tuple[str | None, int | None]:
+    """Whose alternative ``name`` looks like: the first alternative of those names (folded), and its number among them."""
+    stem, extension = split_name(name)
+    at = stem.rfind(" (")
+    digits = stem[at + 2 : -1] if at >= 0 and stem.endswith(")") else ""
+    if not (digits.isascii() and digits.isdecimal()):
+        return None, None
+    base = stem[:at] + (f".{extension}" if extension else "")
+    number = int(digits) - (style != "legacy")
+    if not 1 <= number < MOST_NUMBERS or fold_name(candidate(base, number, style), style) != fold_name(name, style):
+        return None, None
+    return fold_name(candidate(base, 1, style), style), number
+
+
 def _told_apart(name: Column, style: str) -> Column:
-    @F.pandas_udf("key string, family string")
+    """Struct of ``key`` (the folded name), ``family``, ``others`` (the folded first alternative), and ``of`` and ``number`` (see ``numbered_place``)."""
+
+    @F.pandas_udf("key string, family string, others string, of string, number int")
     def run(names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"key": [fold_name(n, style) for n in names], "family": [family(n, style) for n in names]})
+        rows = [(fold_name(n, style), family(n, style), fold_name(candidate(n, 1, style), style), *numbered_place(n, style)) for n in names]
+        return pd.DataFrame(rows, columns=["key", "family", "others", "of", "number"]).astype({"number": "Int32"})
 
     return run(name)
 
@@ -60,29 +78,45 @@ def _alternative(name: Column, number: Column, style: str) -> Column:
     return run(name, number)
 
 
-def _assign(style: str):
-    """Names of one family in plan order, each unlike all before it and all that exist there."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        taken = {fold_name(n, style) for n in rows.loc[rows["id"].isna(), "name"]}
-        planned = rows[rows["id"].notna()].sort_values("place", kind="stable")
-        tried: dict[str, int] = {}
-        out = []
-        for name in planned["name"]:
-            number, chosen = tried.get(name, 0), name
-            while number < MOST_NUMBERS or style == "legacy":
-                chosen = candidate(name, number, style) if number else name
-                if fold_name(chosen, style) not in taken:
-                    break
-                number += 1
-            else:
-                chosen = candidate(name, number, style)
-            tried[name] = number
-            taken.add(fold_name(chosen, style))
-            out.append(chosen)
-        return planned.assign(unique_name=out)[["folder", "id", "unique_name"]]
+def _numbers(rows: DataFrame, there: DataFrame) -> DataFrame:
+    """``folder``, ``id`` and ``number`` (0: keeps its name) of names whose numbers may meet other names.
 
-    return run
+    ``rows``: ``folder``, ``id``, ``place`` (from 1), ``key``, ``others``, ``of``, ``number``; ``there``: the names that exist.
+    Names are given in the order of places. The first of a name keeps it, unless it exists or an earlier row took it as a
+    number; all others of one list of alternatives take its numbers in turn, and leave out those that
+    exist or whose own name came before. Which numbers are left out, and which names are lost to
+    a number, is found by rounds: a decision depends on earlier places only, so each
+    round settles at least the next one, and when nothing changes all are right.
+    """
+    exists = there.select("folder", "key").distinct().withColumn("exists", F.lit(True))
+    firsts = rows.groupBy("folder", "key").agg(F.min("place").alias("first"))
+    rows = written(rows.join(firsts, ["folder", "key"]).join(exists, ["folder", "key"], "left").withColumn("exists", F.coalesce("exists", F.lit(False))))
+    # Every number that is a name of its own: from when on it is taken by that, 0 if it exists.
+    named = rows.where("of is not null").select("folder", "of", "number", "key", F.when(F.col("exists"), 0).otherwise(F.col("first")).alias("from"))
+    named = named.union(there.where("of is not null").select("folder", "of", "number", "key", F.lit(0)))
+    marks = written(named.groupBy("folder", "of", "number", "key").agg(F.min("from").alias("from")).withColumns({"left_out": F.col("from") == 0, "lost": F.lit(False)}))
+    listed = Window.partitionBy("folder", "others").orderBy("place")
+    before = Window.partitionBy("folder", "of").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        lost = marks.where("lost").select("folder", "key", "lost")
+        keeps = (F.col("place") == F.col("first")) & ~F.col("exists") & F.col("lost").isNull()
+        placed = rows.join(lost, ["folder", "key"], "left").withColumn("keeps", keeps).drop("lost")
+        turns = placed.where("not keeps").withColumn("turn", F.row_number().over(listed))
+        skipped = F.coalesce(F.sum(F.col("left_out").cast("int")).over(before), F.lit(0))
+        reached = turns.select(F.col("folder").alias("t_folder"), F.col("others").alias("t_of"), "turn", F.col("place").alias("at"))
+        told = marks.withColumn("reach", (F.col("number") - skipped).cast("int"))
+        told = told.join(reached, (F.col("folder") == F.col("t_folder")) & (F.col("of") == F.col("t_of")) & (F.col("reach") == F.col("turn")), "left")
+        out, taken = F.coalesce(F.col("from") < F.col("at"), F.lit(False)), F.coalesce(F.col("at") < F.col("from"), F.lit(False))
+        new = written(told.select("folder", "of", "number", "key", "from", "reach", "left_out", "lost", out.alias("new_out"), taken.alias("new_lost")))
+        changed = new.where("left_out <> new_out or lost <> new_lost").limit(1).count()
+        marks = new.select("folder", "of", "number", "key", "from", "reach", F.col("new_out").alias("left_out"), F.col("new_lost").alias("lost"))
+        if not changed:
+            break
+    gaps = marks.where("left_out").select("folder", F.col("of").alias("others"), F.col("reach").alias("turn"), F.lit(None).cast("string").alias("id"), F.lit(1).alias("gap"))
+    both = turns.select("folder", "others", "turn", "id", F.lit(0).alias("gap")).union(gaps)
+    shift = F.sum("gap").over(Window.partitionBy("folder", "others").orderBy("turn", F.desc("gap")).rowsBetween(Window.unboundedPreceding, 0))
+    numbered = both.withColumn("number", (F.col("turn") + shift).cast("long")).where("gap = 0").select("folder", "id", "number")
+    return numbered.union(placed.where("keeps").select("folder", "id", F.lit(0).cast("long")))
 
 
 def unique_names(plan: DataFrame, existing: DataFrame, style: str = "mainline") -> DataFrame:
@@ -91,8 +125,8 @@ def unique_names(plan: DataFrame, existing: DataFrame, style: str = "mainline")
     ``existing``: (``folder``, ``name``) of what is there already. Names are given in the
     order of ``ordinal`` (ties: ``id``, which must be unique in a folder): the first of a name keeps it unless it exists, each later
     one takes the smallest number that is free then. Where a family (see ``family``) has
-    one name only, numbers follow from the rows' order; only families in which a name
-    with a number may meet another name go through Python one by one.
+    one name only, numbers follow from the rows' order; families in which a name with a
+    number may meet another name are settled by rounds (see ``_numbers``).
     """
     rows = plan.select("folder", "ordinal", "id", "name", _told_apart(F.col("name"), style).alias("t")).select("folder", "ordinal", "id", "name", "t.*")
     there = existing.select("folder", "name").distinct().select("folder", "name", _told_apart(F.col("name"), style).alias("t")).select("folder", "name", "t.*")
@@ -105,10 +139,12 @@ def unique_names(plan: DataFrame, existing: DataFrame, style: str = "mainline")
     numbered = plain.withColumn("number", place + F.coalesce("taken", F.lit(0)))
     alone = numbered.select("folder", "ordinal", "id", _alternative(F.col("name"), F.col("number"), style).alias("unique_name"))
     order = F.row_number().over(Window.partitionBy("folder", "family").orderBy("ordinal", "id")).alias("place")
-    together = rows.join(crowded, ["folder", "family"], "left_semi").select("folder", "family", order, "id", "name")
-    known = there.join(crowded, ["folder", "family"], "left_semi").select("folder", "family", F.lit(0).alias("place"), F.lit(None).cast("string").alias("id"), "name")
-    one_by_one = together.union(known).groupBy("folder", "family").applyInPandas(_assign(style), "folder string, id string, unique_name string")
-    named = plan.select("folder", "ordinal", "id").join(one_by_one, ["folder", "id"]).select("folder", "ordinal", "id", "unique_name")
+    together = written(rows.join(crowded, ["folder", "family"], "left_semi").select("folder", order, "ordinal", "id", "name", "key", "others", "of", "number"))
+    if together.isEmpty():
+        return alone
+    known = written(there.join(crowded, ["folder", "family"], "left_semi").select("folder", "key", "of", "number"))
+    numbers = _numbers(together.drop("ordinal", "name"), known).withColumnRenamed("number", "chosen")
+    named = together.join(numbers, ["folder", "id"]).select("folder", "ordinal", "id", _alternative(F.col("name"), F.col("chosen"), style).alias("unique_name"))
     return alone.union(named)
 
 

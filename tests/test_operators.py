@@ -177,10 +177,14 @@ def test_names_are_given_in_plan_order(spark):
 
 
 @pytest.mark.parametrize("style", ["mainline", "legacy"])
-def test_names_against_one_after_the_other(spark, style):
-    rng = random.Random(3)
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_names_against_one_after_the_other(spark, style, seed):
+    rng = random.Random(seed)
     pool = ["a.pdf", "A.PDF", "a (1).pdf", "a (2).pdf", "a  (2).pdf", "a (2) (2).pdf", "b", "b (1)", ".bashrc", "b.tar.gz", "CON", "ß.txt", "SS.txt", "a:.pdf", "x (2)", "x"]
-    names, there = rng.choices(pool, k=80), rng.sample(pool, 4)
+    if seed > 3:
+        # Names that meet numbers of numbers, and long runs of numbers that exist.
+        pool = ["a.pdf", "a.pdf", "A (1).pdf", *[f"a ({k}).pdf" for k in (2, 3, 4, 7, 9)], "a (1) (1).pdf", "a (2) (2).pdf", "a (02).pdf", "a:.pdf", "a_.pdf"]
+    names, there = rng.choices(pool, k=80), rng.sample(pool, 4) + [f"a ({k}).pdf" for k in range(5, 5 + 10 * (seed == 5))]
     taken, wanted = {organize.fold_name(n, style) for n in there}, []
     for name in names:
         number, chosen = 0, name
