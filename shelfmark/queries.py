@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -1105,7 +1106,8 @@ def _(files):
 def _watched_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a watcher of the tables' folder tells at its first poll."""
     path = new_path(spark, "watched")
-    rows = events.file_events(spark, sf_dir, path.removeprefix("file://") + "/log")
+    local = lambda address: re.sub("^file:/+", "/", address)
+    rows = events.file_events(spark, local(sf_dir), local(path) + "/log")
     return _stream(rows, path, "watched").select("path", "event")
 
 
