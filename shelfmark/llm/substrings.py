@@ -42,7 +42,8 @@ TOKENS = LENGTH - TOKEN + 1
 LEFT = LENGTH - TOKEN
 SEGMENT = 1 << 21
 STRINGS_AT_ONCE = 100_000
-SUFFIXES_AT_ONCE = 100_000
+SUFFIXES_AT_ONCE = 60_000
+PLACES_AT_ONCE = 10_000
 SMALL = 512
 #: A token at more edges than this is split by the ``HALF`` bytes before or after it.
 OFTEN = 1_000
@@ -182,7 +183,16 @@ PLAIN, AFTER, BEFORE = b"\0", b"\1", b"\2"
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (doc, data, places, often): the surroundings of each place, by token or, for frequent ones, by token and half."""
+    """Of rows (doc, data, places, often): the surroundings of each place, by token or, for frequent ones, by token and half.
+
+    They go out in blocks, however many places a text has.
+    """
+    types = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
+
+    def sent(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["token", "doc", "place", "around"])
+
     for batch in batches:
         out: list[tuple] = []
         for doc, data, places, often in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
@@ -192,14 +202,15 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 around = data[at - left : at + right]
                 if place not in often:
                     out.append((PLAIN + data[at : at + TOKEN], doc, place, around))
-                    continue
-                if right >= TOKEN + HALF:
-                    out.append((AFTER + data[at : at + TOKEN + HALF], doc, place, around))
-                if left >= HALF:
-                    out.append((BEFORE + data[at - HALF : at + TOKEN], doc, place, around))
-        types = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        columns = list(zip(*out)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["token", "doc", "place", "around"])
+                else:
+                    if right >= TOKEN + HALF:
+                        out.append((AFTER + data[at : at + TOKEN + HALF], doc, place, around))
+                    if left >= HALF:
+                        out.append((BEFORE + data[at - HALF : at + TOKEN], doc, place, around))
+                if len(out) >= PLACES_AT_ONCE:
+                    yield sent(out)
+                    out = []
+        yield sent(out)
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
