@@ -47,6 +47,16 @@ def test_same_rows(spark, duck, name):
     assert mine == theirs
 
 
+def test_folded_names_of_files_changed_later(spark, tmp_path):
+    """The names of files changed after ``NOW_NS`` (doc_id 1158 to 1999 of each 2000) count too."""
+    duck = duckdb.connect()
+    duck.sql(f"COPY (SELECT doc_id * 37 AS doc_id, text, lang, source, n_chars FROM '{DATA}/documents.parquet' WHERE doc_id < 60) TO '{tmp_path}/documents.parquet'")
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    wanted = sorted(duck.sql(SQL["flt11_folded_names"]).fetchall())
+    later = duck.sql(f"SELECT count(*) FROM ({bound('files')}) WHERE modified_at_ns > {NOW_NS}").fetchall()[0][0]
+    assert later and sorted(map(tuple, QUERIES["flt11_folded_names"](spark, str(tmp_path)).collect())) == wanted
+
+
 def tree():
     """Name, path and depth of the files of the sample's folder, by walking it."""
     top = Path(DATA).resolve()
