@@ -16,12 +16,13 @@ second word of the prefix and the word that follows it, so such lines meet on bo
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, let, materialize, release, table
+from .common import discard, fresh, materialize, release, table
 from .decontaminate import bounded
 
 #: Similarity of NEED / OF or more.
@@ -36,6 +37,10 @@ CELL_BITS, STEPS = 18, 3
 LONG = 90
 #: A word that occurs more often is a key only together with a second word.
 OFTEN = 20_000
+#: Lines meet by classes of size, each so many times as wide as the one below; more than OF / NEED.
+WIDER = 3
+#: So many keys of a line are looked up for the first line and so many before it that have them, and so many of these compared.
+SKETCH, BEFORE, TRIED = 4, 3, 3
 LAST = 2**63 - 1
 SPACE = r"[^\p{L}\p{N}]+"
 
@@ -57,15 +62,14 @@ def word_hashes(line: Column) -> Column:
 
 
 class Rarity:
-    """Classes of the most frequent words, as a constant array over cells of the hashes' range.
+    """Classes of the words that most lines of ``hashed`` have, as a constant array over cells of the hashes' range.
 
     A cell has the class of the heaviest listed word in it, so a word that shares its cell
     with a heavier one sorts with that; any fixed order is right, and this one is rare words first.
     """
 
-    def __init__(self, lines: DataFrame):
-        each = lines.select(F.explode(F.split(F.lower("own"), SPACE)).alias("w")).where("w <> ''")
-        words = materialize(each.groupBy(F.xxhash64("w").alias("w")).count())
+    def __init__(self, hashed: DataFrame):
+        words = materialize(hashed.select(F.explode("words").alias("w")).groupBy("w").count())
         level = F.floor(F.log2("count") * STEPS).cast("int")
         sizes = sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True)
         least, room = 10**9, LISTED
@@ -80,12 +84,13 @@ class Rarity:
         discard(words.written_path)
         #: The class from which on a word is too frequent to be a key alone.
         self.often = min(max(math.ceil(math.log2(OFTEN) * STEPS) - least + 1, 1), 128)
-        self.classes = F.split(F.lit(",".join(map(str, cells))), ",").cast("array<int>")
+        self.classes = F.split(F.lit(",".join(str(c << 56) for c in cells)), ",").cast("array<bigint>")
 
     def code(self, w: Column) -> Column:
         """A word's hash as a long that sorts by class, then by hash."""
         own = F.get(self.classes, F.shiftrightunsigned(w, 64 - CELL_BITS).cast("int"))
-        return F.shiftleft(own.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
+        # Never null, so that Spark sorts plain numbers.
+        return F.coalesce(own.bitwiseOR(F.shiftrightunsigned(w, 8)), F.lit(0))
 
     def is_often(self, code: Column) -> Column:
         return F.shiftrightunsigned(code, 56) >= self.often
@@ -95,79 +100,134 @@ def prefix_length(n: Column) -> Column:
     return (n - F.ceil(n * NEED / OF) + 1).cast("int")
 
 
-def described(line: Column, rarity: Rarity, least: int) -> Column:
-    """Struct of ``s``, ``t`` (two hashes of the set), ``n``, ``sign``, ``half`` and ``prefix`` (one word more than the prefix).
+def short_prefix_length(n: Column) -> Column:
+    """The prefix of the smaller one of two alike sets: they share 8/9 of it at least."""
+    return (n - F.ceil(n * (2 * NEED) / (NEED + OF)) + 1).cast("int")
 
-    ``sign`` is the parity of the words under each of 64 numbers, ``half`` that of one half of the words, for long lines.
-    """
-    one = F.lit(1).cast("long")
 
-    def struct(own: Column) -> Column:
-        n = F.size(own)
-        prefix = F.slice(own, F.lit(1), F.when(n < JOINED_WORDS, 0).otherwise(prefix_length(n) + 1))
-        bit = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int")))
-        some = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(c, 6).bitwiseAND(one), c.bitwiseAND(F.lit(63)).cast("int")))
-        none = F.lit(0).cast("long")
-        signs = [F.aggregate(own, none, bit).alias("sign"), F.when(n > LONG, F.aggregate(own, none, some)).otherwise(none).alias("half")]
-        fields = F.struct(F.xxhash64(own).alias("s"), F.xxhash64(own, F.lit(1)).alias("t"), n.alias("n"), *signs, prefix.alias("prefix"))
-        return F.when(n >= least, fields)
+def described(hashed: DataFrame, rarity: Rarity) -> DataFrame:
+    """``doc``, ``line``, ``s``, ``t`` (two hashes of the set), ``n``, ``sign``, ``half`` and ``prefix`` (one word more than the prefix).
 
-    return let(F.sort_array(F.transform(word_hashes(line), rarity.code)), struct)
+    ``sign`` is the parity of the words under each of 64 numbers, ``half`` that of one half of the words, for long lines.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int")))
+    some = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(c, 6).bitwiseAND(one), c.bitwiseAND(F.lit(63)).cast("int")))
+    # A projection of its own: the sorted words are used more than once, so the optimizer leaves it one.
+    own = hashed.select("doc", "line", F.sort_array(F.transform("words", rarity.code)).alias("own"))
+    n = F.size("own")
+    prefix = F.slice("own", F.lit(1), F.when(n < JOINED_WORDS, 0).otherwise(prefix_length(n) + 1))
+    signs = [F.aggregate("own", none, bit).alias("sign"), F.when(n > LONG, F.aggregate("own", none, some)).otherwise(none).alias("half")]
+    return own.select("doc", "line", F.xxhash64("own").alias("s"), F.xxhash64("own", F.lit(1)).alias("t"), n.alias("n"), *signs, prefix.alias("prefix"))
 
 
 def earlier(doc: str, line: str, than_doc: str, than_line: str) -> Column:
     return (F.col(doc) < F.col(than_doc)) | ((F.col(doc) == F.col(than_doc)) & (F.col(line) < F.col(than_line)))
 
 
-def possible(prefix: str) -> Column:
-    """Positional, length and signature filters between a row and the columns of ``prefix``.
+def differ(n: Column, m: Column, prefix: str) -> Column:
+    """How far the signatures of a row (of ``n`` words) and of the columns of ``prefix`` (of ``m``) differ."""
+    sign, half = F.col("sign").bitwiseXOR(F.col(f"{prefix}sign")), F.col("half").bitwiseXOR(F.col(f"{prefix}half"))
+    return F.when((n > LONG) & (m > LONG), F.bit_count(half) + F.bit_count(sign.bitwiseXOR(half))).otherwise(F.bit_count(sign))
+
+
+def near(n: Column, m: Column, prefix: str) -> Column:
+    """Signature and length filters between the same.
 
     Alike sets of n and m words share 4/9 (n + m) at least, so no more than a ninth of n + m differs.
     Whole numbers only: this is what a join spends its time on.
     """
-    n, m = F.col("n"), F.col(f"{prefix}n")
-    both = n + m
-    rest = F.least(n - F.col("place"), m - F.col(f"{prefix}place")) * (NEED + OF) >= both * NEED
-    sign, half = F.col("sign").bitwiseXOR(F.col(f"{prefix}sign")), F.col("half").bitwiseXOR(F.col(f"{prefix}half"))
-    differ = F.when((n > LONG) & (m > LONG), F.bit_count(half) + F.bit_count(sign.bitwiseXOR(half))).otherwise(F.bit_count(sign))
-    return rest & (differ * (NEED + OF) <= both * (OF - NEED))
+    return (differ(n, m, prefix) * (NEED + OF) <= (n + m) * (OF - NEED)) & (F.least(n, m) * OF >= F.greatest(n, m) * NEED)
+
 
+SET = ("doc", "line", "n", "sign", "half")
 
-ROW = ("doc", "line", "n", "sign", "half", "place")
 
+def plain(firsts: DataFrame) -> list[Column]:
+    """The columns of ``SET``, never null, which spares a join the tests."""
+    return [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in SET]
 
-def keyed(firsts: DataFrame, rarity: Rarity, *more: str) -> DataFrame:
-    """A row for each key of each line: its prefix words, frequent ones with each later word."""
-    length = prefix_length(F.col("n"))
-    every = firsts.select("doc", "line", "n", "sign", "half", *more, "prefix", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "key"))
-    plain = every.where(~rarity.is_often(F.col("key"))).select(*ROW, *more, "key")
-    some = firsts.where(rarity.is_often(F.get("prefix", length - 1)))
-    both = some.select("doc", "line", "n", "sign", "half", *more, "prefix", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "first"))
-    both = both.where(rarity.is_often(F.col("first"))).withColumn("second", F.explode(F.slice("prefix", F.col("place") + 2, length - F.col("place"))))
-    return plain.union(both.select(*ROW, *more, F.xxhash64("first", "second").alias("key")))
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(float(WIDER), n.cast("double"))).cast("int")
+
+
+def keyed(firsts: DataFrame, rarity: Rarity) -> DataFrame:
+    """A row for each key of each line: its prefix words, frequent ones with each later word, by classes of size.
+
+    ``small`` is 1 for the keys of a line as the smaller one of a pair: words of its short prefix, in its own
+    class. As the larger one a line meets its own class, and the one below if alike lines can be in that.
+    """
+    n = F.col("n")
+    lengths = [prefix_length(n).alias("length"), short_prefix_length(n).alias("short")]
+    classes = [size_class(n).alias("own"), size_class(F.ceil(n * NEED / OF)).alias("least")]
+    lines = firsts.select(*plain(firsts), "probed", "prefix", *lengths, *classes)
+    each = lines.select("*", F.posexplode(F.slice("prefix", F.lit(1), F.col("length"))).alias("place", "first"))
+    alone = each.where(~rarity.is_often(F.col("first"))).select(*each.columns, F.col("place").alias("last"), F.col("first").alias("word"))
+    both = lines.where(rarity.is_often(F.get("prefix", F.col("length") - 1)))
+    both = both.select("*", F.posexplode(F.slice("prefix", F.lit(1), F.col("length"))).alias("place", "first")).where(rarity.is_often(F.col("first")))
+    # The second word may be the one after the prefix.
+    both = both.select("*", F.posexplode(F.slice("prefix", F.col("place") + 2, F.col("length") - F.col("place"))).alias("further", "second"))
+    both = both.select(*each.columns, (F.col("place") + F.col("further")).alias("last"), F.xxhash64("first", "second").alias("word"))
+    rows = alone.union(both).withColumn("class", F.explode(F.when(F.col("least") < F.col("own"), F.array("own", "least")).otherwise(F.array("own"))))
+    small = F.when((F.col("class") == F.col("own")) & (F.col("last") < F.col("short")), 1).otherwise(0)
+    facts = F.shiftleft(F.col("n").cast("long"), 34) + F.shiftleft(F.col("place").cast("long"), 2) + F.col("probed") * 2 + small
+    return rows.select("doc", "line", "sign", "half", facts.alias("facts"), F.xxhash64("word", "class").alias("key"))
+
+
+def unpacked(facts: Column) -> tuple[Column, Column, Column, Column]:
+    """``n``, ``place``, ``probed`` and ``small`` of a row of ``keyed``, which stand in one number to keep its many rows narrow."""
+    return F.shiftright(facts, 34), F.shiftright(facts, 2).bitwiseAND(F.lit(2**32 - 1)), F.shiftright(facts, 1).bitwiseAND(F.lit(1)), facts.bitwiseAND(F.lit(1))
+
+
+def sketch(rarity: Rarity) -> Column:
+    """``SKETCH`` keys of a line: of its prefix words, frequent ones with each later word, those of the least hashes.
+
+    Which words these are does not depend on their places, so near copies, with rare words of their own before the
+    common ones, still share some.
+    """
+    words = F.slice("prefix", F.lit(1), prefix_length(F.col("n")))
+    hashes = lambda own: F.transform(own, lambda c: F.shiftleft(c, 8))
+    none = F.array().cast("array<long>")
+    later = lambda a, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda b: F.xxhash64(a, b))
+    pairs = F.flatten(F.transform(words, lambda a, i: F.when(rarity.is_often(a), later(a, i)).otherwise(none)))
+    some = F.concat(hashes(F.filter(words, lambda c: ~rarity.is_often(c))), pairs)
+    return F.slice(F.sort_array(F.when(rarity.is_often(F.get("prefix", prefix_length(F.col("n")) - 1)), some).otherwise(hashes(words))), 1, SKETCH)
 
 
 def head_pairs(firsts: DataFrame, rarity: Rarity) -> DataFrame:
-    """Pairs of a line and the first line of one of its keys, if they may be alike: of several the one with most keys."""
+    """Pairs of a line and earlier lines that may be alike: of the first line and the ``BEFORE`` last ones under each key of its sketch, the ``TRIED`` nearest."""
     by_key = Window.partitionBy("key").orderBy("doc", "line")
-    rows = keyed(firsts, rarity).withColumn("h", F.first(F.struct(*ROW)).over(by_key))
-    rows = rows.where("doc <> h.doc or line <> h.line").select(*ROW, *[F.col(f"h.{c}").alias(f"h_{c}") for c in ROW])
-    met = rows.where(possible("h_")).groupBy("doc", "line", "h_doc", "h_line").agg(F.count(F.lit(1)).alias("keys"))
-    best = met.groupBy("doc", "line").agg(F.max(F.struct("keys", -F.col("h_doc"), -F.col("h_line"), "h_doc", "h_line")).alias("best"))
-    return best.select("doc", "line", "best.h_doc", "best.h_line")
+    rows = firsts.select(*plain(firsts), F.explode(sketch(rarity)).alias("key"))
+    others = ["h", *[f"p{k}" for k in range(BEFORE)]]
+    found = [F.first(F.struct(*SET)).over(by_key).alias("h"), *[F.lag(F.struct(*SET), k + 1).over(by_key).alias(f"p{k}") for k in range(BEFORE)]]
+    other = lambda o: earlier(f"{o}.doc", f"{o}.line", "doc", "line") & near(F.col("n"), F.col(f"{o}.n"), f"{o}.")
+    some = functools.reduce(lambda a, b: a | b, map(other, others))
+    met = rows.select(*SET, *found).where(some).withColumn("o", F.explode(F.array(*others))).where(other("o"))
+    nearest = F.struct(differ(F.col("n"), F.col("o.n"), "o.").alias("differ"), F.col("o.doc").alias("h_doc"), F.col("o.line").alias("h_line"))
+    each = met.groupBy("doc", "line").agg(F.collect_set(nearest).alias("all"))
+    return each.select("doc", "line", F.explode(F.slice(F.sort_array("all"), 1, TRIED)).alias("o")).select("doc", "line", "o.h_doc", "o.h_line")
 
 
 def all_pairs(firsts: DataFrame, rarity: Rarity, known: DataFrame) -> DataFrame:
-    """Pairs of lines that may be alike, the later one not among ``known`` (``k_doc``, ``k_line``)."""
+    """Pairs of lines that may be alike, the later one not among ``known`` (``k_doc``, ``k_line``).
+
+    A line meets the smaller ones (of one size: the earlier ones) by the keys that those have as smaller ones.
+    """
     there = firsts.join(known, (F.col("doc") == F.col("k_doc")) & (F.col("line") == F.col("k_line")), "left")
     probed = there.select(*firsts.columns, F.col("k_doc").isNull().cast("int").alias("probed"))
-    rows = keyed(probed, rarity, "probed").repartition("key")
-    right = rows.select(*[F.col(c).alias(f"h_{c}") for c in rows.columns])
-    # Dealt by the key before columns are renamed, and with a test of both sides, which is not pushed
-    # down: so one shuffle serves both.
-    of_both = F.col("probed") * 2 + F.col("h_probed") >= 2
-    met = rows.join(right, (F.col("key") == F.col("h_key")) & earlier("h_doc", "h_line", "doc", "line") & of_both & possible("h_"))
-    return met.select("doc", "line", "h_doc", "h_line").distinct()
+    rows = keyed(probed, rarity).repartition("key")
+    # One shuffle serves both sides: it has the same columns for both, none that may be null, and a filter
+    # with a random number (0 or more, less than 1) is not pushed below it.
+    n, place, own, small = unpacked(F.col("facts"))
+    m, other_place, other, _ = unpacked(F.col("h_facts"))
+    right = rows.where(F.rand() < small).select(*[F.col(c).alias(f"h_{c}") for c in rows.columns])
+    before, after = earlier("h_doc", "h_line", "doc", "line"), earlier("doc", "line", "h_doc", "h_line")
+    placed = F.least(n - place, m - other_place) * (NEED + OF) >= (n + m) * NEED
+    wanted = F.when(before, own).when(after & (m < n), other).otherwise(0) == 1
+    met = rows.join(right, (F.col("key") == F.col("h_key")) & (m <= n) & near(n, m, "h_") & placed & wanted)
+    pair = lambda c: [F.when(before, F.col(c)).otherwise(F.col(f"h_{c}")).alias(c), F.when(before, F.col(f"h_{c}")).otherwise(F.col(c)).alias(f"h_{c}")]
+    return met.select(*pair("doc"), *pair("line")).distinct()
 
 
 def verified(pairs: DataFrame, df: DataFrame, id_: str, text: str) -> DataFrame:
@@ -178,16 +238,15 @@ def verified(pairs: DataFrame, df: DataFrame, id_: str, text: str) -> DataFrame:
     """
     each = pairs.select("doc", "line").union(pairs.select("h_doc", "h_line")).distinct()
     wanted = bounded(each.groupBy(F.col("doc").alias("w_doc")).agg(F.collect_list("line").alias("w_lines")), 2 + F.size("w_lines") / 4)
-    source = df.select(F.coalesce(F.col(id_).cast("long"), F.lit(LAST)).alias("doc"), F.split(F.col(text), "\n", -1).alias("own"))
-    some = source.join(wanted, F.col("doc") == F.col("w_doc"))
+    source = df.select(F.coalesce(F.col(id_).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("whole"))
+    some = source.join(wanted, F.col("doc") == F.col("w_doc")).select("doc", F.split("whole", "\n", -1).alias("own"), "w_lines")
     lines = some.select("doc", "own", F.explode("w_lines").alias("line")).select("doc", "line", F.array_join(line_words(F.get("own", F.col("line"))), " ").alias("words"))
     found = materialize(lines)
     left, right = found.toDF("l_doc", "l_line", "l_words"), found.toDF("r_doc", "r_line", "r_words")
     joined = pairs.join(left, (F.col("doc") == F.col("l_doc")) & (F.col("line") == F.col("l_line")))
     joined = joined.join(right, (F.col("h_doc") == F.col("r_doc")) & (F.col("h_line") == F.col("r_line")))
     both = joined.select("doc", "line", F.split("l_words", " ").alias("own"), F.split("r_words", " ").alias("other"))
-    common = F.size(F.array_intersect("own", "other"))
-    alike = common * OF >= (F.size("own") + F.size("other") - common) * NEED
+    alike = F.size(F.array_intersect("own", "other")) * (NEED + OF) >= (F.size("own") + F.size("other")) * NEED
     out = materialize(both.where(alike).select("doc", "line").distinct())
     discard(found.written_path, wanted.written_path)
     return out
@@ -220,15 +279,17 @@ def line_fates(df: DataFrame, id_: str = "doc_id", text: str = "text", least: in
     number; rows of one id share their line numbers, so none of them is earlier.
     """
     spark = df.sparkSession
-    lines = split_lines(df, id_, text)
-    rarity = Rarity(lines)
-    # Lines without a set are left out on reading: a filter here would describe every line twice.
-    described_ = materialize(lines.select("doc", "line", described(F.col("own"), rarity, least).alias("d")).select("doc", "line", "d.*"))
-    sets = described_.where("s is not null")
+    # Lines without a set are left out on reading: a filter here would split every line twice.
+    # Hashes hardly shrink, so their files are written the cheap way.
+    cheap = {"compression": "lz4_raw", "parquet.enable.dictionary": "false"}
+    hashed = materialize(split_lines(df, id_, text).select("doc", "line", word_hashes(F.col("own")).alias("words")), **cheap)
+    rarity = Rarity(hashed)
+    sets = materialize(described(hashed.where(F.size("words") >= max(least, 1)), rarity))
+    discard(hashed.written_path)
     at = F.min(F.struct("doc", "line", "n", "sign", "half", "prefix")).alias("at")
     firsts = materialize(sets.groupBy("s", "t").agg(at, F.count(F.lit(1)).alias("copies")).select("s", "t", "copies", "at.*"))
     narrow = materialize(sets.select("doc", "line", "s", "t"))
-    discard(described_.written_path)
+    discard(sets.written_path)
     release(spark)
     gone = alike_firsts(firsts.where(F.col("n") >= JOINED_WORDS).select("doc", "line", "n", "sign", "half", "prefix"), rarity, df, id_, text)
     release(spark)
@@ -264,7 +325,8 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """How many lines each document has, which of them go, and how many."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fates = line_fates(docs).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("line")).cast("array<string>"), ",").alias("which"))
-    sizes = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    sizes = docs.select("doc_id", F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"))
     joined = sizes.join(fates, F.coalesce("doc_id", F.lit(LAST)) == F.col("doc"), "left")
     return joined.select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("which", F.lit("")).alias("removed_lines"))
 

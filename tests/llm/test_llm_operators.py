@@ -684,6 +684,43 @@ def test_lines(spark, monkeypatch, often):
     assert gone and lines.dedup_lines(frame.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("often", [20_000, 3])
+def test_lines_of_many_sizes(spark, monkeypatch, often):
+    """Sets that are just alike, or just not, by their sizes, on both sides of the classes of size."""
+    monkeypatch.setattr(lines, "OFTEN", often)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    rows = []
+    for n in (*range(4, 40), 79, 80, 81, 82, 100, 101, 125):
+        whole = rng.sample(words, n)
+        cut = [rng.sample(whole, n - n // 5 - k) for k in (0, 1)]
+        rows += [(n, "\n".join(" ".join(x) for x in rng.sample([whole, *cut], 3)))]
+    gone = brute_lines(rows)
+    found = lines.line_fates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r.doc, r.line) for r in found.collect()} == gone and len(gone) > 40
+
+
+def test_a_crowd_of_near_copies(spark, monkeypatch):
+    """Near copies settle by a few others each, so that few pairs of a crowd are left to the join of all."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    base = rng.sample(words, 70)
+    copies = []
+    for _ in range(500):
+        line = list(base)
+        for place in rng.sample(range(70), rng.randint(2, 8)):
+            line[place] = rng.choice(words)
+        copies.append(" ".join(line))
+    rows = list(enumerate(copies))
+    made, all_pairs = [], lines.all_pairs
+    monkeypatch.setattr(lines, "all_pairs", lambda *a: made.append(all_pairs(*a)) or made[-1])
+    counted, write = [], lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, **o: (counted.append(df.count()) if made and df is made[-1] else None, write(df, **o))[1])
+    found = lines.line_fates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r.doc, r.line) for r in found.collect()} == brute_lines(rows)
+    assert counted[0] < 60 * len(rows)
+
+
 def test_short_lines(spark):
     texts = ["one two\n\n--\none two three four five\nfew", "Two, one!\none two three\n\n--\nmany", "one two three four\nfew few\n日本語\na b c d", "one two four\n日本語\nd c b a e\none"]
     frame = spark.createDataFrame(list(enumerate(texts)), DOCS)
