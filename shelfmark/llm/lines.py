@@ -111,20 +111,26 @@ def short_prefix_length(n: Column) -> Column:
     return (n - F.ceil(n * (2 * NEED) / (NEED + OF)) + 1).cast("int")
 
 
+def bits(*blank: int) -> Column:
+    """A constant array of ``blank`` and the 64 longs of one bit: a lambda looks these up faster than it shifts."""
+    return F.split(F.lit(",".join(map(str, [*blank, *[1 << k for k in range(63)], -(1 << 63)]))), ",").cast("array<bigint>")
+
+
 def described(hashed: DataFrame, rarity: Rarity) -> DataFrame:
     """``doc``, ``line``, ``s``, ``t`` (two hashes of the set), ``n``, ``sign``, ``half`` and ``prefix`` (one word more than the prefix).
 
     ``sign`` is the parity of the words under each of 64 numbers, ``half`` that of one half of the words, for long lines.
     """
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    bit = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int")))
-    some = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(c, 6).bitwiseAND(one), c.bitwiseAND(F.lit(63)).cast("int")))
+    none, single, second = F.lit(0).cast("long"), bits(), bits(*[0] * 64)
+    bit = lambda a, c: a.bitwiseXOR(single[c.bitwiseAND(F.lit(63))])
+    some = lambda a, c: a.bitwiseXOR(second[c.bitwiseAND(F.lit(127))])
     # A projection of its own: the sorted words are used more than once, so the optimizer leaves it one.
     own = hashed.select("doc", "line", F.sort_array(F.transform("words", rarity.code)).alias("own"))
     n = F.size("own")
     prefix = F.slice("own", F.lit(1), F.when(n < JOINED_WORDS, 0).otherwise(prefix_length(n) + 1))
     signs = [F.aggregate("own", none, bit).alias("sign"), F.when(n > LONG, F.aggregate("own", none, some)).otherwise(none).alias("half")]
-    return own.select("doc", "line", F.xxhash64("own").alias("s"), F.xxhash64("own", F.lit(1)).alias("t"), n.alias("n"), *signs, prefix.alias("prefix"))
+    # Each column is hashed from the hash of those before it, so a number after the words would make ``t`` follow from ``s``.
+    return own.select("doc", "line", F.xxhash64("own").alias("s"), F.xxhash64(F.lit(1), "own").alias("t"), n.alias("n"), *signs, prefix.alias("prefix"))
 
 
 def earlier(doc: str, line: str, than_doc: str, than_line: str) -> Column:
@@ -206,13 +212,14 @@ def sketch(rarity: Rarity) -> Column:
 
 def head_pairs(firsts: DataFrame, rarity: Rarity) -> DataFrame:
     """Pairs of a line and earlier lines that may be alike: of the first line and the ``BEFORE`` last ones under each key of its sketch, the ``TRIED`` nearest."""
-    by_key = Window.partitionBy("key").orderBy("doc", "line")
-    rows = firsts.select(*plain(firsts), F.explode(sketch(rarity)).alias("key"))
+    # One column for all of a line, so that the window hands on its bytes and does not build them for each of the others.
+    by_key = Window.partitionBy("key").orderBy("own")
+    rows = firsts.select(F.struct(*plain(firsts)).alias("own"), F.explode(sketch(rarity)).alias("key"))
     others = ["h", *[f"p{k}" for k in range(BEFORE)]]
-    found = [F.first(F.struct(*SET)).over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("h"), *[F.lag(F.struct(*SET), k + 1).over(by_key).alias(f"p{k}") for k in range(BEFORE)]]
+    found = [F.first("own").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("h"), *[F.lag("own", k + 1).over(by_key).alias(f"p{k}") for k in range(BEFORE)]]
     other = lambda o: earlier(f"{o}.doc", f"{o}.line", "doc", "line") & near(F.col("n"), F.col(f"{o}.n"), f"{o}.")
     some = functools.reduce(lambda a, b: a | b, map(other, others))
-    met = rows.select(*SET, *found).where(some).withColumn("o", F.explode(F.array(*others))).where(other("o"))
+    met = rows.select("own.*", *found).where(some).withColumn("o", F.explode(F.array(*others))).where(other("o"))
     nearest = F.struct(differ(F.col("n"), F.col("o.n"), "o.").alias("differ"), F.col("o.doc").alias("h_doc"), F.col("o.line").alias("h_line"))
     each = met.groupBy("doc", "line").agg(F.collect_set(nearest).alias("all"))
     return each.select("doc", "line", F.explode(F.slice(F.sort_array("all"), 1, TRIED)).alias("o")).select("doc", "line", "o.h_doc", "o.h_line")

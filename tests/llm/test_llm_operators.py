@@ -733,6 +733,23 @@ def test_classes_of_words_are_small_numbers(spark):
     assert {len(r.words) for r in hashed.collect()} == {4, 0}
 
 
+def test_signs_and_hashes_of_lines(spark, monkeypatch):
+    """Signatures are the parities of the words; the second hash of a set does not follow from the first."""
+    monkeypatch.setattr(lines, "LONG", 12)
+    rng = random.Random(4)
+    frame = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(n))) for i, n in enumerate([1, 3, 12, 13, 70, 300])], DOCS)
+    hashed = lines.split_lines(frame, "doc_id", "text").select("doc", "line", lines.word_hashes(F.col("own")).alias("words"))
+    rarity = lines.Rarity(hashed)
+    codes = {r.doc: r.codes for r in hashed.select("doc", F.transform("words", rarity.code).alias("codes")).collect()}
+    for r in lines.described(hashed, rarity).collect():
+        sign = half = 0
+        for c in codes[r.doc]:
+            sign ^= 1 << (c & 63)
+            half ^= (c >> 6 & 1 and r.n > 12) << (c & 63)
+        assert (r.sign % 2**64, r.half % 2**64) == (sign, half) and r.n == len(codes[r.doc])
+        assert r.t % 2**64 != xxhash.xxh64(struct.pack("<i", 1), seed=r.s % 2**64).intdigest()
+
+
 def test_short_lines(spark):
     texts = ["one two\n\n--\none two three four five\nfew", "Two, one!\none two three\n\n--\nmany", "one two three four\nfew few\n日本語\na b c d", "one two four\n日本語\nd c b a e\none"]
     frame = spark.createDataFrame(list(enumerate(texts)), DOCS)
